@@ -7,7 +7,7 @@ import importlib
 from reelweave.catalog.registry import ORACLE, QUERIES
 
 MODULES = (
-    "fusion ranking"
+    "fusion ranking events_q timeline_q"
     ""
 ).split()
 

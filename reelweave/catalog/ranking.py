@@ -68,12 +68,12 @@ def diversified_lineitem(spark, d):
 @query(
     "lane_rerank",
     """SELECT query_id, lane, video_id, frame_id, score, CAST(row_number() OVER (PARTITION BY query_id, lane ORDER BY score DESC, video_id, frame_id) AS INTEGER) AS rank
-FROM signals WHERE frame_id % 2 = 0 OR score > 0.1""",
+FROM signals WHERE score > 0.15""",
     ("signals",),
 )
 def lane_rerank(spark, d):
     """Ranks rebuilt after a filter on the hits."""
-    return rk.rerank(st.signals(spark, d).filter("frame_id % 2 = 0 or score > 0.1")).select(
+    return rk.rerank(st.signals(spark, d).filter("score > 0.15")).select(
         "query_id", "lane", "video_id", "frame_id", "score", "rank"
     )
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelweave.operators.fusion import KEY, base_lane, rank_fusion
 from reelweave.operators.ranking import best_row, ranked
-from reelweave.operators.timeline import asof, gap_islands, greedy_spaced
+from reelweave.operators.timeline import asof, gap_islands, greedy_spaced, positions
 from reelweave.schema import DEFAULTS
 
 EVENT = ["query_id", "video_id", "event_id"]
@@ -112,14 +112,16 @@ def ordered_events(keyframes: DataFrame) -> DataFrame:
         F.max("frame_id").alias("end_frame"),
         F.count(F.lit(1)).alias("n_frames"),
     )
-    w = Window.partitionBy("video_id").orderBy("start_frame", "event_id")
-    return spans.select(
-        "*",
-        F.row_number().over(w).alias("event_order"),
-        F.lag("event_id").over(w).alias("prev_event"),
-        F.lead("event_id").over(w).alias("next_event"),
-        F.lead("start_frame").over(w).alias("next_start"),
+    placed = positions(spans, ["video_id"], "start_frame", ["event_id"], "event_order")
+    order = placed.select("video_id", "event_order", "event_id", "start_frame")
+    before = order.select("video_id", (F.col("event_order") + 1).alias("event_order"), F.col("event_id").alias("prev_event"))
+    after = order.select(
+        "video_id",
+        (F.col("event_order") - 1).alias("event_order"),
+        F.col("event_id").alias("next_event"),
+        F.col("start_frame").alias("next_start"),
     )
+    return placed.join(before, ["video_id", "event_order"], "left").join(after, ["video_id", "event_order"], "left")
 
 
 def coherence_boost(events: DataFrame, timeline: DataFrame, bonus: float = 0.10) -> DataFrame:
@@ -143,30 +145,38 @@ def coherence_boost(events: DataFrame, timeline: DataFrame, bonus: float = 0.10)
 def gap_clusters(fused: DataFrame, signals: DataFrame, gap: int = DEFAULTS.gap_frames, k: int = DEFAULTS.rrf_k, lane_bonus: float = 0.15) -> DataFrame:
     """Collapse neighbouring frames: uniform rank fusion times a lane-agreement bonus.
 
-    ``fused(query_id, video_id, frame_id, score)`` gives the members and picks
-    the representative.
+    ``fused(query_id, video_id, frame_id)`` gives the members; the member with the
+    best uniform score represents the cluster.
     """
     by = ["query_id", "video_id"]
-    placed = gap_islands(fused.select(*KEY, "score"), by, "frame_id", gap)
-    uniform = signals.groupBy(*KEY).agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("_u"))
-    lanes = signals.select(*KEY, "lane").distinct()
-    totals = placed.join(uniform, KEY, "left").groupBy(*by, "island").agg(
-        F.sum(F.coalesce("_u", F.lit(0.0))).alias("_u"),
-        F.count(F.lit(1)).alias("n_members"),
-        F.max("frame_id").alias("end_frame"),
+    uniform = signals.groupBy(*KEY).agg(
+        F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))), 9).alias("_u"), F.collect_set("lane").alias("_l")
+    )
+    placed = gap_islands(fused.select(*KEY).join(uniform, KEY, "left"), by, "frame_id", gap)
+    rows = placed.select(*KEY, "island", F.coalesce("_u", F.lit(0.0)).alias("_u"), F.posexplode_outer("_l").alias("_i", "lane"))
+    once = F.coalesce("_i", F.lit(0)) == 0
+    per_lane = rows.groupBy(*by, "island", "lane").agg(
+        F.sum(F.when(once, F.col("_u"))).alias("_u"),
+        F.sum(once.cast("bigint")).alias("_n"),
+        F.max("frame_id").alias("_end"),
+        F.max(F.when(once, F.struct("_u", (-F.col("frame_id")).alias("f")))).alias("_lead"),
+    )
+    out = per_lane.groupBy(*by, "island").agg(
+        F.sum("_u").alias("_u"),
+        F.sum("_n").alias("n_members"),
+        F.count("lane").alias("n_lanes"),
+        F.max("_end").alias("end_frame"),
+        F.max("_lead").alias("_lead"),
     )
-    n_lanes = placed.join(lanes, KEY).groupBy(*by, "island").agg(F.countDistinct("lane").alias("n_lanes"))
-    lead = best_row(placed, [*by, "island"], [F.desc("score"), F.asc("frame_id")]).select(*by, "island", "frame_id")
-    out = totals.join(n_lanes, [*by, "island"], "left").join(lead, [*by, "island"])
-    bonus = F.lit(1.0) + F.lit(lane_bonus) * F.greatest(F.lit(0), F.coalesce("n_lanes", F.lit(0)) - 1)
+    bonus = F.lit(1.0) + F.lit(lane_bonus) * F.greatest(F.lit(0), F.col("n_lanes") - 1)
     return out.select(
         *by,
-        "frame_id",
+        (-F.col("_lead.f")).alias("frame_id"),
         F.col("island").alias("start_frame"),
         "end_frame",
         "n_members",
-        F.coalesce("n_lanes", F.lit(0)).alias("n_lanes"),
-        F.round(F.col("_u") * bonus, 9).alias("score"),
+        "n_lanes",
+        F.round(F.col("_u") * bonus, 6).alias("score"),
     )
 
 
@@ -198,7 +208,7 @@ def materialise_events(events: DataFrame, members: DataFrame, head: int = DEFAUL
     members, ..., then the other events likewise; 1% decay per member."""
     rows = members.join(events.select(*EVENT, F.col("score").alias("event_score"), F.col("rank").alias("event_rank")), EVENT)
     rows = rows.withColumn("band", (F.col("event_rank") > head).cast("int")).withColumn(
-        "score", F.round(F.col("event_score") * (F.lit(1.0) - F.lit(0.01) * (F.col("member_rank") - 1)), 9)
+        "score", F.round(F.col("event_score") * (F.lit(1.0) - F.lit(0.01) * (F.col("member_rank") - 1)), 6)
     )
     return ranked(rows, ["query_id"], [F.asc("band"), F.asc("member_rank"), F.asc("event_rank")])
 

@@ -70,17 +70,28 @@ def ordered_union(parts: Sequence[DataFrame], keys: Sequence[str], order: str =
 
 
 def protected_merge(base: DataFrame, rescue: DataFrame, head: int, rescues: int, limit: int) -> DataFrame:
-    """Base head, then unseen rescue rows, then the rest of the base.
+    """Base head, then unseen rescue rows, then the rest of the base (each list read once).
 
     Rescue rows that are already in the base head are dropped before the rescue
     quota applies.
     """
     keys = ["query_id", "video_id", "frame_id"]
-    head_rows = base.filter(F.col("rank") <= head)
-    tail_rows = base.filter(F.col("rank") > head)
-    unseen = rescue.join(head_rows.select(*keys), keys, "left_anti")
-    fresh = ranked(unseen.withColumnRenamed("rank", "_r"), ["query_id"], [F.asc("_r")], rescues).drop("_r")
-    return ordered_union([head_rows, fresh, tail_rows], keys, limit=limit)
+    rows = base.select(*keys, "rank", F.lit(0).alias("_src")).unionByName(
+        rescue.select(*keys, "rank", F.lit(1).alias("_src"))
+    )
+    is_head = (F.col("_src") == 0) & (F.col("rank") <= head)
+    rows = rows.withColumn("_in_head", F.max(is_head).over(Window.partitionBy(*keys)))
+    rows = rows.filter((F.col("_src") == 0) | ~F.col("_in_head"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_src").orderBy("rank")))
+    rows = rows.filter((F.col("_src") == 0) | (F.col("_n") <= rescues))
+    rows = rows.select(
+        *keys,
+        F.when(F.col("_src") == 1, 1).when(is_head, 0).otherwise(2).alias("band"),
+        F.when(F.col("_src") == 1, F.col("_n")).otherwise(F.col("rank")).alias("_old"),
+    )
+    first = best_row(rows, keys, [F.asc("band"), F.asc("_old")])
+    order = [F.asc("band"), F.asc("_old"), F.asc("video_id"), F.asc("frame_id")]
+    return ranked(first, ["query_id"], order, limit).drop("_old")
 
 
 def unseen(df: DataFrame, used: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -114,18 +125,18 @@ def specialist_escape(results: DataFrame, specialists: dict[str, tuple[str, int]
     """
     keys = ["query_id", "video_id", "frame_id"]
     reserve = sum(quota for _, quota in specialists.values())
-    taken = results.filter(F.col("rank") <= max(0, limit - reserve)).select(*keys, "rank").withColumn("band", F.lit(0))
+    rest = len(specialists) + 1
+    rows = results.withColumn("band", F.when(F.col("rank") <= max(0, limit - reserve), 0).otherwise(rest))
+    rows = rows.withColumn("_r", F.col("rank"))
     for band, (column, quota) in enumerate(specialists.values(), start=1):
-        fresh = results.filter(F.col(column) > 0).join(taken.select(*keys), keys, "left_anti")
-        picked = ranked(
-            fresh.withColumnRenamed("rank", "_r"), ["query_id"], [F.desc(column), F.asc("_r")], quota
-        )
-        taken = taken.unionByName(picked.select(*keys, "rank").withColumn("band", F.lit(band)))
-    rest = results.join(taken.select(*keys), keys, "left_anti").select(*keys, "rank")
-    everything = taken.unionByName(rest.withColumn("band", F.lit(len(specialists) + 1)))
-    return ranked(
-        everything.withColumnRenamed("rank", "_r"), ["query_id"], [F.asc("band"), F.asc("_r")], limit
-    ).drop("_r")
+        free = (F.col("band") == rest) & (F.col(column) > 0)
+        w = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce(free, F.lit(False))), F.desc(column), F.asc("rank"))
+        rows = rows.withColumn("_n", F.row_number().over(w))
+        picked = F.coalesce(free & (F.col("_n") <= quota), F.lit(False))
+        rows = rows.withColumn("_r", F.when(picked, F.col("_n")).otherwise(F.col("_r")))
+        rows = rows.withColumn("band", F.when(picked, band).otherwise(F.col("band")))
+    rows = rows.select(*keys, "_r", "band")
+    return ranked(rows, ["query_id"], [F.asc("band"), F.asc("_r")], limit).drop("_r")
 
 
 def sanitise_ranking(candidates: DataFrame, answers: DataFrame) -> DataFrame:

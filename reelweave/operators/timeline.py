@@ -31,9 +31,7 @@ def with_halo(df: DataFrame, pos: str, reach: int | float, chunk: int | float) -
 
 def _carried(right: DataFrame, left: DataFrame, on: Sequence[str], lpos: str, chunk: int | float) -> DataFrame:
     """Nearest right row before and after each chunk that has left rows."""
-    per_chunk = right.groupBy(*on, "_c").agg(
-        F.min("_hit").alias("_first"), F.max("_hit").alias("_last")
-    )
+    per_chunk = right.groupBy(*on, "_c").agg(F.min("_hit").alias("_first"), F.max("_hit").alias("_last"))
     needed = left.select(*on, chunk_of(F.col(lpos), chunk).alias("_c")).distinct()
     grid = per_chunk.unionByName(needed, allowMissingColumns=True).groupBy(*on, "_c").agg(
         F.min("_first").alias("_first"), F.max("_last").alias("_last")
@@ -115,15 +113,35 @@ def neighbour_totals(df: DataFrame, keys: Sequence[str], pos: str, score: str, r
     """
     points = df.groupBy(*keys, pos).agg(F.sum(score).alias("_s"), F.count(F.lit(1)).alias("_n"))
     haloed = with_halo(points, pos, reach, max(chunk, reach))
-    near = Window.partitionBy(*keys, "_c").orderBy(pos).rangeBetween(-reach, reach)
+    bound = f"{reach}D" if isinstance(reach, float) else str(reach)
+    over = (
+        f"OVER (PARTITION BY {', '.join(keys)}, _c ORDER BY {pos} "
+        f"RANGE BETWEEN {bound} PRECEDING AND {bound} FOLLOWING)"
+    )
     return (
-        haloed.withColumn("sum_near", F.sum("_s").over(near))
-        .withColumn("n_near", F.sum("_n").over(near))
+        haloed.withColumn("sum_near", F.expr(f"sum(_s) {over}"))
+        .withColumn("n_near", F.expr(f"sum(_n) {over}"))
         .filter("_own")
         .select(*keys, pos, "sum_near", "n_near")
     )
 
 
+def positions(df: DataFrame, keys: Sequence[str], pos: str, ties: Sequence[str] = (), name: str = "position", chunk: int | float = CHUNK) -> DataFrame:
+    """One-based position of each row in its group: rank inside the chunk plus the
+    number of rows in earlier chunks."""
+    rows = df.withColumn("_c", chunk_of(F.col(pos), chunk))
+    counts = rows.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_c").orderBy(pos, *ties)
+    return (
+        rows.withColumn("_r", F.row_number().over(inside))
+        .join(offsets, [*keys, "_c"])
+        .withColumn(name, F.col("_r") + F.col("_before"))
+        .drop("_r", "_before", "_c")
+    )
+
+
 def gap_islands(df: DataFrame, keys: Sequence[str], pos: str, gap: int, name: str = "island", chunk: int = CHUNK) -> DataFrame:
     """Label runs of positions whose steps are at most ``gap`` by their first position."""
     points = df.select(*keys, pos).distinct()
@@ -220,20 +238,76 @@ def greedy_spaced(df: DataFrame, keys: Sequence[str], pos: str, order: Sequence[
     return chosen
 
 
-def nearest_k(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: Sequence[str], left_pos: str, right_pos: str, k: int, reach: int) -> DataFrame:
-    """The k right positions closest to each left row within ``reach``.
+def nearest_k(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: Sequence[str], left_pos: str, right_pos: str, k: int, chunk: int | float = CHUNK) -> DataFrame:
+    """The k right positions closest to each left row, earlier ones first on ties.
 
-    Both sides meet in chunks of twice the reach, so only rows of the same
-    stretch of time are compared.
+    The as-of match gives the place of a row among the right positions; its k
+    neighbours on either side are then looked up by position number.
     """
     from reelweave.operators.ranking import ranked
 
-    width = max(1, 2 * reach)
-    l = left.withColumn("_c", chunk_of(F.col(left_pos), width))
-    r = with_halo(right.select(*on, F.col(right_pos).alias("_rp")), "_rp", reach, width)
-    pairs = l.join(r, [*on, "_c"]).withColumn("distance", F.abs(F.col("_rp") - F.col(left_pos))).filter(
-        F.col("distance") <= reach
-    )
-    return ranked(pairs, [*on, *left_id], [F.asc("distance"), F.asc("_rp")], k).select(
+    numbered = positions(right.select(*on, F.col(right_pos).alias("_rp")).distinct(), on, "_rp", name="_i", chunk=chunk)
+    at = asof(left, numbered, on, left_pos, "_rp", ["_i"], "backward", chunk=chunk).drop("matched_pos")
+    base = F.coalesce("_i", F.lit(0))
+    wanted = at.withColumn("_i", F.explode(F.sequence(base - (k - 1), base + k)))
+    found = wanted.join(numbered, [*on, "_i"]).withColumn("distance", F.abs(F.col("_rp") - F.col(left_pos)))
+    return ranked(found, [*on, *left_id], [F.asc("distance"), F.asc("_rp")], k).select(
         *left.columns, F.col("_rp").alias(right_pos), "distance", "rank"
     )
+
+
+def nearest_interval(left: DataFrame, right: DataFrame, on: Sequence[str], left_pos: str, start: str, end: str, take: Sequence[str], limit: float | None = None, chunk: int | float = CHUNK) -> DataFrame:
+    """Nearest interval of the same keys by distance to [start, end] (0 inside).
+
+    Of the intervals that begin at or before the row the one reaching furthest is
+    compared with the next one to begin; ``limit`` keeps distances below it.
+    """
+    fields = [F.col(c).alias(c) for c in take]
+    rows = right.select(
+        *on,
+        F.col(start).cast("double").alias("_x"),
+        F.struct(F.col(end).cast("double").alias("e"), F.col(start).cast("double").alias("s"), *fields).alias("_by_end"),
+        F.struct(F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), *fields).alias("_by_start"),
+    ).withColumn("_c", chunk_of(F.col("_x"), chunk))
+    per_chunk = rows.groupBy(*on, "_c").agg(F.max("_by_end").alias("_far"), F.min("_by_start").alias("_next"))
+    needed = left.select(*on, chunk_of(F.col(left_pos), chunk).alias("_c")).distinct()
+    grid = per_chunk.unionByName(needed, allowMissingColumns=True).groupBy(*on, "_c").agg(
+        F.max("_far").alias("_far"), F.min("_next").alias("_next")
+    )
+    prev = Window.partitionBy(*on).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*on).orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = grid.select(
+        *on, "_c", F.max("_far").over(prev).alias("_cf"), F.min("_next").over(later).alias("_cn")
+    )
+    probes = left.select(
+        *on,
+        chunk_of(F.col(left_pos), chunk).alias("_c"),
+        F.col(left_pos).cast("double").alias("_x"),
+        F.struct(*[F.col(c) for c in left.columns]).alias("_row"),
+    ).withColumn("_side", F.lit(1))
+    both = probes.unionByName(rows.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    part = Window.partitionBy(*on, "_c")
+    run = (Window.unboundedPreceding, Window.currentRow)
+    local = (
+        both.withColumn("_f", F.max("_by_end").over(part.orderBy("_x", "_side").rowsBetween(*run)))
+        .withColumn("_n", F.min("_by_start").over(part.orderBy(F.desc("_x"), F.desc("_side")).rowsBetween(*run)))
+        .filter("_side = 1")
+        .join(carried, [*on, "_c"], "left")
+    )
+    far = F.greatest("_f", "_cf")
+    nxt = F.coalesce("_n", "_cn")
+    gap_back = F.greatest(F.lit(0.0), F.col("_x") - far["e"])
+    gap_next = nxt["s"] - F.col("_x")
+    use_next = far.isNull() | (gap_next < gap_back)
+    out = local.select(
+        *[F.col(f"_row.{c}").alias(c) for c in left.columns],
+        F.when(use_next, nxt["s"]).otherwise(far["s"]).alias("matched_start"),
+        F.when(use_next, gap_next).otherwise(gap_back).alias("distance"),
+        *[F.when(use_next, nxt[c]).otherwise(far[c]).alias(c) for c in take],
+    )
+    if limit is None:
+        return out
+    near = F.col("distance") < limit
+    return out.select(
+        *left.columns, *[F.when(near, F.col(c)).alias(c) for c in ["matched_start", "distance", *take]]
+    )
