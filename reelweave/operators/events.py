@@ -187,20 +187,12 @@ def diverse_members(members: DataFrame, gap: int = DEFAULTS.gap_frames, limit: i
     with the best members that were too close.
     """
     has_visual = members.groupBy(*EVENT).agg(F.max(F.col("visual_score").isNotNull()).alias("_hv"))
-    doc = F.concat_ws(":", "video_id", "frame_id")
-    rows = (
-        members.join(has_visual, EVENT)
-        .withColumn("_second", (F.col("_hv") & F.col("visual_score").isNull()).cast("int"))
-        .withColumn("_s", F.when(F.col("_second") == 1, F.col("member_score")).otherwise(F.coalesce("visual_score", "member_score")))
-        .withColumn("_doc", doc)
-        .drop("_hv")
-    )
-    order = [F.asc("_second"), F.desc("_s"), F.asc("_doc")]
-    spaced = greedy_spaced(rows, EVENT, "frame_id", order, gap, limit)
-    left = rows.join(spaced.select(*EVENT, "frame_id"), [*EVENT, "frame_id"], "left_anti")
-    filler = ranked(left, EVENT, order, limit, "_fill").withColumn("pick", F.lit(limit) + F.col("_fill")).drop("_fill")
-    both = spaced.unionByName(filler)
-    return ranked(both, EVENT, [F.asc("pick")], limit, "member_rank").select(*EVENT, "frame_id", "member_score", "member_rank")
+    second = F.col("_hv") & F.col("visual_score").isNull()
+    rows = members.join(has_visual, EVENT)
+    score = F.when(second, F.col("member_score")).otherwise(F.coalesce("visual_score", "member_score"))
+    order = [second.cast("int"), -score, F.concat_ws(":", "video_id", "frame_id")]
+    spaced = greedy_spaced(rows, EVENT, "frame_id", order, gap, limit, fill=True)
+    return spaced.select(*EVENT, "frame_id", "member_score", F.col("pick").alias("member_rank"))
 
 
 def materialise_events(events: DataFrame, members: DataFrame, head: int = DEFAULTS.primary_event_head) -> DataFrame:

@@ -220,22 +220,39 @@ def greedy_anchors(df: DataFrame, keys: Sequence[str], pos: str, width: int, nam
     return found.withColumnRenamed("matched_pos", name)
 
 
-def greedy_spaced(df: DataFrame, keys: Sequence[str], pos: str, order: Sequence[Column], gap: int | float, limit: int) -> DataFrame:
-    """Pick up to ``limit`` rows per group in ``order``, each at least ``gap`` from
-    all earlier picks; adds ``pick`` (1-based).
+def greedy_spaced(df: DataFrame, keys: Sequence[str], pos: str, order: Sequence[Column], gap: int | float, limit: int, fill: bool = False) -> DataFrame:
+    """Pick up to ``limit`` rows per group in ascending ``order``, each at least ``gap``
+    from all earlier picks; with ``fill`` free places go to the best skipped rows.
 
-    One small aggregate per pick instead of a collected list per group.
+    Adds ``pick`` (1-based). Positions must be unique per group. A pick can only
+    touch its own gap-wide cell and the two next to it, so the picks all lie in
+    the 3 * limit - 2 cells with the best rows: only those rows are gathered.
     """
-    from reelweave.operators.ranking import best_row
+    from reelweave.operators.ranking import ranked
 
-    chosen = best_row(df, keys, order).withColumn("pick", F.lit(1))
-    for i in range(2, limit + 1):
-        taken = chosen.groupBy(*keys).agg(F.collect_list(pos).alias("_taken"))
-        free = df.join(taken, list(keys)).filter(
-            F.forall("_taken", lambda t: F.abs(F.col(pos) - t) >= gap)
-        )
-        chosen = chosen.unionByName(best_row(free, keys, order).drop("_taken").withColumn("pick", F.lit(i)))
-    return chosen
+    rows = df.select(
+        *keys,
+        F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(pos).alias("pos"), F.struct(*df.columns).alias("row")).alias("_x"),
+        F.floor(F.col(pos) / F.lit(gap)).alias("_b"),
+    )
+    cells = rows.groupBy(*keys, "_b").agg(F.min("_x").alias("_best"))
+    top = ranked(cells, keys, [F.asc("_best")], 3 * limit - 2, "_n").select(*keys, "_b")
+    pool = rows.join(top, [*keys, "_b"], "left_semi").select(*keys, "_x")
+    if fill:
+        pool = pool.unionByName(ranked(rows, keys, [F.asc("_x")], 2 * limit, "_n").select(*keys, "_x"))
+    packed = pool.groupBy(*keys).agg(F.sort_array(F.collect_set("_x")).alias("_xs"))
+    kind = packed.schema["_xs"].dataType.simpleString()
+
+    def step(acc: Column, x: Column) -> Column:
+        free = (F.size(acc) < limit) & F.forall(acc, lambda a: F.abs(a["pos"] - x["pos"]) >= gap)
+        return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
+
+    picks = packed.withColumn("_picked", F.aggregate("_xs", F.array().cast(kind), step))
+    chosen = F.col("_picked")
+    if fill:
+        rest = F.filter("_xs", lambda x: ~F.exists("_picked", lambda p: p["pos"] == x["pos"]))
+        chosen = F.slice(F.concat(chosen, rest), 1, limit)
+    return picks.select(F.posexplode(chosen).alias("_i", "_p")).select("_p.row.*", (F.col("_i") + 1).alias("pick"))
 
 
 def nearest_k(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: Sequence[str], left_pos: str, right_pos: str, k: int, chunk: int | float = CHUNK) -> DataFrame:
