@@ -7,7 +7,7 @@ import importlib
 from reelweave.catalog.registry import ORACLE, QUERIES
 
 MODULES = (
-    "fusion ranking events_q timeline_q text_q"
+    "fusion ranking events_q timeline_q text_q lexical_q"
     ""
 ).split()
 

@@ -89,10 +89,12 @@ def dice_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, g
             out, f"{out}_grams", F.col("_p.g").alias("_g")
         )
 
-    pairs = prefix(left, left_id, "l").join(prefix(right, right_id, "r"), "_g").drop("_g").distinct()
-    shared = F.size(F.array_intersect("l_grams", "r_grams"))
-    dice = F.lit(2.0) * shared / (F.size("l_grams") + F.size("r_grams"))
-    return pairs.select("l", "r", dice.alias("similarity")).filter(F.col("similarity") >= threshold)
+    pairs = prefix(left, left_id, "l").join(prefix(right, right_id, "r"), "_g")
+    ln, rn = F.size("l_grams"), F.size("r_grams")
+    possible = F.lit(2.0) * F.least(ln, rn) >= F.lit(threshold - 1e-9) * (ln + rn)
+    dice = F.lit(2.0) * F.size(F.array_intersect("l_grams", "r_grams")) / (ln + rn)
+    similar = pairs.filter(possible).select("l", "r", dice.alias("similarity")).filter(F.col("similarity") >= threshold)
+    return similar.distinct()
 
 
 def fuzzy_vocabulary(tokens: DataFrame, vocab: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
@@ -216,10 +218,10 @@ def bm25_search(texts: DataFrame, queries: DataFrame, k: int, candidates: int =
     full = pool.join(norm, "doc_id").join(qtoks, "query_id")
     coverage = F.size(F.array_intersect("_qt", tx.tokens(F.col("_n")))) / F.greatest(F.lit(1), F.size("_qt"))
     phrase = ((F.col("_qn") > 1) & F.contains(F.col("_n"), F.col("_q"))).cast("double")
-    rescored = full.select("query_id", "doc_id", "bm25", F.round(coverage, 6).alias("coverage"), phrase.alias("phrase"))
+    rescored = full.select("query_id", "doc_id", "bm25", coverage.alias("coverage"), phrase.alias("phrase"))
     final = ranked(rescored, ["query_id"], [F.desc("phrase"), F.desc("coverage"), F.desc("bm25"), F.asc("doc_id")], k)
     score = F.least(F.lit(1.0), F.lit(0.75) * F.col("coverage") + F.lit(0.25) * F.col("phrase"))
-    return final.withColumn("score", F.round(score, 6))
+    return final.withColumn("score", F.round(score, 6)).withColumn("coverage", F.round("coverage", 6))
 
 
 def caption_search(captions: DataFrame, queries: DataFrame, videos: DataFrame, k: int, nfc: bool = True) -> DataFrame:
@@ -264,16 +266,19 @@ def keyword_overlap(texts: DataFrame, queries: DataFrame, k: int, nfc: bool = Tr
     return ranked(hits, ["query_id"], [F.desc("matches"), F.asc("doc_id")], k)
 
 
-def best_segment(segments: DataFrame, queries: DataFrame, nfc: bool = True) -> DataFrame:
-    """Per query and video the transcript segment with most query keywords; the
-    first segment where nothing overlaps."""
+def best_segment(segments: DataFrame, queries: DataFrame, pairs: DataFrame, nfc: bool = True) -> DataFrame:
+    """Transcript segment with most query keywords for each (query, video) pair; the
+    video's first segment where nothing overlaps."""
     words = segments.select(
         "video_id", "start_seconds", F.explode(F.array_distinct(tx.tokens(tx.normalize_for_search(F.col("text"), nfc)))).alias("token")
     )
-    asked = query_tokens(queries, nfc).select("query_id", "token")
-    overlap = asked.join(words, "token").groupBy("query_id", "video_id", "start_seconds").agg(F.count(F.lit(1)).alias("overlap"))
-    best = ranked(overlap, ["query_id", "video_id"], [F.desc("overlap"), F.asc("start_seconds")], 1, "_r")
-    return best.drop("_r")
+    asked = query_tokens(queries, nfc).select("query_id", "token").join(pairs, "query_id")
+    overlap = asked.join(words, ["video_id", "token"]).groupBy("query_id", "video_id", "start_seconds").agg(F.count(F.lit(1)).alias("overlap"))
+    best = ranked(overlap, ["query_id", "video_id"], [F.desc("overlap"), F.asc("start_seconds")], 1, "_r").drop("_r")
+    first = segments.groupBy("video_id").agg(F.min("start_seconds").alias("_first"))
+    return pairs.join(first, "video_id").join(best, ["query_id", "video_id"], "left").select(
+        "query_id", "video_id", F.coalesce("start_seconds", "_first").alias("start_seconds"), F.coalesce("overlap", F.lit(0)).alias("overlap")
+    )
 
 
 def all_token_search(texts: DataFrame, queries: DataFrame, k: int, nfc: bool = True) -> DataFrame:
