@@ -184,6 +184,8 @@ def _cell_hits(left: DataFrame, right: DataFrame, cell: list[str], k: int, thres
         )
         return pa.Table.from_batches([hits] if hits is not None else [], schema=_HIT)
 
+    # fresh column identities: both sides may stem from the same frame table
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(score, _HIT_DDL)
 
 
