@@ -9,7 +9,7 @@ from reelweave.catalog.fusion import clause_signals
 from reelweave.catalog.ranking import RN, fused_ranked
 from reelweave.catalog.registry import cte, query
 from reelweave.operators import events as ev
-from reelweave.operators import fusion as fu
+from reelweave.session import cut_lineage
 
 KEY = ["query_id", "video_id", "frame_id"]
 EVENT = ["query_id", "video_id", "event_id"]
@@ -20,7 +20,7 @@ def weights(spark):
 
 
 def votes(spark, d):
-    return ev.event_votes(clause_signals(spark, d), st.frame_events(spark, d), weights(spark))
+    return cut_lineage(ev.event_votes(clause_signals(spark, d), st.frame_events(spark, d), weights(spark)))
 
 
 cte(
@@ -77,7 +77,7 @@ JOIN frame_events e USING (video_id, frame_id)""",
 
 def local_votes(spark, d):
     allowed = fused_ranked(spark, d, st.VISUAL_LANES, 15)
-    return ev.local_event_votes(clause_signals(spark, d), st.frame_events(spark, d), weights(spark), allowed)
+    return cut_lineage(ev.local_event_votes(clause_signals(spark, d), st.frame_events(spark, d), weights(spark), allowed))
 
 
 cte(

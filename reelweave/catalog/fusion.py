@@ -239,7 +239,7 @@ cte(
 
 @query("window_alignment", "SELECT * FROM aligned", ("aligned",))
 def window_alignment(spark, d):
-    return fu.align_to_windows(st.signals(spark, d, st.VISUAL_LANES), 75)
+    return fu.align_to_windows(st.stored_signals(spark, d, st.VISUAL_LANES), 75)
 
 
 @query(
@@ -312,7 +312,7 @@ def lane_preference(spark, d):
 
 def clause_signals(spark, d):
     """Clause lanes: each model's list split in two clause lists by frame parity."""
-    s = st.signals(spark, d)
+    s = st.stored_signals(spark, d)
     clause = F.concat(F.col("lane"), F.lit("__clause"), F.pmod("frame_id", F.lit(2)) + 1)
     return s.withColumn("lane", clause)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from reelweave.catalog.registry import cte
 from reelweave.operators.vectors import lane_slices, mean_vector, vector_top_k
 from reelweave.schema import lane_config
-from reelweave.session import table
+from reelweave.session import cut_lineage, table
 
 DIM = 64
 LANE_RANGES = {
@@ -56,6 +56,11 @@ def signals(spark: SparkSession, d: str, lanes: list[str] | None = None, k: int
     return vector_top_k(lane_vectors(spark, d, lanes), query_vectors(spark, d, lanes), k, 0.0)
 
 
+def stored_signals(spark: SparkSession, d: str, lanes: list[str] | None = None) -> DataFrame:
+    """The signals as a stored table, for queries that use them many times."""
+    return cut_lineage(signals(spark, d, lanes))
+
+
 def lanes(spark: SparkSession) -> DataFrame:
     return lane_config(spark)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,18 +35,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def cut_lineage(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a fresh private one only where none is set."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isEmpty():
+        return held.get()
+    folder = tempfile.mkdtemp(prefix="reelweave-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return shared_folder(spark)
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is
-    unset (tests, one machine) a fresh private folder is taken.
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it back.
+
+    For intermediate results that many later steps use: plans stay small, lost
+    executors re-read files instead of re-running the retrieval.
     """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if not configured:
-            import tempfile
-
-            configured = tempfile.mkdtemp(prefix="reelweave-ckpt-")
-        sc.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
