@@ -206,19 +206,38 @@ def bm25_search(texts: DataFrame, queries: DataFrame, k: int, candidates: int =
     avg_len = toks.agg(F.avg(F.size("_t"))).scalar()
     qnorm = queries.select("query_id", tx.normalize_for_search(F.col("text"), nfc).alias("_q"))
     qtoks = qnorm.select("query_id", "_q", F.array_distinct(tx.tokens(F.col("_q"))).alias("_qt"), F.size(tx.tokens(F.col("_q"))).alias("_qn"))
-    asked = qtoks.select("query_id", F.explode("_qt").alias("token")).filter(F.length("token") >= MIN_TOKEN)
+    asked = qtoks.select("query_id", F.explode("_qt").alias("token"))
     words = toks.select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("token"))
     tf = words.join(asked.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count("doc_id").alias("df"))
     weight = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / avg_len))
-    weighted = tf.join(df, "token").select("doc_id", "token", part.alias("part"))
-    scored = asked.join(weighted, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("bm25"))
+    # one-letter tokens do not search, but they count for the coverage
+    weighted = tf.join(df, "token").select("doc_id", "token", F.when(F.length("token") >= MIN_TOKEN, part).alias("part"))
+    scored = (
+        asked.join(weighted, "token")
+        .groupBy("query_id", "doc_id")
+        .agg(F.round(F.sum("part"), 6).alias("bm25"), F.count(F.lit(1)).alias("matched"))
+        .filter("bm25 is not null")
+    )
     pool = ranked(scored, ["query_id"], [F.desc("bm25"), F.asc("doc_id")], max(k, candidates), "_n").drop("_n")
-    full = pool.join(norm, "doc_id").join(qtoks, "query_id")
-    coverage = F.size(F.array_intersect("_qt", tx.tokens(F.col("_n")))) / F.greatest(F.lit(1), F.size("_qt"))
-    phrase = ((F.col("_qn") > 1) & F.contains(F.col("_n"), F.col("_q"))).cast("double")
-    rescored = full.select("query_id", "doc_id", "bm25", coverage.alias("coverage"), phrase.alias("phrase"))
+    sizes = qtoks.select("query_id", F.size("_qt").alias("_d"), "_qn")
+    sized = pool.join(sizes, "query_id")
+    # a text containing the whole phrase has all its words, but for a cut first or last one
+    near = sized.filter((F.col("_qn") > 1) & (F.col("matched") >= F.col("_d") - 2)).select("query_id", "doc_id")
+    phrases = (
+        near.join(norm, "doc_id")
+        .join(qnorm, "query_id")
+        .filter(F.contains(F.col("_n"), F.col("_q")))
+        .select("query_id", "doc_id", F.lit(1.0).alias("_p"))
+    )
+    rescored = sized.join(phrases, ["query_id", "doc_id"], "left").select(
+        "query_id",
+        "doc_id",
+        "bm25",
+        (F.col("matched") / F.greatest(F.lit(1), F.col("_d"))).alias("coverage"),
+        F.coalesce("_p", F.lit(0.0)).alias("phrase"),
+    )
     final = ranked(rescored, ["query_id"], [F.desc("phrase"), F.desc("coverage"), F.desc("bm25"), F.asc("doc_id")], k)
     score = F.least(F.lit(1.0), F.lit(0.75) * F.col("coverage") + F.lit(0.25) * F.col("phrase"))
     return final.withColumn("score", F.round(score, 6)).withColumn("coverage", F.round("coverage", 6))

@@ -163,7 +163,7 @@ def _grid_hits(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
         "_q", F.explode(F.sequence(F.lit(0), F.lit(q_slots - 1)))
     )
     right = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_slots)).cast("int")).withColumn(
-        "_v", F.explode(F.sequence(F.lit(0), F.lit(v_slots - 1))).cast("bigint")
+        "_v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(v_slots - 1).cast("bigint")))
     )
     return _cell_hits(left, right, ["lane", "_v", "_q"], k, threshold, cosine)
 

@@ -32,7 +32,18 @@ def local_session(cores: int | None = None, app: str = "reelweave") -> SparkSess
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name == "documents" else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Texts that arrive in fewer splits than there are cores, spread over the cores.
+
+    Text work is per-row heavy; a large table has many splits and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
