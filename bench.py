@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query runs once to warm up and then $BENCH_RUNS times (default 2); the time
+Each query runs once to warm up and then $BENCH_RUNS times (default 1); the time
 is the median. Results are consumed in full by Spark's noop sink.
 """
 
@@ -38,7 +38,7 @@ HEADLINE = [
 
 def main() -> int:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(int(os.environ.get("BENCH_CPUS", "8")), "reelweave-bench")
     spark.sparkContext.setLogLevel("ERROR")
