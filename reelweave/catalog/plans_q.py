@@ -9,6 +9,7 @@ from reelweave.catalog import standins as st
 from reelweave.catalog.fusion import label_intents
 from reelweave.catalog.ranking import RN
 from reelweave.catalog.registry import cte, query
+from reelweave.catalog.text_q import keyword_list, norm_search
 from reelweave.catalog.timeline_q import core_hits, videos
 from reelweave.functions import text as tx
 from reelweave.operators import lexical as lx
@@ -86,7 +87,20 @@ def question_evidence_search(spark, d):
     return ps.labelled(kis(spark, d, cluster_gap=75), "qa")
 
 
-@query("conversational_search")
+cte(
+    "turn_context",
+    """SELECT conv_id * 1000 + turn AS query_id, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), ' ') AS text
+FROM conversations WHERE role = 'user'""",
+)
+
+
+@query(
+    "conversational_search",
+    f"""SELECT query_id, doc_id, matches, rank, 'conversation' AS task FROM (SELECT query_id, doc_id, matches, {RN.format(o='matches DESC, doc_id')} AS rank FROM (
+  SELECT query_id, doc_id, count(*) AS matches FROM (SELECT DISTINCT query_id, unnest({keyword_list(norm_search('text'))}) AS token FROM turn_context)
+  JOIN (SELECT doc_id, unnest(list_distinct(t)) AS token FROM doc_texts) USING (token) GROUP BY ALL)) WHERE rank <= 10""",
+    ("turn_context", "doc_texts"),
+)
 def conversational_search(spark, d):
     """Every user turn with its context as a full-text query over the documents."""
     turns = tx.user_context(table(spark, d, "conversations"))
