@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelweave.llm import mixing
+from reelweave.llm import fingerprints, mixing, sharding
 from reelweave.llm.common import read_table
 
 
@@ -12,8 +12,18 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(read_table(spark, sf_dir, "documents"))
 
 
+def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(read_table(spark, sf_dir, "documents"))
+
+
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.kd_shards(read_table(spark, sf_dir, "documents"), shards=40)
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op6_multiset_hash": op6_multiset_hash,
+    "op10_kd_shards": op10_kd_shards,
 }
 
 ORACLE = {
