@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelweave.llm import fingerprints, mixing, sharding
+from reelweave.llm import bpe, fingerprints, mixing, sharding
 from reelweave.llm.common import read_table
 
 
@@ -12,6 +12,10 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(read_table(spark, sf_dir, "documents"))
 
 
+def op3_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(read_table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(read_table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op3_pair_index_bpe": op3_pair_index_bpe,
     "op6_multiset_hash": op6_multiset_hash,
     "op10_kd_shards": op10_kd_shards,
 }
