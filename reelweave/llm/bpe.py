@@ -27,6 +27,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,20 +65,27 @@ class WordBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, m in enumerate(model["merges"]):
+        #: Rank to left symbol, right symbol and what they become.
+        self.rules: list[tuple[int, int, int]] = []
+        for m in model["merges"]:
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
-        self.by_rank = [(pair, new) for pair, (_, new) in self.merges.items()]
+            self.rules.append((self.vocab[a], self.vocab[b], self.vocab[a + b]))
+        self.base = max(self.vocab.values()) + 3
+        codes = np.array([(a + 2) * self.base + b + 2 for a, b, _ in self.rules], dtype=np.int64)
+        self.code_rank = np.argsort(codes, kind="stable")
+        self.codes = codes[self.code_rank]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         letters = byte_letters()
-        self.letter = {bytes([b]): self.vocab.get(c) for b, c in enumerate(letters)}
-        self.last = {bytes([b]): self.vocab.get(c + self.suffix) for b, c in enumerate(letters)}
+        self.letter = [self.vocab.get(c) for c in letters]
+        self.last = [self.vocab.get(c + self.suffix) for c in letters]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}"), flags=regex.V0)
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Ids of words, and of runs of words without white space, met so far.
+        self.words: dict[str, list[int]] = {}
+        self.known: dict[str, list[int]] = {}
+        self.forget()
 
     # text to words
 
@@ -90,109 +98,126 @@ class WordBpe:
                 return "".join("σ" if c == "Σ" else c.lower() for c in text)
         return text.lower()
 
-    def chunks(self, text: str) -> list[str | int]:
-        """Runs without white space, and the ids of special tokens between them."""
+    def chunks(self, text: str) -> list[str]:
+        """Runs without white space; special tokens stand between them after a blank."""
         if self.marks is None or "<|" not in text:
             return self.runs(text)
-        out: list[str | int] = []
+        out: list[str] = []
         for part in self.marks.split(text):
             if part in self.special:
-                out.append(self.special[part])
+                out.append(" " + part)
             elif part:
                 out += self.runs(part)
         return out
 
     def runs(self, text: str) -> list[str]:
         text = self.normal(text)
-        if text.isascii() and not _SEPARATOR.search(text):
+        if not _SEPARATOR.search(text):
             return text.split()
         return [c for c in _SPACE.split(text) if c]
 
     # words to ids
 
     def learn(self, chunks: Iterable[str]) -> None:
-        """Encode the chunks not yet known, all together."""
-        fresh = [c for c in chunks if c not in self.known]
-        words: dict[str, int] = {}
-        parts = []
-        for c in fresh:
-            parts.append([words.setdefault(w, len(words)) for w in self.split.findall(c)])
-        encoded = self.merge_all(list(words))
-        for c, ws in zip(fresh, parts):
-            self.known[c] = tuple(i for w in ws for i in encoded[w])
+        """Encode the words of the chunks that are not yet known, all together."""
+        words = self.words
+        parts = {c: self.split.findall(c) for c in chunks}
+        fresh = list({w for ws in parts.values() for w in ws if w not in words})
+        words.update(zip(fresh, self.merge_all(fresh)))
+        known = self.known
+        for c, ws in parts.items():
+            known[c] = words[ws[0]] if len(ws) == 1 else [i for w in ws for i in words[w]]
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols; -1 where there is no merge."""
+        code = (left + 2) * self.base + right + 2
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.code_rank[at], -1)
 
     def merge_all(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, by the pair occurrence index over all words."""
         symbols: list[int] = []
-        starts: list[int] = []
         for w in words:
-            starts.append(len(symbols))
             raw = w.encode("utf-8")
-            ids = [self.letter[raw[i : i + 1]] for i in range(len(raw) - 1)] + [self.last[raw[-1:]]]
+            ids = [self.letter[c] for c in raw[:-1]] + [self.last[raw[-1]]]
             symbols += [i for i in ids if i is not None]
             symbols.append(-1)  # a wall between words: in no pair
         n = len(symbols)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        merges = self.merges
-        at: dict[int, list[int]] = {}
-        for p in range(n - 1):
-            m = merges.get((symbols[p], symbols[p + 1]))
-            if m is not None:
-                at.setdefault(m[0], []).append(p)
-        ranks = list(at)
-        heapq.heapify(ranks)
-        while ranks:
-            rank = heapq.heappop(ranks)
-            (a, b), new = self.by_rank[rank]
-            positions = at.pop(rank, ())
-            for p in sorted(positions):  # left to right, so overlapping pairs merge from the left
-                q = after[p]
-                if symbols[p] != a or q >= n or symbols[q] != b:
-                    continue  # merged away meanwhile
-                symbols[p], symbols[q] = new, -2
-                nxt = after[p] = after[q]
-                if nxt < n:
-                    before[nxt] = p
-                    m = merges.get((new, symbols[nxt]))
-                    if m is not None:
-                        if m[0] not in at:
-                            heapq.heappush(ranks, m[0])
-                            at[m[0]] = [p]
-                        else:
-                            at[m[0]].append(p)
-                prv = before[p]
-                if prv >= 0:
-                    m = merges.get((symbols[prv], new))
-                    if m is not None:
-                        if m[0] not in at:
-                            heapq.heappush(ranks, m[0])
-                            at[m[0]] = [prv]
-                        else:
-                            at[m[0]].append(prv)
-        ends = starts[1:] + [n]
-        return [[s for s in symbols[i:j] if s >= 0] for i, j in zip(starts, ends)]
+        sym = np.array(symbols + [-1], dtype=np.int64)
+        after = np.arange(1, n + 2)
+        before = np.arange(-1, n)  # before the first stands the last, which is a wall
+        index: dict[int, list[np.ndarray]] = {}
+
+        def note(ranks: np.ndarray, positions: np.ndarray) -> list[int]:
+            """Append positions to the lists of their ranks; returns ranks without a list."""
+            some = ranks >= 0
+            ranks, positions = ranks[some], positions[some]
+            order = np.argsort(ranks, kind="stable")
+            ranks, positions = ranks[order], positions[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            new = []
+            for r, where in zip(ranks[np.r_[0, cuts]].tolist() if len(ranks) else [], np.split(positions, cuts)):
+                if r not in index:
+                    index[r] = []
+                    new.append(r)
+                index[r].append(where)
+            return new
+
+        heap = note(self.ranks_of(sym[:-1], sym[1:]), np.arange(n))
+        heapq.heapify(heap)
+        while heap:
+            rank = heapq.heappop(heap)
+            a, b, new = self.rules[rank]
+            where = index.pop(rank)
+            p = where[0] if len(where) == 1 else np.unique(np.concatenate(where))
+            p = p[(sym[p] == a) & (sym[after[p]] == b)]  # others have merged away meanwhile
+            if a == b and len(p) > 1:  # overlapping pairs merge from the left
+                p = self.apart(p, after)
+            if not len(p):
+                continue
+            q = after[p]
+            following = after[q]
+            sym[p], sym[q] = new, -2
+            after[p], before[following] = following, p
+            prior = before[p]
+            ranks = self.ranks_of(np.concatenate([sym[p], sym[prior]]), np.concatenate([sym[following], sym[p]]))
+            for r in note(ranks, np.concatenate([p, prior])):
+                heapq.heappush(heap, r)
+        sym = sym[:n]
+        sym = sym[sym != -2]
+        walls = np.flatnonzero(sym == -1)
+        flat = sym.tolist()
+        out, start = [], 0
+        for end in walls.tolist():
+            out.append(flat[start:end])
+            start = end + 1
+        return out
+
+    @staticmethod
+    def apart(p: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Of ascending positions, those that do not begin inside the pair taken before."""
+        taken, end = [], -1
+        for x, nxt in zip(p.tolist(), after[p].tolist()):
+            if x != end:
+                taken.append(x)
+                end = nxt
+            else:
+                end = -1
+        return np.array(taken, dtype=np.int64)
+
+    def forget(self) -> None:
+        self.words = {}
+        self.known = {" " + t: [i] for t, i in self.special.items()}
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.chunks(t) for t in texts]
-        unknown = set()
-        for c in cut:
-            unknown.update(c)
-        unknown = {c for c in unknown if not isinstance(c, int)}
-        if len(self.known) + len(unknown) > KEPT_WORDS:
-            self.known = {}
+        if len(self.known) > KEPT_WORDS:
+            self.forget()
+        unknown = set().union(*cut)
+        unknown.difference_update(self.known)
         self.learn(unknown)
-        known = self.known
-        out = []
-        for c in cut:
-            ids: list[int] = []
-            for x in c:
-                if isinstance(x, int):
-                    ids.append(x)
-                else:
-                    ids += known[x]
-            out.append(np.array(ids, dtype="<u4"))
-        return out
+        ids_of = self.known.__getitem__
+        return [np.fromiter(chain.from_iterable(map(ids_of, c)), dtype="<u4") for c in cut]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0].tolist()
