@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelweave.llm import bpe, fingerprints, mixing, sharding
+from reelweave.llm import bpe, fingerprints, mixing, sharding, warc
 from reelweave.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(read_table(spark, sf_dir, "documents"))
 
 
+def op7_salvage_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, read_table(spark, sf_dir, "pages"))
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(read_table(spark, sf_dir, "documents"), shards=40)
 
@@ -28,9 +32,11 @@ QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op3_pair_index_bpe": op3_pair_index_bpe,
     "op6_multiset_hash": op6_multiset_hash,
+    "op7_salvage_warc": op7_salvage_warc,
     "op10_kd_shards": op10_kd_shards,
 }
 
 ORACLE = {
     "op1_pareto_mix": mixing.oracle(),
+    "op7_salvage_warc": warc.oracle(),
 }
