@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reelweave.llm import bpe, fingerprints, mixing, sharding, warc
+from reelweave.llm import bpe, fingerprints, mixing, sharding, topk, warc
 from reelweave.llm.common import read_table
 
 
@@ -16,6 +17,10 @@ def op3_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op4_norm_bucket_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(read_table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op3_pair_index_bpe": op3_pair_index_bpe,
+    "op4_norm_bucket_top_k": op4_norm_bucket_top_k,
     "op6_multiset_hash": op6_multiset_hash,
     "op7_salvage_warc": op7_salvage_warc,
     "op10_kd_shards": op10_kd_shards,
@@ -38,5 +44,6 @@ QUERIES = {
 
 ORACLE = {
     "op1_pareto_mix": mixing.oracle(),
+    "op4_norm_bucket_top_k": topk.oracle(),
     "op7_salvage_warc": warc.oracle(),
 }
