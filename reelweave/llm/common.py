@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelweave.session import cut_lineage
 
-__all__ = ["WORD", "connected_components", "cut_lineage", "held_out", "read_table", "source_key", "word_count"]
+__all__ = ["WORD", "connected_components", "cut_lineage", "held_out", "labelled_sample", "read_table", "source_key", "word_count"]
 
 #: A word is a run of bytes that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +27,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def labels_of(labels: DataFrame, column: str) -> DataFrame:
+    """One label per document that models may learn from: ``doc_id, label``."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out(F.col("doc_id")))
+    return rows.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> DataFrame:
+    """``doc_id, label, text`` of at most ``per_class`` documents of each label value.
+
+    The documents with the least hashes of their ids. Which ones, is found from the ids
+    alone and stored; texts are then read once.
+    """
+    rows = labels_of(labels, column).join(docs.where(F.col("text").isNotNull()).select("doc_id").distinct(), "doc_id", "left_semi")
+    h = F.xxhash64("doc_id")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(h, "doc_id"))).where(F.col("place") <= per_class)
+    chosen = cut_lineage(rows.select("doc_id", "label"))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id")
+    return texts.select("doc_id", "label", "text")
+
+
 def source_key(source: Column) -> Column:
     """A join key that is never null; the null source has a key of its own."""
     return F.coalesce(F.concat(F.lit("="), source), F.lit("-"))

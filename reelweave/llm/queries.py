@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelweave.llm import bpe, fingerprints, mixing, sharding, topk, warc
+from reelweave.llm import bpe, fingerprints, language, mixing, quality, sharding, topk, toxicity, warc
 from reelweave.llm.common import read_table
 
 
@@ -13,6 +13,10 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(read_table(spark, sf_dir, "documents"))
 
 
+def op2_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(read_table(spark, sf_dir, "documents"))
+
+
 def op3_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read_table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -29,16 +33,28 @@ def op7_salvage_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, read_table(spark, sf_dir, "pages"))
 
 
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.tagged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return rows.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(read_table(spark, sf_dir, "documents"), shards=40)
 
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_subword_language": op2_subword_language,
     "op3_pair_index_bpe": op3_pair_index_bpe,
     "op4_norm_bucket_top_k": op4_norm_bucket_top_k,
     "op6_multiset_hash": op6_multiset_hash,
     "op7_salvage_warc": op7_salvage_warc,
+    "op8_site_quality": op8_site_quality,
+    "op9_crf_toxicity": op9_crf_toxicity,
     "op10_kd_shards": op10_kd_shards,
 }
 
