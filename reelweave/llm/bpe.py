@@ -279,9 +279,9 @@ def encoded(docs: DataFrame, *, vocabulary: str | None = None, with_ids: bool =
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array([i.astype(np.int64) for i in ids], pa.list_(pa.int64())))
+                    columns.append(pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tasks, schema)

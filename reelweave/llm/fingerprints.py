@@ -39,25 +39,36 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPH_END), lambda p: p != "")
 
 
-def vector(units: Column) -> Column:
-    """The summed lanes of an array of paragraphs: WORDS packed words, four wide lanes, the count."""
-    signs = F.transform(units, lambda p: F.xxhash64(p))
-    wide = F.transform(units, lambda p: F.xxhash64(F.lit("wide"), p))
-    more = F.transform(units, lambda p: F.xxhash64(F.lit("more"), p))
-    return F.struct(signs.alias("signs"), wide.alias("wide"), more.alias("more"))
+def with_lanes(rows: DataFrame, text: Column, out: str) -> DataFrame:
+    """``rows`` with the summed lanes of a text: an array of WORDS packed words, four wide lanes, the count.
+
+    Paragraphs and hashes are columns of their own: an expression that 20 sums would
+    share is evaluated once only if it is one.
+    """
+    rows = rows.withColumn("_units", paragraphs(text))
+    rows = rows.withColumn("_signs", F.transform("_units", lambda p: F.xxhash64(p)))
+    rows = rows.withColumn("_wide", F.transform("_units", lambda p: F.xxhash64(F.lit("wide"), p)))
+    rows = rows.withColumn("_more", F.transform("_units", lambda p: F.xxhash64(F.lit("more"), p))).drop("_units")
+    return rows.withColumn(out, lanes(F.col("_signs"), F.col("_wide"), F.col("_more"))).drop("_signs", "_wide", "_more")
 
 
-def lanes(hashes: Column) -> Column:
-    """Array of longs from the struct of ``vector``."""
+def lanes(signs: Column, wide: Column, more: Column) -> Column:
+    """Lanes from the three arrays of hashes of a text's paragraphs."""
     zero = F.lit(0).cast("long")
 
     def packed(j: int) -> Column:
-        return F.aggregate(hashes["signs"], zero, lambda a, h: (a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(LANE_BIT))).bitwiseAND(F.lit(LANE_MOD)))
+        def bits(h: Column) -> Column:
+            return F.shiftrightunsigned(h, j).bitwiseAND(F.lit(LANE_BIT))
+
+        few = F.aggregate(signs, zero, lambda a, h: a + bits(h))
+        many = F.aggregate(signs, zero, lambda a, h: (a + bits(h)).bitwiseAND(F.lit(LANE_MOD)))
+        # below 2 ** 14 paragraphs no lane can overflow
+        return F.when(F.size(signs) < (1 << 14), few).otherwise(many)
 
-    def wide(part: str, shift: int) -> Column:
-        return F.aggregate(hashes[part], zero, lambda a, h: (a + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(WIDE_MOD))).bitwiseAND(F.lit(WIDE_MOD)))
+    def added(hashes: Column, shift: int) -> Column:
+        return F.aggregate(hashes, zero, lambda a, h: a + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(WIDE_MOD))).bitwiseAND(F.lit(WIDE_MOD))
 
-    return F.array(*[packed(j) for j in range(WORDS)], *[wide(p, s) for p in ("wide", "more") for s in (0, 32)], F.size(hashes["signs"]).cast("long"))
+    return F.array(*[packed(j) for j in range(WORDS)], *[added(h, s) for h in (wide, more) for s in (0, 32)], F.size(signs).cast("long"))
 
 
 def lane_mods() -> Column:
@@ -114,7 +125,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprinted(docs: DataFrame, out: str = "lanes") -> DataFrame:
     """``docs`` with the lanes of each text."""
-    return docs.withColumn(out, lanes(vector(paragraphs(F.col("text")))))
+    return with_lanes(docs, F.col("text"), out)
 
 
 def with_next(docs: DataFrame, blocks: int) -> DataFrame:
@@ -161,7 +172,7 @@ def edited(docs: DataFrame, *, blocks: int | None = None) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long"))
     rows = rows.withColumn("edited_text", F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))).drop("next_text")
-    rows = rows.withColumn("edited_lanes", lanes(vector(paragraphs(F.col("edited_text")))))
+    rows = with_lanes(rows, F.col("edited_text"), "edited_lanes")
     return rows.select(
         "doc_id",
         "n_chars",

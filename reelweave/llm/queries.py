@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelweave.llm import bpe, fingerprints, language, mixing, quality, sharding, topk, toxicity, warc
+from reelweave.llm import bpe, fingerprints, language, mixing, near_dup, quality, sharding, topk, toxicity, warc
 from reelweave.llm.common import read_table
 
 
@@ -25,6 +25,10 @@ def op4_norm_bucket_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op5_setsketch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.grouped(read_table(spark, sf_dir, "documents")).drop("class")
+
+
 def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_subword_language": op2_subword_language,
     "op3_pair_index_bpe": op3_pair_index_bpe,
     "op4_norm_bucket_top_k": op4_norm_bucket_top_k,
+    "op5_setsketch_groups": op5_setsketch_groups,
     "op6_multiset_hash": op6_multiset_hash,
     "op7_salvage_warc": op7_salvage_warc,
     "op8_site_quality": op8_site_quality,

@@ -10,8 +10,9 @@ lines, its first characters), scaled to whole numbers, and ties are broken by a
 texts lie at one point and stay together: a point is cut only where it is heavier than
 ``POINT_SHARE`` of the target, and then by a hash of the document id.
 
-The quantile is found by counting: bytes per class of the interval that holds it, then
-per class of that class, ``BINS`` classes a pass, over a narrow stored table. A pass
+The quantile is found by counting: bytes per class of the node's range, ``BINS`` classes
+a pass, then per class of the class that holds it, until that is light enough to be left
+whole; all over a narrow stored table. A pass
 handles all nodes of a level at once and returns at most one row per node, so the driver
 only ever holds the tree itself (shards - 1 cuts); documents meet the tree as a nested
 CASE expression.
@@ -97,31 +98,27 @@ def locate(node: Node) -> Column:
     return F.when(_below(node.dim, node.cut), locate(node.left)).otherwise(locate(node.right))
 
 
-def _cuts(rows: DataFrame, want: dict[int, float], part: str, bits: int) -> dict[int, tuple[int, float, float]]:
-    """Per node: the value of ``part`` that holds its quantile, bytes below it and bytes at it.
+def _cuts(rows: DataFrame, want: dict[int, float], part: str, ranges: dict[int, tuple[int, int]], slack: float) -> dict[int, tuple[int, int, float, float]]:
+    """Per node: start and width of the class of ``part`` that holds its quantile, bytes below it and in it.
 
-    ``rows`` has ``node, size`` and ``part``; ``want`` is the number of bytes that go left.
-    Each pass looks at ``BINS`` classes of the interval found by the pass before.
+    ``rows`` has ``node, size`` and ``part``; ``want`` is the number of bytes that go left,
+    ``ranges`` are first value and width to look at. Each pass cuts the class found by the
+    pass before into ``BINS``, until it holds at most ``slack`` bytes or is one value.
     """
-    start = dict.fromkeys(want, 0)
-    width = 1 << bits
-    before = dict.fromkeys(want, 0.0)
-    at = dict.fromkeys(want, 0.0)
-    while width > 1 and want:
-        step = max(1, width // BINS)
-        offset = F.col(part) - _of_node(start)
-        inside = rows.where(F.col("node").isin(list(want)) & (offset >= 0) & (offset < width))
-        bins = inside.groupBy("node", F.floor(offset / step).cast("long").alias("bin")).agg(F.sum("size").alias("bytes"))
+    found = {n: (*ranges[n], 0.0, float("inf")) for n in want}
+    while active := [n for n, (_, width, _, here) in found.items() if width > 1 and here > slack]:
+        steps = {n: -(-found[n][1] // BINS) for n in active}
+        offset = F.col(part) - _of_node({n: found[n][0] for n in active})
+        inside = rows.where(F.col("node").isin(active) & (offset >= 0) & (offset < _of_node({n: found[n][1] for n in active})))
+        bins = inside.groupBy("node", F.floor(offset / _of_node(steps)).cast("long").alias("bin")).agg(F.sum("size").alias("bytes"))
         upto = F.sum("bytes").over(Window.partitionBy("node").orderBy("bin"))
-        goal = _of_node({n: float(want[n] - before[n]) for n in want})
-        found = bins.withColumn("upto", upto).where(F.col("upto") >= goal).groupBy("node").agg(F.min(F.struct("bin", "bytes", "upto")).alias("b"))
-        for r in found.collect():  # at most one row per node
-            n = r["node"]
-            start[n] += r["b"]["bin"] * step
-            before[n] += r["b"]["upto"] - r["b"]["bytes"]
-            at[n] = r["b"]["bytes"]
-        width = step
-    return {n: (start[n], before[n], at[n]) for n in want}
+        goal = _of_node({n: float(want[n] - found[n][2]) for n in active})
+        best = bins.withColumn("upto", upto).where(F.col("upto") >= goal).groupBy("node").agg(F.min(F.struct("bin", "bytes", "upto")).alias("b"))
+        for r in best.collect():  # at most one row per node
+            n, at = r["node"], r["b"]
+            start, _, below, _ = found[n]
+            found[n] = (start + at["bin"] * steps[n], steps[n], below + at["upto"] - at["bytes"], float(at["bytes"]))
+    return found
 
 
 def _of_node(values: dict[int, int]) -> Column:
@@ -134,10 +131,10 @@ def _settle(nodes: dict[int, Node], found: dict, want: dict[int, float], slack:
     Returns what is still wanted of the values that must be cut themselves.
     """
     heavy = {}
-    for n, (value, below, here) in found.items():
+    for n, (value, width, below, here) in found.items():
         short = want[n] - below
         if here <= slack:
-            nodes[n].cut = cut(n, value if short <= here - short else value + 1)
+            nodes[n].cut = cut(n, value if short <= here - short else value + width)
         else:
             heavy[n] = short
     return heavy
@@ -153,24 +150,27 @@ def build(narrow: DataFrame, shards: int) -> Node:
     while open_nodes:
         by_first = {n.first: n for n in open_nodes}
         rows = narrow.withColumn("node", locate(root)).where(F.col("node").isin(list(by_first)))
-        spans = rows.groupBy("node").agg(F.sum("size").alias("bytes"), *[(F.max(d) - F.min(d)).alias(d) for d in dims])
+        spans = rows.groupBy("node").agg(F.sum("size").alias("bytes"), *[F.struct(F.min(d).alias("low"), (F.max(d) - F.min(d)).alias("span")).alias(d) for d in dims])
         want: dict[int, float] = {}
+        ranges: dict[int, tuple[int, int]] = {}
         for r in spans.collect():  # at most one row per node
             n = by_first[r["node"]]
-            n.dim = max(range(len(dims)), key=lambda i: (r[dims[i]], -i))
+            n.dim = max(range(len(dims)), key=lambda i: (r[dims[i]]["span"], -i))
+            # at least two values wide, so that a pass counts even where all values are equal
+            ranges[n.first] = (r[dims[n.dim]]["low"], r[dims[n.dim]]["span"] + 2)
             want[n.first] = r["bytes"] * (n.k // 2) / n.k
         empty = [n for n in open_nodes if n.first not in want]
         pick = F.coalesce(*[F.when(F.col("node") == f, F.col(dims[by_first[f].dim])) for f in want]) if want else F.lit(0)
         rows = rows.withColumn("c", pick.cast("long"))
-        coord = _cuts(rows, want, "c", DIM_BITS)
+        coord = _cuts(rows, want, "c", ranges, slack)
         heavy = _settle(by_first, coord, want, slack, lambda n, value: (value, 0, 0))
         if heavy:  # one coordinate holds too much: cut between its texts
             ties = rows.where(F.col("c") == _of_node({n: coord[n][0] for n in heavy}))
-            texts = _cuts(ties, heavy, "text_hash", TEXT_BITS)
+            texts = _cuts(ties, heavy, "text_hash", dict.fromkeys(heavy, (0, 1 << TEXT_BITS)), slack)
             heavier = _settle(by_first, texts, heavy, slack, lambda n, value: (coord[n][0], value, 0))
             if heavier:  # one text holds too much: cut between its documents
                 ties = ties.where(F.col("text_hash") == _of_node({n: texts[n][0] for n in heavier}))
-                ids = _cuts(ties, heavier, "id_hash", ID_BITS)
+                ids = _cuts(ties, heavier, "id_hash", dict.fromkeys(heavier, (0, 1 << ID_BITS)), slack)
                 _settle(by_first, ids, heavier, float("inf"), lambda n, value: (coord[n][0], texts[n][0], value))
         following = []
         for n in open_nodes:

@@ -111,8 +111,8 @@ def test_fingerprint_order_insert_delete_likeness(spark):
     e = "\n".join(f"paragraph {i}" for i in range(150))
     rest = "\n".join(f"paragraph {i}" for i in range(150, 200))
     df = spark.createDataFrame([(a, b, c, d, e, rest)], "a string, b string, c string, d string, e string, rest string")
-    fp = {x: fingerprints.lanes(fingerprints.vector(fingerprints.paragraphs(df[x]))) for x in df.columns}
-    df = df.select(*[fp[x].alias(x) for x in df.columns])
+    for x in df.columns:
+        df = fingerprints.with_lanes(df, df[x], x)
     r = df.select(
         (df.a == df.b).alias("same"),
         (fingerprints.insert(df.e, df.rest) == df.a).alias("added"),
