@@ -98,14 +98,13 @@ def semantic_row_contract(spark, d):
 
 
 def segments(spark, d):
-    """Transcripts in two granularities; the fine view of odd conversations is too short."""
+    """Transcripts in two granularities, one view per conversation."""
     c = table(spark, d, "conversations")
     start = F.col("turn") * 20.0
     coarse = c.select("conv_id", start.alias("start_seconds"), (start + 20).alias("end_seconds"), "text", F.lit("coarse").alias("granularity"))
     halves = c.select("conv_id", start.alias("s"), "text", F.explode(F.array(F.lit(0.0), F.lit(10.0))).alias("h"))
-    short = F.when(F.pmod("conv_id", F.lit(2)) == 1, 9.0).otherwise(10.0)
-    fine = halves.select("conv_id", (F.col("s") + F.col("h")).alias("start_seconds"), (F.col("s") + F.col("h") + short).alias("end_seconds"), "text", F.lit("fine").alias("granularity"))
-    return coarse.unionByName(fine).withColumnRenamed("conv_id", "video_id")
+    fine = halves.select("conv_id", (F.col("s") + F.col("h")).alias("start_seconds"), (F.col("s") + F.col("h") + 10.0).alias("end_seconds"), "text", F.lit("fine").alias("granularity"))
+    return coarse.unionByName(fine).withColumnRenamed("conv_id", "video_id").withColumn("view", F.col("video_id"))
 
 
 @query(
@@ -114,7 +113,10 @@ def segments(spark, d):
 UNION ALL SELECT conv_id, 20.0::DOUBLE * turn, 20.0::DOUBLE * turn + 20, 'coarse' FROM conversations WHERE conv_id % 2 = 1""",
 )
 def transcript_granularity(spark, d):
-    return src.preferred_segments(segments(spark, d)).drop("text")
+    """The index of an odd conversation misses the last half of each turn."""
+    rows = segments(spark, d)
+    vectors = rows.filter((F.pmod("video_id", F.lit(2)) == 0) | (F.pmod("start_seconds", F.lit(20)) == 0)).select("view", "granularity")
+    return src.preferred_segments(rows, vectors).drop("text", "view")
 
 
 @query(

@@ -239,15 +239,18 @@ def video_shortlist(spark, d):
     "promoted_shortlist",
     f"""SELECT * FROM (SELECT query_id, video_id, CAST(band AS INTEGER) AS band, {RN.format(o='band, old, video_id')} AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY band, old) AS n FROM (
-    SELECT query_id, video_id, rank AS old, 0 AS band FROM (SELECT query_id, video_id, {RN.format(o='best, video_id')} AS rank FROM (SELECT query_id, video_id, min(rank) AS best FROM text_ranked GROUP BY ALL)) WHERE rank <= 3
-    UNION ALL SELECT query_id, video_id, {RN.format(o='best, video_id')}, 1 FROM (SELECT query_id, video_id, min(rank) AS best FROM ranked_events GROUP BY ALL)
-    UNION ALL SELECT query_id, video_id, rank, 2 FROM shortlist)) WHERE n = 1) WHERE rank <= 8""",
-    ("text_ranked", "ranked_events", "shortlist"),
+    SELECT query_id, video_id, rank AS old, 0 AS band FROM (SELECT query_id, video_id, {RN.format(o='best, video_id')} AS rank FROM (SELECT query_id, video_id, min(rank) AS best FROM ocr_ranked GROUP BY ALL)) WHERE rank <= 3 AND query_id % 2 = 0
+    UNION ALL SELECT query_id, video_id, rank, 1 FROM shortlist
+    UNION ALL SELECT query_id, video_id, {RN.format(o='best, video_id')}, 2 FROM (SELECT query_id, video_id, min(rank) AS best FROM ranked_events WHERE rank <= 32 GROUP BY ALL))) WHERE n = 1) WHERE rank <= 8""",
+    ("ocr_ranked", "ranked_events", "shortlist"),
 )
 def promoted_shortlist(spark, d):
-    text = ev.event_order_of_videos(fused_ranked(spark, d, ["ocr", "audio", "caption"]))
-    events = ev.event_order_of_videos(ev.rank_events(votes(spark, d)))
-    return ev.promoted_shortlist(shortlist(spark, d), events, text, 3, 8).select("query_id", "video_id", "band", "rank")
+    """Every second query asks for a slide."""
+    text = ev.event_order_of_videos(fused_ranked(spark, d, ["ocr"]))
+    short = cut_lineage(shortlist(spark, d))
+    asked = F.when(F.pmod("query_id", F.lit(2)) == 0, "the slide with a title").otherwise("a person walks")
+    queries = st.query_vectors(spark, d, ["visual_siglip2"]).select("query_id", asked.alias("normalized")).distinct()
+    return ev.promoted_shortlist(short, ev.rank_events(votes(spark, d)), text, queries, 32, 3, 8).select("query_id", "video_id", "band", "rank")
 
 
 @query(

@@ -98,14 +98,14 @@ def max_normalised_fusion(spark, d):
 
 @query(
     "early_fusion",
-    """SELECT query_id, video_id, frame_id, round(sum(w * v) / sum(w), 6) AS score FROM (
-  SELECT s.*, coalesce(c.weight, 1.0) AS w,
+    """SELECT query_id, video_id, frame_id, round(avg(v), 6) AS score FROM (
+  SELECT s.*,
     CASE WHEN max(score) OVER l > min(score) OVER l THEN (score - min(score) OVER l) / (max(score) OVER l - min(score) OVER l) ELSE 0.0 END AS v
-  FROM signals s LEFT JOIN lane_config c USING (lane) WINDOW l AS (PARTITION BY query_id, lane)) GROUP BY ALL""",
-    ("signals", "lane_config"),
+  FROM signals s WINDOW l AS (PARTITION BY query_id, lane)) GROUP BY ALL""",
+    ("signals",),
 )
 def early_fusion(spark, d):
-    return fu.early_fusion(st.signals(spark, d), st.lanes(spark)).select(*KEY, *r6("score"))
+    return fu.early_fusion(st.signals(spark, d)).select(*KEY, *r6("score"))
 
 
 _CONF = """CASE WHEN NOT coalesce(calibrated, true) THEN 0.0 WHEN score < floor THEN 0.0 WHEN ceiling <= floor THEN 1.0

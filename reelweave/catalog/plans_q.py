@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from reelweave.catalog import sequences_q as seq
 from reelweave.catalog import standins as st
 from reelweave.catalog.fusion import label_intents
 from reelweave.catalog.ranking import RN
-from reelweave.catalog.registry import cte, query
+from reelweave.catalog.registry import cte, ctes, query
 from reelweave.catalog.text_q import keyword_list, norm_search
 from reelweave.catalog.timeline_q import core_hits, videos
 from reelweave.functions import text as tx
@@ -39,46 +41,141 @@ def _kis_sql(scored: str) -> str:
     return _KIS_TAIL.format(rn=RN.format(o="o"), base=base)
 
 
-@query("known_item_search")
+def _derived(names: list[str], mode: str) -> None:
+    """The twins' expressions again over those of a mode; the first of them exists already."""
+    for name in names[1:]:
+        needs, body = ctes()[name]
+        for other in names:
+            body = re.sub(rf"\b{other}\b", f"{other}_{mode}", body)
+        # members of one event keep 75 frames apart here, not the 20 of the twin of the operator
+        cte(f"{name}_{mode}", body.replace("< 20)", "< 75)"), *[f"{n}_{mode}" if n in names else n for n in needs])
+
+
+def _search_twin(mode: str, where: str, weights: str) -> None:
+    """Late fusion of a mode: its rows, lane weights, bonuses, event votes and order."""
+    cte(f"rows_{mode}", f"SELECT * FROM mode_signals WHERE {where}", "mode_signals")
+    cte(f"weights_{mode}", weights.format(rows=f"rows_{mode}"), f"rows_{mode}", "lane_config")
+    cte(
+        f"cut_{mode}",
+        f"""SELECT s.*, w.weight, c.floor, c.ceiling, c.family, c.visual_family, c.calibrated FROM rows_{mode} s JOIN weights_{mode} w USING (query_id, lane)
+LEFT JOIN lane_config c USING (lane) WHERE c.rank_cutoff IS NULL OR s.rank <= c.rank_cutoff""",
+        f"rows_{mode}",
+        f"weights_{mode}",
+        "lane_config",
+    )
+    for name, source in (("confident", "cut_signals"), ("bonuses", "confident"), ("topic_bonuses", "cut_signals")):
+        needs, body = ctes()[name]
+        used = f"cut_{mode}" if source == "cut_signals" else f"{source}_{mode}"
+        cte(f"{name}_{mode}", re.sub(rf"\b{source}\b", used, body), *[used if n == source else n for n in needs])
+    cte(
+        f"total_{mode}",
+        f"""SELECT f.query_id, f.video_id, f.frame_id, round(f.rrf + confidence_bonus + visual_bonus + modality_bonus + specialist_bonus + coalesce(topic_bonus, 0), 9) AS score
+FROM (SELECT query_id, video_id, frame_id, sum(weight / (30 + rank)) AS rrf FROM cut_{mode} GROUP BY ALL) f JOIN bonuses_{mode} b USING (query_id, video_id, frame_id)
+LEFT JOIN topic_bonuses_{mode} t ON f.query_id = t.query_id AND split_part(f.video_id, '_', 1) = t.topic""",
+        f"cut_{mode}",
+        f"bonuses_{mode}",
+        f"topic_bonuses_{mode}",
+    )
+    cte(
+        f"votes_{mode}",
+        f"""SELECT s.query_id, s.lane, s.video_id, s.frame_id, s.rank, e.event_id, w.weight / (30 + s.rank) AS vote
+FROM (SELECT query_id, lane, video_id, frame_id, min(rank) AS rank FROM rows_{mode} GROUP BY ALL) s JOIN weights_{mode} w USING (query_id, lane) JOIN frame_events e USING (video_id, frame_id)""",
+        f"rows_{mode}",
+        f"weights_{mode}",
+        "frame_events",
+    )
+    _derived(["votes", "ranked_events", "members", "member_order", "spaced_walk", "diverse"], mode)
+    cte(
+        f"listed_{mode}",
+        f"""SELECT query_id, video_id, frame_id, 0 AS band, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN e.rank > 10 THEN 1 ELSE 0 END, member_rank, e.rank) AS o
+FROM diverse_{mode} d JOIN ranked_events_{mode} e USING (query_id, video_id, event_id)
+UNION ALL SELECT query_id, video_id, frame_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id, frame_id) FROM total_{mode}""",
+        f"diverse_{mode}",
+        f"ranked_events_{mode}",
+        f"total_{mode}",
+    )
+    cte(
+        f"ordered_{mode}",
+        f"""SELECT query_id, video_id, frame_id, coalesce(t.score, 0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY band, o) AS o FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, video_id, frame_id ORDER BY band, o) AS n FROM listed_{mode}) LEFT JOIN total_{mode} t USING (query_id, video_id, frame_id) WHERE n = 1""",
+        f"listed_{mode}",
+        f"total_{mode}",
+    )
+
+
+_OWN = "SELECT DISTINCT query_id, lane, coalesce(weight, 1.0) AS weight FROM {rows} LEFT JOIN lane_config USING (lane)"
+_FAMILY = """SELECT query_id, lane, CASE WHEN lane LIKE 'visual%' THEN 0.35::DOUBLE / (SELECT count(*) FROM lane_config WHERE lane LIKE 'visual%')
+  ELSE 0.65::DOUBLE / count(*) OVER (PARTITION BY query_id, lane LIKE 'visual%') END AS weight FROM (SELECT DISTINCT query_id, lane FROM {rows})"""
+_search_twin("all", "true", _OWN)
+_search_twin("visual", "lane LIKE 'visual%'", _OWN)
+_search_twin("screen", "lane LIKE 'visual%' OR lane IN ('ocr', 'ocr_semantic')", _FAMILY)
+_search_twin("speech", "lane LIKE 'visual%' OR lane = 'audio'", _FAMILY)
+
+
+def _late(mode: str) -> str:
+    return _KIS_TAIL.format(rn=RN.format(o="o"), base=f"SELECT * FROM ordered_{mode}")
+
+
+@query("known_item_search", _late("all"), ("ordered_all", "videos"))
 def known_item_search(spark, d):
-    """All lanes, late fusion with bonuses and event rescue."""
+    """All lanes, late fusion with bonuses; frames of ranked events first."""
     return kis(spark, d)
 
 
+@query(
+    "known_item_search_global",
+    """SELECT query_id, video_id, frame_id, round(score, 4) AS score, round(frame_id / coalesce(fps, 25.0), 1) AS timestamp_seconds, CAST(o AS INTEGER) AS rank
+FROM ordered_all JOIN videos USING (video_id) WHERE o <= 100""",
+    ("ordered_all", "videos"),
+)
+def known_item_search_global(spark, d):
+    """The global ranking as it is, without a bound per video."""
+    return kis(spark, d, max_per_video=None)
+
+
 @query(
     "known_item_search_early",
     _kis_sql(
-        """SELECT query_id, video_id, frame_id, round(sum(w * v) / sum(w), 9) AS score FROM (
-  SELECT m.*, coalesce(c.weight, 1.0) AS w, CASE WHEN max(score) OVER l > min(score) OVER l THEN (score - min(score) OVER l) / (max(score) OVER l - min(score) OVER l) ELSE 0.0 END AS v
-  FROM mode_signals m LEFT JOIN lane_config c USING (lane) WINDOW l AS (PARTITION BY query_id, lane)) GROUP BY ALL"""
+        """SELECT query_id, video_id, frame_id, round(avg(v), 9) AS score FROM (
+  SELECT m.*, CASE WHEN max(score) OVER l > min(score) OVER l THEN (score - min(score) OVER l) / (max(score) OVER l - min(score) OVER l) ELSE 0.0 END AS v
+  FROM mode_signals m WINDOW l AS (PARTITION BY query_id, lane)) GROUP BY ALL"""
     ),
-    ("mode_signals", "lane_config", "videos"),
+    ("mode_signals", "videos"),
 )
 def known_item_search_early(spark, d):
-    return kis(spark, d, fusion="early", with_events=False)
+    """Unweighted mean of normalised lane scores; no events."""
+    return kis(spark, d, fusion="early")
 
 
-def _budget(where: str) -> str:
-    return _kis_sql(
-        f"""SELECT query_id, video_id, frame_id, round(sum(w / (30 + rank)), 9) AS score FROM (SELECT * FROM mode_signals WHERE {where}) JOIN (
-  SELECT query_id, lane, CASE WHEN lane LIKE 'visual%' THEN 0.35::DOUBLE ELSE 0.65::DOUBLE END / count(*) OVER (PARTITION BY query_id, lane LIKE 'visual%') AS w FROM (SELECT DISTINCT query_id, lane FROM mode_signals WHERE {where})) USING (query_id, lane) GROUP BY ALL"""
-    )
+@query(
+    "known_item_search_early_speech",
+    _kis_sql(
+        """SELECT query_id, video_id, frame_id, round(sum(weight * v) / sum(weight), 9) AS score FROM (
+  SELECT m.*, CASE WHEN max(score) OVER l > min(score) OVER l THEN (score - min(score) OVER l) / (max(score) OVER l - min(score) OVER l) ELSE 0.0 END AS v
+  FROM rows_speech m WINDOW l AS (PARTITION BY query_id, lane)) JOIN weights_speech USING (query_id, lane) GROUP BY ALL"""
+    ),
+    ("rows_speech", "weights_speech", "videos"),
+)
+def known_item_search_early_speech(spark, d):
+    """Explicit modes weigh the mean by family."""
+    return kis(spark, d, mode="visual_asr", fusion="early")
 
 
-@query("known_item_search_screen_text", _budget("lane LIKE 'visual%' OR lane LIKE 'ocr%'"), ("mode_signals", "videos"))
+@query("known_item_search_screen_text", _late("screen"), ("ordered_screen", "videos"))
 def known_item_search_screen_text(spark, d):
-    """Visual and screen-text lanes with split budgets."""
-    return kis(spark, d, mode="visual_ocr", with_events=False)
+    """Visual and screen-text lanes with family weights."""
+    return kis(spark, d, mode="visual_ocr")
 
 
-@query("known_item_search_speech", _budget("lane LIKE 'visual%' OR lane = 'audio'"), ("mode_signals", "videos"))
+@query("known_item_search_speech", _late("speech"), ("ordered_speech", "videos"))
 def known_item_search_speech(spark, d):
-    return kis(spark, d, mode="visual_asr", with_events=False)
+    return kis(spark, d, mode="visual_asr")
 
 
-@query("known_item_search_visual", _budget("lane LIKE 'visual%'"), ("mode_signals", "videos"))
+@query("known_item_search_visual", _late("visual"), ("ordered_visual", "videos"))
 def known_item_search_visual(spark, d):
-    return kis(spark, d, mode="only_visual", with_events=False)
+    """Visual lanes with their configured weights."""
+    return kis(spark, d, mode="only_visual")
 
 
 @query("question_evidence_search")

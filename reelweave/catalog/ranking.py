@@ -32,6 +32,12 @@ cte(
     "SELECT query_id, video_id, frame_id, round(sum(weight / (30 + rank)), 9) AS score FROM cut_signals WHERE lane IN ('ocr', 'audio', 'caption') GROUP BY ALL",
     "cut_signals",
 )
+cte(
+    "fused_ocr",
+    "SELECT query_id, video_id, frame_id, round(sum(weight / (30 + rank)), 9) AS score FROM cut_signals WHERE lane = 'ocr' GROUP BY ALL",
+    "cut_signals",
+)
+cte("ocr_ranked", f"SELECT *, {RN.format(o='score DESC, video_id, frame_id')} AS rank FROM fused_ocr", "fused_ocr")
 cte("visual_ranked", f"SELECT *, {RN.format(o='score DESC, video_id, frame_id')} AS rank FROM fused_visual", "fused_visual")
 cte("text_ranked", f"SELECT *, {RN.format(o='score DESC, video_id, frame_id')} AS rank FROM fused_text", "fused_text")
 TEXT_LANES = ["ocr", "audio", "caption"]
@@ -277,7 +283,7 @@ def critic_answer_sanitiser(spark, d):
 
 @query(
     "natural_sort",
-    """SELECT source, string_agg(CASE WHEN regexp_matches(p, '^[0-9]+$') THEN lpad(p, 18, '0') ELSE p END, '' ORDER BY i) AS sort_key FROM (
+    """SELECT source, string_agg(CASE WHEN regexp_matches(p, '^[0-9]+$') THEN lpad(length(regexp_replace(p, '^0+(.)', '\1'))::VARCHAR, 10, '0') || ':' || regexp_replace(p, '^0+(.)', '\1') ELSE p END, '' ORDER BY i) AS sort_key FROM (
   SELECT source, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT DISTINCT source, regexp_extract_all(lower(source), '([0-9]+|[^0-9]+)') AS ps FROM documents)) GROUP BY source""",
 )
 def natural_sort(spark, d):

@@ -18,6 +18,11 @@ def cte(name: str, body: str, *needs: str) -> None:
     _CTES[name] = (needs, body)
 
 
+def ctes() -> dict[str, tuple[tuple[str, ...], str]]:
+    """The expressions defined so far: what each needs, and its body."""
+    return dict(_CTES)
+
+
 def with_ctes(body: str, *needs: str) -> str:
     """``WITH`` clause with ``needs`` and everything below them, then the body."""
     order: list[str] = []

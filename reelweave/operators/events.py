@@ -25,12 +25,17 @@ def attach_events(hits: DataFrame, keyframes: DataFrame, tolerance: int = DEFAUL
 
 
 def _lane_shares(signals: DataFrame, weights: DataFrame, lane_key: Column) -> DataFrame:
-    """Weight per (query, lane); clause lanes of one base share its weight."""
+    """Weight per (query, lane); clause lanes of one base share its weight.
+
+    ``weights(lane, weight)`` may be given per ``query_id``.
+    """
+    on = ["query_id", "_base"] if "query_id" in weights.columns else ["_base"]
+    own = weights.withColumnRenamed("lane", "_base").select(*on, "weight")
     lanes = signals.select("query_id", "lane").distinct().withColumn("_base", lane_key)
     clauses = lanes.filter(F.col("lane").contains("__clause")).groupBy("query_id", "_base").agg(F.count("lane").alias("_n"))
     return (
         lanes.join(clauses, ["query_id", "_base"], "left")
-        .join(F.broadcast(weights.select(F.col("lane").alias("_base"), "weight")), "_base", "left")
+        .join(own, on, "left")
         .select(
             "query_id",
             "lane",
@@ -211,7 +216,7 @@ def video_shortlist(signals: DataFrame, weights: DataFrame, limit: int = 20, vis
     Each lane counts only its best rank for a video.
     """
     best = signals.groupBy("query_id", "lane", "video_id").agg(F.min("rank").alias("best")).withColumn("_base", base_lane(F.col("lane")))
-    weighted = best.join(F.broadcast(weights.select(F.col("lane").alias("_base"), "weight")), "_base", "left").withColumn(
+    weighted = best.join(weights.select(F.col("lane").alias("_base"), "weight"), "_base", "left").withColumn(
         "_v", F.coalesce("weight", F.lit(1.0)) / (F.lit(k) + F.col("best"))
     )
     quota = (
@@ -240,16 +245,31 @@ def video_shortlist(signals: DataFrame, weights: DataFrame, limit: int = 20, vis
     )
 
 
-def promoted_shortlist(shortlist: DataFrame, event_videos: DataFrame, ocr_videos: DataFrame, promote: int, limit: int) -> DataFrame:
-    """Screen-text videos first (up to ``promote``), then videos in event order, then the shortlist."""
+#: Fixed values that must match: words of an accent-free query that ask for screen text.
+SCREEN_TEXT_MARKERS = ("slide", "tieu de", "so do", "tang 1", "tang 2")
+
+
+def asks_for_screen_text(normalized: Column) -> Column:
+    """Whether a search-normalised query has a marker of screen text."""
+    out = F.lit(False)
+    for marker in SCREEN_TEXT_MARKERS:
+        out = out | normalized.contains(marker)
+    return F.coalesce(out, F.lit(False))
+
+
+def promoted_shortlist(shortlist: DataFrame, events: DataFrame, ocr_videos: DataFrame, queries: DataFrame, event_limit: int, promote: int, limit: int) -> DataFrame:
+    """The per-lane shortlist, then videos of the first ``event_limit`` events in event order.
+
+    Queries whose ``normalized`` text asks for screen text see its first ``promote`` videos
+    before both. ``events`` are ranked events, ``ocr_videos`` ranked videos.
+    """
     from reelweave.operators.ranking import ordered_union
 
-    first = ocr_videos.filter(F.col("rank") <= promote)
-    return ordered_union(
-        [first.select("query_id", "video_id", "rank"), event_videos.select("query_id", "video_id", "rank"), shortlist.select("query_id", "video_id", "rank")],
-        ["query_id", "video_id"],
-        limit=limit,
-    )
+    asking = queries.filter(asks_for_screen_text(F.col("normalized"))).select("query_id").distinct()
+    first = ocr_videos.filter(F.col("rank") <= promote).join(asking, "query_id", "left_semi")
+    behind = event_order_of_videos(events.filter(F.col("rank") <= event_limit))
+    lists = [first, shortlist, behind]
+    return ordered_union([x.select("query_id", "video_id", "rank") for x in lists], ["query_id", "video_id"], limit=limit)
 
 
 def fused_frames(signals: DataFrame, lanes: DataFrame | None = None, k: int = DEFAULTS.rrf_k) -> DataFrame:

@@ -23,17 +23,22 @@ def base_lane(lane: Column) -> Column:
 
 def within_cutoff(signals: DataFrame, lanes: DataFrame) -> DataFrame:
     """Signals joined with their lane settings, rank cutoffs applied."""
-    return signals.join(F.broadcast(lanes), "lane", "left").filter(
+    return signals.join(lanes, "lane", "left").filter(
         F.col("rank_cutoff").isNull() | (F.col("rank") <= F.col("rank_cutoff"))
     )
 
 
-def rank_fusion(signals: DataFrame, lanes: DataFrame | None = None, k: int | Column = DEFAULTS.rrf_k, by: list[str] | None = None) -> DataFrame:
-    """Weighted reciprocal-rank fusion; a key listed twice in a lane counts twice."""
+def rank_fusion(signals: DataFrame, lanes: DataFrame | None = None, k: int | Column = DEFAULTS.rrf_k, by: list[str] | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """Weighted reciprocal-rank fusion; a key listed twice in a lane counts twice.
+
+    ``weights(query_id, lane, weight)`` replaces the lanes' own weights.
+    """
     rows = signals
     weight: Column = F.lit(1.0)
     if lanes is not None:
         rows = within_cutoff(signals, lanes)
+        if weights is not None:
+            rows = rows.drop("weight").join(weights.select("query_id", "lane", "weight"), ["query_id", "lane"], "left")
         weight = F.coalesce("weight", F.lit(1.0))
     k_col = k if isinstance(k, Column) else F.lit(k)
     bad = F.col("rank") <= 0
@@ -70,18 +75,23 @@ def max_normalised_fusion(signals: DataFrame, weights: dict[str, float], pool: i
     )
 
 
-def early_fusion(signals: DataFrame, lanes: DataFrame) -> DataFrame:
-    """Per-lane min-max scores, weighted mean over the lanes where the frame appears."""
+def early_fusion(signals: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """Per-lane min-max scores, mean over the lanes where the frame appears.
+
+    The mean is unweighted unless ``weights(query_id, lane, weight)`` are given; lanes
+    without a positive weight then do not count.
+    """
     ends = signals.groupBy("query_id", "lane").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     rows = (
         signals.join(ends, ["query_id", "lane"])
-        .join(F.broadcast(lanes.select("lane", "weight")), "lane", "left")
-        .withColumn("_w", F.coalesce("weight", F.lit(1.0)))
         .withColumn(
             "_v",
-            F.when(F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0),
+            F.when(F.col("_hi") - F.col("_lo") > 1e-12, (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0),
         )
+        .withColumn("_w", F.lit(1.0))
     )
+    if weights is not None:
+        rows = rows.drop("_w").join(weights.select("query_id", "lane", F.col("weight").alias("_w")), ["query_id", "lane"]).filter("_w > 0")
     return rows.groupBy(*KEY).agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("score"))
 
 
@@ -157,9 +167,9 @@ def topic_support(signals: DataFrame, lanes: DataFrame, k: int, s: Settings = DE
     )
 
 
-def fuse_with_bonuses(signals: DataFrame, lanes: DataFrame, intents: DataFrame | None = None, s: Settings = DEFAULTS) -> DataFrame:
+def fuse_with_bonuses(signals: DataFrame, lanes: DataFrame, intents: DataFrame | None = None, s: Settings = DEFAULTS, weights: DataFrame | None = None) -> DataFrame:
     """Rank fusion plus all bonuses, one row per (query, frame) with its breakdown."""
-    base = rank_fusion(signals, lanes, s.rrf_k).withColumnRenamed("score", "rrf")
+    base = rank_fusion(signals, lanes, s.rrf_k, weights=weights).withColumnRenamed("score", "rrf")
     bonus = consensus_bonuses(signals, lanes, intents, s)
     topics = topic_support(signals, lanes, s.rrf_k, s)
     out = base.join(bonus, KEY, "left").withColumn("topic", topic_group(F.col("video_id"))).join(topics, ["query_id", "topic"], "left")
@@ -173,14 +183,19 @@ def fuse_with_bonuses(signals: DataFrame, lanes: DataFrame, intents: DataFrame |
 
 
 def merge_modalities(signals: DataFrame, families: dict[str, str]) -> DataFrame:
-    """One row per (query, frame): best score per modality and the best-ranked snippet.
+    """One row per (query, frame): best score per modality, and the text of its best rank.
 
-    ``families`` maps an output column to the lane prefix it collects.
+    ``families`` maps an output column to the lane prefix it collects. Signals with a
+    ``text`` give ``<column>_snippet`` too.
     """
     aggs = [
         F.max(F.when(F.col("lane").startswith(prefix), F.col("score"))).alias(column)
         for column, prefix in families.items()
     ]
+    if "text" in signals.columns:
+        for column, prefix in families.items():
+            told = F.col("lane").startswith(prefix) & F.col("text").isNotNull()
+            aggs.append(F.min(F.when(told, F.struct("rank", "lane", "text")))["text"].alias(f"{column}_snippet"))
     return signals.groupBy(*KEY).agg(
         *aggs, F.countDistinct("lane").alias("n_lanes"), F.min("rank").alias("best_rank")
     )
@@ -228,10 +243,8 @@ def intent_weights(queries: DataFrame, lanes: DataFrame) -> DataFrame:
         "intent STRING, family STRING, factor DOUBLE",
     )
     derived = F.when(F.col("lane").isin("visual_spatial_beit3", "ocr_semantic"), F.col("weight")).otherwise(1.0)
-    per_intent = F.broadcast(
-        lanes.select("lane", "family", derived.alias("_own")).join(profiles, "family").select(
-            "intent", "lane", (F.col("factor") * F.col("_own")).alias("weight")
-        )
+    per_intent = lanes.select("lane", "family", derived.alias("_own")).join(profiles, "family").select(
+        "intent", "lane", (F.col("factor") * F.col("_own")).alias("weight")
     )
     return queries.select("query_id", "intent").join(per_intent, "intent").select("query_id", "intent", "lane", "weight")
 
@@ -247,6 +260,22 @@ def budget_weights(active: DataFrame, visual_budget: float, text_budget: float)
     )
 
 
+def family_weights(signals: DataFrame, lanes: DataFrame, specialists: tuple[str, ...], visual: float = 0.35, text: float = 0.65) -> DataFrame:
+    """Weights of an explicit mode: ``query_id, lane, weight`` of the lanes a query has hits in.
+
+    The visual budget is divided over all configured visual lanes, with hits or not; the
+    text budget over the specialist lanes in which the query has hits.
+    """
+    is_visual = F.col("lane").startswith("visual")
+    names = lanes.filter(is_visual).select("lane", F.lit(1).alias("_one")).distinct()
+    share = names.join(names.groupBy("_one").agg(F.count(F.lit(1)).alias("_n")), "_one")
+    hit = signals.select("query_id", "lane").distinct()
+    seen = hit.filter(is_visual).join(share, "lane").select("query_id", "lane", (F.lit(visual) / F.col("_n")).alias("weight"))
+    spoken = hit.filter(F.col("lane").isin(list(specialists)))
+    n = spoken.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    return seen.unionByName(spoken.join(n, "query_id").select("query_id", "lane", (F.lit(text) / F.col("_n")).alias("weight")))
+
+
 def critic_fusion(critics: DataFrame, weights: dict[str, float], results: DataFrame, k: int = DEFAULTS.late_rrf_k) -> DataFrame:
     """Fuse critic rankings late; rejected rows after eligible ones, unjudged rows last.
 

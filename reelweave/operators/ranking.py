@@ -165,10 +165,18 @@ def sanitise_ranking(candidates: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def natural_key(col: Column) -> Column:
-    """Digit-aware sort key: digit runs are left-padded, text runs lower-cased."""
+    """Digit-aware sort key: text runs lower-cased, digit runs as their length and digits.
+
+    Leading zeros do not count, and digit runs of any length compare as numbers.
+    """
+
+    def number(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=.)", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), F.lit(":"), digits)
+
     parts = F.regexp_extract_all(F.lower(col), F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.array_join(
-        F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 18, "0")).otherwise(p)), ""
+        F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), number(p)).otherwise(p)), ""
     )
 
 

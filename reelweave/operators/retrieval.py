@@ -10,16 +10,16 @@ from reelweave.operators.fusion import KEY
 from reelweave.operators.ranking import best_row, ranked
 from reelweave.operators.vectors import dot, l2_normalize, norm, vector_top_k
 
-MAX_CLAUSES = 64
-
-
 def clause_top_k(vectors: DataFrame, clause_queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-    """Top k per (query, clause, lane): ``clause_queries(query_id, clause, lane, qv)``."""
-    packed = clause_queries.select((F.col("query_id") * MAX_CLAUSES + F.col("clause")).alias("query_id"), "lane", "qv")
+    """Top k per (query, clause, lane): ``clause_queries(query_id, clause, lane, qv)``.
+
+    Every (query, clause) becomes a query of its own; the stride is the largest clause
+    number there is, so any number of clauses fits.
+    """
+    stride = int(clause_queries.agg(F.max("clause")).head()[0] or 0) + 1
+    packed = clause_queries.select((F.col("query_id") * stride + F.col("clause")).alias("query_id"), "lane", "qv")
     hits = vector_top_k(vectors, packed, k, threshold)
-    return hits.withColumn("clause", F.pmod("query_id", F.lit(MAX_CLAUSES))).withColumn(
-        "query_id", F.floor(F.col("query_id") / MAX_CLAUSES)
-    )
+    return hits.withColumn("clause", F.pmod("query_id", F.lit(stride))).withColumn("query_id", F.floor(F.col("query_id") / stride))
 
 
 def clause_lanes(base: DataFrame, clauses: DataFrame, label: str = "clause") -> DataFrame:

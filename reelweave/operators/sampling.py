@@ -288,7 +288,10 @@ def locked_video_candidates(videos: DataFrame, keyframes: DataFrame, local_event
     timeline = quota.join(spans.select("video_id", "event_id", "event_order"), "video_id").join(
         top.select("query_id", "video_id", "event_id"), ["query_id", "video_id", "event_id"], "left_anti"
     )
-    spread = linspace_pick(timeline, ["query_id", "video_id"], "event_order", F.lit(escapes)).join(mids, ["video_id", "event_id"])
+    used = dense_rows.select(*KEY).distinct().groupBy("query_id", "video_id").agg(F.count(F.lit(1)).alias("_used"))
+    places = F.least(F.lit(escapes), F.greatest(F.lit(0), F.col("quota") - F.coalesce("_used", F.lit(0))))
+    timeline = timeline.join(used, ["query_id", "video_id"], "left").withColumn("_places", places).filter(F.col("_places") > 0)
+    spread = linspace_pick(timeline, ["query_id", "video_id"], "event_order", F.col("_places")).join(mids, ["video_id", "event_id"])
     escape_rows = spread.select("query_id", "video_id", F.col("mid_frame").alias("frame_id"), "event_id", F.lit(1).alias("band"), F.col("event_order").alias("_a"))
     ranked_rest = ev_rank.filter(F.col("local_rank") > 16).join(mids, ["video_id", "event_id"]).select(
         "query_id", "video_id", F.col("mid_frame").alias("frame_id"), "event_id", F.lit(2).alias("band"), F.col("local_rank").alias("_a")

@@ -1,7 +1,7 @@
 """Exact vector retrieval.
 
-Scores are matrix products of Arrow batches, computed where the corpus rows
-are. A task returns only the rows that can still be among the first k of a
+Scores are matrix products of Arrow tables: corpus and queries meet in a grid of
+bounded cells, for any number of either. A task returns only the rows that can still be among the first k of a
 query (ties at the cut included), so what is shuffled is about k rows per query
 and batch, never query x corpus.
 """
@@ -9,7 +9,6 @@ and batch, never query x corpus.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +17,6 @@ from pyspark.sql import functions as F
 
 from reelweave.operators.ranking import ranked
 
-# Queries up to this count travel as one broadcast matrix; more use the grid.
-MAX_BROADCAST_QUERIES = 8192
 QUERY_BLOCK = 512
 GRID_ROWS = 32768
 SCORE_DIGITS = 6
@@ -116,47 +113,15 @@ def _score_block(table: pa.Table, qids: np.ndarray, qmat: np.ndarray, lane: str,
     )
 
 
-def _lane_blocks(table: pa.Table) -> Iterator[tuple[str, pa.Table]]:
-    lanes = table.column("lane").unique().to_pylist()
-    for lane in lanes:
-        yield lane, table if len(lanes) == 1 else table.filter(pa.compute.equal(table.column("lane"), lane))
-
-
 def vector_hits(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, cosine: bool = True) -> DataFrame:
     """Candidate hits that contain the exact top k of every (query, lane).
 
     ``vectors(lane, video_id, frame_id, embedding)`` x ``queries(query_id, lane,
     qv)``. With ``cosine`` both sides are normalised, else plain inner product.
+    Both sides are hashed into a grid of bounded cells, whatever their sizes.
     """
     vectors = vectors.select("lane", "video_id", F.col("frame_id").cast("bigint").alias("frame_id"), "embedding")
     queries = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "lane", "qv")
-    head = queries.limit(MAX_BROADCAST_QUERIES + 1).collect()
-    if len(head) > MAX_BROADCAST_QUERIES:
-        return _grid_hits(vectors, queries, k, threshold, cosine)
-    by_lane: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for lane in {r.lane for r in head}:
-        rows = [r for r in head if r.lane == lane]
-        mat = np.array([list(r.qv) for r in rows], dtype=np.float64)
-        by_lane[lane] = (np.array([r.query_id for r in rows]), _unit(mat) if cosine else mat)
-    shared = vectors.sparkSession.sparkContext.broadcast(by_lane)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lane, block in _lane_blocks(pa.Table.from_batches([batch])):
-                if lane in shared.value:
-                    qids, qmat = shared.value[lane]
-                    for at in range(0, len(qids), QUERY_BLOCK):
-                        part = slice(at, at + QUERY_BLOCK)
-                        hits = _score_block(block, qids[part], qmat[part], lane, k, threshold, cosine)
-                        if hits is not None:
-                            yield hits
-
-    wanted = vectors.filter(F.col("lane").isin(sorted(by_lane))) if by_lane else vectors.limit(0)
-    return wanted.mapInArrow(score, _HIT_DDL)
-
-
-def _grid_hits(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None, cosine: bool) -> DataFrame:
-    """Query sets of any size: hash both sides into a grid of bounded cells."""
     q_slots = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     v_slots = max(1, math.ceil(vectors.count() / GRID_ROWS))
     left = vectors.withColumn("_v", F.pmod(F.xxhash64("video_id", "frame_id"), F.lit(v_slots))).withColumn(

@@ -20,12 +20,12 @@ from reelweave.operators.fusion import KEY
 from reelweave.schema import DEFAULTS, Settings
 from reelweave.session import cut_lineage
 
-# Lanes searched by each multimodal mode; None means all.
+# Text lanes searched beside the visual ones by each multimodal mode; None means all.
 MODES = {
     "none": None,
-    "only_visual": ("visual",),
-    "visual_ocr": ("visual", "ocr"),
-    "visual_asr": ("visual", "audio"),
+    "only_visual": (),
+    "visual_ocr": ("ocr", "ocr_semantic"),
+    "visual_asr": ("audio",),
 }
 
 
@@ -36,45 +36,50 @@ class SearchOptions:
     mode: str = "none"
     fusion: str = "late"
     window_frames: int = 75
-    max_per_video: int = DEFAULTS.max_per_video
+    #: None keeps the global ranking as it is.
+    max_per_video: int | None = DEFAULTS.max_per_video
     top_k: int = 100
     with_events: bool = True
     cluster_gap: int | None = None
 
 
 def known_item_search(signals: DataFrame, lanes: DataFrame, keyframes: DataFrame, videos: DataFrame, intents: DataFrame | None = None, options: SearchOptions = SearchOptions(), s: Settings = DEFAULTS) -> DataFrame:
-    """Align lanes in time, fuse, add bonuses, regroup by event, diversify, enrich."""
-    families = MODES[options.mode]
+    """Align lanes in time, fuse, add bonuses, put events first, diversify, enrich.
+
+    Late fusion adds the bonuses in every mode. The modes with a specialist use family
+    weights, the others those of the lanes; early fusion without a mode is unweighted and
+    knows no events. Frames of ranked events come first, all other fused frames after them.
+    """
+    specialists = MODES[options.mode]
     rows = signals
-    if families is not None:
-        keep = F.lit(False)
-        for f in families:
-            keep = keep | F.col("lane").startswith(f)
-        rows = rows.filter(keep)
+    if specialists is not None:
+        rows = rows.filter(F.col("lane").startswith("visual") | F.col("lane").isin(list(specialists)))
     visual = F.col("lane").startswith("visual_")
     aligned = fu.align_to_windows(rows.filter(visual), options.window_frames)
     both = cut_lineage(aligned.unionByName(rows.filter(~visual).select(*aligned.columns)))
+    weights = fu.family_weights(both, lanes, specialists) if specialists else None
     if options.fusion == "early":
-        fused = fu.early_fusion(both, lanes).select(*KEY, "score")
-    elif options.mode != "none":
-        # explicit modes split a visual and a text budget over the lanes with hits
-        budget = fu.budget_weights(both, 0.35, 0.65)
-        fused = both.join(budget, ["query_id", "lane"]).groupBy(*KEY).agg(F.sum(F.col("weight") / (F.lit(s.rrf_k) + F.col("rank"))).alias("score"))
+        if options.mode == "only_visual":
+            weights = both.select("query_id", "lane").distinct().join(lanes.select("lane", "weight"), "lane", "left").fillna(1.0, ["weight"])
+        fused = fu.early_fusion(both, weights).select(*KEY, "score")
     else:
-        fused = fu.fuse_with_bonuses(both, lanes, intents, s).select(*KEY, "score")
+        fused = fu.fuse_with_bonuses(both, lanes, intents, s, weights).select(*KEY, "score")
     base = rk.ranked(fused.withColumn("score", F.round("score", 9)), ["query_id"], rk.score_order())
     base = cut_lineage(base)
     if options.cluster_gap is not None:
         clusters = ev.gap_clusters(base, both, options.cluster_gap, s.rrf_k).select(*KEY, "score")
         base = rk.ranked(clusters, ["query_id"], rk.score_order())
     elif options.with_events and options.fusion == "late":
-        votes = cut_lineage(ev.event_votes(both, keyframes, lanes.select("lane", "weight"), s.rrf_k, s.event_tolerance))
+        voting = lanes.select("lane", "weight") if weights is None else weights
+        votes = cut_lineage(ev.event_votes(both, keyframes, voting, s.rrf_k, s.event_tolerance))
         members = ev.diverse_members(ev.event_members(votes), s.gap_frames, s.frames_per_event)
-        rescued = ev.materialise_events(ev.rank_events(votes), members, s.primary_event_head).select(*KEY, "score", "rank")
-        merged = rk.protected_merge(base, rescued, s.protected_head, s.rescue_limit, 10 * options.top_k)
-        base = merged.join(base.select(*KEY, "score"), KEY, "left").withColumn("score", F.coalesce("score", F.lit(0.0))).drop("band")
-    top = rk.diversify(base.select(*KEY, "score", "rank"), options.max_per_video, options.top_k)
-    return enrich(top, videos)
+        eventful = ev.materialise_events(ev.rank_events(votes), members, s.primary_event_head)
+        merged = rk.ordered_union([eventful.select(*KEY, "rank"), base.select(*KEY, "rank")], KEY)
+        base = merged.join(base.select(*KEY, "score"), KEY, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    rows = base.select(*KEY, "score", "rank")
+    if options.max_per_video is None:
+        return enrich(rows.filter(F.col("rank") <= options.top_k), videos)
+    return enrich(rk.diversify(rows, options.max_per_video, options.top_k), videos)
 
 
 def enrich(results: DataFrame, videos: DataFrame) -> DataFrame:

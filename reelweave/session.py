@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,28 +33,23 @@ def local_session(cores: int | None = None, app: str = "reelweave") -> SparkSess
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name == "documents" else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Texts that arrive in fewer splits than there are cores, spread over the cores.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; local sessions without one get a private folder.
 
-    Text work is per-row heavy; a large table has many splits and is left alone.
+    On a cluster a private folder would be another one on every machine, so there the
+    setting is required.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh private one only where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isEmpty():
         return held.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="reelweave-")
     spark.sparkContext.setCheckpointDir(folder)
     return shared_folder(spark)

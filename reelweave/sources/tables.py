@@ -101,15 +101,19 @@ def semantic_row_violations(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rule", rule).filter("rule is not null").select("row_index", "rule")
 
 
-def preferred_segments(segments: DataFrame) -> DataFrame:
-    """Fine transcript segments of videos whose fine view is as long as the coarse one,
-    else the coarse ones."""
-    ends = segments.groupBy("video_id").agg(
-        F.max(F.when(F.col("granularity") == "fine", F.col("end_seconds"))).alias("_f"),
-        F.max(F.when(F.col("granularity") == "coarse", F.col("end_seconds"))).alias("_c"),
-    )
-    choice = ends.select("video_id", F.when(F.col("_f") >= F.coalesce("_c", F.col("_f")), "fine").otherwise("coarse").alias("granularity"))
-    return segments.join(choice, ["video_id", "granularity"], "left_semi")
+def preferred_segments(segments: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The fine transcript view where it has as many vectors as segments, else the coarse one.
+
+    ``vectors`` has one row per indexed vector with its ``view`` and ``granularity``; a view
+    is a corpus with an index of its own (``view`` of ``segments``). A fine view without
+    segments, or with another number of vectors, is not used.
+    """
+    fine = F.col("granularity") == "fine"
+    have = segments.filter(fine).groupBy("view").agg(F.count(F.lit(1)).alias("_n"))
+    indexed = vectors.filter(fine).groupBy("view").agg(F.count(F.lit(1)).alias("_m"))
+    good = have.join(indexed, "view").filter(F.col("_n") == F.col("_m")).select("view", F.lit("fine").alias("_use"))
+    rows = segments.join(good, "view", "left")
+    return rows.filter(F.col("granularity") == F.coalesce("_use", F.lit("coarse"))).drop("_use")
 
 
 _SEGMENT = (

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelweave.functions import text as tx
+from reelweave.operators import events as ev
 from reelweave.operators import fusion as fu
 from reelweave.operators import lexical as lx
 from reelweave.operators import ranking as rk
@@ -18,6 +19,7 @@ from reelweave.operators import sequences as sq
 from reelweave.operators import timeline as tl
 from reelweave.operators import vectors as vx
 from reelweave.schema import lane_config
+from reelweave.sources import tables as src
 
 SIG = "query_id BIGINT, lane STRING, video_id STRING, frame_id BIGINT, rank INT, score DOUBLE"
 
@@ -117,8 +119,7 @@ def test_vector_paths_agree_with_numpy(spark, monkeypatch):
     s = np.round(u[:9] @ u.T, 6)
     want = sorted((i, int(j)) for i in range(9) for j in sorted(range(120), key=lambda j: (-s[i, j], f"v{j % 3}", j))[:5])
     assert rows(vx.vector_top_k(v, q, 5), "query_id", "frame_id") == want
-    # the grid takes over when the queries exceed the broadcast bound
-    monkeypatch.setattr(vx, "MAX_BROADCAST_QUERIES", 4)
+    # more cells, same hits
     monkeypatch.setattr(vx, "QUERY_BLOCK", 4)
     monkeypatch.setattr(vx, "GRID_ROWS", 50)
     assert rows(vx.vector_top_k(v, q, 5), "query_id", "frame_id") == want
@@ -233,3 +234,50 @@ def test_speech_variants_drop_the_speaker(spark):
     df = spark.createDataFrame([("một người đang nói về bão",), ("bão",)], "t STRING")
     got = [[(v.role, v.text) for v in r.v] for r in df.select(tx.speech_variants(F.col("t")).alias("v")).collect()]
     assert got == [[("content", "bão"), ("original_fallback", "một người đang nói về bão")], [("original", "bão")]]
+
+
+def test_natural_key_of_long_and_padded_numbers(spark):
+    names = ["a2", "a10", "a" + "9" * 20, "a1" + "0" * 20, "a007", "a7b", "b1", "2", "10"]
+    df = spark.createDataFrame([(n,) for n in names], "name STRING")
+    got = [r["name"] for r in df.orderBy(rk.natural_key(F.col("name")), "name").collect()]
+    assert got == ["2", "10", "a2", "a007", "a7b", "a10", "a" + "9" * 20, "a1" + "0" * 20, "b1"]
+
+
+def test_seventy_clauses_keep_their_query(spark):
+    m, v = _vectors(spark, 40, 9)
+    q = spark.createDataFrame([(i, c, "a", m[(i * 7 + c) % 40].tolist()) for i in range(3) for c in range(1, 71)], "query_id BIGINT, clause INT, lane STRING, qv ARRAY<FLOAT>")
+    got = rt.clause_top_k(v, q, 1).collect()
+    assert len(got) == 210
+    assert all(r["frame_id"] == (r["query_id"] * 7 + r["clause"]) % 40 for r in got)
+
+
+def test_early_fusion_weights(spark):
+    rows_ = [(1, "visual_a", "v", 1, 1, 0.9), (1, "visual_a", "v", 2, 2, 0.1), (1, "audio", "v", 1, 2, 0.2), (1, "audio", "v", 3, 1, 0.8)]
+    s = spark.createDataFrame(rows_, "query_id BIGINT, lane STRING, video_id STRING, frame_id BIGINT, rank INT, score DOUBLE")
+    assert rows(fu.early_fusion(s), "frame_id", "score") == [(1, 0.5), (2, 0.0), (3, 1.0)]
+    lanes = spark.createDataFrame([("visual_a",), ("visual_b",), ("audio",)], "lane STRING")
+    w = fu.family_weights(s, lanes, ("audio",))
+    # two visual lanes are configured, one has hits: each holds half of the visual budget
+    assert {r["lane"]: round(r["weight"], 6) for r in w.collect()} == {"visual_a": 0.175, "audio": 0.65}
+    got = dict(rows(fu.early_fusion(s, w), "frame_id", "score"))
+    assert abs(got[1] - 0.175 / 0.825) < 1e-9
+
+
+def test_fine_view_needs_as_many_vectors(spark):
+    seg = [("x", "fine", i) for i in range(4)] + [("x", "coarse", i) for i in range(2)] + [("y", "fine", 0), ("y", "coarse", 0), ("z", "coarse", 0)]
+    segments = spark.createDataFrame(seg, "view STRING, granularity STRING, n INT")
+    vectors = spark.createDataFrame([("x", "fine")] * 4 + [("y", "fine")] * 2, "view STRING, granularity STRING")
+    got = sorted((r["view"], r["granularity"]) for r in src.preferred_segments(segments, vectors).collect())
+    assert got == [("x", "fine")] * 4 + [("y", "coarse"), ("z", "coarse")]
+
+
+def test_shortlist_before_events_unless_screen_text(spark):
+    def table(*rs):
+        return spark.createDataFrame(rs, "query_id BIGINT, video_id STRING, rank INT")
+
+    queries = spark.createDataFrame([(1, "mot slide dep"), (2, "nguoi di bo")], "query_id BIGINT, normalized STRING")
+    short = table((1, "a", 1), (2, "a", 1))
+    events = table((1, "b", 1), (1, "c", 33), (2, "b", 1), (2, "a", 2))
+    screen = table((1, "d", 1), (2, "d", 1))
+    got = ev.promoted_shortlist(short, events, screen, queries, 32, 12, 10)
+    assert rows(got, "query_id", "rank", "video_id") == [(1, 1, "d"), (1, 2, "a"), (1, 3, "b"), (2, 1, "a"), (2, 2, "b")]
