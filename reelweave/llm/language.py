@@ -183,7 +183,7 @@ def fit(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], seed: int = 7) ->
         model.temperature = t
         return -np.log(np.maximum(model.probabilities(sums)[np.arange(len(truth)), truth], 1e-12)).mean()
 
-    model.temperature = min(np.geomspace(0.05, 20, 121), key=loss)
+    model.temperature = min(np.geomspace(0.01, 20, 153), key=loss)
     p = model.probabilities(sums)
     right = p.argmax(axis=1) == truth
     model.threshold = float(min(CEILING, np.quantile(p.max(axis=1)[right], REJECTED))) if right.any() else 0.0
