@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelweave.functions.text import REGION_AXES
 from reelweave.operators.fusion import KEY
 from reelweave.operators.ranking import best_row, ranked
-from reelweave.operators.vectors import dot, l2_normalize, norm, vector_top_k
+from reelweave.operators.vectors import cell_hits, dot, l2_normalize, norm, vector_top_k
 
 def clause_top_k(vectors: DataFrame, clause_queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     """Top k per (query, clause, lane): ``clause_queries(query_id, clause, lane, qv)``.
@@ -266,23 +268,55 @@ def refine_selected_videos(local: DataFrame, selections: DataFrame, weights: Dat
     )
 
 
-def approximate_top_k(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 8, width: float = 1.0, seed: int = 42) -> DataFrame:
-    """Approximate top k on unit vectors: random-projection buckets, exact re-scoring.
-
-    One lane at a time; only rows that share a bucket with a query are scored.
+def coarse_centres(vectors: DataFrame, cells: int, sample_rows: int, rounds: int = 12, seed: int = 42) -> np.ndarray:
+    """Centres of ``cells`` k-means cells, fitted on the ``sample_rows`` vectors with the least id hashes."""
+    few = vectors.orderBy(F.xxhash64("lane", "video_id", "frame_id")).limit(sample_rows)
+    rows = np.array([list(r[0]) for r in few.select(l2_normalize(F.col("embedding"))).where(l2_normalize(F.col("embedding")).isNotNull()).collect()])
+    rng = np.random.default_rng(seed)
+    if not len(rows):
+        return np.zeros((0, 0))
+    centres = rows[rng.choice(len(rows), min(cells, len(rows)), replace=False)]
+    for _ in range(rounds):
+        own = (rows @ centres.T).argmax(axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, own, rows)
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(length > 0, total / np.maximum(length, 1e-12), centres)
+    return centres
+
+
+def with_cells(rows: DataFrame, column: str, centres: np.ndarray, probes: int) -> DataFrame:
+    """``rows`` with the numbers of the ``probes`` nearest centres of a vector column."""
+
+    @F.arrow_udf("array<int>")
+    def nearest(v: pa.Array) -> pa.Array:
+        unit = np.stack(v.to_numpy(zero_copy_only=False)).astype(np.float64) if len(v) else np.zeros((0, centres.shape[1]))
+        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
+        near = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :probes]
+        return pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))
+
+    return rows.withColumn("_cells", nearest(F.col(column)))
+
+
+def approximate_top_k(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 12, sample_rows: int = 20_000, cell_rows: int = 16_384) -> DataFrame:
+    """Approximate top k by cosine: every vector is filed in its nearest k-means cell, a
+    query looks into its ``probes`` nearest ones and scores those vectors exactly.
+
+    Cells are fitted on a bounded sample; all rows are filed. Large cells are split by a
+    hash, so a task holds about ``cell_rows`` vectors; ``n_scored`` counts a query's products.
+    The default reaches a recall of 0.9 even on vectors without clusters, where cells say
+    little (three quarters of the pairs are scored); clustered ones need far fewer probes.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    v = vectors.select("video_id", "frame_id", "lane", array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
-    q = queries.select("query_id", "lane", array_to_vector(l2_normalize(F.col("qv"))).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(v)
-    pairs = model.approxSimilarityJoin(v, q, 2.0, distCol="distance")
-    hits = pairs.select(
-        F.col("datasetB.query_id").alias("query_id"),
-        F.col("datasetB.lane").alias("lane"),
-        F.col("datasetA.video_id").alias("video_id"),
-        F.col("datasetA.frame_id").alias("frame_id"),
-        F.round(F.lit(1.0) - F.col("distance") * F.col("distance") / 2, 6).alias("score"),
-    )
-    return ranked(hits, ["query_id", "lane"], [F.desc("score"), F.asc("video_id"), F.asc("frame_id")], k)
+    centres = coarse_centres(vectors, cells, sample_rows)
+    if not len(centres):
+        return vector_top_k(vectors, queries, k)
+    slots = max(1, -(-vectors.count() // (cell_rows * len(centres))))
+    filed = with_cells(vectors, "embedding", centres, 1).withColumn("_v", F.col("_cells")[0])
+    filed = filed.withColumn("_q", F.pmod(F.xxhash64("video_id", "frame_id"), F.lit(slots))).select("lane", "video_id", F.col("frame_id").cast("bigint").alias("frame_id"), "embedding", "_v", "_q")
+    asked = with_cells(queries, "qv", centres, probes).withColumn("_v", F.explode("_cells"))
+    asked = asked.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint")))).select(F.col("query_id").cast("bigint").alias("query_id"), "lane", "qv", "_v", "_q")
+    hits = cell_hits(filed, asked, ["lane", "_v", "_q"], k, None, True)
+    held = filed.groupBy("lane", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    cost = asked.filter("_q = 0").join(held, ["lane", "_v"]).groupBy("query_id", "lane").agg(F.sum("_n").alias("n_scored"))
+    best = ranked(hits, ["query_id", "lane"], [F.desc("score"), F.asc("video_id"), F.asc("frame_id")], k)
+    return best.join(cost, ["query_id", "lane"])

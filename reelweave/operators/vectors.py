@@ -130,10 +130,10 @@ def vector_hits(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
     right = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_slots)).cast("int")).withColumn(
         "_v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(v_slots - 1).cast("bigint")))
     )
-    return _cell_hits(left, right, ["lane", "_v", "_q"], k, threshold, cosine)
+    return cell_hits(left, right, ["lane", "_v", "_q"], k, threshold, cosine)
 
 
-def _cell_hits(left: DataFrame, right: DataFrame, cell: list[str], k: int, threshold: float | None, cosine: bool) -> DataFrame:
+def cell_hits(left: DataFrame, right: DataFrame, cell: list[str], k: int, threshold: float | None, cosine: bool) -> DataFrame:
     def score(corpus: pa.Table, wanted: pa.Table) -> pa.Table:
         if not corpus.num_rows or not wanted.num_rows:
             return pa.Table.from_batches([], schema=_HIT)
@@ -185,7 +185,7 @@ def in_video_top_n(vectors: DataFrame, queries: DataFrame, shortlist: DataFrame,
         .join(cells, ["lane", "video_id"])
         .select(F.col("query_id").cast("bigint").alias("query_id"), "lane", "video_id", "_v", "_q", "qv")
     )
-    hits = _cell_hits(left, right, ["lane", "video_id", "_v", "_q"], n, None, cosine)
+    hits = cell_hits(left, right, ["lane", "video_id", "_v", "_q"], n, None, cosine)
     return ranked(hits, ["query_id", "lane", "video_id"], [F.desc("score"), F.asc("frame_id")], n)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-QUEUE_OUTPUT = "session STRING, item_id STRING, added BIGINT, pinned BOOLEAN, done BOOLEAN, submitted_by STRING, voters STRING, present BOOLEAN"
+QUEUE_OUTPUT = "session STRING, item_id STRING, added BIGINT, pinned BOOLEAN, done BOOLEAN, submitted_by STRING, voters ARRAY<STRING>, present BOOLEAN"
 
 
 class QueueState(StatefulProcessor):
@@ -18,7 +18,7 @@ class QueueState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._items = handle.getMapState(
-            "items", "item_id STRING", "added BIGINT, pinned BOOLEAN, done BOOLEAN, submitted_by STRING, voters STRING"
+            "items", "item_id STRING", "added BIGINT, pinned BOOLEAN, done BOOLEAN, submitted_by STRING, voters ARRAY<STRING>"
         )
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
@@ -34,7 +34,7 @@ class QueueState(StatefulProcessor):
             k = (r.item_id,)
             if r.action == "ADD_FRAME":
                 if not self._items.containsKey(k):
-                    self._items.updateValue(k, (int(r.seq), False, False, None, ""))
+                    self._items.updateValue(k, (int(r.seq), False, False, None, []))
                     changed[r.item_id] = None
                 continue
             if not self._items.containsKey(k):
@@ -49,9 +49,11 @@ class QueueState(StatefulProcessor):
             elif r.action == "SUBMIT_DONE":
                 done, by = True, r.name
             elif r.action == "VOTE_FRAME":
-                names = [v for v in voters.split(",") if v]
-                names = [v for v in names if v != r.name] if r.name in names else [*names, r.name]
-                voters = ",".join(sorted(names))
+                if not (r.name or "").strip():
+                    continue  # a vote without a name does not count
+                names = set(voters)
+                names ^= {r.name}
+                voters = sorted(names)
             self._items.updateValue(k, (added, pinned, done, by, voters))
         out = []
         for item in changed:
