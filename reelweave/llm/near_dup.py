@@ -11,11 +11,12 @@ document with the least id of a group stays.
    Documents with equal sets are one class from here on; a class is one row however many
    copies it has.
 2. Bands of ``ROWS`` registers are hashed. Classes that share a band are candidates. Each
-   is first compared with the least class of the band only, so a band of any size yields
-   as many pairs as it has classes. Pairs whose joint likelihood, given all registers and
+   is first compared with the anchor of the band only, the class that shares most with
+   others, so a band of any size yields as many pairs as it has classes; what has not
+   joined the anchor gets a second one among itself (``ANCHORS`` rounds). Pairs whose joint likelihood, given all registers and
    both set sizes, puts the similarity ``SLACK`` or more below the threshold are dropped;
    all others are verified on the full sets.
-3. Verified links give components. Bands whose classes are all in one component are done.
+3. Verified links give components after each round. Bands whose classes are all in one component are done.
    The classes of the other bands, and only they, go through an exact join: each class
    lists its rarest shingles, as many as must hold one shared shingle with any partner
    (prefix filter), and classes of different components that share a listed one and have
@@ -52,6 +53,7 @@ REGISTERS = BANDS * ROWS
 #: Scale of the registers: values 0 .. 65535 hold -log_BASE(x) + OFFSET.
 BASE, OFFSET = 1.001, 20_000
 SLACK = 0.2
+ANCHORS = 2
 KEPT_WORDS = 400_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.random.default_rng(1).integers(1, 2**62, size=(3, max(REGISTERS, SHINGLE)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -202,14 +204,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def rare_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share one of their rarest shingles (exact)."""
+    """Pairs of classes of different components that share one of their rarest shingles (exact).
+
+    Shingles are ordered by the number of classes that have them. The larger class of a
+    pair is looked up by its ``n - ceil(t n) + 1`` rarest, the smaller one is listed under
+    its ``n - ceil(2 t / (1 + t) n) + 1`` rarest, and at the first shingle two classes share
+    their positions must leave room for the overlap that a link needs.
+    """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 arrays = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("shingles")]
-                n = np.array([len(x) for x in arrays])
+                n = np.array([len(x) for x in arrays], dtype=np.int64)
                 who = pa.array(np.repeat(np.arange(len(arrays)), n))
                 flat = pa.array(np.concatenate(arrays) if len(arrays) else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("class").take(who), flat, pa.array(np.repeat(n, n))], ["class", "shingle", "n"])
@@ -217,18 +225,35 @@ def rare_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
     tokens = sets.mapInArrow(listed, "class binary, shingle long, n long")
     tokens = cut_lineage(tokens)
     common = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    # shingles of one class only hold no pair, but take places of the prefix: they come first
+    # shingles of one class only hold no pair, but they are the rarest and take the first places
     seen = tokens.join(common, "shingle").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("held"))
-    # a partner shares at least ceil(t n) shingles, so one of the n - ceil(t n) + 1 rarest
-    prefix = F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100.0) + 1 - (F.col("n") - F.size("held"))
-    keys = seen.where(prefix > 0).select("class", "n", F.explode(F.slice("held", F.lit(1), prefix.cast("int"))).alias("key")).select("class", "n", "key.shingle")
+    first = F.col("n") - F.size("held")
+    asked = F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100.0) + 1
+    keys = seen.withColumn("first", first).where(asked > F.col("first"))
+    keys = keys.select("class", "n", "first", F.posexplode(F.slice("held", F.lit(1), (asked - F.col("first")).cast("int"))).alias("i", "key"))
+    place = (F.col("first") + F.col("i")).alias("place")
+    filed = F.col("first") + F.col("i") < F.col("n") - F.ceil(F.col("n") * 2 * THRESHOLD / (100.0 + THRESHOLD)) + 1
+    keys = keys.select("class", "n", place, filed.alias("filed"), "key.shingle")
     keys = cut_lineage(keys.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
     # a key whose classes are all of one component is done
     mixed = keys.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     keys = keys.join(mixed, "shingle", "left_semi")
-    a, b = keys.toDF("shingle", "a", "na", "xa"), keys.toDF("shingle", "b", "nb", "xb")
-    close = (F.col("a") < F.col("b")) & (F.col("xa") != F.col("xb")) & (100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
-    return a.join(b, "shingle").where(close).select("a", "b").distinct()
+    a, b = keys.where("filed").drop("filed").toDF("shingle", "a", "na", "pa", "xa"), keys.drop("filed").toDF("shingle", "b", "nb", "pb", "xb")
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    room = (100 + THRESHOLD) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= THRESHOLD * (F.col("na") + F.col("nb"))
+    close = smaller & room & (F.col("xa") != F.col("xb")) & (100 * F.col("na") >= THRESHOLD * F.col("nb"))
+    return a.join(b, "shingle").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``rows`` with the component each ``class`` is in so far."""
+    if roots is None:
+        return rows.withColumn("root", F.col("class"))
+    return rows.drop("root").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    return cut_lineage(connected_components(links).select(F.col("node").alias("class"), "root"))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -236,25 +261,35 @@ def grouped(docs: DataFrame) -> DataFrame:
     rows = cut_lineage(sketched(docs))
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     classes = cut_lineage(classes)
-    bands = cut_lineage(banded(classes))
-    least = bands.groupBy("band").agg(F.min("class").alias("b"), F.max("class").alias("hi")).where("b <> hi").select("band", "b")
-    pairs = bands.join(least, "band").where("class <> b").select(F.col("class").alias("a"), "b").distinct()
-    pairs = cut_lineage(likely(pairs, classes))
-    asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    names = classes.where("doc_id IS NOT NULL").select("doc_id", "class")
-    sets = cut_lineage(shingled(docs, names.join(asked, "class", "left_semi")))
-    links = cut_lineage(verified(pairs, sets))
-    roots = cut_lineage(connected_components(links).select(F.col("node").alias("class"), "root"))
-    # bands that still hold several components
-    placed = bands.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    open_bands = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    rest = cut_lineage(bands.join(open_bands, "band", "left_semi").select("class").distinct())
-    rest_sets = cut_lineage(shingled(docs, names.join(rest, "class", "left_semi")))
-    more = likely(rare_pairs(rest_sets, roots).join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")).unionByName(pairs), ["a", "b"], "left_anti"), classes)
-    more = cut_lineage(verified(cut_lineage(more), rest_sets))
-    roots = connected_components(links.unionByName(more)).select(F.col("node").alias("class"), "root")
-    groups = classes.select("class", "doc_id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    groups = cut_lineage(groups)
+    sizes = banded(classes).groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut_lineage(banded(classes).join(sizes, "band"))
+    # an original shares more bands, and larger ones, than any of its copies
+    fame = cut_lineage(shared.groupBy("class").agg(F.sum("n").alias("fame")))
+    sets = cut_lineage(shingled(docs, classes.where("doc_id IS NOT NULL").select("doc_id", "class").join(fame, "class", "left_semi")))
+    left = shared.select("band", "class").join(fame, "class")
+    links = tried = roots = None
+    for _ in range(ANCHORS):
+        left = cut_lineage(with_roots(left, roots))
+        anchors = left.groupBy("band").agg(F.max(F.struct("fame", "class", "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        anchors = anchors.where("lo <> hi").select("band", F.col("top.class").alias("anchor"), F.col("top.root").alias("anchor_root"))
+        pairs = left.join(anchors, "band").where("root <> anchor_root")
+        pairs = pairs.select(F.least("class", "anchor").alias("a"), F.greatest("class", "anchor").alias("b")).distinct()
+        pairs = cut_lineage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = cut_lineage(verified(cut_lineage(likely(pairs, classes)), sets))
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        # what joined its band's anchor leaves the band
+        now = with_roots(anchors.select("band", F.col("anchor").alias("class")), roots).select("band", F.col("root").alias("done"))
+        left = with_roots(left, roots).join(now, "band").where("root <> done").drop("done")
+    # classes of the bands that still hold several components
+    placed = with_roots(shared.select("band", "class"), roots)
+    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    rest = placed.join(mixed, "band", "left_semi").select("class").distinct()
+    more = rare_pairs(cut_lineage(sets.join(rest, "class", "left_semi")), roots).join(tried, ["a", "b"], "left_anti")
+    more = cut_lineage(verified(cut_lineage(likely(more, classes)), sets))
+    roots = components(links.unionByName(more))
+    groups = cut_lineage(with_roots(classes.select("class", "doc_id"), roots))
     named = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     groups = groups.join(named, "root").select("class", "component_id")
     out = rows.select("doc_id", "n_shingles", "class").join(groups, "class", "left")
