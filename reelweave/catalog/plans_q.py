@@ -178,7 +178,34 @@ def known_item_search_visual(spark, d):
     return kis(spark, d, mode="only_visual")
 
 
-@query("question_evidence_search")
+cte(
+    "question_frames",
+    """SELECT query_id, video_id, frame_id, u FROM total_all JOIN (
+  SELECT query_id, video_id, frame_id, round(sum(1.0 / (30 + rank)), 9) AS u FROM rows_all GROUP BY ALL) USING (query_id, video_id, frame_id)""",
+    "total_all",
+    "rows_all",
+)
+cte(
+    "question_islands",
+    """SELECT *, max(start_at) OVER (PARTITION BY query_id, video_id ORDER BY frame_id) AS island FROM (
+  SELECT *, CASE WHEN frame_id - lag(frame_id, 1, -1000000) OVER (PARTITION BY query_id, video_id ORDER BY frame_id) > 75 THEN frame_id END AS start_at FROM question_frames)""",
+    "question_frames",
+)
+cte(
+    "question_clusters",
+    """SELECT query_id, video_id, frame_id, round(u * (1 + 0.15::DOUBLE * greatest(0, n_lanes - 1)), 6) AS score FROM (
+  SELECT query_id, video_id, island, sum(u) AS u, arg_max(frame_id, u * 1e6 - frame_id * 1e-6) AS frame_id FROM question_islands GROUP BY ALL)
+JOIN (SELECT i.query_id, i.video_id, i.island, count(DISTINCT lane) AS n_lanes FROM question_islands i JOIN rows_all s USING (query_id, video_id, frame_id) GROUP BY ALL) USING (query_id, video_id, island)""",
+    "question_islands",
+    "rows_all",
+)
+
+
+@query(
+    "question_evidence_search",
+    f"SELECT *, 'qa' AS task FROM ({_kis_sql('SELECT * FROM question_clusters')})",
+    ("question_clusters", "videos"),
+)
 def question_evidence_search(spark, d):
     """The same ranking for questions, clustered instead of grouped by event."""
     return ps.labelled(kis(spark, d, cluster_gap=75), "qa")
