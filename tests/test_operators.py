@@ -45,7 +45,7 @@ def test_rank_fusion_rejects_rank_zero(spark):
 
 def test_flat_lane_gives_zero_in_early_fusion(spark):
     s = spark.createDataFrame([(1, "ocr", "v", 1, 1, 0.5), (1, "ocr", "v", 2, 2, 0.5)], SIG)
-    assert {r.score for r in fu.early_fusion(s, lane_config(spark)).collect()} == {0.0}
+    assert {r.score for r in fu.early_fusion(s).collect()} == {0.0}
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
