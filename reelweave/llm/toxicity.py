@@ -39,7 +39,7 @@ from reelweave.llm.common import held_out, labelled_sample
 from reelweave.llm.words import WordTable, with_columns
 
 #: Documents learned from per label, at most.
-PER_CLASS = 2000
+PER_CLASS = 1500
 BUCKETS = 1 << 18
 #: Letters of a word that its hash looks at.
 LETTERS = 24
@@ -51,6 +51,9 @@ RATE = 0.5
 RIDGE = 1e-4
 #: Tokens per block of the chain.
 BLOCK = 128
+#: Tokens trained on at once, about.
+CHAIN = 150_000
+WORDS_AT_ONCE = 50_000
 ENDS = string.punctuation + "«»“”„‘’…¡¿–—"
 
 
@@ -59,6 +62,8 @@ def features(words: list[str]) -> np.ndarray:
 
     A prefix longer than the word has the word's bucket of an unused kind, 0.
     """
+    if len(words) > WORDS_AT_ONCE:
+        return np.concatenate([features(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)])
     bare = np.array([w.lower().strip(ENDS) for w in words], dtype=f"<U{LETTERS}")
     points = bare.view(np.uint32).reshape(len(words), LETTERS).astype(np.uint64)
     h = np.full(len(words), 0x1234567, dtype=np.uint64)
@@ -228,7 +233,8 @@ def fit(rows: list[tuple[int, str]]) -> Model:
     tokens = np.concatenate([cut[i] for i in learn]) if learn else np.zeros(0, np.int64)
     y = np.concatenate(truth).astype(np.float64) if truth else np.zeros(0)
     sizes = np.array([len(cut[i]) for i in learn], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
     first = np.zeros(len(tokens), bool)
     first[starts] = True
     seen_pairs = np.zeros((2, 2))
@@ -236,9 +242,15 @@ def fit(rows: list[tuple[int, str]]) -> Model:
     np.add.at(seen_pairs, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
     pace = {n: 1e-6 for n in ("bias", "opening", "passing")}
     speed = np.full(BUCKETS, 1e-6)
+    # forward-backward over so many documents at a time that memory stays small
+    groups = np.split(np.arange(len(learn)), np.flatnonzero(np.diff(ends // CHAIN)) + 1) if learn else []
     for _ in range(STEPS):
-        emission = (model.weights[table].sum(axis=1) + model.bias)[tokens]
-        m, pairs = forward_backward(emission, starts, model.opening, model.passing)
+        emission = model.weights[table].sum(axis=1) + model.bias
+        m, pairs = np.empty(len(tokens)), np.zeros((2, 2))
+        for g in groups:
+            part = slice(starts[g[0]], ends[g[-1]])
+            m[part], seen = forward_backward(emission[tokens[part]], starts[g] - starts[g[0]], model.opening, model.passing)
+            pairs += seen
         # the gradient of the log likelihood: observed minus expected
         off = np.bincount(tokens, weights=y - m, minlength=len(table))
         slope = np.zeros(BUCKETS)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 KEPT_WORDS = 300_000
 #: Characters of text handled at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 class WordTable:
