@@ -44,7 +44,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(h, "doc_id"))).where(F.col("place") <= per_class)
     chosen = cut_lineage(rows.select("doc_id", "label"))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id")
-    return texts.select("doc_id", "label", "text")
+    # of rows that repeat an id, the least text
+    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def source_key(source: Column) -> Column:

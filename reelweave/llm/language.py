@@ -117,11 +117,12 @@ def sample(docs: DataFrame) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
     they lie, so at most PER_LANGUAGE rows of at most BUCKETS numbers per language arrive.
     """
     h = F.xxhash64(F.col("doc_id"))
-    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").alias("label"), h.alias("h"))
+    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").alias("label")).distinct().withColumn("h", h)
     ids = ids.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))).where(F.col("place") <= PER_LANGUAGE)
     chosen = cut_lineage(ids.select("doc_id", "label", F.col("place")))
     texts = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     texts = texts.join(chosen, (texts.doc_id == chosen.doc_id) & (texts.lang == chosen.label)).select(chosen.doc_id, "label", "place", "text")
+    texts = texts.groupBy("doc_id", "label", "place").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
