@@ -35,15 +35,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelweave.llm.common import bounded_batches
+
 #: White space of the file's patterns (the Unicode property; the four ASCII separators,
 #: which Python adds, do not belong to it), as the inside of a character class.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = regex.compile(f"[{WHITE}]+")
 _SEPARATOR = re.compile("[\x1c-\x1f]")
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: Characters of text handled at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 def byte_letters() -> list[str]:
@@ -284,4 +286,4 @@ def encoded(docs: DataFrame, *, vocabulary: str | None = None, with_ids: bool =
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tasks, schema)
+    return bounded_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(tasks, schema)

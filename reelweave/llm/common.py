@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from reelweave.session import cut_lineage
 
-__all__ = ["WORD", "connected_components", "cut_lineage", "held_out", "labelled_sample", "read_table", "source_key", "word_count"]
+__all__ = ["BATCH_ROWS", "WORD", "bounded_batches", "connected_components", "cut_lineage", "held_out", "labelled_sample", "read_table", "source_key", "word_count"]
 
+#: Rows of texts that Python gets at once.
+BATCH_ROWS = 1024
 #: A word is a run of bytes that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,6 +19,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bounded_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, whose session hands Python at most BATCH_ROWS rows at a time from now on.
+
+    Texts are long: the default of 10,000 rows a batch is held several times over, by the
+    executor and by its Python workers.
+    """
+    conf = rows.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return rows
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

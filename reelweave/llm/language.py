@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelweave.llm.common import cut_lineage, held_out
+from reelweave.llm.common import bounded_batches, cut_lineage, held_out
 from reelweave.llm.words import WordTable, kept_rows, runs, with_columns
 
 BUCKETS = 1 << 16
@@ -42,6 +42,7 @@ RATE = 4.0
 REJECTED = 0.001
 CEILING = 0.5
 UNKNOWN = "und"
+WORDS_AT_ONCE = 20_000
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +85,8 @@ class Model:
         k = len(self.languages)
 
         def numbers(words: list[str]) -> np.ndarray:
+            if len(words) > WORDS_AT_ONCE:
+                return np.concatenate([numbers(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)])
             bucket, owner = grams(words)
             out = np.empty((len(words), k + 1))
             for c in range(k):
@@ -136,7 +139,7 @@ def sample(docs: DataFrame) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
                     rows["n"].append(n.astype(np.int32))
                 yield pa.RecordBatch.from_pydict(rows, pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("place", pa.int32()), ("bucket", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))]))
 
-    table = texts.mapInArrow(count, "doc_id long, label string, place int, bucket array<int>, n array<int>").toArrow()
+    table = bounded_batches(texts).mapInArrow(count, "doc_id long, label string, place int, bucket array<int>, n array<int>").toArrow()
     rows = []
     for label, place, doc_id, bucket, n in zip(*(table.column(c).to_pylist() if c in ("label", "place", "doc_id") else table.column(c) for c in ("label", "place", "doc_id", "bucket", "n"))):
         if len(bucket):

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelweave.llm.common import connected_components, cut_lineage
+from reelweave.llm.common import bounded_batches, connected_components, cut_lineage
 from reelweave.llm.words import runs
 
 SHINGLE = 5
@@ -54,7 +54,7 @@ REGISTERS = BANDS * ROWS
 BASE, OFFSET = 1.001, 20_000
 SLACK = 0.2
 ANCHORS = 2
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.random.default_rng(1).integers(1, 2**62, size=(3, max(REGISTERS, SHINGLE)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -145,7 +145,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(tasks, "doc_id long, n_shingles long, class binary, registers binary")
+    return bounded_batches(rows).mapInArrow(tasks, "doc_id long, n_shingles long, class binary, registers binary")
 
 
 def banded(classes: DataFrame) -> DataFrame:

@@ -28,17 +28,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelweave.llm.common import cut_lineage, held_out, labelled_sample, labels_of
-from reelweave.llm.words import WordTable, with_columns
+from reelweave.llm.words import WordTable, with_number
 
 PER_CLASS = 1500
 SHAPES = 1 << 11
 REJECT = 0.15
 #: Strengths are kept within these.
+#: Names of columns added to documents on the way.
+EVIDENCE, SCORE, PATH, RATE = "_llm_evidence", "_llm_score", "_llm_path", "_llm_rate"
 WEAKEST, STRONGEST = 2.0, 1e4
 
 
@@ -163,28 +164,30 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
 def _evident(docs: DataFrame, model: Model) -> DataFrame:
     def scorer():
         words = model.words()
-        return lambda texts: {"evidence": pa.array(model.evidence(words, texts))}
+        return lambda texts: model.evidence(words, texts)
 
-    return with_columns(docs, scorer, "evidence double")
+    return with_number(docs, EVIDENCE, scorer)
 
 
-def _posterior(rows: DataFrame, model: Model) -> DataFrame:
-    odds = F.col("evidence") + F.log(F.col("path_rate") / (1 - F.col("path_rate")))
-    return rows.withColumn("score", 1 / (1 + F.exp(-odds))).withColumn("rejected", F.col("score") < REJECT)
+def _posterior(rows: DataFrame, rate: str = "path_rate") -> DataFrame:
+    odds = F.col(EVIDENCE) + F.log(F.col(rate) / (1 - F.col(rate)))
+    return rows.withColumn(SCORE, 1 / (1 + F.exp(-odds)))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, evidence, host_rate, path_rate, score, rejected`` of every document."""
     model, rates = learn(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), site(F.col("source"))[1].alias("path"), "text")
-    rows = _posterior(_evident(rows, model).join(rates, "path"), model)
-    return rows.select("doc_id", "held_out", "evidence", "host_rate", "path_rate", "score", "rejected")
+    rows = _posterior(_evident(rows, model).drop("text").join(rates, "path"))
+    score = F.col(SCORE)
+    return rows.select("doc_id", "held_out", F.col(EVIDENCE).alias("evidence"), "host_rate", "path_rate", score.alias("score"), (score < REJECT).alias("rejected"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, all columns unchanged."""
     model, rates = learn(docs, labels)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(whole.alias("doc"), site(F.col("source"))[1].alias("path"), "text")
-    rows = _posterior(_evident(rows, model).join(rates, "path"), model)
-    return rows.where(~F.col("rejected")).select("doc.*")
+    rates = rates.select(F.col("path").alias(PATH), F.col("path_rate").alias(RATE))
+    # the documents' own columns may have any names but the reserved ones
+    rows = _evident(docs, model).withColumn(PATH, site(F.col("source"))[1])
+    rows = _posterior(rows.join(rates, PATH), RATE)
+    return rows.where(F.col(SCORE) >= REJECT).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,10 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-KEPT_WORDS = 300_000
+from reelweave.llm.common import bounded_batches
+
+KEPT_WORDS = 100_000
 #: Characters of text handled at once.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 
 
 class WordTable:
@@ -82,9 +85,7 @@ def with_columns(docs: DataFrame, score: Callable[[list[str | None]], dict[str,
                 place += len(part)
                 yield pa.RecordBatch.from_arrays([rows.column(c) for c in kept] + list(got.values()), kept + list(got))
 
-    from pyspark.sql.types import StructType
-
-    return docs.mapInArrow(tasks, StructType(types.fields + StructType.fromDDL(schema).fields))
+    return bounded_batches(docs).mapInArrow(tasks, StructType(types.fields + StructType.fromDDL(schema).fields))
 
 
 def kept_rows(docs: DataFrame, keep: Callable[[], Callable[[list[str | None]], np.ndarray]]) -> DataFrame:
@@ -103,4 +104,23 @@ def kept_rows(docs: DataFrame, keep: Callable[[], Callable[[list[str | None]], n
             yield batch.filter(pa.array(np.concatenate(mask) if mask else np.zeros(0, bool)))
 
     docs_columns = docs.columns
-    return docs.mapInArrow(tasks, docs.schema)
+    return bounded_batches(docs).mapInArrow(tasks, docs.schema)
+
+
+def with_number(docs: DataFrame, name: str, score: Callable[[], Callable[[list[str | None]], np.ndarray]]) -> DataFrame:
+    """``docs``, all columns unchanged, plus the number ``score`` gives for the text."""
+    columns = docs.columns
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = score()
+        at = columns.index("text")
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            place = 0
+            for _, part in runs([t or "" for t in texts]):
+                rows = batch.slice(place, len(part))
+                got = pa.array(scorer(texts[place : place + len(part)]), pa.float64())
+                place += len(part)
+                yield pa.RecordBatch.from_arrays([*rows.columns, got], [*columns, name])
+
+    return bounded_batches(docs).mapInArrow(tasks, StructType(docs.schema.fields + StructType.fromDDL(f"{name} double").fields))
