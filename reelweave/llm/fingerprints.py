@@ -11,7 +11,9 @@ can be added to or taken from a fingerprint without the text (``insert``, ``dele
 Bits of different paragraphs are independent. Read as signs, the lanes of a difference
 of two fingerprints estimate how many paragraphs the documents do not share, which gives
 ``likeness``: 1 for equal fingerprints, about the shared part of all paragraphs otherwise.
-The estimate needs fewer than 2 ** 13 paragraphs on which the two differ; equality does not.
+Deviations of lanes are exact while they are below 2 ** 14, which holds for millions of
+distinct paragraphs; a paragraph that one document has 2 ** 14 times or more can wrap them
+and spoil the estimate. Equality does not depend on it.
 
 Everything is SQL expressions on the row; sums run over an array of hashes of one text.
 
@@ -107,15 +109,16 @@ def likeness(a: Column, b: Column) -> Column:
     def square(x: Column) -> Column:
         return (x * x).cast("double")
 
-    def centred(x: Column) -> Column:
-        return F.pmod(x + F.lit(1 << 13), F.lit(1 << 14)) - F.lit(1 << 13)
+    def deviation(x: Column) -> Column:
+        # lanes are kept modulo 2 ** 14, so twice a lane is known modulo 2 ** 15
+        return F.pmod(x + F.lit(1 << 14), F.lit(1 << 15)) - F.lit(1 << 14)
 
     def own(v: Column, n: Column) -> Column:
-        return total(F.transform(F.slice(v, 1, WORDS), lambda x: reduce(lambda s, t: s + t, [square(2 * lane(x, k) - n) for k in range(4)])))
+        return total(F.transform(F.slice(v, 1, WORDS), lambda x: reduce(lambda s, t: s + t, [square(deviation(2 * lane(x, k) - n)) for k in range(4)])))
 
     apart = total(
         F.zip_with(
-            F.slice(a, 1, WORDS), F.slice(b, 1, WORDS), lambda x, y: reduce(lambda s, t: s + t, [square(2 * centred(lane(x, k) - lane(y, k)) - (n_a - n_b)) for k in range(4)])
+            F.slice(a, 1, WORDS), F.slice(b, 1, WORDS), lambda x, y: reduce(lambda s, t: s + t, [square(deviation(2 * (lane(x, k) - lane(y, k)) - (n_a - n_b))) for k in range(4)])
         )
     )
     both = own(a, n_a) + own(b, n_b)

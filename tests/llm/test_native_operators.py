@@ -124,6 +124,17 @@ def test_fingerprint_order_insert_delete_likeness(spark):
     assert 0.3 < r["half"] < 0.7 and r["none"] < 0.4
 
 
+def test_likeness_of_many_paragraphs(spark):
+    n = 40_000
+    a = [f"paragraph {i}" for i in range(n)]
+    texts = (a, a[: n // 2] + [f"other {i}" for i in range(n // 2)], [f"strange {i}" for i in range(n)], a[: n // 2])
+    df = spark.createDataFrame([tuple("\n".join(t) for t in texts)], "a string, half string, none string, cut string")
+    for x in df.columns:
+        df = fingerprints.with_lanes(df, df[x], x)
+    r = df.select(*[fingerprints.likeness(df.a, df[x]).alias(x) for x in ("half", "none", "cut")]).head()
+    assert 0.3 < r["half"] < 0.7 and r["none"] < 0.4 and 0.5 < r["cut"] < 0.85
+
+
 def check_shards(docs, rows, shards):
     assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in docs)
     want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in docs)
