@@ -340,8 +340,21 @@ def triple_matching(spark, d):
     return lx.triple_search(query_triples(spark, d), frame_triples(spark, d), 25).select("query_id", "video_id", "frame_id", "points", "score", "rank")
 
 
+def line_triples(rows, keys, n):
+    """A triple from every word of every line of ``text`` and the two after it, in text order by ``n``.
+
+    At the end of a line, roles without a word are null.
+    """
+    t = rows.select(*keys, F.posexplode(F.split("text", "\n")).alias("_line", "line")).withColumn("t", tx.tokens(tx.normalize_for_search(F.col("line"))))
+    t = t.filter(F.size("t") > 0).withColumn("_at", F.explode(F.sequence(F.lit(0), F.size("t") - 1)))
+    roles = [F.get("t", F.col("_at") + i).alias(r) for i, r in enumerate(lx.ROLES)]
+    return t.select(*keys, (F.col("_line").cast("long") * (1 << 32) + F.col("_at")).alias(n), *roles)
+
+
 @query("triple_match_snippets")
 def triple_match_snippets(spark, d):
-    """First matched triples of each hit."""
-    q, f = query_triples(spark, d), frame_triples(spark, d)
+    """First matched triples of each hit; hits and triples are of whole lines."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("video_id"), F.col("doc_id").alias("frame_id"), "text")
+    q = line_triples(passages(spark, d), ["query_id"], "qn")
+    f = line_triples(docs, ["video_id", "frame_id"], "fn")
     return lx.triple_snippets(lx.triple_search(q, f, 25), q, f)

@@ -359,7 +359,9 @@ def triple_search(query_triples: DataFrame, frame_triples: DataFrame, k: int) ->
     f = frame_triples.select("video_id", "frame_id", "fn", cells.alias("_c")).select("video_id", "frame_id", "fn", "_c.role", F.col("_c.w").alias("f"))
     words = _contained(q, f)
     asked = q.join(words, ["role", "q"]).groupBy("query_id", "role", "f").agg(F.count(F.lit(1)).alias("_n"))
-    points = asked.join(f, ["role", "f"]).groupBy("query_id", "video_id", "frame_id").agg(F.sum("_n").alias("points"))
+    # a word that a frame repeats meets the questions once
+    said = f.groupBy("video_id", "frame_id", "role", "f").agg(F.count(F.lit(1)).alias("_m"))
+    points = asked.join(said, ["role", "f"]).groupBy("query_id", "video_id", "frame_id").agg(F.sum(F.col("_n") * F.col("_m")).alias("points"))
     size = query_triples.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_triples"))
     scored = points.join(size, "query_id").select(
         "query_id",

@@ -281,3 +281,16 @@ def test_shortlist_before_events_unless_screen_text(spark):
     screen = table((1, "d", 1), (2, "d", 1))
     got = ev.promoted_shortlist(short, events, screen, queries, 32, 12, 10)
     assert rows(got, "query_id", "rank", "video_id") == [(1, 1, "d"), (1, 2, "a"), (1, 3, "b"), (2, 1, "a"), (2, 2, "b")]
+
+
+def test_triple_snippets_read_whole_lines(spark, tmp_path):
+    from reelweave.catalog import lexical_q
+
+    docs = [(1, "one two three red cars pass quickly", "s"), (2, "nothing like it", "s"), (3, "first line\nold boat", "s")]
+    asked = [(1, "alpha beta gamma delta red cars pass"), (2, "boat")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in lexical_q.triple_match_snippets(spark, str(tmp_path)).select("query_id", "frame_id", "snippet").collect()}
+    assert got == {(1, 1, "[two - three - red], [three - red - cars]"), (2, 3, "[boat]")}
+    boats = lexical_q.line_triples(spark.createDataFrame([(1, "old boat\n\na b c d")], "k int, text string"), ["k"], "n")
+    assert [tuple(r)[2:] for r in boats.orderBy("n").collect()] == [("old", "boat", None), ("boat", None, None), ("a", "b", "c"), ("b", "c", "d"), ("c", "d", None), ("d", None, None)]
