@@ -12,7 +12,9 @@ with the right checksum; a record needs a version line, a length, its closing bl
 and the digests it states. Where a check fails, the reader looks for the next offset at
 which a valid record begins (a gzip magic whose member opens with a version line, or a
 version line), recovers from there, and reports the bytes between as a quarantined gap.
-At most one record is in memory.
+Of a member that fails, the records before the first one that is damaged or cut are rows
+if they state a block digest; if all its records pass and only its checksum does not, the
+place of the damage is unknown and all of it is a gap. At most one member is in memory.
 
 Nulls: a null html is the empty payload, always a response. A null page id is written as
 such and always a response. Rows that repeat an id and payload are all responses if the
@@ -40,8 +42,6 @@ ARCHIVE_BYTES = 8 << 20
 REVISIT_BYTES = 100
 LEVEL = 1
 CHUNK = 1 << 16
-#: A header block longer than this is taken for damage.
-HEADER_BYTES = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_URI = "urn:x-page:"
 VERSION = b"WARC/1."
@@ -150,7 +150,9 @@ def write_warc(pages: DataFrame, folder: str, *, date: str = "2024-01-01T00:00:0
 
 
 class Damage(Exception):
-    """A record or member failed a check."""
+    """A record or member failed a check; ``data`` is what was inflated before."""
+
+    data = b""
 
 
 class Archive:
@@ -182,7 +184,7 @@ class Archive:
             while not z.eof:
                 piece = self.at(pos, CHUNK)
                 if not piece:
-                    raise Damage("truncated member")
+                    raise zlib.error("truncated")
                 data = z.decompress(piece, 0 if most is None else max(1, most - total))
                 parts.append(data)
                 total += len(data)
@@ -190,15 +192,28 @@ class Archive:
                 if most is not None and total >= most:
                     return b"".join(parts), pos
         except zlib.error as e:
-            raise Damage(f"member: {e}") from None
+            damage = Damage(f"member: {e}")
+            damage.data = b"".join(parts) if most is not None else self._before(offset, pos)
+            raise damage from None
         return b"".join(parts), pos - len(z.unused_data)
 
+    def _before(self, offset: int, last: int) -> bytes:
+        """What the member at ``offset`` inflates to before the error in the piece at ``last``."""
+        z = zlib.decompressobj(31)
+        parts = [z.decompress(self.at(pos, CHUNK)) for pos in range(offset, last, CHUNK)]
+        try:
+            for byte in self.at(last, CHUNK):
+                parts.append(z.decompress(bytes([byte])))
+        except zlib.error:
+            pass
+        return b"".join(parts)
+
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and length of the record at the start of ``data``, all checks made."""
     if not data.startswith(VERSION):
         raise Damage("no version line")
-    end = data.find(b"\r\n\r\n", 0, HEADER_BYTES)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         raise Damage("headers do not end")
     headers = {}
@@ -251,33 +266,44 @@ def _row(headers: dict[str, str], block: bytes) -> dict:
 
 def _plain(archive: Archive, pos: int) -> tuple[dict, int]:
     """The uncompressed record at ``pos`` and where it ends."""
-    head = b""
-    while (end := head.find(b"\r\n\r\n")) < 0:
+    head = bytearray()
+    while (end := head.find(b"\r\n\r\n", max(0, len(head) - CHUNK - 3))) < 0:
         more = archive.at(pos + len(head), CHUNK)
-        if not more or len(head) > HEADER_BYTES or not (head + more).startswith(VERSION):
-            raise Damage("no record")
         head += more
-    length = next((int(v) for n, _, v in (x.partition(b":") for x in head[:end].split(b"\r\n")) if n.strip().lower() == b"content-length" and v.strip().isdigit()), None)
+        if not more or not head.startswith(VERSION):
+            raise Damage("no record")
+    length = next((int(v) for n, _, v in (x.partition(b":") for x in bytes(head[:end]).split(b"\r\n")) if n.strip().lower() == b"content-length" and v.strip().isdigit()), None)
     if length is None or pos + end + 8 + length > archive.size:
         raise Damage("no usable content length")
     headers, block, used = parse(archive.at(pos, end + 8 + length))
     return _row(headers, block), pos + used
 
 
-def _at(archive: Archive, pos: int) -> tuple[list[dict], int]:
-    """The records that begin at ``pos``, and where the member or record ends."""
+def _at(archive: Archive, pos: int) -> tuple[list[dict], int, str | None]:
+    """The records that begin at ``pos``, where the member or record ends, and why the rest of a member is lost."""
     if archive.at(pos, 3) != MAGIC:
         row, stop = _plain(archive, pos)
-        return [row], stop
-    data, stop = archive.inflate(pos)
-    rows, used = [], 0
+        return [row], stop, None
+    reason = None
+    try:
+        data, stop = archive.inflate(pos)
+    except Damage as e:
+        data, stop, reason = e.data, pos + 1, str(e)
+    rows, used, sound = [], 0, reason is None
     while used < len(data):
-        headers, block, n = parse(data[used:] if used else data)
-        rows.append(_row(headers, block))
+        try:
+            headers, block, n = parse(data[used:] if used else data)
+            if not sound and not headers.get("warc-block-digest", "").startswith("sha256:"):
+                raise Damage("no digest in a damaged member")
+            rows.append(_row(headers, block))
+        except Damage as e:
+            if not rows:
+                raise Damage(reason or str(e)) from None
+            return rows, stop, reason or str(e)
         used += n
-    if not rows:
-        raise Damage("empty member")
-    return rows, stop
+    if reason or not rows:
+        raise Damage(reason or "empty member")
+    return rows, stop, None
 
 
 def _opens(archive: Archive, pos: int) -> bool:
@@ -296,16 +322,15 @@ def salvage(stream) -> Iterator[dict]:
     pos = 0
     while pos < archive.size:
         try:
-            rows, stop = _at(archive, pos)
-            reason = None
+            rows, stop, reason = _at(archive, pos)
         except Damage as e:
-            reason = str(e)
+            rows, reason = [], str(e)
         if reason is None:
             for row in rows:
                 yield {"kind": "record", "start": pos, "stop": stop, **row}
             pos = stop
             continue
-        stop = pos + 1
+        kept, rows, stop = rows, [], pos + 1
         while stop < archive.size:
             stop = min(archive.find(MAGIC, stop), archive.find(VERSION, stop))
             if stop >= archive.size:
@@ -317,39 +342,51 @@ def salvage(stream) -> Iterator[dict]:
                 except Damage as e:
                     reason = f"{reason}; at {stop}: {e}" if len(reason) < 300 else reason
             stop += 1
+        for row in kept:
+            yield {"kind": "record", "start": pos, "stop": min(stop, archive.size), **row}
         yield {"kind": "gap", "start": pos, "stop": min(stop, archive.size), "reason": reason}
         pos = stop
 
 
-def read_warc(archives: DataFrame, *, with_payload: bool = True) -> DataFrame:
-    """Records and gaps of the archives named in column ``archive``; columns of ``RECORDS``."""
+def read_warc(archives: DataFrame, *, with_payload: bool = True, counted: bool = False) -> DataFrame:
+    """Records and gaps of the archives named in column ``archive``; columns of ``RECORDS``.
+
+    With ``counted``, an archive that has a gap or not as many records as column
+    ``records`` says fails the read.
+    """
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (c.strip().split(" ") for c in RECORDS.split(","))])
         for batch in batches:
-            for name in batch.column("archive").to_pylist():
-                rows, size = [], 0
+            stated = batch.column("records").to_pylist() if counted else [None] * batch.num_rows
+            for name, records in zip(batch.column("archive").to_pylist(), stated):
+                rows, size, count = [], 0, 0
                 with open_uri(name, "r") as stream:
                     for row in salvage(stream):
+                        if counted and row["kind"] == "gap":
+                            raise ValueError(f"{name}: damaged at {row['start']}: {row['reason']}")
+                        count += 1
                         payload = row.pop("payload", None) if not with_payload else row.get("payload")
                         rows.append({"archive": name, **row})
                         size += len(payload or b"") if with_payload else 200
                         if size >= 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0
+                if counted and count != records:
+                    raise ValueError(f"{name}: {count} records read, {records} written")
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.select("archive").repartition("archive").mapInArrow(tasks, RECORDS)
+    return archives.select("archive", *["records"] * counted).repartition("archive").mapInArrow(tasks, RECORDS)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes all pages to archives in the shared folder and reads them back."""
+    """Writes all pages to archives in the shared folder and reads them back; fails if a record does not come back."""
     folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     manifest = write_warc(with_revisits(pages), folder)
     page = F.regexp_extract(F.col("record_id"), RECORD_URI + r"(-?\d+)>", 1)
     source = F.regexp_extract(F.col("refers_to"), RECORD_URI + r"(-?\d+)>", 1)
-    rows = read_warc(manifest, with_payload=False).where("kind = 'record'")
+    rows = read_warc(manifest, with_payload=False, counted=True)
     return rows.select(
         F.nullif(page, F.lit("")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.nullif(source, F.lit("")).cast("long").alias("refers_to")
     )

@@ -101,3 +101,36 @@ def test_payloads_come_back(spark):
     want = {r["page_id"]: (r["html"], r["url"]) for r in pages.collect()}
     assert {warc.page_of(r["record_id"]): (bytes(r["payload"]).decode(), r["target_uri"]) for r in rows} == want
     assert len({r["archive"] for r in rows}) > 1
+
+
+@pytest.mark.parametrize("how", ["digest", "cut", "last", "flip"])
+def test_records_before_damage_in_a_member(how):
+    whole = [warc.record(i, f"http://x/{i}", random.Random(i).randbytes(3000), None, DATE) for i in range(4)]
+    after = warc.member(warc.record(9, "u", b"after", None, DATE))
+    if how == "digest":
+        whole[2] = whole[2][:-10] + b"xxxxxx" + whole[2][-4:]
+    packed = warc.member(b"".join(whole))
+    if how in ("cut", "last"):
+        packed = packed[: len(packed) - 5000]
+    elif how == "flip":
+        packed = packed[:-4000] + bytes([packed[-4000] ^ 0x55]) + packed[-3999:]
+    data = packed + (b"" if how == "last" else after)
+    rows = list(warc.salvage(io.BytesIO(data)))
+    assert [warc.page_of(r["record_id"]) for r in rows if r["kind"] == "record"] == [0, 1] + [9] * (how != "last")
+    gap = [r for r in rows if r["kind"] == "gap"]
+    assert [(g["start"], g["stop"]) for g in gap] == [(0, len(packed))]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_long_headers(packed):
+    data = warc.record(1, "http://x/" + "u" * 1_200_000, b"page", None, DATE)
+    rows = list(warc.salvage(io.BytesIO(warc.member(data) if packed else data)))
+    assert [(r["kind"], len(r["target_uri"])) for r in rows] == [("record", 1_200_009)]
+
+
+def test_missing_records_fail_the_read(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 200), (2, "u" * 1_200_000, "y" * 200)], "page_id long, url string, html string")
+    assert sorted(r["page_id"] for r in warc.round_trip(spark, pages).collect()) == [1, 2]
+    manifest = warc.write_warc(warc.with_revisits(pages), warc.shared_folder(spark) + "/missing")
+    with pytest.raises(Exception, match="records read"):
+        warc.read_warc(manifest.selectExpr("archive", "records + 1 AS records"), counted=True).collect()
