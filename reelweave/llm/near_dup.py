@@ -29,8 +29,9 @@ A link is missed only if its classes share no band at all: with 32 bands of 4 th
 
 Nulls: null, empty and blank texts have empty sets and are linked with nothing. A null id
 belongs to its text's group, never names one, and is kept only if the group has no other
-id. Repeated rows are linked (equal sets) and share their id. An empty table gives no
-rows. Other columns do not matter.
+id. Repeated rows are linked (equal sets) and share their id. ``kept`` says this of ids;
+where ids are null or repeated, ``deduplicated`` still leaves one row of each group. An
+empty table gives no rows. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -40,8 +41,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from reelweave.llm.common import bounded_batches, connected_components, cut_lineage
 from reelweave.llm.words import runs
@@ -137,7 +139,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 for text in part:
                     s = shingle_set(text, known)
                     sizes.append(len(s))
-                    names.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    names.append(class_of(s))
                     sketches.append(registers(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(start, len(part)), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(sketches, pa.binary())],
@@ -185,6 +187,37 @@ def shingled(docs: DataFrame, members: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(members, "doc_id").select("class", "text").mapInArrow(tasks, "class binary, shingles binary")
 
 
+def class_of(shingles: np.ndarray) -> bytes | None:
+    """The name of a set; the empty one has none."""
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
+def unclear_ids(rows: DataFrame) -> DataFrame:
+    """``unclear``: the ids that do not name one row, null among them; a stored table."""
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    return cut_lineage(ids.select(F.col("doc_id").alias("unclear")))
+
+
+def of_unclear(docs: DataFrame, unclear: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is null or repeated."""
+    named = docs.join(unclear, docs["doc_id"].cast("long") == unclear["unclear"], "left_semi")
+    return named.unionByName(docs.where(docs["doc_id"].isNull()))
+
+
+def shingled_unclear(docs: DataFrame, unclear: DataFrame, members: DataFrame) -> DataFrame:
+    """``class, shingles`` of the classes in ``members (class)``, found by the texts themselves."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for batch in batches:
+            for _, part in runs([t or "" for t in batch.column("text").to_pylist()]):
+                sets = [shingle_set(t, known) for t in part]
+                yield pa.RecordBatch.from_arrays([pa.array(map(class_of, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["class", "shingles"])
+
+    texts = bounded_batches(of_unclear(docs.select("doc_id", "text"), unclear).select("text"))
+    return texts.mapInArrow(tasks, "class binary, shingles binary").join(members, "class", "left_semi").dropDuplicates(["class"])
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs ``a, b`` whose full sets are similar enough."""
 
@@ -258,14 +291,28 @@ def components(links: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, class, component_id, kept`` of every document."""
+    return rooted(docs)[0].drop("root")
+
+
+def rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``grouped`` with the class ``root`` that names a group, and the ids that do not name one row, if any."""
     rows = cut_lineage(sketched(docs))
+    unclear = unclear_ids(rows)
+    unclear = None if unclear.isEmpty() else unclear
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     classes = cut_lineage(classes)
     sizes = banded(classes).groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut_lineage(banded(classes).join(sizes, "band"))
     # an original shares more bands, and larger ones, than any of its copies
     fame = cut_lineage(shared.groupBy("class").agg(F.sum("n").alias("fame")))
-    sets = cut_lineage(shingled(docs, classes.where("doc_id IS NOT NULL").select("doc_id", "class").join(fame, "class", "left_semi")))
+    members = classes.select("doc_id", "class").join(fame, "class", "left_semi")
+    if unclear is None:
+        sets = shingled(docs, members)
+    else:
+        clear = members.where("doc_id IS NOT NULL").join(unclear, F.col("doc_id") == F.col("unclear"), "left_anti")
+        others = members.join(clear.select("class"), "class", "left_anti").select("class")
+        sets = shingled(docs, clear).unionByName(shingled_unclear(docs, unclear, others))
+    sets = cut_lineage(sets)
     left = shared.select("band", "class").join(fame, "class")
     links = tried = roots = None
     for _ in range(ANCHORS):
@@ -291,14 +338,50 @@ def grouped(docs: DataFrame) -> DataFrame:
     roots = components(links.unionByName(more))
     groups = cut_lineage(with_roots(classes.select("class", "doc_id"), roots))
     named = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    groups = groups.join(named, "root").select("class", "component_id")
+    groups = groups.join(named, "root").select("class", "component_id", "root")
     out = rows.select("doc_id", "n_shingles", "class").join(groups, "class", "left")
     out = out.withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), unclear
+
+
+def one_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of rows whose ids are unclear, one of every group that such an id names or that has no id.
+
+    ``groups (class, component_id, root)``. Empty sets are groups of their id; those without an id all stay.
+    """
+    columns = docs.columns
+    taken = set(map(str.lower, columns))
+    cls, root, top, place = (next(n for i in range(len(taken) + 1) if (n := f"_{x}{i}") not in taken) for x in ("class", "root", "top", "place"))
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for batch in batches:
+            names = [class_of(shingle_set(t, known)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], [*batch.schema.names, cls])
+
+    rows = bounded_batches(docs).mapInArrow(tasks, StructType([*docs.schema.fields, StructField(cls, BinaryType())]))
+    rows = rows.join(groups.toDF(cls, top, root), cls, "left")
+    none = F.col(cls).isNull()
+    named = rows.where(none | F.col("doc_id").cast("long").eqNullSafe(F.col(top)))
+    free = none & F.col("doc_id").isNull()
+    order = Window.partitionBy(root, F.when(none, F.col("doc_id"))).orderBy("text")
+    first = named.where(~free).withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    return first.select(*columns).unionByName(named.where(free).select(*columns))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all columns unchanged; ``doc_id`` names a document."""
-    gone = grouped(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    gone = cut_lineage(gone.where("_gone IS NOT NULL").distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The documents that stay, all columns unchanged: one row of each group, and those with empty sets."""
+    rows, unclear = rooted(docs)
+    if unclear is not None:
+        rows = cut_lineage(rows)
+    gone = rows.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    gone = gone.where("_gone IS NOT NULL")
+    if unclear is None:
+        gone = cut_lineage(gone.distinct())
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    # unclear ids are settled by their rows' texts
+    gone = cut_lineage(gone.unionByName(unclear.where("unclear IS NOT NULL").toDF("_gone")).distinct())
+    clear = docs.where(docs["doc_id"].isNotNull())
+    clear = clear.join(gone, clear["doc_id"] == gone["_gone"], "left_anti")
+    groups = cut_lineage(rows.where("class IS NOT NULL").select("class", "component_id", "root").distinct())
+    return clear.unionByName(one_each(of_unclear(docs, unclear), groups))

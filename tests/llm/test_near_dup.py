@@ -101,6 +101,22 @@ def test_kept_documents(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
 
 
+def test_one_row_of_each_group_stays(spark):
+    def text(name, *changed):
+        return " ".join(f"{name}{i}" if i not in changed else f"other{i}" for i in range(80))
+
+    rows = [(None, text("a")), (None, text("a")), (None, text("a", 79)), (1, text("b")), (1, text("b")), (2, text("b", 79)), (None, text("b"))]
+    rows += [(5, text("c")), (5, text("d")), (4, text("d", 0)), (7, text("e")), (None, ""), (None, ""), (8, ""), (8, None), (9, " "), (6, "f g h"), (6, "i j k")]
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, _class0 int")
+    kept = near_dup.deduplicated(df)
+    assert kept.columns == df.columns
+    got = [(r["doc_id"], shingles(r["text"])) for r in kept.collect()]
+    a = [s for d, s in got if d is None and s]
+    assert len(a) == 1 and a[0] in (shingles(text("a")), shingles(text("a", 79)))
+    want = [(1, text("b")), (5, text("c")), (4, text("d", 0)), (7, text("e")), (None, ""), (None, ""), (8, ""), (9, ""), (6, "f g h"), (6, "i j k")]
+    assert Counter(x for x in got if x[0] is not None or not x[1]) == Counter((d, shingles(t)) for d, t in want)
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 6000).astype(np.uint64))
