@@ -64,3 +64,37 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Stages:
+    """Intermediate tables of one job, deleted together when its result is written.
+
+    ``cut`` works as ``cut_lineage`` in a folder of this job; ``drop`` deletes one table
+    as soon as nothing reads it any more; leaving the ``with`` block deletes the rest. What
+    a caller is to keep must be written before that, with ``cut_lineage`` or to its place.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark).rstrip('/')}/job-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/stage-{len(self.paths)}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def drop(self, table: DataFrame) -> None:
+        self._delete(self.paths[id(table)][1])
+
+    def __enter__(self) -> Stages:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        self._delete(self.folder)
