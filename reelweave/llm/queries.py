@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelweave.llm import bpe, fingerprints, language, mixing, near_dup, quality, sharding, topk, toxicity, warc
+from reelweave.llm import bpe, centroids, fingerprints, language, mixing, near_dup, quality, sharding, topk, toxicity, warc
 from reelweave.llm.common import read_table
 
 
@@ -50,6 +50,10 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(read_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op12_incremental_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(read_table(spark, sf_dir, "embeddings"), clusters=40, rounds=5)
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_subword_language": op2_subword_language,
@@ -61,10 +65,12 @@ QUERIES = {
     "op8_site_quality": op8_site_quality,
     "op9_crf_toxicity": op9_crf_toxicity,
     "op10_kd_shards": op10_kd_shards,
+    "op12_incremental_centroids": op12_incremental_centroids,
 }
 
 ORACLE = {
     "op1_pareto_mix": mixing.oracle(),
     "op4_norm_bucket_top_k": topk.oracle(),
     "op7_salvage_warc": warc.oracle(),
+    "op12_incremental_centroids": centroids.oracle(),
 }
