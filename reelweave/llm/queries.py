@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelweave.llm import bpe, centroids, fingerprints, language, mixing, near_dup, quality, sharding, topk, toxicity, warc
+from reelweave.llm import bpe, centroids, credentials, fingerprints, language, mixing, near_dup, quality, sharding, topk, toxicity, warc
 from reelweave.llm.common import read_table
 
 
@@ -54,6 +54,10 @@ def op12_incremental_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(read_table(spark, sf_dir, "embeddings"), clusters=40, rounds=5)
 
 
+def op13_linked_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.digests(credentials.credentials(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_subword_language": op2_subword_language,
@@ -66,6 +70,7 @@ QUERIES = {
     "op9_crf_toxicity": op9_crf_toxicity,
     "op10_kd_shards": op10_kd_shards,
     "op12_incremental_centroids": op12_incremental_centroids,
+    "op13_linked_credentials": op13_linked_credentials,
 }
 
 ORACLE = {
@@ -73,4 +78,5 @@ ORACLE = {
     "op4_norm_bucket_top_k": topk.oracle(),
     "op7_salvage_warc": warc.oracle(),
     "op12_incremental_centroids": centroids.oracle(),
+    "op13_linked_credentials": credentials.oracle(),
 }
