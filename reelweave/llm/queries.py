@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelweave.llm import bpe, centroids, credentials, fingerprints, language, mixing, near_dup, quality, sharding, topk, toxicity, warc
+from reelweave.llm import bpe, centroids, credentials, fingerprints, language, mixing, near_dup, negatives, quality, sharding, topk, toxicity, warc
 from reelweave.llm.common import read_table
 
 
@@ -50,6 +50,12 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(read_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_shared_list_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", noisy), F.col("vec_id") % 100 == 0, k=5, low=80, high=100)
+
+
 def op12_incremental_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(read_table(spark, sf_dir, "embeddings"), clusters=40, rounds=5)
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op8_site_quality": op8_site_quality,
     "op9_crf_toxicity": op9_crf_toxicity,
     "op10_kd_shards": op10_kd_shards,
+    "op11_shared_list_negatives": op11_shared_list_negatives,
     "op12_incremental_centroids": op12_incremental_centroids,
     "op13_linked_credentials": op13_linked_credentials,
 }
@@ -77,6 +84,7 @@ ORACLE = {
     "op1_pareto_mix": mixing.oracle(),
     "op4_norm_bucket_top_k": topk.oracle(),
     "op7_salvage_warc": warc.oracle(),
+    "op11_shared_list_negatives": negatives.oracle(),
     "op12_incremental_centroids": centroids.oracle(),
     "op13_linked_credentials": credentials.oracle(),
 }
