@@ -1,61 +1,88 @@
 """Sharding by a k-d tree over document metadata.
 
-All documents start in one node. A node that must become ``k`` shards is cut along its
-widest metadata dimension into one part for ``floor(k / 2)`` shards and one for the
-rest, at the weighted quantile that splits its bytes in that proportion; this repeats
-until every leaf is one shard of the target bytes (total / shards).
-
-Coordinates are functions of the text alone (size, bytes per character, length of its
-lines, its first characters), scaled to whole numbers, and ties are broken by a hash of the text, so equal
-texts lie at one point and stay together: a point is cut only where it is heavier than
-``POINT_SHARE`` of the target, and then by a hash of the document id.
-
-The quantile is found by counting: bytes per class of the node's range, ``BINS`` classes
-a pass, then per class of the class that holds it, until that is light enough to be left
-whole; all over a narrow stored table. A pass
-handles all nodes of a level at once and returns at most one row per node, so the driver
-only ever holds the tree itself (shards - 1 cuts); documents meet the tree as a nested
-CASE expression.
+All documents start in one node of ``k`` shards. A node is cut along its widest metadata
+dimension near the weighted quantile that leaves ``floor(k / 2)`` shares of its bytes below, and
+its shards are dealt to the two parts in proportion to their bytes; this repeats until
+every leaf is one shard of the target bytes (total / shards).
+
+Coordinates are functions of the text alone: its size, bytes per character, length of its
+lines and, as the last, a hash. A row's place along a dimension is the coordinate with another hash of
+the text behind it, so equal texts lie at one point and stay together: a cut goes beside a
+point, and only a text whose copies are heavier than a whole shard is cut, by a hash of the row. Where a
+heavy point makes the parts uneven, the next widest dimension is tried, and the evenest cut taken.
+
+The quantile is found by counting: bytes per class of the node's range, ``BINS`` classes a
+pass, then per class of the class that holds it, until that is one point or light enough to be
+left whole. A pass handles all nodes of a level at once and returns one row per node, so
+the driver holds the tree of a level and no more; its nodes and cuts, fewer than there are
+shards, meet the rows as a small table. The node of a row is a stored column: each level writes the narrow table anew, with the
+nodes its cuts lead to, and deletes the one before. No expression grows with the tree.
 
 Slots count from 0 within a shard without a gap: rows are numbered within (shard,
-block), a block being a class of the id's hash, after the rows of earlier blocks.
+block), a block being a class of the row's hash, after the rows of earlier blocks.
 
-Nulls: a null text has no bytes and size 16; a null id hashes like the word "null".
-Repeated rows are rows: each gets a slot. A table without rows gives none. Other columns
-do not matter. One shard takes everything; with more shards than points, points are cut
-by id, and shards may stay empty only when there are fewer rows than shards.
+Nulls: a null text has no bytes and size 16; null ids are ids like others. Texts of any length
+are one point each. Repeated rows are rows: each gets a slot. Ties (one point) stay together as said. A table without rows gives none. Other columns
+do not matter. One shard takes everything. Shards stay empty only where there are fewer rows than
+shards, or where a few texts that may not be cut hold more than their shards.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelweave.llm.common import cut_lineage
+from reelweave.session import Stages
 
 BINS = 1 << 14
-#: Bits of a coordinate, of the text's hash and of the id's hash in a cut's key.
-DIM_BITS, TEXT_BITS, ID_BITS = 28, 28, 28
-#: A point of at most this share of the target bytes is never cut.
-POINT_SHARE = 0.01
+#: Bits of a coordinate, of the text's hash behind it, and of the row's hash.
+DIM_BITS, TEXT_BITS, ROW_BITS = 27, 35, 62
+#: A class of at most this share of the target bytes is left whole.
+LIGHT = 0.005
+#: Another dimension is tried where a part is off by more than this share of the target.
+UNEVEN = 0.02
 BLOCKS = 256
 OVERHEAD = 16
 
 
 @dataclass
 class Node:
-    """A node of the tree: shards ``first .. first + k - 1``; a leaf has no cut."""
+    """Shards ``first .. first + k - 1``, with the rows and bytes they are to take."""
 
     first: int
     k: int
-    dim: int | None = None
-    #: Rows with (coordinate, text hash, id hash) below this go left.
-    cut: tuple[int, int, int] | None = None
-    left: Node | None = None
-    right: Node | None = None
+    rows: int
+    bytes: int
+    #: Dimensions from the widest to the narrowest, with their first and last value.
+    dims: list[tuple[int, int, int]]
+
+
+@dataclass
+class Cut:
+    """Rows of ``node`` below (point, row hash) along ``dim`` go to its first ``left`` shards."""
+
+    node: int
+    dim: int
+    point: int
+    row: int
+    left: int
+    off: float
+
+
+@dataclass
+class Found:
+    """A class of a range: its first value and width, and rows and bytes below it and in it."""
+
+    low: int
+    width: int
+    rows_below: int = 0
+    below: int = 0
+    rows: int = 0
+    bytes: int = 0
+    splits: bool = False
 
 
 def dimensions(text: Column) -> list[Column]:
@@ -64,143 +91,148 @@ def dimensions(text: Column) -> list[Column]:
     chars = F.greatest(F.char_length(text), F.lit(1))
     size = F.octet_length(text)
     lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    # Natural logarithms of sizes stay below 22; a character has at most 4 bytes.
+    # natural logarithms of sizes stay below 22; a character has at most 4 bytes
     raw = [F.log1p(size.cast("double")) / 22.0, (size / chars - 1.0) / 3.0, F.log1p(chars / lines) / 22.0]
-    return [F.least(F.greatest(F.floor(x * top), F.lit(0)), F.lit(top)).cast("long") for x in raw]
+    scaled = [F.least(F.greatest(F.floor(x * top), F.lit(0)), F.lit(top)).cast("long") for x in raw]
+    return [*scaled, F.shiftrightunsigned(F.xxhash64(F.lit("place"), text), 64 - DIM_BITS)]
 
 
 def narrow_of(docs: DataFrame) -> DataFrame:
-    """Stored once: id, size, checksum, coordinates and tie-breaking hashes."""
+    """Id, size, checksum, coordinates, hashes of text and row, and the node: 0 for all."""
     text = F.coalesce("text", F.lit(""))
-    dims = [d.alias(f"d{i}") for i, d in enumerate(dimensions(text))]
-    return cut_lineage(
-        docs.select(
-            "doc_id",
-            (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.shiftrightunsigned(F.xxhash64(text), 64 - TEXT_BITS).alias("text_hash"),
-            F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 64 - ID_BITS).alias("id_hash"),
-            *dims,
-        )
+    return docs.select(
+        "doc_id",
+        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.shiftrightunsigned(F.xxhash64(text), 64 - TEXT_BITS).alias("text_hash"),
+        F.lit(False).alias("splits"),
+        F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.monotonically_increasing_id()), 64 - ROW_BITS).alias("row_hash"),
+        F.lit(0).alias("node"),
+        *[d.alias(f"d{i}") for i, d in enumerate(dimensions(text))],
     )
 
 
-def _below(dim: int, cut: tuple[int, int, int]) -> Column:
-    d, t, i = (F.lit(x) for x in cut)
-    c, th, ih = F.col(f"d{dim}"), F.col("text_hash"), F.col("id_hash")
-    return (c < d) | ((c == d) & ((th < t) | ((th == t) & (ih < i))))
-
-
-def locate(node: Node) -> Column:
-    """The number of the leaf a row falls into, as nested CASE over the tree's cuts."""
-    if node.cut is None:
-        return F.lit(node.first)
-    return F.when(_below(node.dim, node.cut), locate(node.left)).otherwise(locate(node.right))
-
-
-def _cuts(rows: DataFrame, want: dict[int, float], part: str, ranges: dict[int, tuple[int, int]], slack: float) -> dict[int, tuple[int, int, float, float]]:
-    """Per node: start and width of the class of ``part`` that holds its quantile, bytes below it and in it.
-
-    ``rows`` has ``node, size`` and ``part``; ``want`` is the number of bytes that go left,
-    ``ranges`` are first value and width to look at. Each pass cuts the class found by the
-    pass before into ``BINS``, until it holds at most ``slack`` bytes or is one value.
-    """
-    found = {n: (*ranges[n], 0.0, float("inf")) for n in want}
-    while active := [n for n, (_, width, _, here) in found.items() if width > 1 and here > slack]:
-        steps = {n: -(-found[n][1] // BINS) for n in active}
-        offset = F.col(part) - _of_node({n: found[n][0] for n in active})
-        inside = rows.where(F.col("node").isin(active) & (offset >= 0) & (offset < _of_node({n: found[n][1] for n in active})))
-        bins = inside.groupBy("node", F.floor(offset / _of_node(steps)).cast("long").alias("bin")).agg(F.sum("size").alias("bytes"))
-        upto = F.sum("bytes").over(Window.partitionBy("node").orderBy("bin"))
-        goal = _of_node({n: float(want[n] - found[n][2]) for n in active})
-        best = bins.withColumn("upto", upto).where(F.col("upto") >= goal).groupBy("node").agg(F.min(F.struct("bin", "bytes", "upto")).alias("b"))
-        for r in best.collect():  # at most one row per node
-            n, at = r["node"], r["b"]
-            start, _, below, _ = found[n]
-            found[n] = (start + at["bin"] * steps[n], steps[n], below + at["upto"] - at["bytes"], float(at["bytes"]))
+def _point(dims: int) -> Column:
+    """The place of a row along the dimension named by ``dim``."""
+    coordinate = F.coalesce(*[F.when(F.col("dim") == i, F.col(f"d{i}")) for i in range(dims)])
+    return F.shiftleft(coordinate, TEXT_BITS) + F.col("text_hash")
+
+
+def _quantiles(rows: DataFrame, ranges: dict[int, Found], goals: dict[int, float], light: float) -> dict[int, Found]:
+    """Per node the class of ``key`` in which the bytes reach the goal; ``rows`` has ``node, key, size``."""
+    spark, found = rows.sparkSession, dict(ranges)
+    while active := [n for n, f in found.items() if f.width > 1 and (f.rows == 0 or f.bytes > light)]:
+        asks = [(n, found[n].low, found[n].width, -(-found[n].width // BINS), float(goals[n] - found[n].below)) for n in active]
+        small = F.broadcast(spark.createDataFrame(asks, "node int, low long, width long, step long, goal double"))  # a row per node
+        inside = rows.join(small, "node").withColumn("offset", F.col("key") - F.col("low")).where("offset >= 0 AND offset < width")
+        bins = inside.groupBy("node", F.expr("offset div step").alias("bin")).agg(
+            F.first("goal").alias("goal"), F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most"), F.max("splits").alias("splits")
+        )
+        order = Window.partitionBy("node").orderBy("bin")  # at most BINS rows
+        bins = bins.withColumn("upto", F.sum("bytes").over(order)).withColumn("rows", F.sum("n").over(order))
+        last = F.lead("bin").over(order).isNull()
+        reached = bins.withColumn("last", last).where("upto >= goal OR last").groupBy("node").agg(F.min(F.struct("bin", "bytes", "n", "least", "most", "upto", "rows", "splits")).alias("b"))
+        for r in reached.collect():  # a row per node
+            f, b = found[r["node"]], r["b"]
+            found[r["node"]] = Found(b["least"], b["most"] - b["least"] + 1, f.rows_below + b["rows"] - b["n"], f.below + b["upto"] - b["bytes"], b["n"], b["bytes"], b["splits"])
     return found
 
 
-def _of_node(values: dict[int, int]) -> Column:
-    return F.create_map(*[F.lit(x) for n, v in values.items() for x in (n, v)])[F.col("node")]
-
-
-def _settle(nodes: dict[int, Node], found: dict, want: dict[int, float], slack: float, cut) -> dict[int, float]:
-    """Cuts beside a value that is light enough, on the side closer to the quantile.
-
-    Returns what is still wanted of the values that must be cut themselves.
-    """
-    heavy = {}
-    for n, (value, width, below, here) in found.items():
-        short = want[n] - below
-        if here <= slack:
-            nodes[n].cut = cut(n, value if short <= here - short else value + width)
-        else:
-            heavy[n] = short
-    return heavy
-
-
-def build(narrow: DataFrame, shards: int) -> Node:
-    """The tree: one level of all nodes at a time."""
-    total = narrow.agg(F.sum("size")).head()[0] or 0
-    root = Node(0, shards)
-    open_nodes = [root] if shards > 1 and total else []
-    dims = [c for c in narrow.columns if c.startswith("d") and c[1:].isdigit()]
-    slack = POINT_SHARE * total / shards
-    while open_nodes:
-        by_first = {n.first: n for n in open_nodes}
-        rows = narrow.withColumn("node", locate(root)).where(F.col("node").isin(list(by_first)))
-        spans = rows.groupBy("node").agg(F.sum("size").alias("bytes"), *[F.struct(F.min(d).alias("low"), (F.max(d) - F.min(d)).alias("span")).alias(d) for d in dims])
-        want: dict[int, float] = {}
-        ranges: dict[int, tuple[int, int]] = {}
-        for r in spans.collect():  # at most one row per node
-            n = by_first[r["node"]]
-            n.dim = max(range(len(dims)), key=lambda i: (r[dims[i]]["span"], -i))
-            # at least two values wide, so that a pass counts even where all values are equal
-            ranges[n.first] = (r[dims[n.dim]]["low"], r[dims[n.dim]]["span"] + 2)
-            want[n.first] = r["bytes"] * (n.k // 2) / n.k
-        empty = [n for n in open_nodes if n.first not in want]
-        pick = F.coalesce(*[F.when(F.col("node") == f, F.col(dims[by_first[f].dim])) for f in want]) if want else F.lit(0)
-        rows = rows.withColumn("c", pick.cast("long"))
-        coord = _cuts(rows, want, "c", ranges, slack)
-        heavy = _settle(by_first, coord, want, slack, lambda n, value: (value, 0, 0))
-        if heavy:  # one coordinate holds too much: cut between its texts
-            ties = rows.where(F.col("c") == _of_node({n: coord[n][0] for n in heavy}))
-            texts = _cuts(ties, heavy, "text_hash", dict.fromkeys(heavy, (0, 1 << TEXT_BITS)), slack)
-            heavier = _settle(by_first, texts, heavy, slack, lambda n, value: (coord[n][0], value, 0))
-            if heavier:  # one text holds too much: cut between its documents
-                ties = ties.where(F.col("text_hash") == _of_node({n: texts[n][0] for n in heavier}))
-                ids = _cuts(ties, heavier, "id_hash", dict.fromkeys(heavier, (0, 1 << ID_BITS)), slack)
-                _settle(by_first, ids, heavier, float("inf"), lambda n, value: (coord[n][0], texts[n][0], value))
-        following = []
-        for n in open_nodes:
-            if n in empty:  # no rows: any cut will do
-                n.dim, n.cut = 0, (0, 0, 0)
-            n.left, n.right = Node(n.first, n.k // 2), Node(n.first + n.k // 2, n.k - n.k // 2)
-            following += [c for c in (n.left, n.right) if c.k > 1]
-        open_nodes = following
-    return root
+def _dealt(node: Node, dim: int, point: int, row: int, rows: int, size: int, target: float) -> Cut:
+    """The cut with ``rows`` rows of ``size`` bytes to the left, and its shards."""
+    left = round(node.k * size / node.bytes) if node.bytes else 1
+    if node.rows >= node.k:
+        left = min(max(left, node.k - (node.rows - rows)), rows)
+    left = min(max(left, 1), node.k - 1)
+    even = node.bytes / node.k
+    off = max(abs(size / left - even), abs((node.bytes - size) / (node.k - left) - even)) / target
+    return Cut(node.first, dim, point, row, left, off)
+
+
+def _level(rows: DataFrame, nodes: list[Node], target: float, light: float, dims: int) -> dict[int, Cut]:
+    """A cut for every node of a level."""
+    spark, best = rows.sparkSession, {}
+    for turn in range(dims):
+        open_nodes = {n.first: n for n in nodes if n.first not in best or best[n.first].off > UNEVEN}
+        if not open_nodes:
+            break
+        goals = {f: n.bytes * (n.k // 2) / n.k for f, n in open_nodes.items()}
+        chosen = F.broadcast(spark.createDataFrame([(f, n.dims[turn][0]) for f, n in open_nodes.items()], "node int, dim int"))  # a row per node
+        along = rows.join(chosen, "node").withColumn("key", _point(dims))
+        ranges = {f: Found(n.dims[turn][1] << TEXT_BITS, (n.dims[turn][2] - n.dims[turn][1] + 1) << TEXT_BITS) for f, n in open_nodes.items()}
+        points = _quantiles(along, ranges, goals, light)
+        heavy = {}
+        for f, n in open_nodes.items():
+            p, dim = points[f], n.dims[turn][0]
+            options = [_dealt(n, dim, p.low, 0, p.rows_below, p.below, target), _dealt(n, dim, p.low + p.width, 0, p.rows_below + p.rows, p.below + p.bytes, target)]
+            cut = min(options, key=lambda c: c.off)
+            if f not in best or cut.off < best[f].off:
+                best[f] = cut
+            if p.width == 1 and p.splits and p.rows > 1 and p.bytes > light:
+                heavy[f] = p
+        if heavy:  # a text that no shard can hold
+            at = F.broadcast(spark.createDataFrame([(f, p.low) for f, p in heavy.items()], "node int, heavy long"))  # a row per node
+            within = along.join(at, "node").where("key = heavy").select("node", "size", "splits", F.col("row_hash").alias("key"))
+            full = {f: Found(0, 1 << ROW_BITS) for f in heavy}
+            for f, r in _quantiles(within, full, {f: goals[f] - p.below for f, p in heavy.items()}, light).items():
+                p, n = heavy[f], open_nodes[f]
+                for row, count, size in ((r.low, r.rows_below, r.below), (r.low + r.width, r.rows_below + r.rows, r.below + r.bytes)):
+                    cut = _dealt(n, n.dims[turn][0], p.low, row, p.rows_below + count, p.below + size, target)
+                    if cut.off < best[f].off:
+                        best[f] = cut
+    return best
+
+
+def _spans(rows: DataFrame, k_of: dict[int, int], dims: int) -> list[Node]:
+    """The nodes that are still to be cut: more than one shard and more than one row."""
+    ends = [F.struct(F.min(f"d{i}").alias("low"), F.max(f"d{i}").alias("high")).alias(f"d{i}") for i in range(dims)]
+    out = []
+    for r in rows.where(F.col("node").isin(list(k_of))).groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *ends).collect():  # a row per node
+        wide = sorted(((i, r[f"d{i}"]["low"], r[f"d{i}"]["high"]) for i in range(dims - 1)), key=lambda d: (d[1] - d[2], d[0]))
+        if r["n"] > 1:
+            out.append(Node(r["node"], k_of[r["node"]], r["n"], r["bytes"], [*wide, (dims - 1, r[f"d{dims - 1}"]["low"], r[f"d{dims - 1}"]["high"])]))
+    return out
+
+
+def partitioned(narrow: DataFrame, shards: int, stages: Stages, *, light: float = LIGHT) -> DataFrame:
+    """``narrow`` with the number of each row's shard as ``node``: one level of all nodes at a time."""
+    dims = len([c for c in narrow.columns if c.startswith("d") and c[1:].isdigit()])
+    rows = stages.cut(narrow)
+    target = (rows.agg(F.sum("size")).head()[0] or 0) / shards
+    # heavier than a shard: fewer than ``shards`` texts
+    large = rows.groupBy("text_hash").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > target).select("text_hash", F.lit(True).alias("large"))
+    rows = rows.join(F.broadcast(large), "text_hash", "left").withColumn("splits", F.coalesce("large", F.lit(False))).select(narrow.columns)
+    rows = stages.cut(rows)
+    k_of = {0: shards} if shards > 1 else {}
+    while k_of and (nodes := _spans(rows, k_of, dims)):
+        cuts = _level(rows, nodes, target, light * target, dims)
+        table = [(c.node, c.dim, c.point, c.row, c.node + c.left) for c in cuts.values()]
+        small = F.broadcast(rows.sparkSession.createDataFrame(table, "node int, dim int, point long, row long, right int"))  # a row per node
+        right = (F.col("key") > F.col("point")) | ((F.col("key") == F.col("point")) & (F.col("row_hash") >= F.col("row")))
+        met = rows.join(small, "node", "left").withColumn("key", _point(dims)).withColumn("node", F.when(right, F.col("right")).otherwise(F.col("node")))
+        before, rows = rows, stages.cut(met.select(rows.columns))
+        stages.drop(before)
+        k_of = {f: k for n in nodes for f, k in ((n.first, cuts[n.first].left), (n.first + cuts[n.first].left, n.k - cuts[n.first].left)) if k > 1}
+    return rows
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
-    """Adds ``slot``, counted from 0 within ``shard``; rows in the order of ids' hashes."""
-    rows = rows.withColumn("block", F.shiftrightunsigned("id_hash", ID_BITS - (BLOCKS - 1).bit_length()).cast("int"))
+    """Adds ``slot``, counted from 0 within ``shard``; rows in the order of their hashes."""
+    rows = rows.withColumn("block", F.shiftrightunsigned("row_hash", ROW_BITS - (BLOCKS - 1).bit_length()).cast("int"))
     counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("shard", "block", before.alias("before"))
-    place = F.row_number().over(Window.partitionBy("shard", "block").orderBy("id_hash", "doc_id", "text_hash", "size"))
+    place = F.row_number().over(Window.partitionBy("shard", "block").orderBy("row_hash", "doc_id", "text_hash", "size"))
     # counts has at most shards * BLOCKS rows
     return rows.withColumn("place", place).join(F.broadcast(counts), ["shard", "block"]).withColumn("slot", F.col("before") + F.col("place") - 1)
 
 
-def kd_shards(docs: DataFrame, *, shards: int = 40) -> DataFrame:
+def kd_shards(docs: DataFrame, *, shards: int = 40, light: float = LIGHT) -> DataFrame:
     """One row per document: its size, checksum, shard and slot under the law ``bytes``."""
-    narrow = narrow_of(docs)
-    placed = narrow.withColumn("shard", locate(build(narrow, shards)).cast("int"))
-    return with_slots(placed).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
-
-
-def leaves(node: Node) -> list[Node]:
-    return [node] if node.cut is None else reduce(lambda a, b: a + b, [leaves(node.left), leaves(node.right)])
+    with Stages(docs.sparkSession) as stages:
+        placed = with_slots(partitioned(narrow_of(docs), shards, stages, light=light).withColumnRenamed("node", "shard"))
+        return cut_lineage(
+            placed.select(
+                "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+            )
+        )

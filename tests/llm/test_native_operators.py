@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 from reelweave.llm import fingerprints, mixing, queries, sharding
+from reelweave.session import Stages
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, key int"
 SF = "/root/testdata/sf0.001"
@@ -154,6 +155,13 @@ def test_shards_of_odd_rows(spark):
     check_shards(docs.collect(), sharding.kd_shards(docs, shards=1).collect(), 1)
 
 
+def homes_of(rows):
+    homes = defaultdict(set)
+    for r in rows:
+        homes[(r["text_crc32"], r["size"])].add(r["shard"])
+    return homes
+
+
 def test_shards_balance_and_keep_copies(spark):
     hot = [(i, "hot text " * 10, None, None, 0, None, 0) for i in range(1500)]
     rest = [(10_000 + i, f"text {i % 900} " * (1 + i % 11), None, None, 0, None, 0) for i in range(3000)]
@@ -162,8 +170,74 @@ def test_shards_balance_and_keep_copies(spark):
     loads = check_shards(docs.collect(), rows, 13)
     mean = sum(loads.values()) / 13
     assert len(loads) == 13 and max(loads.values()) < 1.05 * mean and min(loads.values()) > 0.95 * mean
-    homes = defaultdict(set)
-    for r in rows:
-        homes[(r["text_crc32"], r["size"])].add(r["shard"])
     hot_key = (zlib.crc32(("hot text " * 10).encode()), len("hot text " * 10) + 16)
-    assert all(len(v) == 1 for k, v in homes.items() if k != hot_key)
+    homes = homes_of(rows)
+    assert len(homes.pop(hot_key)) > 1
+    assert all(len(v) == 1 for v in homes.values())
+
+
+def test_groups_near_a_cut_stay_together(spark):
+    # every text has 12 copies: 10 % of a shard
+    docs = spark.createDataFrame([(i, f"text {i % 300} " * 4, None, None, 0, None, 0) for i in range(3600)], DOCS)
+    rows = sharding.kd_shards(docs, shards=30).collect()
+    loads = check_shards(docs.collect(), rows, 30)
+    mean = sum(loads.values()) / 30
+    assert all(len(v) == 1 for v in homes_of(rows).values())
+    assert len(loads) == 30 and max(loads.values()) < 1.12 * mean and min(loads.values()) > 0.88 * mean
+
+
+def test_null_and_repeated_ids_share_a_text(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 5, "same text", None, None, 0, None, 0) for i in range(400)], DOCS)
+    loads = check_shards(docs.collect(), sharding.kd_shards(docs, shards=4).collect(), 4)
+    assert len(loads) == 4 and max(loads.values()) < 1.1 * sum(loads.values()) / 4
+
+
+def brute_tree(rows, shards):
+    """Shard of every row, cut by cut over sorted lists of points; no text is larger than a shard."""
+    dims, target = 4, sum(r["size"] for r in rows) / shards
+    point = lambda r, d: (r[f"d{d}"] << sharding.TEXT_BITS) + r["text_hash"]
+    out = {}
+
+    def place(part, first, k):
+        if k == 1 or len(part) < 2:
+            out.update({r["row_hash"]: first for r in part})
+            return
+        total = sum(r["size"] for r in part)
+        wide = sorted(range(dims - 1), key=lambda d: (min(r[f"d{d}"] for r in part) - max(r[f"d{d}"] for r in part), d)) + [dims - 1]
+        best = None
+        for d in wide:
+            per = Counter()
+            for r in part:
+                per[point(r, d)] += r["size"]
+            upto = 0
+            for p in sorted(per):
+                if upto + per[p] >= total * (k // 2) / k:
+                    break
+                upto += per[p]
+            for end in (p, p + 1):
+                lower = [r for r in part if point(r, d) < end]
+                size = sum(r["size"] for r in lower)
+                left = round(k * size / total)
+                if len(part) >= k:
+                    left = min(max(left, k - (len(part) - len(lower))), len(lower))
+                left = min(max(left, 1), k - 1)
+                off = max(abs(size / left - total / k), abs((total - size) / (k - left) - total / k)) / target
+                if best is None or off < best[0]:
+                    best = (off, d, end, left)
+            if best[0] <= sharding.UNEVEN:
+                break
+        _, d, end, left = best
+        place([r for r in part if point(r, d) < end], first, left)
+        place([r for r in part if point(r, d) >= end], first + left, k - left)
+
+    place(rows, 0, shards)
+    return out
+
+
+def test_shards_against_a_tree_over_lists(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 70} é\n" * (1 + i % 9) + "x" * (i % 5) * 40, None, None, 0, None, 0) for i in range(700)], DOCS)
+    with Stages(spark) as stages:
+        narrow = stages.cut(sharding.narrow_of(docs))
+        got = sharding.partitioned(narrow, 11, stages, light=0.0).collect()
+        want = brute_tree(narrow.collect(), 11)
+    assert {r["row_hash"]: r["node"] for r in got} == want
