@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelweave.session import cut_lineage
 
-__all__ = ["BATCH_ROWS", "WORD", "bounded_batches", "connected_components", "cut_lineage", "held_out", "labelled_sample", "read_table", "source_key", "word_count"]
+__all__ = ["BATCH_ROWS", "WORD", "bounded_batches", "connected_components", "cut_lineage", "held_out", "labelled_sample", "read_table", "small_table", "source_key", "word_count"]
 
 #: Rows of texts that Python gets at once.
 BATCH_ROWS = 1024
@@ -19,6 +21,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a table made by SQL alone: one literal, no Python worker."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    held = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(held), "array<struct<" + ", ".join(c.replace(" ", ":") for c in schema.split(", ")) + ">>")))
+
+
 def bounded_batches(rows: DataFrame) -> DataFrame:
     """``rows``, whose session hands Python at most BATCH_ROWS rows at a time from now on.
 

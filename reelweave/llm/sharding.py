@@ -34,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelweave.llm.common import cut_lineage
+from reelweave.llm.common import cut_lineage, small_table
 from reelweave.session import Stages
 
 BINS = 1 << 14
@@ -123,7 +123,7 @@ def _quantiles(rows: DataFrame, ranges: dict[int, Found], goals: dict[int, float
     spark, found = rows.sparkSession, dict(ranges)
     while active := [n for n, f in found.items() if f.width > 1 and (f.rows == 0 or f.bytes > light)]:
         asks = [(n, found[n].low, found[n].width, -(-found[n].width // BINS), float(goals[n] - found[n].below)) for n in active]
-        small = F.broadcast(spark.createDataFrame(asks, "node int, low long, width long, step long, goal double"))  # a row per node
+        small = F.broadcast(small_table(spark, asks, "node int, low long, width long, step long, goal double"))  # a row per node
         inside = rows.join(small, "node").withColumn("offset", F.col("key") - F.col("low")).where("offset >= 0 AND offset < width")
         bins = inside.groupBy("node", F.expr("offset div step").alias("bin")).agg(
             F.first("goal").alias("goal"), F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most"), F.max("splits").alias("splits")
@@ -157,7 +157,7 @@ def _level(rows: DataFrame, nodes: list[Node], target: float, light: float, dims
         if not open_nodes:
             break
         goals = {f: n.bytes * (n.k // 2) / n.k for f, n in open_nodes.items()}
-        chosen = F.broadcast(spark.createDataFrame([(f, n.dims[turn][0]) for f, n in open_nodes.items()], "node int, dim int"))  # a row per node
+        chosen = F.broadcast(small_table(spark, [(f, n.dims[turn][0]) for f, n in open_nodes.items()], "node int, dim int"))  # a row per node
         along = rows.join(chosen, "node").withColumn("key", _point(dims))
         ranges = {f: Found(n.dims[turn][1] << TEXT_BITS, (n.dims[turn][2] - n.dims[turn][1] + 1) << TEXT_BITS) for f, n in open_nodes.items()}
         points = _quantiles(along, ranges, goals, light)
@@ -171,7 +171,7 @@ def _level(rows: DataFrame, nodes: list[Node], target: float, light: float, dims
             if p.width == 1 and p.splits and p.rows > 1 and p.bytes > light:
                 heavy[f] = p
         if heavy:  # a text that no shard can hold
-            at = F.broadcast(spark.createDataFrame([(f, p.low) for f, p in heavy.items()], "node int, heavy long"))  # a row per node
+            at = F.broadcast(small_table(spark, [(f, p.low) for f, p in heavy.items()], "node int, heavy long"))  # a row per node
             within = along.join(at, "node").where("key = heavy").select("node", "size", "splits", F.col("row_hash").alias("key"))
             full = {f: Found(0, 1 << ROW_BITS) for f in heavy}
             for f, r in _quantiles(within, full, {f: goals[f] - p.below for f, p in heavy.items()}, light).items():
@@ -207,7 +207,7 @@ def partitioned(narrow: DataFrame, shards: int, stages: Stages, *, light: float
     while k_of and (nodes := _spans(rows, k_of, dims)):
         cuts = _level(rows, nodes, target, light * target, dims)
         table = [(c.node, c.dim, c.point, c.row, c.node + c.left) for c in cuts.values()]
-        small = F.broadcast(rows.sparkSession.createDataFrame(table, "node int, dim int, point long, row long, right int"))  # a row per node
+        small = F.broadcast(small_table(rows.sparkSession, table, "node int, dim int, point long, row long, right int"))  # a row per node
         right = (F.col("key") > F.col("point")) | ((F.col("key") == F.col("point")) & (F.col("row_hash") >= F.col("row")))
         met = rows.join(small, "node", "left").withColumn("key", _point(dims)).withColumn("node", F.when(right, F.col("right")).otherwise(F.col("node")))
         before, rows = rows, stages.cut(met.select(rows.columns))
