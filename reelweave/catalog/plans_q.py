@@ -13,6 +13,8 @@ from reelweave.catalog.ranking import RN
 from reelweave.catalog.registry import cte, ctes, query
 from reelweave.catalog.text_q import keyword_list, norm_search
 from reelweave.catalog.timeline_q import core_hits, videos
+from reelweave.catalog.vectors_q import _sims_sql as sims_sql
+from reelweave.catalog.vectors_q import clause_queries
 from reelweave.functions import text as tx
 from reelweave.operators import lexical as lx
 from reelweave.plans import search as ps
@@ -51,9 +53,9 @@ def _derived(names: list[str], mode: str) -> None:
         cte(f"{name}_{mode}", body.replace("< 20)", "< 75)"), *[f"{n}_{mode}" if n in names else n for n in needs])
 
 
-def _search_twin(mode: str, where: str, weights: str) -> None:
+def _search_twin(mode: str, where: str, weights: str, source: str = "mode_signals") -> None:
     """Late fusion of a mode: its rows, lane weights, bonuses, event votes and order."""
-    cte(f"rows_{mode}", f"SELECT * FROM mode_signals WHERE {where}", "mode_signals")
+    cte(f"rows_{mode}", f"SELECT * FROM {source} WHERE {where}", source)
     cte(f"weights_{mode}", weights.format(rows=f"rows_{mode}"), f"rows_{mode}", "lane_config")
     cte(
         f"cut_{mode}",
@@ -178,6 +180,161 @@ def known_item_search_visual(spark, d):
     return kis(spark, d, mode="only_visual")
 
 
+# Video lock for odd queries; every fourth of them (1, 5, 9) tells its clauses in order.
+LOCK = {"shortlist": 6, "local_videos": 4, "visual_quota": 2, "text_quota": 1, "event_limit": 32, "promote": 2, "frames_per_video": 8, "captions_per_video": 3, "protect": 5, "rescues": 4}
+cte("rows_short", "SELECT * FROM signals WHERE query_id % 2 = 1", "signals")
+cte(
+    "votes_short",
+    """SELECT s.query_id, s.lane, s.video_id, s.frame_id, s.rank, e.event_id, coalesce(weight, 1.0) / (30 + s.rank) AS vote
+FROM rows_short s LEFT JOIN lane_config USING (lane) JOIN frame_events e USING (video_id, frame_id)""",
+    "rows_short",
+    "lane_config",
+    "frame_events",
+)
+_derived(["votes", "ranked_events"], "short")
+cte(
+    "lock_seeds",
+    """SELECT *, CASE WHEN n <= CASE WHEN lane LIKE 'visual%' THEN 2 WHEN lane IN ('ocr', 'audio', 'caption') THEN 1 ELSE 0 END THEN 1 ELSE 0 END AS seed FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, lane ORDER BY best, video_id) AS n FROM (
+    SELECT query_id, lane, video_id, min(rank) AS best FROM rows_short GROUP BY ALL)) LEFT JOIN lane_config USING (lane)""",
+    "rows_short",
+    "lane_config",
+)
+cte(
+    "lock_list",
+    f"""SELECT * FROM (SELECT query_id, video_id, {RN.format(o='band, o, video_id')} AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY band, o) AS n FROM (
+    SELECT query_id, video_id, 0 AS band, row_number() OVER (PARTITION BY query_id ORDER BY best, video_id) AS o FROM (SELECT query_id, video_id, min(rank) AS best FROM rows_short WHERE lane = 'ocr' AND query_id % 3 = 0 GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY best, video_id) <= 2
+    UNION ALL SELECT query_id, video_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, CASE WHEN s = 1 THEN b END NULLS LAST, score DESC, video_id) FROM (
+      SELECT query_id, video_id, max(seed) AS s, min(best) AS b, round(sum(coalesce(weight, 1.0) / (30 + best)), 9) AS score FROM lock_seeds GROUP BY ALL)
+    UNION ALL SELECT query_id, video_id, 2, row_number() OVER (PARTITION BY query_id ORDER BY best, video_id) FROM (SELECT query_id, video_id, min(rank) AS best FROM ranked_events_short WHERE rank <= 32 GROUP BY ALL))) WHERE n = 1) WHERE rank <= 6""",
+    "rows_short",
+    "lock_seeds",
+    "ranked_events_short",
+)
+cte(
+    "lock_hits",
+    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lane, video_id ORDER BY score DESC, frame_id) AS rank FROM (
+  SELECT query_id, lane, video_id, frame_id, score FROM scored WHERE lane LIKE 'visual%' OR lane = 'caption'
+  UNION ALL SELECT query_id, 'visual_siglip2__clause' || clause, video_id, frame_id, round(list_cosine_similarity(embedding, qv), 6) FROM frames, clause_vectors)
+  JOIN (SELECT query_id, video_id, rank AS place FROM lock_list) USING (query_id, video_id) WHERE place <= 4) WHERE rank <= CASE WHEN lane = 'caption' THEN 3 ELSE 8 END""",
+    "scored",
+    "frames",
+    "clause_vectors",
+    "lock_list",
+)
+cte(
+    "local_votes_lock",
+    """SELECT b.query_id, b.lane, b.video_id, b.frame_id, b.score, e.event_id, w * (0.25 + 0.75 * CASE WHEN hi - lo > 1e-12 THEN (score - lo) / (hi - lo)
+   ELSE greatest(0.0, least(1.0, CASE WHEN mean > 0 THEN score / mean ELSE 1.0 END)) END) AS vote FROM (
+  SELECT *, min(score) OVER l AS lo, max(score) OVER l AS hi, avg(score) OVER l AS mean FROM lock_hits WINDOW l AS (PARTITION BY query_id, lane)) b
+JOIN (SELECT query_id, l.lane, coalesce(weight, 1.0) / CASE WHEN l.lane LIKE '%__clause%' THEN count(*) OVER (PARTITION BY query_id, base, l.lane LIKE '%__clause%') ELSE 1 END AS w FROM (
+  SELECT DISTINCT query_id, lane, split_part(lane, '__clause', 1) AS base FROM lock_hits) l LEFT JOIN lane_config c ON c.lane = l.base) x USING (query_id, lane)
+JOIN frame_events e USING (video_id, frame_id)""",
+    "lock_hits",
+    "lane_config",
+    "frame_events",
+)
+_derived(["local_votes", "local_events", "lane_votes", "clause_events", "cover_temporal", "cover_free", "covered_temporal", "covered_free"], "lock")
+cte("votes_inside", "SELECT * FROM local_votes_lock", "local_votes_lock")
+_derived(["votes", "members", "member_order", "spaced_walk", "diverse"], "inside")
+cte(
+    "lock_covered",
+    """SELECT query_id, video_id, sequence_score, events, row_number() OVER (PARTITION BY query_id ORDER BY sequence_score DESC, coverage DESC, video_id) AS seq FROM (
+  SELECT * FROM covered_temporal_lock WHERE query_id % 4 = 1 UNION ALL SELECT * FROM covered_free_lock WHERE query_id % 4 <> 1)""",
+    "covered_temporal_lock",
+    "covered_free_lock",
+)
+cte(
+    "lock_events",
+    """SELECT query_id, video_id, event_id, row_number() OVER (PARTITION BY query_id ORDER BY band, a, b) AS o FROM (
+  SELECT query_id, video_id, unnest(ev) AS event_id, 0 AS band, seq AS a, unnest(range(0, len(ev))) AS b FROM (
+    SELECT query_id, video_id, seq, CASE WHEN events[1] = events[2] THEN events[1:1] ELSE events END AS ev FROM lock_covered)
+  UNION ALL SELECT query_id, video_id, event_id, 1, rank, 0 FROM local_events_lock l WHERE NOT EXISTS (
+    SELECT 1 FROM lock_covered c WHERE c.query_id = l.query_id AND c.video_id = l.video_id AND list_contains(c.events, l.event_id)))""",
+    "lock_covered",
+    "local_events_lock",
+)
+cte(
+    "lock_rescues",
+    """SELECT query_id, video_id, frame_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN e > 10 THEN 1 ELSE 0 END, m, e) AS o FROM (
+  SELECT query_id, video_id, frame_id, row_number() OVER (PARTITION BY query_id, video_id, event_id ORDER BY member_rank) AS m, dense_rank() OVER (PARTITION BY query_id ORDER BY e.o) AS e
+  FROM diverse_inside d JOIN lock_events e USING (query_id, video_id, event_id) JOIN total_all t USING (query_id, video_id, frame_id))""",
+    "diverse_inside",
+    "lock_events",
+    "total_all",
+)
+cte(
+    "ordered_lock",
+    """SELECT query_id, video_id, frame_id, score, row_number() OVER (PARTITION BY query_id ORDER BY band, o) AS o FROM (
+  SELECT b.query_id, b.video_id, b.frame_id, b.score, CASE WHEN b.o <= 5 THEN 0 WHEN r.n IS NOT NULL THEN 1 ELSE 2 END AS band, CASE WHEN b.o <= 5 OR r.n IS NULL THEN b.o ELSE r.n END AS o FROM ordered_all b LEFT JOIN (
+    SELECT query_id, video_id, frame_id, row_number() OVER (PARTITION BY query_id ORDER BY o) AS n FROM lock_rescues r WHERE NOT EXISTS (
+      SELECT 1 FROM ordered_all b WHERE b.o <= 5 AND b.query_id = r.query_id AND b.video_id = r.video_id AND b.frame_id = r.frame_id)
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o) <= 4) r ON b.query_id = r.query_id AND b.video_id = r.video_id AND b.frame_id = r.frame_id)""",
+    "ordered_all",
+    "lock_rescues",
+)
+
+
+def video_lock(spark, d):
+    """Odd queries are locked; 3 and 9 ask for screen text, 1, 5 and 9 tell clauses in order."""
+    ids = st.query_vectors(spark, d, ["visual_siglip2"]).select("query_id").distinct()
+    queries = ids.select(
+        "query_id",
+        F.when(F.pmod("query_id", F.lit(2)) == 1, "video_lock").otherwise("standard").alias("mode"),
+        F.when(F.pmod("query_id", F.lit(3)) == 0, "the slide with a title").otherwise("a person walks").alias("normalized"),
+        (F.pmod("query_id", F.lit(4)) == 1).alias("temporal"),
+    )
+    lanes = [*st.VISUAL_LANES, "caption"]
+    whole = st.query_vectors(spark, d, lanes).select("query_id", F.lit(0).cast("bigint").alias("clause"), "lane", "qv")
+    clauses = clause_queries(spark, d).select("query_id", F.col("clause").cast("bigint").alias("clause"), "lane", "qv")
+    return ps.Lock(queries, st.lane_vectors(spark, d, lanes), whole.unionByName(clauses), **LOCK)
+
+
+@query("known_item_search_locked", _KIS_TAIL.format(rn=RN.format(o="o"), base="SELECT * FROM ordered_lock"), ("ordered_lock", "videos"))
+def known_item_search_locked(spark, d):
+    """Locked and plain queries in one job: rescues from inside the shortlisted videos."""
+    return ps.known_item_search(
+        st.stored_signals(spark, d), st.lanes(spark), st.frame_events(spark, d), videos(spark, d), label_intents(spark, d), lock=video_lock(spark, d)
+    )
+
+
+# Speech and caption hits as ranges of 40 frames, put on frames found by the other lanes.
+cte(
+    "snapped_signals",
+    """SELECT query_id, lane, video_id, frame_id, score, rank FROM mode_signals WHERE lane NOT IN ('audio', 'caption')
+UNION ALL SELECT query_id, lane, video_id, frame_id, score, rank FROM (
+  SELECT query_id, lane, video_id, coalesce((SELECT min(m.frame_id) FROM mode_signals m WHERE m.lane NOT IN ('audio', 'caption') AND m.query_id = s.query_id AND m.video_id = s.video_id
+    AND m.frame_id >= s.frame_id AND m.frame_id < s.frame_id + 40), s.frame_id) AS frame_id, score, rank FROM signals s WHERE lane IN ('audio', 'caption'))
+QUALIFY row_number() OVER (PARTITION BY query_id, lane, video_id, frame_id ORDER BY rank) = 1""",
+    "mode_signals",
+    "signals",
+)
+_search_twin("snapped", "true", _OWN, "snapped_signals")
+cte("final_snapped", _late("snapped"), "ordered_snapped", "videos")
+cte("final_sims", sims_sql("final_snapped"), "final_snapped", "lane_vectors", "query_vectors")
+
+
+@query(
+    "known_item_search_evidence",
+    f"""SELECT query_id, video_id, frame_id, score, timestamp_seconds, {RN.format(o='rank > 20, raw DESC NULLS LAST, rank')} AS rank, visual_score, ocr_score, audio_score, caption_score FROM (
+  SELECT f.*, CASE WHEN rank <= 20 THEN coalesce(raw, 0.0) END AS raw FROM final_snapped f LEFT JOIN (
+    SELECT query_id, video_id, frame_id, round(sum(sim * CASE lane WHEN 'visual_pe_core' THEN 1.0 ELSE 0.5 END::DOUBLE), 6) AS raw FROM final_sims WHERE lane IN ('visual_pe_core', 'visual_beit3') GROUP BY ALL) USING (query_id, video_id, frame_id))
+JOIN (SELECT query_id, video_id, frame_id, max(score) FILTER (lane LIKE 'visual%') AS visual_score, max(score) FILTER (lane LIKE 'ocr%') AS ocr_score, max(score) FILTER (lane = 'audio') AS audio_score,
+  max(score) FILTER (lane = 'caption') AS caption_score FROM rows_snapped GROUP BY ALL) USING (query_id, video_id, frame_id)""",
+    ("final_snapped", "final_sims", "rows_snapped"),
+)
+def known_item_search_evidence(spark, d):
+    """Time ranges snapped to frames, head re-ordered by raw cosines, one score per modality."""
+    lanes = ["visual_pe_core", "visual_beit3"]
+    signals = st.stored_signals(spark, d).withColumn("end_frame_id", F.when(F.col("lane").isin("audio", "caption"), F.col("frame_id") + 40))
+    rescore = ps.Rescore(st.lane_vectors(spark, d, lanes), st.query_vectors(spark, d, lanes), {"visual_pe_core": 1.0, "visual_beit3": 0.5}, 20)
+    return ps.known_item_search(
+        signals, st.lanes(spark), st.frame_events(spark, d), videos(spark, d), label_intents(spark, d), ps.SearchOptions(with_modalities=True), rescore=rescore
+    )
+
+
 cte(
     "question_frames",
     """SELECT query_id, video_id, frame_id, u FROM total_all JOIN (

@@ -223,6 +223,21 @@ def align_to_windows(signals: DataFrame, window_frames: int) -> DataFrame:
     ).drop("_r")
 
 
+def snap_to_frames(segments: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Time ranges retargeted to the earliest candidate frame inside [frame_id, end_frame_id).
+
+    ``segments(query_id, lane, video_id, frame_id, end_frame_id, rank, ...)`` without a
+    candidate inside keep their own frame; of those that meet on one frame a lane keeps its best rank.
+    """
+    from reelweave.operators.timeline import asof
+
+    frames = candidates.select("query_id", "video_id", F.col("frame_id").alias("_p")).distinct()
+    found = asof(segments, frames, ["query_id", "video_id"], "frame_id", "_p", [], "forward")
+    inside = F.col("matched_pos") < F.col("end_frame_id")
+    placed = found.withColumn("frame_id", F.when(inside, F.col("matched_pos")).otherwise(F.col("frame_id"))).drop("matched_pos")
+    return best_row(placed, ["query_id", "lane", "video_id", "frame_id"], [F.asc("rank")])
+
+
 # Lane factors of the query intents, by evidence family.
 INTENT_FACTORS = {
     "default": {"visual": 1.0, "audio": 1.0, "ocr": 1.0, "caption": 1.0, "graph": 1.0},

@@ -69,7 +69,7 @@ def ordered_union(parts: Sequence[DataFrame], keys: Sequence[str], order: str =
     ).drop("_old")
 
 
-def protected_merge(base: DataFrame, rescue: DataFrame, head: int, rescues: int, limit: int) -> DataFrame:
+def protected_merge(base: DataFrame, rescue: DataFrame, head: int, rescues: int, limit: int | None) -> DataFrame:
     """Base head, then unseen rescue rows, then the rest of the base (each list read once).
 
     Rescue rows that are already in the base head are dropped before the rescue

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from reelweave.functions.text import REGION_AXES
 from reelweave.operators.fusion import KEY
 from reelweave.operators.ranking import best_row, ranked
-from reelweave.operators.vectors import cell_hits, dot, l2_normalize, norm, vector_top_k
+from reelweave.operators.vectors import cell_hits, dot, in_video_top_n, l2_normalize, norm, vector_top_k
+from reelweave.session import cut_lineage
+
+#: Up to so many hits the frames to look up are sent to all tasks of the vector table.
+BROADCAST_FRAMES = 200_000
+
 
 def clause_top_k(vectors: DataFrame, clause_queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     """Top k per (query, clause, lane): ``clause_queries(query_id, clause, lane, qv)``.
@@ -24,6 +29,21 @@ def clause_top_k(vectors: DataFrame, clause_queries: DataFrame, k: int, threshol
     return hits.withColumn("clause", F.pmod("query_id", F.lit(stride))).withColumn("query_id", F.floor(F.col("query_id") / stride))
 
 
+def clauses_in_videos(vectors: DataFrame, clause_queries: DataFrame, shortlist: DataFrame, n: int) -> DataFrame:
+    """Top n frames of every (query, clause, lane, shortlisted video).
+
+    ``clause_queries(query_id, clause, lane, qv)``; clause 0 is the whole query and keeps the
+    lane's name, the others are lanes ``lane__clauseN`` of their own.
+    """
+    stride = int(clause_queries.agg(F.max("clause")).head()[0] or 0) + 1
+    packed = clause_queries.select((F.col("query_id") * stride + F.col("clause")).alias("query_id"), "lane", "qv")
+    asked = clause_queries.select("query_id", "clause").distinct().join(shortlist.select("query_id", "video_id").distinct(), "query_id")
+    hits = in_video_top_n(vectors, packed, asked.select((F.col("query_id") * stride + F.col("clause")).alias("query_id"), "video_id"), n)
+    clause = F.pmod("query_id", F.lit(stride))
+    lane = F.when(clause == 0, F.col("lane")).otherwise(F.concat("lane", F.lit("__clause"), clause))
+    return hits.withColumn("lane", lane).withColumn("query_id", F.floor(F.col("query_id") / stride))
+
+
 def clause_lanes(base: DataFrame, clauses: DataFrame, label: str = "clause") -> DataFrame:
     """Base lanes plus one re-ranked lane per clause or probe, named ``lane__clauseN``."""
     named = clauses.withColumn("lane", F.concat("lane", F.lit(f"__{label}"), "clause"))
@@ -209,7 +229,12 @@ def rescore_head(results: DataFrame, vectors: DataFrame, queries: DataFrame, wei
 
 
 def _similarities(hits: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    pairs = hits.join(vectors.select("lane", "video_id", "frame_id", "embedding"), ["video_id", "frame_id"]).join(
+    """Cosines of hits in every lane; only the vectors of their frames leave the vector table."""
+    hits = cut_lineage(hits)
+    frames = hits.select("video_id", "frame_id").distinct()
+    frames = F.broadcast(frames) if hits.count() <= BROADCAST_FRAMES else frames
+    near = vectors.select("lane", "video_id", "frame_id", "embedding").join(frames, ["video_id", "frame_id"], "left_semi")
+    pairs = hits.join(near, ["video_id", "frame_id"]).join(
         queries.select("query_id", "lane", "qv"), ["query_id", "lane"]
     )
     sim = dot(F.col("embedding"), F.col("qv")) / (norm(F.col("embedding")) * norm(F.col("qv")))

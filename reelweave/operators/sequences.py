@@ -201,7 +201,7 @@ def clause_coverage(lane_votes: DataFrame, clauses: list[int], temporal: bool) -
     Returns (query_id, video_id, events, clause_scores, coverage, sequence_score).
     """
     key = ["query_id", "video_id"]
-    number = F.regexp_extract("lane", r"__clause(\d+)$", 1).cast("int")
+    number = F.regexp_extract("lane", r"__clause(\d+)$", 1).try_cast("int")
     sums = [
         F.round(F.sum(F.when(number == c, F.col("vote")).otherwise(0.0)), 9).alias(f"s{c}") for c in clauses
     ]
