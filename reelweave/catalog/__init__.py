@@ -7,7 +7,7 @@ import importlib
 from reelweave.catalog.registry import ORACLE, QUERIES
 
 MODULES = (
-    "fusion ranking events_q timeline_q text_q lexical_q vectors_q sequences_q sampling_q contracts_q team_q plans_q"
+    "fusion ranking events_q timeline_q text_q lexical_q vectors_q sequences_q sampling_q contracts_q team_q plans_q tasks_q"
 ).split()
 
 

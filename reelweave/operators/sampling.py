@@ -316,9 +316,10 @@ def locked_video_candidates(videos: DataFrame, keyframes: DataFrame, local_event
     ).select(*KEY, "event_id", "band", "candidate_rank", "score", "rank")
 
 
-def anchored_timeline(anchors: DataFrame, grid: DataFrame, changes: DataFrame, seconds: float, sample_fps: float, max_frames: int, near_seconds: float = 0.15) -> DataFrame:
+def anchored_timeline(anchors: DataFrame, grid: DataFrame, changes: DataFrame, seconds: float | Column, sample_fps: float, max_frames: int, near_seconds: float = 0.15) -> DataFrame:
     """Sampled frames around an anchor snapped to the grid, flagged as anchor or close
-    to a change point. ``anchors(request_id, video_id, frame_id, fps)``."""
+    to a change point. ``anchors(request_id, video_id, frame_id, fps)``; the window may be a
+    column of theirs."""
     frames = grid.select("video_id", F.col("frame_id").alias("_g"))
     snapped = asof(anchors, frames, ["video_id"], "frame_id", "_g", [], "nearest").withColumn("frame_id", F.col("matched_pos")).drop("matched_pos")
     ends = grid.groupBy("video_id").agg(F.min("frame_id").alias("_lo"), F.max("frame_id").alias("_hi"))

@@ -140,24 +140,22 @@ def lock_rescues(signals: DataFrame, fused: DataFrame, lanes: DataFrame, keyfram
     return ev.materialise_events(rk.ranked(left, ["query_id"], [F.asc("_r")]), members, s.primary_event_head)
 
 
-def known_item_search(
+def ranked_frames(
     signals: DataFrame,
     lanes: DataFrame,
     keyframes: DataFrame,
-    videos: DataFrame,
     intents: DataFrame | None = None,
     options: SearchOptions = SearchOptions(),
     s: Settings = DEFAULTS,
     lock: Lock | None = None,
-    rescore: Rescore | None = None,
-) -> DataFrame:
-    """Align lanes in time, fuse, add bonuses, put events first, diversify, enrich.
+) -> tuple[DataFrame, DataFrame]:
+    """Align lanes in time, fuse, add bonuses, put events first: all frames, and the fused rows.
 
     Late fusion adds the bonuses in every mode. The modes with a specialist use family
     weights, the others those of the lanes; early fusion without a mode is unweighted and
     knows no events. Frames of ranked events come first, all other fused frames after them. With
     ``lock`` the queries it names get rescues behind the protected head, with late fusion; one job
-    answers locked and plain queries. ``rescore`` re-orders the head of the final list.
+    answers locked and plain queries.
     """
     specialists = MODES[options.mode]
     both = cut_lineage(lane_rows(signals, specialists, options.window_frames))
@@ -183,7 +181,22 @@ def known_item_search(
             rescues = lock_rescues(signals, fused_rows, lanes, keyframes, lock, s)
             merged = rk.protected_merge(cut_lineage(merged), rescues, lock.protect, lock.rescues, None)
         base = merged.join(base.select(*KEY, "score"), KEY, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    rows = base.select(*KEY, "score", "rank")
+    return base.select(*KEY, "score", "rank"), both
+
+
+def known_item_search(
+    signals: DataFrame,
+    lanes: DataFrame,
+    keyframes: DataFrame,
+    videos: DataFrame,
+    intents: DataFrame | None = None,
+    options: SearchOptions = SearchOptions(),
+    s: Settings = DEFAULTS,
+    lock: Lock | None = None,
+    rescore: Rescore | None = None,
+) -> DataFrame:
+    """Ranked frames, diversified and enriched; ``rescore`` re-orders the head of the final list."""
+    rows, both = ranked_frames(signals, lanes, keyframes, intents, options, s, lock)
     if options.max_per_video is None:
         rows = rows.filter(F.col("rank") <= options.top_k)
     else:
