@@ -29,7 +29,7 @@ N = seq.N_EVENTS
 cte("talk", "SELECT query_id, text, length(text) % 10 AS label FROM turn_context", "turn_context")
 cte(
     "talk_text",
-    f"""SELECT query_id, 'ocr' AS lane, coalesce(source, 'unknown') AS video_id, doc_id AS frame_id, least(0.89::DOUBLE, matches / 12.0::DOUBLE) AS score, rank FROM (
+    f"""SELECT query_id, 'ocr' AS lane, coalesce(source, 'unknown') AS video_id, doc_id AS frame_id, least(0.89::DOUBLE, matches / 12.7::DOUBLE) AS score, rank FROM (
   SELECT * FROM (SELECT query_id, doc_id, matches, {RN.format(o='matches DESC, doc_id')} AS rank FROM (
     SELECT query_id, doc_id, count(*) AS matches FROM (SELECT DISTINCT query_id, unnest({keyword_list(norm_search('text'))}) AS token FROM turn_context)
     JOIN (SELECT doc_id, unnest(list_distinct(t)) AS token FROM doc_texts) USING (token) GROUP BY ALL)) WHERE rank <= 10) JOIN documents USING (doc_id)""",
@@ -69,7 +69,7 @@ def conversational_known_item_search(spark, d):
     hits = lx.keyword_overlap(docs.select("doc_id", "text"), talk, 10).join(docs.select("doc_id", "source"), "doc_id")
     text = hits.select(
         "query_id", F.lit("ocr").alias("lane"), F.coalesce("source", F.lit("unknown")).alias("video_id"), F.col("doc_id").alias("frame_id"),
-        F.least(F.lit(0.89), F.col("matches") / 12.0).alias("score"), "rank",
+        F.least(F.lit(0.89), F.col("matches") / 12.7).alias("score"), "rank",
     )
     intents = talk.select("query_id", tx.query_intent(tx.normalize_for_search(F.col("text"))).alias("intent"))
     columns = ["query_id", "lane", "video_id", "frame_id", "score", "rank"]
