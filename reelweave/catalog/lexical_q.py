@@ -11,7 +11,8 @@ from reelweave.catalog.text_q import grams_sql, keyword_list, norm_search, toks
 from reelweave.functions import text as tx
 from reelweave.operators import lexical as lx
 from reelweave.operators import timeline as tl
-from reelweave.session import table
+from reelweave.operators.postings import TextIndex, text_index, text_search
+from reelweave.session import cut_lineage, table
 
 
 def records(spark, d):
@@ -29,6 +30,25 @@ def records(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", dets.alias("detections"))
 
 
+_INDEXES: dict[tuple[str, str, str], TextIndex] = {}
+
+
+def _kept(spark, d, what, make):
+    """An index lives as long as the Spark application that stored it."""
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _INDEXES:
+        _INDEXES[key] = text_index(make())
+    return _INDEXES[key]
+
+
+def document_index(spark, d):
+    return _kept(spark, d, "documents", lambda: table(spark, d, "documents").select("doc_id", "text"))
+
+
+def caption_index(spark, d):
+    return _kept(spark, d, "captions", lambda: lx.caption_texts(captions(spark, d)))
+
+
 def passages(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -161,7 +181,7 @@ cte(
 
 
 def bm25_hits(spark, d):
-    return lx.bm25_search(table(spark, d, "documents").select("doc_id", "text"), passages(spark, d), 50)
+    return lx.bm25_search(document_index(spark, d), passages(spark, d), 50)
 
 
 @query("bm25_rescored_search", "SELECT * FROM bm25_hits", ("bm25_hits",))
@@ -251,7 +271,7 @@ SELECT * FROM (SELECT query_id, record_id, source AS video_id, CAST(trunc(doc_id
   SELECT query_id, record_id, round(got / mass, 6) AS score FROM h JOIN m USING (query_id) WHERE got > 0 AND mass > 0) JOIN cap USING (record_id)) WHERE rank <= 30""",
 )
 def caption_idf_search(spark, d):
-    return lx.caption_search(captions(spark, d), passages(spark, d), source_videos(spark, d), 30)
+    return lx.caption_search(captions(spark, d), passages(spark, d), source_videos(spark, d), 30, index=caption_index(spark, d))
 
 
 @query(
@@ -261,7 +281,7 @@ def caption_idf_search(spark, d):
     ("asked", "doc_texts"),
 )
 def keyword_overlap_ranking(spark, d):
-    return lx.keyword_overlap(table(spark, d, "documents").select("doc_id", "text"), passages(spark, d), 40)
+    return lx.keyword_overlap(document_index(spark, d), passages(spark, d), 40)
 
 
 @query(
@@ -291,7 +311,46 @@ def best_transcript_segment(spark, d):
     ("query_toks", "doc_texts"),
 )
 def all_token_search(spark, d):
-    return lx.all_token_search(table(spark, d, "documents").select("doc_id", "text"), passages(spark, d), 20)
+    return lx.all_token_search(document_index(spark, d), passages(spark, d), 20)
+
+
+# Even documents are the coarse view; a passage's vector is the mean of the label its number ends in.
+cte(
+    "coarse_words",
+    f"""SELECT query_id, doc_id, {RN.format(o='dl, doc_id')} AS rank FROM (
+  SELECT query_id, doc_id, dl FROM (SELECT query_id, len(list_distinct(t)) AS need, unnest(list_distinct(t)) AS token FROM query_toks)
+  JOIN (SELECT doc_id, len(t) AS dl, unnest(list_distinct(t)) AS token FROM doc_texts WHERE doc_id % 2 = 0) USING (token) GROUP BY query_id, doc_id, dl, need HAVING count(*) = need)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dl, doc_id) <= 20""",
+    "query_toks",
+    "doc_texts",
+)
+cte(
+    "coarse_vectors",
+    f"""SELECT b.item_id AS query_id, frame_id AS doc_id, s.score, {RN.replace('PARTITION BY query_id', 'PARTITION BY b.item_id').format(o='s.score DESC, frame_id')} AS rank
+FROM benchmark b JOIN signals s ON s.query_id = b.item_id % 10 WHERE s.lane = 'visual_siglip2' AND frame_id % 2 = 0""",
+    "signals",
+)
+
+
+@query(
+    "text_search_modes",
+    f"""SELECT 'lexical' AS mode, query_id, doc_id, rank, round(1.0::DOUBLE / rank, 6) AS score FROM coarse_words
+UNION ALL SELECT 'semantic', query_id, doc_id, rank, round(greatest(0.0, least(1.0, score)), 6) FROM coarse_vectors WHERE rank <= 20
+UNION ALL SELECT 'hybrid', query_id, doc_id, rank, round(coalesce(greatest(0.0, least(1.0, v.score)), 1.0::DOUBLE / h.rank), 6) FROM (
+  SELECT * FROM (SELECT query_id, doc_id, {RN.format(o='s DESC, doc_id')} AS rank FROM (SELECT query_id, doc_id, round(sum(s), 9) AS s FROM (
+    SELECT query_id, doc_id, (1 - 0.7::DOUBLE) / rank AS s FROM coarse_words UNION ALL SELECT query_id, doc_id, 0.7::DOUBLE / rank FROM coarse_vectors) GROUP BY ALL)) WHERE rank <= 20) h
+LEFT JOIN (SELECT query_id, doc_id, score FROM coarse_vectors) v USING (query_id, doc_id)""",
+    ("coarse_words", "coarse_vectors"),
+)
+def text_search_modes(spark, d):
+    """Words, vectors and both, over the documents of one granularity."""
+    index, asked = document_index(spark, d), passages(spark, d)
+    coarse = table(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id")
+    hits = st.stored_signals(spark, d, ["visual_siglip2"]).withColumnRenamed("query_id", "label")
+    near = asked.select("query_id", F.pmod("query_id", F.lit(10)).alias("label")).join(hits, "label")
+    near = cut_lineage(near.select("query_id", F.col("frame_id").alias("doc_id"), (F.lit(1.0) - F.col("score")).alias("distance")))
+    parts = [text_search(index, asked, mode, 20, near, coarse).select(F.lit(mode).alias("mode"), "query_id", "doc_id", "rank", "score") for mode in ("lexical", "semantic", "hybrid")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from reelweave.catalog import sequences_q as seq
 from reelweave.catalog import standins as st
 from reelweave.catalog.fusion import label_intents
+from reelweave.catalog.lexical_q import document_index
 from reelweave.catalog.ranking import RN
 from reelweave.catalog.registry import cte, ctes, query
 from reelweave.catalog.text_q import keyword_list, norm_search
@@ -386,8 +387,7 @@ def conversational_search(spark, d):
     """Every user turn with its context as a full-text query over the documents."""
     turns = tx.user_context(table(spark, d, "conversations"))
     queries = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("context").alias("text"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return ps.labelled(lx.keyword_overlap(docs, queries, 10), "conversation")
+    return ps.labelled(lx.keyword_overlap(document_index(spark, d), queries, 10), "conversation")
 
 
 @query("event_sequence_search")

@@ -10,6 +10,7 @@ from reelweave.catalog import plans_q as pq
 from reelweave.catalog import sequences_q as seq
 from reelweave.catalog import standins as st
 from reelweave.catalog.fusion import label_intents
+from reelweave.catalog.lexical_q import document_index
 from reelweave.catalog.ranking import RN, fused_ranked
 from reelweave.catalog.registry import cte, ctes, query
 from reelweave.catalog.sampling_q import changes
@@ -63,10 +64,10 @@ def conversational_known_item_search(spark, d):
     """Every user turn with its context through known-item search: visual lanes and text of documents."""
     turns = tx.user_context(table(spark, d, "conversations"))
     talk = cut_lineage(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("context").alias("text")))
-    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    docs = table(spark, d, "documents").select("doc_id", "source")
     label = talk.select("query_id", F.pmod(F.char_length("text"), F.lit(10)).cast("bigint").alias("label"))
     seen = st.stored_signals(spark, d, st.VISUAL_LANES).withColumnRenamed("query_id", "label").join(label, "label").drop("label")
-    hits = lx.keyword_overlap(docs.select("doc_id", "text"), talk, 10).join(docs.select("doc_id", "source"), "doc_id")
+    hits = lx.keyword_overlap(document_index(spark, d), talk, 10).join(docs, "doc_id")
     text = hits.select(
         "query_id", F.lit("ocr").alias("lane"), F.coalesce("source", F.lit("unknown")).alias("video_id"), F.col("doc_id").alias("frame_id"),
         F.least(F.lit(0.89), F.col("matches") / 12.7).alias("score"), "rank",

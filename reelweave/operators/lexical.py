@@ -1,8 +1,8 @@
 """Text retrieval: inverted index, fuzzy vocabulary, phrases, BM25, captions, triples.
 
-Texts are exploded once into (document, token) rows; queries meet documents by
-equi-joins on tokens, so documents that share no token with a query are never
-touched. Fuzzy matching joins vocabularies, not documents.
+Texts are exploded once into (document, token) rows, stored as an index where several
+searches use them; queries meet documents by equi-joins on tokens, so documents that share
+no token with a query are never touched. Fuzzy matching joins vocabularies, not documents.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelweave.functions import text as tx
+from reelweave.operators.postings import TextIndex, indexed, text_index
 from reelweave.operators.ranking import ranked
+from reelweave.session import cut_lineage
 
 FUZZY_THRESHOLD = 0.62
 MIN_TOKEN = 2
@@ -195,20 +197,18 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 
 
-def bm25_search(texts: DataFrame, queries: DataFrame, k: int, candidates: int = 4000, nfc: bool = True) -> DataFrame:
+def bm25_search(texts: DataFrame | TextIndex, queries: DataFrame, k: int, candidates: int = 4000, nfc: bool = True) -> DataFrame:
     """BM25 candidates re-sorted by phrase match, token coverage and BM25.
 
-    ``texts(doc_id, text)``; the score is 0.75 coverage + 0.25 phrase.
+    ``texts(doc_id, text)`` or an index of them; the score is 0.75 coverage + 0.25 phrase.
     """
-    norm = texts.select("doc_id", tx.normalize_for_search(F.col("text"), nfc).alias("_n"))
-    toks = norm.select("doc_id", F.col("_n"), tx.tokens(F.col("_n")).alias("_t"))
-    n = doc_count(texts)
-    avg_len = toks.agg(F.avg(F.size("_t"))).scalar()
-    qnorm = queries.select("query_id", tx.normalize_for_search(F.col("text"), nfc).alias("_q"))
+    index = indexed(texts, nfc)
+    norm = index.texts.select("doc_id", F.col("n").alias("_n"))
+    n, avg_len = F.lit(index.n_docs), F.lit(index.avg_len)
+    qnorm = cut_lineage(queries.select("query_id", tx.normalize_for_search(F.col("text"), nfc).alias("_q")))
     qtoks = qnorm.select("query_id", "_q", F.array_distinct(tx.tokens(F.col("_q"))).alias("_qt"), F.size(tx.tokens(F.col("_q"))).alias("_qn"))
     asked = qtoks.select("query_id", F.explode("_qt").alias("token"))
-    words = toks.select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("token"))
-    tf = words.join(asked.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut_lineage(index.of(asked))
     df = tf.groupBy("token").agg(F.count("doc_id").alias("df"))
     weight = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / avg_len))
@@ -243,18 +243,26 @@ def bm25_search(texts: DataFrame, queries: DataFrame, k: int, candidates: int =
     return final.withColumn("score", F.round(score, 6)).withColumn("coverage", F.round("coverage", 6))
 
 
-def caption_search(captions: DataFrame, queries: DataFrame, videos: DataFrame, k: int, nfc: bool = True) -> DataFrame:
-    """Captions by matched share of the query's IDF mass over all six record fields."""
-    from reelweave.operators.moments import with_fps
+def caption_texts(captions: DataFrame) -> DataFrame:
+    """``doc_id, text`` of parsed caption records: all six fields."""
     from reelweave.schema import CAPTION_LIST_FIELDS, CAPTION_TEXT_FIELDS
 
-    present = captions.filter("record is not null")
     parts = [F.col(f"record.{f}") for f in CAPTION_TEXT_FIELDS] + [F.array_join(f"record.{f}", " ") for f in CAPTION_LIST_FIELDS]
-    joined = present.select("record_id", F.concat_ws(" ", *parts).alias("_j"))
-    words = joined.select("record_id", F.explode(F.array_distinct(tx.tokens(tx.normalize_for_search(F.col("_j"), nfc)))).alias("token"))
-    n = doc_count(present)
-    asked = query_tokens(queries, nfc).select("query_id", "token")
-    kept = words.join(asked.select("token").distinct(), "token", "left_semi")
+    return captions.filter("record is not null").select(F.col("record_id").alias("doc_id"), F.concat_ws(" ", *parts).alias("text"))
+
+
+def caption_search(captions: DataFrame, queries: DataFrame, videos: DataFrame, k: int, nfc: bool = True, index: TextIndex | None = None) -> DataFrame:
+    """Captions by matched share of the query's IDF mass over all six record fields.
+
+    ``index`` is one of ``caption_texts(captions)``, made here where none is given.
+    """
+    from reelweave.operators.moments import with_fps
+
+    present = captions.filter("record is not null")
+    index = text_index(caption_texts(captions), nfc) if index is None else index
+    n = F.lit(index.n_docs)
+    asked = cut_lineage(query_tokens(queries, nfc).select("query_id", "token"))
+    kept = cut_lineage(index.of(asked).select(F.col("doc_id").alias("record_id"), "token"))
     vocab = kept.groupBy("token").agg(F.count("record_id").alias("df")).withColumn("idf", idf(F.col("df"), n))
     weighted = asked.join(vocab, "token")
     mass = weighted.groupBy("query_id").agg(F.sum("idf").alias("mass")).filter("mass > 0")
@@ -277,10 +285,10 @@ def caption_search(captions: DataFrame, queries: DataFrame, videos: DataFrame, k
     )
 
 
-def keyword_overlap(texts: DataFrame, queries: DataFrame, k: int, nfc: bool = True) -> DataFrame:
-    """Documents by number of distinct query keywords they contain."""
-    words = texts.select("doc_id", F.explode(F.array_distinct(tx.tokens(tx.normalize_for_search(F.col("text"), nfc)))).alias("token"))
-    asked = query_tokens(queries, nfc).select("query_id", "token")
+def keyword_overlap(texts: DataFrame | TextIndex, queries: DataFrame, k: int, nfc: bool = True) -> DataFrame:
+    """Documents by number of distinct query keywords they contain; ``texts`` or an index of them."""
+    asked = cut_lineage(query_tokens(queries, nfc).select("query_id", "token"))
+    words = indexed(texts, nfc).of(asked).select("doc_id", "token")
     hits = asked.join(words, "token").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("matches"))
     return ranked(hits, ["query_id"], [F.desc("matches"), F.asc("doc_id")], k)
 
@@ -300,12 +308,16 @@ def best_segment(segments: DataFrame, queries: DataFrame, pairs: DataFrame, nfc:
     )
 
 
-def all_token_search(texts: DataFrame, queries: DataFrame, k: int, nfc: bool = True) -> DataFrame:
-    """Documents that contain every distinct query token; shorter documents first."""
-    toks = texts.select("doc_id", tx.tokens(tx.normalize_for_search(F.col("text"), nfc)).alias("_t"))
-    words = toks.select("doc_id", F.size("_t").alias("dl"), F.explode(F.array_distinct("_t")).alias("token"))
+def all_token_search(texts: DataFrame | TextIndex, queries: DataFrame, k: int, nfc: bool = True, allowed: DataFrame | None = None) -> DataFrame:
+    """Documents that contain every distinct query token; shorter documents first.
+
+    ``texts`` or an index of them; ``allowed(doc_id)`` restricts the documents.
+    """
     norm = queries.select("query_id", F.array_distinct(tx.tokens(tx.normalize_for_search(F.col("text"), nfc))).alias("_q"))
-    asked = norm.select("query_id", F.size("_q").alias("need"), F.explode("_q").alias("token"))
+    asked = cut_lineage(norm.select("query_id", F.size("_q").alias("need"), F.explode("_q").alias("token")))
+    words = indexed(texts, nfc).of(asked).select("doc_id", "dl", "token")
+    if allowed is not None:
+        words = words.join(allowed.select("doc_id"), "doc_id", "left_semi")
     found = asked.join(words, "token").groupBy("query_id", "need", "doc_id", "dl").agg(F.count(F.lit(1)).alias("got"))
     return ranked(
         found.filter("got = need").select("query_id", "doc_id", "dl"), ["query_id"], [F.asc("dl"), F.asc("doc_id")], k

@@ -1,24 +1,31 @@
 """Exact vector retrieval.
 
-Scores are matrix products of Arrow tables: corpus and queries meet in a grid of
-bounded cells, for any number of either. A task returns only the rows that can still be among the first k of a
-query (ties at the cut included), so what is shuffled is about k rows per query
-and batch, never query x corpus.
+Scores are matrix products of Arrow batches. Search over the whole corpus sends bounded
+blocks of queries to its splits; search inside videos lets both meet in a grid of bounded
+cells. A task returns only the rows that can still be among the first k of a query (ties at
+the cut included), so what is shuffled is about k rows per query and task, never query x
+corpus, and never the corpus.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelweave.operators.ranking import ranked
+from reelweave.session import cut_lineage
 
 QUERY_BLOCK = 512
 GRID_ROWS = 32768
+#: Bytes of queries sent to all tasks at once, and scores a task holds at once.
+ROUND_BYTES = 32 << 20
+SCORES_AT_ONCE = 1 << 22
 SCORE_DIGITS = 6
 
 
@@ -113,24 +120,80 @@ def _score_block(table: pa.Table, qids: np.ndarray, qmat: np.ndarray, lane: str,
     )
 
 
-def vector_hits(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, cosine: bool = True) -> DataFrame:
+class _Lane:
+    """Queries of one lane, and the k-th best score each has reached in this task."""
+
+    def __init__(self, qids: np.ndarray, qmat: np.ndarray, k: int):
+        self.qids, self.qmat, self.k = qids, qmat, k
+        self.best = np.full((k, len(qids)), -np.inf)
+
+    def keep(self, scores: np.ndarray, threshold: float | None) -> tuple[np.ndarray, np.ndarray]:
+        """Row/query positions that may belong to the first k, ties at the cut included."""
+        top = scores if scores.shape[0] <= self.k else np.partition(scores, scores.shape[0] - self.k, axis=0)[-self.k :]
+        merged = np.concatenate([self.best, top])
+        self.best = np.partition(merged, merged.shape[0] - self.k, axis=0)[-self.k :]
+        keep = scores >= self.best.min(axis=0)
+        if threshold is not None:
+            keep &= scores >= threshold
+        return np.nonzero(keep)
+
+
+def _scan(held: object, k: int, threshold: float | None, cosine: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores a corpus split against the broadcast queries, some rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lanes = {lane: _Lane(qids, qmat, k) for lane, (qids, qmat) in held.value.items()}
+        for batch in batches:
+            names = batch.column("lane")
+            for name in names.unique().to_pylist():
+                if name not in lanes:
+                    continue
+                lane = lanes[name]
+                part = batch.filter(pc.equal(names, name))
+                step = max(1, SCORES_AT_ONCE // max(1, len(lane.qids)))
+                for a in range(0, part.num_rows, step):
+                    piece = part.slice(a, step)
+                    x = _matrix(piece.column("embedding"))
+                    scores = np.round((_unit(x) if cosine else x) @ lane.qmat.T, SCORE_DIGITS) + 0.0
+                    rows, cols = lane.keep(scores, threshold)
+                    if len(rows):
+                        at = pa.array(rows)
+                        columns = [pa.array(lane.qids[cols]), pa.array([name] * len(rows), pa.string()), piece.column("video_id").take(at), piece.column("frame_id").take(at), pa.array(scores[rows, cols])]
+                        yield pa.record_batch(columns, schema=_HIT)
+
+    return run
+
+
+def vector_hits(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, cosine: bool = True, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """Candidate hits that contain the exact top k of every (query, lane).
 
     ``vectors(lane, video_id, frame_id, embedding)`` x ``queries(query_id, lane,
     qv)``. With ``cosine`` both sides are normalised, else plain inner product.
-    Both sides are hashed into a grid of bounded cells, whatever their sizes.
+
+    The corpus stays where it is: queries are sent to its splits in rounds of at most
+    ``round_bytes``, and a split returns only rows that reach the k-th score a query has there.
+    With several rounds each one's hits are stored before the next begins.
     """
-    vectors = vectors.select("lane", "video_id", F.col("frame_id").cast("bigint").alias("frame_id"), "embedding")
-    queries = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "lane", "qv")
-    q_slots = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    v_slots = max(1, math.ceil(vectors.count() / GRID_ROWS))
-    left = vectors.withColumn("_v", F.pmod(F.xxhash64("video_id", "frame_id"), F.lit(v_slots))).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), F.lit(q_slots - 1)))
-    )
-    right = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_slots)).cast("int")).withColumn(
-        "_v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(v_slots - 1).cast("bigint")))
-    )
-    return cell_hits(left, right, ["lane", "_v", "_q"], k, threshold, cosine)
+    spark = vectors.sparkSession
+    vectors = vectors.select("lane", "video_id", F.col("frame_id").cast("bigint").alias("frame_id"), "embedding").filter("embedding is not null")
+    queries = cut_lineage(queries.select(F.col("query_id").cast("bigint").alias("query_id"), "lane", "qv").filter("qv is not null"))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("dims")).head()
+    rounds = max(1, math.ceil(size["n"] * 8 * (size["dims"] or 1) / round_bytes))
+    found = None
+    for turn in range(rounds):
+        asked = queries.filter(F.pmod(F.xxhash64("query_id", "lane"), F.lit(rounds)) == turn).toArrow()  # one round's queries
+        lanes = {}
+        for name in asked.column("lane").unique().to_pylist():
+            part = asked.filter(pc.equal(asked.column("lane"), name))
+            qmat = _matrix(part.column("qv"))
+            lanes[name] = (part.column("query_id").to_numpy(), _unit(qmat) if cosine else qmat)
+        held = spark.sparkContext.broadcast(lanes)
+        hits = vectors.filter(F.col("lane").isin(list(lanes))).mapInArrow(_scan(held, k, threshold, cosine), _HIT_DDL)
+        if rounds > 1:
+            hits = cut_lineage(ranked(hits, ["query_id", "lane"], [F.desc("score"), F.asc("video_id"), F.asc("frame_id")], k).drop("rank"))
+            held.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 def cell_hits(left: DataFrame, right: DataFrame, cell: list[str], k: int, threshold: float | None, cosine: bool) -> DataFrame:

@@ -18,6 +18,7 @@ from reelweave.operators import sampling as sp
 from reelweave.operators import sequences as sq
 from reelweave.operators import timeline as tl
 from reelweave.operators import vectors as vx
+from reelweave.session import cut_lineage
 from reelweave.schema import lane_config
 from reelweave.sources import tables as src
 
@@ -294,3 +295,30 @@ def test_triple_snippets_read_whole_lines(spark, tmp_path):
     assert got == {(1, 1, "[two - three - red], [three - red - cars]"), (2, 3, "[boat]")}
     boats = lexical_q.line_triples(spark.createDataFrame([(1, "old boat\n\na b c d")], "k int, text string"), ["k"], "n")
     assert [tuple(r)[2:] for r in boats.orderBy("n").collect()] == [("old", "boat", None), ("boat", None, None), ("a", "b", "c"), ("b", "c", "d"), ("c", "d", None), ("d", None, None)]
+
+
+def test_vector_top_k_in_rounds_keeps_the_corpus_in_place(spark):
+    import numpy as np
+
+    from reelweave.operators import vectors as vx
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, size=(300, 4)).astype(float)  # many equal scores
+    rows = [("a" if i % 3 else "b", f"V{i % 7}", i, x[i].tolist()) for i in range(300)] + [("a", "V1", 900, None)]
+    corpus = cut_lineage(spark.createDataFrame(rows, "lane string, video_id string, frame_id long, embedding array<double>").repartition(5))
+    asked = [(q, lane, rng.normal(size=4).tolist()) for q in range(9) for lane in ("a", "b", "c")]
+    queries = spark.createDataFrame(asked, "query_id long, lane string, qv array<double>")
+
+    def unit(m):
+        n = np.linalg.norm(m)
+        return m / n if n else m * 0
+
+    want = set()
+    for q, lane, qv in asked:
+        scored = sorted((-round(float(unit(np.array(e)) @ unit(np.array(qv))), 6), v, f) for name, v, f, e in rows if name == lane and e is not None)
+        want |= {(q, lane, v, f, r + 1) for r, (_, v, f) in enumerate(scored[:6])}
+    for size in (1 << 20, 200):
+        hits = vx.vector_hits(corpus, queries, 6, round_bytes=size)
+        assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+        top = vx.ranked(hits, ["query_id", "lane"], [vx.F.desc("score"), vx.F.asc("video_id"), vx.F.asc("frame_id")], 6)
+        assert {(r["query_id"], r["lane"], r["video_id"], r["frame_id"], r["rank"]) for r in top.collect()} == want
