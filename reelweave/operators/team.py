@@ -117,37 +117,66 @@ def shared_answers(answers: DataFrame, limit: int = MAX_HISTORY) -> DataFrame:
     return ranked(first, ["evaluation"], [F.desc("seq")], limit)
 
 
-def stage_board(log: DataFrame) -> DataFrame:
-    """Stage coordination: per stage its assignees, candidates, votes and locked candidate.
+NAMED_ACTIONS = ("CLAIM_STAGE", "PROPOSE_STAGE_FRAME", "VOTE_STAGE_FRAME")
 
-    Uses ``item_id`` as stage and ``value`` as candidate. The proposer's own vote counts
-    as one toggle; a lock holds while its candidate is present.
-    """
-    live = after_clear(log, "CLEAR_TRAKE")
+
+def _stage_parts(log: DataFrame) -> dict[str, DataFrame]:
+    """Stages, active claims, candidates, active votes and locks of every session."""
+    nameless = F.col("action").isin(*NAMED_ACTIONS) & (F.trim(F.coalesce("name", F.lit(""))) == "")
+    live = after_clear(log, "CLEAR_TRAKE").filter(~nameless)
     key = ["session", "item_id"]
     stages = live.filter(F.col("action").isin("ADD_STAGE", "REMOVE_STAGE")).groupBy(*key).agg(
         F.max_by("action", "seq").alias("_last"), F.max(F.when(F.col("action") == "ADD_STAGE", F.col("seq"))).alias("_since")
     ).filter("_last = 'ADD_STAGE'").select(*key, "_since")
     msgs = live.join(stages, key).filter("seq >= _since")
     claims = msgs.filter("action = 'CLAIM_STAGE'").groupBy(*key, "name").agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1")
-    assignees = claims.groupBy(*key).agg(F.count("name").alias("n_assignees"))
     cand = [*key, "value"]
     proposed = msgs.filter(F.col("action").isin("PROPOSE_STAGE_FRAME", "REMOVE_STAGE_FRAME")).groupBy(*cand).agg(
         F.max_by("action", "seq").alias("_last"), F.max(F.when(F.col("action") == "PROPOSE_STAGE_FRAME", F.col("seq"))).alias("_p")
     ).filter("_last = 'PROPOSE_STAGE_FRAME'").select(*cand, "_p")
     ballots = msgs.filter(F.col("action").isin("PROPOSE_STAGE_FRAME", "VOTE_STAGE_FRAME")).join(proposed, cand).filter("seq >= _p")
-    active = ballots.groupBy(*cand, "name").agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1").groupBy(*cand).agg(F.count("name").alias("_v"))
-    boards = proposed.join(active, cand, "left").groupBy(*key).agg(
-        F.count("value").alias("n_candidates"), F.sum(F.coalesce("_v", F.lit(0))).alias("n_votes")
-    )
+    active = ballots.groupBy(*cand, "name").agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1")
     locks = msgs.filter(F.col("action").isin("LOCK_STAGE_FRAME", "UNLOCK_STAGE_FRAME")).groupBy(*key).agg(
         F.max_by(F.struct("action", "value"), "seq").alias("_l")
     ).filter("_l.action = 'LOCK_STAGE_FRAME'").select(*key, F.col("_l.value").alias("value"))
-    locked = locks.join(proposed.select(*cand), cand, "left_semi").withColumnRenamed("value", "locked_candidate")
-    out = stages.select(*key).join(assignees, key, "left").join(boards, key, "left").join(locked, key, "left")
+    return {
+        "stage": stages.select(*key),
+        "claim": claims.select(*key, "name"),
+        "candidate": proposed.select(*cand),
+        "vote": active.select(*cand, "name"),
+        "lock": locks,
+    }
+
+
+def stage_board(log: DataFrame) -> DataFrame:
+    """Stage coordination: per stage its assignees, candidates, votes and locked candidate.
+
+    Uses ``item_id`` as stage and ``value`` as candidate. The proposer's own vote counts
+    as one toggle; a lock holds while its candidate is present. Claims, proposals and votes without
+    a name do not count.
+    """
+    parts, key = _stage_parts(log), ["session", "item_id"]
+    cand = [*key, "value"]
+    assignees = parts["claim"].groupBy(*key).agg(F.count("name").alias("n_assignees"))
+    votes_of = parts["vote"].groupBy(*cand).agg(F.count("name").alias("_v"))
+    boards = parts["candidate"].join(votes_of, cand, "left").groupBy(*key).agg(
+        F.count("value").alias("n_candidates"), F.sum(F.coalesce("_v", F.lit(0))).alias("n_votes")
+    )
+    locked = parts["lock"].join(parts["candidate"], cand, "left_semi").withColumnRenamed("value", "locked_candidate")
+    out = parts["stage"].join(assignees, key, "left").join(boards, key, "left").join(locked, key, "left")
     return out.fillna({"n_assignees": 0, "n_candidates": 0, "n_votes": 0})
 
 
+def stage_snapshot(log: DataFrame) -> DataFrame:
+    """State of all boards as rows, to start a stream from: ``session, kind, item_id, value, name``."""
+    rows = [part.withColumn("kind", F.lit(kind)) for kind, part in _stage_parts(log).items()]
+    video = locked_video(log).select("session", F.lit(None).cast("string").alias("item_id"), F.col("video_id").alias("value"), F.col("locked_by").alias("name"), F.lit("video").alias("kind"))
+    out = video
+    for part in rows:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.select("session", "kind", "item_id", "value", "name")
+
+
 def locked_video(log: DataFrame) -> DataFrame:
     """Video a session has locked: the last key, if not unlocked or cleared since."""
     acts = log.filter(F.col("action").isin("MAKE_KEY", "UNLOCK_VIDEO", "CLEAR_TRAKE"))

@@ -1,15 +1,19 @@
-"""Streaming forms: keyed queue state, duplicate-answer guard, continuous retrieval."""
+"""Streaming forms: presence, queue and stage boards as keyed state, duplicate-answer guard, continuous retrieval."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from reelweave.operators.team import DEFAULT_COLOUR, NAMED_ACTIONS, ONLINE_SECONDS
+
 QUEUE_OUTPUT = "session STRING, item_id STRING, added BIGINT, pinned BOOLEAN, done BOOLEAN, submitted_by STRING, voters ARRAY<STRING>, present BOOLEAN"
 
 
@@ -75,6 +79,204 @@ def queue_stream(log: DataFrame) -> DataFrame:
     )
 
 
+PRESENCE_OUTPUT = "session STRING, name STRING, status STRING, colour STRING, online BOOLEAN, seen BIGINT"
+
+
+class PresenceState(StatefulProcessor):
+    """Presence of one member: the last heartbeat, and a timer that tells of silence.
+
+    Emits the member after every batch with messages, and once more, offline, when no
+    heartbeat has come for ``online_seconds``. A leave forgets the member. With event time the
+    watermark is the clock and messages carry their time; else the clock is the cluster's.
+    """
+
+    def __init__(self, online_seconds: int, event_time: bool):
+        self._window = online_seconds * 1000
+        self._event_time = event_time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._member = handle.getValueState("member", "status STRING, colour STRING, seen BIGINT")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        session, name = key
+        batch = pd.concat(list(rows)).sort_values("seq")
+        known = self._member.get() if self._member.exists() else None
+        was_known = known is not None
+        for r in batch.itertuples(index=False):
+            if r.action == "leave":
+                known = None
+                continue
+            status, colour, _ = known or ("", DEFAULT_COLOUR, 0)
+            at = int(pd.Timestamp(r.ts).value // 1_000_000) if self._event_time else timerValues.getCurrentProcessingTimeInMs()
+            known = (r.status or status, r.colour or colour, at)
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        if known is None:
+            self._member.clear()
+            if was_known:
+                yield self._row(session, name, None, None, None, None)
+            return
+        self._member.update(known)
+        self._handle.registerTimer(known[2] + self._window + 1)
+        yield self._row(session, name, known[0], known[1], True, known[2])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self._member.exists():
+            status, colour, seen = self._member.get()
+            yield self._row(*key, status, colour, False, seen)
+
+    @staticmethod
+    def _row(*values: Any) -> pd.DataFrame:
+        return pd.DataFrame([values], columns=["session", "name", "status", "colour", "online", "seen"])
+
+    def close(self) -> None:
+        pass
+
+
+def presence_stream(log: DataFrame, online_seconds: int = ONLINE_SECONDS, event_time: bool = False, delay: str = "0 seconds") -> DataFrame:
+    """Changes of presence from ``log(session, name, seq, action, status, colour, ts)``.
+
+    ``online`` is null for a member that has left. Needs the RocksDB state store.
+    """
+    msgs = log.filter(F.col("action").isin("heartbeat", "leave") & (F.trim("name") != ""))
+    if event_time:
+        msgs = msgs.withWatermark("ts", delay)
+    return msgs.groupBy("session", "name").transformWithStateInPandas(
+        statefulProcessor=PresenceState(online_seconds, event_time), outputStructType=PRESENCE_OUTPUT, outputMode="Update", timeMode="EventTime" if event_time else "ProcessingTime"
+    )
+
+
+STAGE_OUTPUT = "session STRING, item_id STRING, n_assignees BIGINT, n_candidates BIGINT, n_votes BIGINT, locked_candidate STRING, locked_video STRING, present BOOLEAN"
+
+
+class StageBoard(StatefulProcessor):
+    """Stage board of one session: stages, claims, candidates, votes, locks and the locked video.
+
+    States are maps under composite keys, so a message touches only its own entries.
+    Emits the stages a batch has changed, all of them after a change of the locked video. Starts from the rows of
+    ``operators.team.stage_snapshot`` where those are given.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._stages = handle.getMapState("stages", "item_id STRING", "known BOOLEAN")
+        self._claims = handle.getMapState("claims", "item_id STRING, name STRING", "known BOOLEAN")
+        self._candidates = handle.getMapState("candidates", "item_id STRING, value STRING", "known BOOLEAN")
+        self._votes = handle.getMapState("votes", "item_id STRING, value STRING, name STRING", "known BOOLEAN")
+        self._locks = handle.getMapState("locks", "item_id STRING", "value STRING")
+        self._video = handle.getValueState("video", "video_id STRING, locked_by STRING")
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        for r in initialState.itertuples(index=False):
+            if r.kind == "stage":
+                self._stages.updateValue((r.item_id,), (True,))
+            elif r.kind == "claim":
+                self._claims.updateValue((r.item_id, r.name), (True,))
+            elif r.kind == "candidate":
+                self._candidates.updateValue((r.item_id, r.value), (True,))
+            elif r.kind == "vote":
+                self._votes.updateValue((r.item_id, r.value, r.name), (True,))
+            elif r.kind == "lock":
+                self._locks.updateValue((r.item_id,), (r.value,))
+            else:
+                self._video.update((r.value, r.name))
+
+    @staticmethod
+    def _toggle(state: Any, key: tuple) -> None:
+        if state.containsKey(key):
+            state.removeKey(key)
+        else:
+            state.updateValue(key, (True,))
+
+    @staticmethod
+    def _forget(state: Any, prefix: tuple) -> None:
+        for key in [k for k in state.keys() if tuple(k)[: len(prefix)] == prefix]:
+            state.removeKey(key)
+
+    def _apply(self, r: Any) -> bool:
+        """Apply one message; whether it counts."""
+        stage, cand, name = r.item_id, r.value, r.name
+        if r.action == "ADD_STAGE" or r.action == "REMOVE_STAGE":
+            for state in (self._claims, self._candidates, self._votes, self._locks):
+                self._forget(state, (stage,))
+            if r.action == "ADD_STAGE":
+                self._stages.updateValue((stage,), (True,))
+            elif self._stages.containsKey((stage,)):
+                self._stages.removeKey((stage,))
+            return True
+        if not self._stages.containsKey((stage,)):
+            return False
+        if r.action in NAMED_ACTIONS and not (name or "").strip():
+            return False
+        if r.action == "CLAIM_STAGE":
+            self._toggle(self._claims, (stage, name))
+        elif r.action == "PROPOSE_STAGE_FRAME":
+            self._forget(self._votes, (stage, cand))
+            self._candidates.updateValue((stage, cand), (True,))
+            self._votes.updateValue((stage, cand, name), (True,))
+        elif r.action == "VOTE_STAGE_FRAME":
+            if not self._candidates.containsKey((stage, cand)):
+                return False
+            self._toggle(self._votes, (stage, cand, name))
+        elif r.action == "REMOVE_STAGE_FRAME":
+            if self._candidates.containsKey((stage, cand)):
+                self._candidates.removeKey((stage, cand))
+            self._forget(self._votes, (stage, cand))
+        elif r.action == "LOCK_STAGE_FRAME":
+            self._locks.updateValue((stage,), (cand,))
+        elif r.action == "UNLOCK_STAGE_FRAME":
+            if self._locks.containsKey((stage,)):
+                self._locks.removeKey((stage,))
+        else:
+            return False
+        return True
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("seq").astype(object)
+        batch = batch.where(batch.notna(), None)
+        changed: dict[str, None] = {}
+        for r in batch.itertuples(index=False):
+            if r.action == "CLEAR_TRAKE":
+                changed |= dict.fromkeys(k[0] for k in self._stages.keys())
+                for state in (self._stages, self._claims, self._candidates, self._votes, self._locks, self._video):
+                    state.clear()
+            elif r.action in ("MAKE_KEY", "UNLOCK_VIDEO"):
+                if r.action == "MAKE_KEY":
+                    self._video.update((r.value, r.name))
+                else:
+                    self._video.clear()
+                changed |= dict.fromkeys(k[0] for k in self._stages.keys())
+            elif self._apply(r):
+                changed[r.item_id] = None
+        video = self._video.get()[0] if self._video.exists() else None
+        claims, votes = Counter(k[0] for k in self._claims.keys()), Counter(k[0] for k in self._votes.keys())
+        candidates = Counter(k[0] for k in self._candidates.keys())
+        out = []
+        for stage in changed:
+            if not self._stages.containsKey((stage,)):
+                out.append((key[0], stage, 0, 0, 0, None, video, False))
+                continue
+            locked = self._locks.getValue((stage,))[0] if self._locks.containsKey((stage,)) else None
+            if locked is not None and not self._candidates.containsKey((stage, locked)):
+                locked = None
+            out.append((key[0], stage, claims[stage], candidates[stage], votes[stage], locked, video, True))
+        yield pd.DataFrame(out, columns=["session", "item_id", "n_assignees", "n_candidates", "n_votes", "locked_candidate", "locked_video", "present"])
+
+    def close(self) -> None:
+        pass
+
+
+def stage_stream(log: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    """Changed stages per micro-batch; needs the RocksDB state store.
+
+    ``snapshot`` (``stage_snapshot`` of an older log) is where a new query starts from.
+    """
+    start = None if snapshot is None else snapshot.groupBy("session")
+    return log.groupBy("session").transformWithStateInPandas(
+        statefulProcessor=StageBoard(), outputStructType=STAGE_OUTPUT, outputMode="Update", timeMode="None", initialState=start
+    )
+
+
 def first_answers(answers: DataFrame, horizon: str = "1 day") -> DataFrame:
     """Stream of answers with repeats of (evaluation, answer) inside the horizon removed."""
     return answers.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["evaluation", "answer"])

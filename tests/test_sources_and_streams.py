@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -91,3 +94,104 @@ def test_first_answers_and_continuous_search(spark, tmp_path):
     d = stream.first_answers(answers).writeStream.format("memory").queryName("first_out").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     d.awaitTermination(120)
     assert sorted(r.answer for r in spark.table("first_out").collect()) == ["x", "y"]
+
+
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+BEATS = "session STRING, name STRING, seq BIGINT, action STRING, status STRING, colour STRING, ts TIMESTAMP"
+
+
+def run_stream(df, checkpoint):
+    rows = []
+    q = df.writeStream.foreachBatch(lambda batch, _: rows.extend(batch.collect())).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    return rows
+
+
+def at(second):
+    return datetime.datetime(2024, 1, 1, 12, 0, 0) + datetime.timedelta(seconds=second)
+
+
+def test_presence_stream_tells_of_silence_like_the_fold(spark, tmp_path):
+    spark.conf.set(*ROCKS)
+    first = [("s", "ann", 1, "heartbeat", "busy", "#111", at(0)), ("s", "bob", 2, "heartbeat", None, None, at(1)), ("s", "cy", 3, "heartbeat", "x", None, at(2)), ("s", " ", 4, "heartbeat", "x", None, at(2))]
+    # twelve seconds after ann's beat she is online still, bob goes on, cy leaves, a beat of another session moves the clock
+    later = [("s", "bob", 5, "heartbeat", "back", None, at(12)), ("s", "cy", 6, "leave", None, None, at(12)), ("t", "dan", 7, "heartbeat", None, None, at(12))]
+    clock = [("t", "dan", 8, "heartbeat", None, None, at(20))]
+    seen = {}
+    for i, rows in enumerate((first, later, clock, clock[:0])):
+        folder = tmp_path / "in"
+        spark.createDataFrame(rows or [("t", "dan", 9, "heartbeat", None, None, at(21))], BEATS).coalesce(1).write.mode("append").parquet(str(folder))
+        log = spark.readStream.schema(BEATS).parquet(str(folder))
+        for r in run_stream(stream.presence_stream(log, event_time=True), str(tmp_path / "ck")):
+            seen[r.session, r.name] = r
+        if i == 1:
+            assert seen["s", "ann"].online
+    every = spark.read.parquet(str(tmp_path / "in"))
+    want = {(r.session, r.name): (r.status, r.colour, r.online) for r in tm.presence(every, F.lit(at(20)).cast("timestamp")).collect()}
+    assert {k: (r.status, r.colour, r.online) for k, r in seen.items() if r.online is not None} == want
+    assert want["s", "ann"] == ("busy", "#111", False) and want["s", "bob"][2] and seen["s", "cy"].online is None
+
+
+def test_presence_stream_by_the_clusters_clock(spark, tmp_path):
+    spark.conf.set(*ROCKS)
+    spark.createDataFrame([("s", "ann", 1, "heartbeat", None, None, at(0))], BEATS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    log = spark.readStream.schema(BEATS).parquet(str(tmp_path / "in"))
+    q = stream.presence_stream(log, online_seconds=1).writeStream.format("memory").queryName("presence_clock").outputMode("update").option(
+        "checkpointLocation", str(tmp_path / "ck")
+    ).trigger(processingTime="1 second").start()
+    deadline = time.time() + 60
+    while time.time() < deadline and not any(r.online is False for r in spark.table("presence_clock").collect()):
+        time.sleep(1)
+    q.stop()
+    assert [r.online for r in spark.table("presence_clock").orderBy(F.desc("online")).collect()] == [True, False]
+
+
+STAGE_LOG = "session STRING, seq BIGINT, action STRING, name STRING, item_id STRING, value STRING"
+STAGE_EVENTS = [
+    ("s", 1, "ADD_STAGE", "u", "gone", None),
+    ("s", 2, "CLEAR_TRAKE", "u", None, None),
+    ("s", 3, "MAKE_KEY", "u", None, "V7"),
+    ("s", 4, "ADD_STAGE", "u", "one", None),
+    ("s", 5, "ADD_STAGE", "u", "two", None),
+    ("s", 6, "CLAIM_STAGE", "u", "one", None),
+    ("s", 7, "CLAIM_STAGE", "w", "one", None),
+    ("s", 8, "CLAIM_STAGE", " ", "one", None),
+    ("s", 9, "PROPOSE_STAGE_FRAME", "u", "one", "c1"),
+    ("s", 10, "VOTE_STAGE_FRAME", "w", "one", "c1"),
+    ("s", 11, "VOTE_STAGE_FRAME", "w", "one", "unknown"),
+    ("t", 12, "ADD_STAGE", "z", "one", None),
+    ("s", 13, "CLAIM_STAGE", "w", "one", None),
+    ("s", 14, "PROPOSE_STAGE_FRAME", "w", "one", "c2"),
+    ("s", 15, "LOCK_STAGE_FRAME", "w", "one", "c1"),
+    ("s", 16, "VOTE_STAGE_FRAME", "u", "one", "c1"),
+    ("s", 17, "LOCK_STAGE_FRAME", "w", "two", "nothing"),
+    ("t", 18, "PROPOSE_STAGE_FRAME", "z", "one", "c9"),
+    ("t", 19, "LOCK_STAGE_FRAME", "z", "one", "c9"),
+    ("t", 20, "REMOVE_STAGE_FRAME", "z", "one", "c9"),
+    ("s", 21, "ADD_STAGE", "u", "three", None),
+    ("s", 22, "REMOVE_STAGE", "u", "three", None),
+    ("s", 23, "UNLOCK_VIDEO", "u", None, None),
+]
+
+
+def test_stage_stream_agrees_with_the_replay_after_a_restart_and_from_a_snapshot(spark, tmp_path):
+    spark.conf.set(*ROCKS)
+    whole = spark.createDataFrame(STAGE_EVENTS, STAGE_LOG)
+    want = {(r.session, r.item_id): (r.n_assignees, r.n_candidates, r.n_votes, r.locked_candidate) for r in tm.stage_board(whole).collect()}
+    assert want["s", "one"] == (1, 2, 2, "c1") and want["t", "one"] == (0, 0, 0, None)
+    for cut in (8, 13, 18):
+        halves = [spark.createDataFrame([e for e in STAGE_EVENTS if (e[1] <= cut) == early], STAGE_LOG).coalesce(1) for early in (True, False)]
+        folder, alone = str(tmp_path / f"in{cut}"), str(tmp_path / f"late{cut}")
+        state = {}
+        for i, half in enumerate(halves):  # the second run restarts from the checkpoint
+            half.write.mode("append").json(folder)
+            log = spark.readStream.schema(STAGE_LOG).json(folder)
+            for r in run_stream(stream.stage_stream(log), str(tmp_path / f"ck{cut}")):
+                state[r.session, r.item_id] = r
+        assert {k: tuple(r[2:6]) for k, r in state.items() if r.present} == want
+        assert state["s", "one"].locked_video is None
+        halves[1].write.json(alone)
+        log = spark.readStream.schema(STAGE_LOG).json(alone)
+        late = {(r.session, r.item_id): r for r in run_stream(stream.stage_stream(log, tm.stage_snapshot(halves[0])), str(tmp_path / f"ck_late{cut}"))}
+        assert all(want[k] == tuple(r[2:6]) for k, r in late.items() if r.present)
+        assert late["s", "one"].present
