@@ -1,6 +1,8 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-Each token of a text is inside a toxic span or not. Emission scores are sums of weights
+Tokens are runs without white space; one of more than ``LETTERS`` characters is cut between
+letters and signs and into pieces of that length, so that every character of a text of any length
+is looked at. Each token is inside a toxic span or not. Emission scores are sums of weights
 of hashed features of the token (the word and its first 4 to 6 letters, lower case and
 without punctuation at the ends); a 2 x 2 table scores neighbouring states. Marginals come
 from forward-backward. Their sum, maximum and density go through a logistic function
@@ -20,7 +22,8 @@ each step is one vector operation; results are those of the sequential recursion
 
 Nulls: null and empty texts have no tokens, no spans and the score of an empty text. Null
 labels are not learned from; without labels of both kinds the score is the share of toxic
-labels, or 0. Repeated rows get equal rows; an empty table gives none. Labels, lang, source
+labels, or 0. Repeated rows get equal rows; an empty table gives none. A marginal of exactly
+one half is toxic, and so is a score of exactly one half. Labels, lang, source
 and id are no inputs of a score. Other columns do not matter.
 """
 
@@ -41,7 +44,7 @@ from reelweave.llm.words import WordTable, with_columns
 #: Documents learned from per label, at most.
 PER_CLASS = 1500
 BUCKETS = 1 << 18
-#: Letters of a word that its hash looks at.
+#: Letters of a token at most; what is longer is cut into pieces.
 LETTERS = 24
 PREFIXES = (4, 5, 6)
 LIFT = 20.0
@@ -57,6 +60,33 @@ WORDS_AT_ONCE = 50_000
 ENDS = string.punctuation + "«»“”„‘’…¡¿–—"
 
 
+_PIECE = re.compile(r"[^\W_]{1,%d}|[\W_]{1,%d}" % (LETTERS, LETTERS))
+
+
+def pieces(word: str) -> list[str]:
+    """A token, or the pieces of one that is too long: cut between letters and signs, then by length."""
+    return [word] if len(word) <= LETTERS else _PIECE.findall(word)
+
+
+def tokens(text: str) -> list[str]:
+    """All tokens of a text; every character that is no white space is in one."""
+    words = text.split()
+    if all(len(w) <= LETTERS for w in words):
+        return words
+    return [p for w in words for p in pieces(w)]
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """Start and end of every token."""
+    out: list[tuple[int, int]] = []
+    at = 0
+    for token in tokens(text):
+        at = text.index(token, at)
+        out.append((at, at + len(token)))
+        at += len(token)
+    return out
+
+
 def features(words: list[str]) -> np.ndarray:
     """Buckets of the features of each word: prefixes, then the word itself.
 
@@ -149,7 +179,7 @@ class Model:
         return WordTable(lambda w: (self.weights[features(w)].sum(axis=1) + self.bias)[:, None], 1)
 
     def marginals(self, words: WordTable, texts: list[str | None]) -> list[np.ndarray]:
-        rows = words.rows([(t or "").split() for t in texts])
+        rows = words.rows([tokens(t or "") for t in texts])
         sizes = np.array([len(r) for r in rows], dtype=np.int64)
         ends = np.cumsum(sizes)
         m, _ = forward_backward(words.table[np.concatenate(rows), 0] if ends[-1] else np.zeros(0), (ends - sizes)[sizes > 0], self.opening, self.passing)
@@ -223,19 +253,19 @@ def fit(rows: list[tuple[int, str]]) -> Model:
     if len(set(labels.tolist())) < 2:
         return model
     index: dict[str, int] = {}
-    cut = [np.array([index.setdefault(w, len(index)) for w in text.split()], dtype=np.int64) for _, text in rows]
+    cut = [np.array([index.setdefault(w, len(index)) for w in tokens(text)], dtype=np.int64) for _, text in rows]
     single = np.flatnonzero(_first_of_copies(cut))
     rows, cut, labels = [rows[i] for i in single], [cut[i] for i in single], labels[single]
     held = np.arange(len(rows)) % 4 == 3
     table = features(list(index)) if index else np.zeros((0, len(PREFIXES) + 1), np.int64)
     learn = [i for i in range(len(rows)) if not held[i] and len(cut[i])]
     truth = _token_labels([table[cut[i]] for i in learn], labels[learn])
-    tokens = np.concatenate([cut[i] for i in learn]) if learn else np.zeros(0, np.int64)
+    chain = np.concatenate([cut[i] for i in learn]) if learn else np.zeros(0, np.int64)
     y = np.concatenate(truth).astype(np.float64) if truth else np.zeros(0)
     sizes = np.array([len(cut[i]) for i in learn], dtype=np.int64)
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    first = np.zeros(len(tokens), bool)
+    first = np.zeros(len(chain), bool)
     first[starts] = True
     seen_pairs = np.zeros((2, 2))
     inner = np.flatnonzero(~first)
@@ -246,13 +276,13 @@ def fit(rows: list[tuple[int, str]]) -> Model:
     groups = np.split(np.arange(len(learn)), np.flatnonzero(np.diff(ends // CHAIN)) + 1) if learn else []
     for _ in range(STEPS):
         emission = model.weights[table].sum(axis=1) + model.bias
-        m, pairs = np.empty(len(tokens)), np.zeros((2, 2))
+        m, pairs = np.empty(len(chain)), np.zeros((2, 2))
         for g in groups:
             part = slice(starts[g[0]], ends[g[-1]])
-            m[part], seen = forward_backward(emission[tokens[part]], starts[g] - starts[g[0]], model.opening, model.passing)
+            m[part], seen = forward_backward(emission[chain[part]], starts[g] - starts[g[0]], model.opening, model.passing)
             pairs += seen
         # the gradient of the log likelihood: observed minus expected
-        off = np.bincount(tokens, weights=y - m, minlength=len(table))
+        off = np.bincount(chain, weights=y - m, minlength=len(table))
         slope = np.zeros(BUCKETS)
         for k in range(table.shape[1]):
             slope += np.bincount(table[:, k], weights=off, minlength=BUCKETS)
@@ -284,11 +314,11 @@ def spans(text: str | None, marginals: np.ndarray, least: float = 0.5) -> list[t
         return []
     out: list[tuple[int, int]] = []
     before = False
-    for hit, token in zip(on.tolist(), re.finditer(r"\S+", text or "")):
+    for hit, (start, end) in zip(on.tolist(), places(text or "")):
         if hit and before:
-            out[-1] = (out[-1][0], token.end())
+            out[-1] = (out[-1][0], end)
         elif hit:
-            out.append(token.span())
+            out.append((start, end))
         before = hit
     return out
 
