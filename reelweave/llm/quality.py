@@ -2,8 +2,8 @@
 
 Evidence of the document: a logistic regression on the shapes of its words. Letters
 become their kind (upper, lower, digit, or the sign itself) and repeats one, so "Word,"
-and "THESE!!" have the shapes "Ul," and "U!"; a text is the share of each shape and pair
-of neighbouring shape and first letter kind, hashed. It is trained in numpy on a bounded sample (at most
+and "THESE!!" have the shapes "Ul," and "U!"; a text is the share of each hashed shape among
+its words, words of any length read whole. It is trained in numpy on a bounded sample (at most
 ``PER_CLASS`` labelled documents of each kind).
 
 Evidence of the site: labels are counted per path (host and first directory of the
@@ -19,7 +19,7 @@ poor sites stay.
 
 Nulls: a null or empty text has no evidence of its own (log odds 0 over the global rate).
 Null sources are one site. Null labels are not counted; without labels of both kinds all
-scores are the global rate, or 0.5. Repeated rows get equal rows; an empty table gives
+scores are the global rate, or 0.5. A score of exactly ``REJECT`` is kept. Repeated rows get equal rows; an empty table gives
 none. Other columns do not matter.
 """
 
@@ -64,16 +64,14 @@ def shapes(words: list[str]) -> np.ndarray:
     fresh = np.ones(len(kinds), bool)
     fresh[1:] = (kinds[1:] != kinds[:-1]) | (number[1:] != number[:-1])
     kinds, number = kinds[fresh & (kinds > 0)], number[fresh & (kinds > 0)]
-    # a word's shape is the polynomial of its kinds, most recent last
+    # a word's shape is the polynomial of its kinds modulo 2 ** 64, however many there are
     h = np.zeros(len(words), dtype=np.uint64)
-    begins = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(number) else np.zeros(0, int)
-    place = np.arange(len(number)) - np.repeat(begins, np.diff(np.r_[begins, len(number)]))
-    for k in range(int(place.max()) + 1 if len(place) else 0):
-        on = place == k
-        h[number[on]] = (h[number[on]] ^ kinds[on].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h[number[on]] ^= h[number[on]] >> np.uint64(29)
-        if k >= 12:  # longer alternations are one shape
-            break
+    if len(number):
+        begins = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        place = np.arange(len(number)) - np.repeat(begins, np.diff(np.r_[begins, len(number)]))
+        power = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
+        h[number[begins]] = np.add.reduceat((kinds.astype(np.uint64) + np.uint64(1)) * power[place], begins)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return ((h >> np.uint64(20)) % np.uint64(SHAPES)).astype(np.int64)
 
 
