@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from reelweave.llm.common import cut_lineage
 from reelweave.session import shared_folder
 
+#: Bytes of archives that one task reads, about.
+READ_BYTES = 64 << 20
 ARCHIVE_BYTES = 8 << 20
 REVISIT_BYTES = 100
 LEVEL = 1
@@ -351,7 +353,8 @@ def salvage(stream) -> Iterator[dict]:
 def read_warc(archives: DataFrame, *, with_payload: bool = True, counted: bool = False) -> DataFrame:
     """Records and gaps of the archives named in column ``archive``; columns of ``RECORDS``.
 
-    With ``counted``, an archive that has a gap or not as many records as column
+    A task reads about ``READ_BYTES`` where column ``bytes`` tells sizes, else one archive. With
+    ``counted``, an archive that has a gap or not as many records as column
     ``records`` says fails the read.
     """
 
@@ -377,7 +380,12 @@ def read_warc(archives: DataFrame, *, with_payload: bool = True, counted: bool =
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.select("archive", *["records"] * counted).repartition("archive").mapInArrow(tasks, RECORDS)
+    # as many tasks as the archives' bytes ask for: the rows that name them are tiny
+    measured = "bytes" in archives.columns
+    size = archives.agg(F.count("*").alias("n"), (F.sum("bytes") if measured else F.count("*") * READ_BYTES).alias("bytes")).head()
+    few = 2 * archives.sparkSession.sparkContext.defaultParallelism
+    n = max(1, min(size["n"], max(few, -(-(size["bytes"] or 0) // READ_BYTES))))
+    return archives.select("archive", *["records"] * counted).repartition(n, "archive").mapInArrow(tasks, RECORDS)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -143,3 +143,29 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, sf)
     assert Counter(tuple(r) for r in got.drop("ids").collect()) == want
     assert mixing.mix_table(docs).count() == sizes[0]
+
+
+def test_every_letter_of_a_long_token_counts():
+    from reelweave.llm import toxicity
+
+    assert toxicity.tokens("a b") == ["a", "b"]
+    long = "x" * 24 + "idiot"
+    assert toxicity.tokens(f"say {long} now") == ["say", "x" * 24, "idiot", "now"]
+    joined = "、".join(["word"] * 9)
+    assert toxicity.tokens(joined) == ["word", "、"] * 8 + ["word"]
+    for text in ("", " \t\n", joined, f"  {long}{long}!!{long}  \x1c é", "word " * 3 + "-" * 100):
+        assert [text[a:b] for a, b in toxicity.places(text)] == toxicity.tokens(text)
+        assert "".join(toxicity.tokens(text)) == "".join(text.split())
+    other = "x" * 24 + "table"
+    assert [tuple(r) for r in toxicity.features(toxicity.tokens(long))] != [tuple(r) for r in toxicity.features(toxicity.tokens(other))]
+    hits = np.array([False, False, True, False])
+    assert toxicity.spans(f"say {long} now", hits.astype(float)) == [(28, 33)]
+
+
+def test_every_change_of_kind_counts_in_a_shape():
+    from reelweave.llm import quality
+
+    same = "aB" * 10
+    shapes = quality.shapes([same + "1", same + "!", same + "1", "Word", "Other", "WORD", "ABBA", "", "x" * 5, "xy", same * 5000])
+    assert shapes[0] != shapes[1] and shapes[0] == shapes[2]
+    assert shapes[3] == shapes[4] != shapes[5] == shapes[6] and shapes[8] == shapes[9] != shapes[3]

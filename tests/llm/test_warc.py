@@ -97,7 +97,10 @@ def test_twin(spark):
 def test_payloads_come_back(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(20)
     folder = warc.shared_folder(spark) + "/payloads"
-    rows = warc.read_warc(warc.write_warc(warc.with_revisits(pages), folder, archive_bytes=10_000)).collect()
+    archives = warc.write_warc(warc.with_revisits(pages), folder, archive_bytes=10_000)
+    read = warc.read_warc(archives)
+    assert read.rdd.getNumPartitions() == min(archives.count(), 2 * spark.sparkContext.defaultParallelism) > 1
+    rows = read.collect()
     want = {r["page_id"]: (r["html"], r["url"]) for r in pages.collect()}
     assert {warc.page_of(r["record_id"]): (bytes(r["payload"]).decode(), r["target_uri"]) for r in rows} == want
     assert len({r["archive"] for r in rows}) > 1
