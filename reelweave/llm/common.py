@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelweave.session import cut_lineage
 
-__all__ = ["BATCH_ROWS", "WORD", "bounded_batches", "connected_components", "cut_lineage", "held_out", "labelled_sample", "read_table", "small_table", "source_key", "word_count"]
+__all__ = ["BATCH_ROWS", "WORD", "bounded_batches", "connected_components", "cut_lineage", "held_out", "labelled_sample", "least_hashes", "read_table", "small_table", "source_key", "word_count"]
 
 #: Rows of texts that Python gets at once.
 BATCH_ROWS = 1024
@@ -58,6 +58,20 @@ def labels_of(labels: DataFrame, column: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
 
 
+def least_hashes(ids: DataFrame, per_label: int) -> DataFrame:
+    """``doc_id, label, place`` of the ``per_label`` rows of ``ids`` with the least hashes, per label.
+
+    Rows are counted per label first and only hashes below a cutoff that leaves about twice
+    the rows wanted are ranked, so what a label's task sorts does not grow with the table.
+    """
+    ids = cut_lineage(ids.select("doc_id", "label").withColumn("h", F.xxhash64("doc_id")))
+    n = ids.groupBy("label").agg(F.count("*").alias("n"))  # a row per label, as every model here has
+    near = (F.col("h").cast("double") + 2.0**63) / 2.0**64 <= F.lit(2.0 * per_label + 200) / F.col("n")
+    few = ids.join(F.broadcast(n), "label").where(near)
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))
+    return few.withColumn("place", place).where(F.col("place") <= per_label).select("doc_id", "label", "place")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> DataFrame:
     """``doc_id, label, text`` of at most ``per_class`` documents of each label value.
 
@@ -65,9 +79,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     alone and stored; texts are then read once.
     """
     rows = labels_of(labels, column).join(docs.where(F.col("text").isNotNull()).select("doc_id").distinct(), "doc_id", "left_semi")
-    h = F.xxhash64("doc_id")
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(h, "doc_id"))).where(F.col("place") <= per_class)
-    chosen = cut_lineage(rows.select("doc_id", "label"))
+    chosen = cut_lineage(least_hashes(rows, per_class).select("doc_id", "label"))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id")
     # of rows that repeat an id, the least text
     return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))

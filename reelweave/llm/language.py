@@ -25,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelweave.llm.common import bounded_batches, cut_lineage, held_out
+from reelweave.llm.common import bounded_batches, cut_lineage, held_out, least_hashes
 from reelweave.llm.words import WordTable, kept_rows, runs, with_columns
 
 BUCKETS = 1 << 16
@@ -119,10 +119,8 @@ def sample(docs: DataFrame) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
     Which documents, is found from ids and labels alone; their texts become counts where
     they lie, so at most PER_LANGUAGE rows of at most BUCKETS numbers per language arrive.
     """
-    h = F.xxhash64(F.col("doc_id"))
-    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").alias("label")).distinct().withColumn("h", h)
-    ids = ids.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))).where(F.col("place") <= PER_LANGUAGE)
-    chosen = cut_lineage(ids.select("doc_id", "label", F.col("place")))
+    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").alias("label")).distinct()
+    chosen = cut_lineage(least_hashes(ids, PER_LANGUAGE))
     texts = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     texts = texts.join(chosen, (texts.doc_id == chosen.doc_id) & (texts.lang == chosen.label)).select(chosen.doc_id, "label", "place", "text")
     texts = texts.groupBy("doc_id", "label", "place").agg(F.min("text").alias("text"))

@@ -169,3 +169,15 @@ def test_every_change_of_kind_counts_in_a_shape():
     shapes = quality.shapes([same + "1", same + "!", same + "1", "Word", "Other", "WORD", "ABBA", "", "x" * 5, "xy", same * 5000])
     assert shapes[0] != shapes[1] and shapes[0] == shapes[2]
     assert shapes[3] == shapes[4] != shapes[5] == shapes[6] and shapes[8] == shapes[9] != shapes[3]
+
+
+def test_least_hashes_are_the_same_with_and_without_a_cutoff(spark):
+    from pyspark.sql import Window
+
+    from reelweave.llm.common import least_hashes
+
+    ids = spark.range(6000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("label")).union(spark.createDataFrame([(9001, 7), (9002, 7)], "doc_id long, label int"))
+    want = ids.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))).where("place <= 50")
+    rows = lambda df: {(r["doc_id"], r["label"], r["place"]) for r in df.collect()}
+    assert rows(least_hashes(ids, 50)) == rows(want)
+    assert least_hashes(ids.limit(0), 50).count() == 0
