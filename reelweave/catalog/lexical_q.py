@@ -364,56 +364,55 @@ def hybrid_text_blend(spark, d):
     return lx.hybrid_blend(s.filter("lane = 'ocr'"), s.filter("lane = 'ocr_semantic'"), ["query_id", "video_id", "frame_id"], 0.45, 50)
 
 
-def frame_triples(spark, d):
-    """One triple per document line: its first three words."""
-    docs = table(spark, d, "documents").select(F.col("source").alias("video_id"), F.col("doc_id").alias("frame_id"), F.posexplode(F.split("text", "\n")).alias("fn", "line"))
-    t = docs.withColumn("t", tx.tokens(tx.normalize_for_search(F.col("line"))))
-    return t.select("video_id", "frame_id", "fn", *[F.get("t", F.lit(i)).alias(r) for i, r in enumerate(lx.ROLES)]).filter("o is not null")
+def line_triples(rows, keys, n):
+    """A triple from every word of every line of ``text`` and the two after it, in text order by ``n``.
+
+    At the end of a line, roles without a word are null.
+    """
+    t = rows.select(*keys, F.posexplode(F.split("text", "\n")).alias("_line", "line")).withColumn("t", tx.tokens(tx.normalize_for_search(F.col("line"))))
+    t = t.filter(F.size("t") > 0).withColumn("_at", F.explode(F.sequence(F.lit(0), F.size("t") - 1)))
+    roles = [F.get("t", F.col("_at") + i).alias(r) for i, r in enumerate(lx.ROLES)]
+    return t.select(*keys, (F.col("_line").cast("long") * (1 << 32) + F.col("_at")).alias(n), *roles)
 
 
-def query_triples(spark, d):
-    """One triple per benchmark passage line: its words two to four."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.split("text", "\n")).alias("qn", "line"))
-    t = b.withColumn("t", tx.tokens(tx.normalize_for_search(F.col("line"))))
-    return t.select("query_id", "qn", *[F.get("t", F.lit(i + 1)).alias(r) for i, r in enumerate(lx.ROLES)]).filter("o is not null")
+def frame_triples(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("video_id"), F.col("doc_id").alias("frame_id"), "text")
+    return line_triples(docs, ["video_id", "frame_id"], "fn")
 
 
-def _triples_sql(tbl, key, n, shift, extra):
-    return f"""SELECT {key}, i - 1 AS {n}, t[{1 + shift}] AS s, t[{2 + shift}] AS v, t[{3 + shift}] AS o FROM (
-  SELECT {extra}, i, {toks(norm_search('line'))} AS t FROM (SELECT *, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {tbl})) WHERE len(t) >= {3 + shift}"""
+def _roles_sql(tbl, key, extra):
+    """How often a word has a role: a word is the subject of its own triple, the verb of the one
+    before, the object of the one before that."""
+    return f"""SELECT {key}, role, w, count(*) AS n FROM (SELECT {extra}, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM (
+  SELECT *, {toks(norm_search('line'))} AS t FROM (SELECT *, unnest(string_split(text, chr(10))) AS line FROM {tbl}))), (VALUES (0), (1), (2)) r(role) WHERE pos > role GROUP BY ALL"""
 
 
-cte("frame_triples", _triples_sql("documents", "video_id, frame_id", "fn", 0, "source AS video_id, doc_id AS frame_id"))
-cte("query_triples", _triples_sql("benchmark", "query_id", "qn", 1, "item_id AS query_id"))
+cte("frame_roles", _roles_sql("documents", "video_id, frame_id", "source AS video_id, doc_id AS frame_id"))
+cte("query_roles", _roles_sql("benchmark", "query_id", "item_id AS query_id"))
+cte(
+    "role_words",
+    "SELECT q.w AS q, f.w AS f FROM (SELECT DISTINCT w FROM query_roles) q, (SELECT DISTINCT w FROM frame_roles) f WHERE contains(f.w, q.w)",
+    "query_roles",
+    "frame_roles",
+)
 
 
 @query(
     "triple_matching",
     f"""SELECT * FROM (SELECT query_id, video_id, frame_id, points, round(least(1.0, points / 3.0::DOUBLE / n), 6) AS score, {RN.format(o='points DESC, video_id, frame_id')} AS rank FROM (
-  SELECT q.query_id, f.video_id, f.frame_id, CAST(sum(CAST(contains(f.s, q.s) AS INTEGER) + CAST(contains(f.v, q.v) AS INTEGER) + CAST(contains(f.o, q.o) AS INTEGER)) AS BIGINT) AS points
-  FROM query_triples q, frame_triples f WHERE contains(f.s, q.s) OR contains(f.v, q.v) OR contains(f.o, q.o) GROUP BY ALL)
-JOIN (SELECT query_id, count(*) AS n FROM query_triples GROUP BY ALL) USING (query_id)) WHERE rank <= 25""",
-    ("query_triples", "frame_triples"),
+  SELECT a.query_id, f.video_id, f.frame_id, CAST(sum(a.n * f.n) AS BIGINT) AS points FROM (SELECT query_id, role, w.f, sum(n) AS n FROM query_roles q JOIN role_words w ON w.q = q.w GROUP BY ALL) a
+  JOIN frame_roles f ON f.role = a.role AND f.w = a.f GROUP BY ALL) JOIN (SELECT query_id, sum(n) AS n FROM query_roles WHERE role = 0 GROUP BY ALL) USING (query_id)) WHERE rank <= 25""",
+    ("query_roles", "frame_roles", "role_words"),
 )
 def triple_matching(spark, d):
-    return lx.triple_search(query_triples(spark, d), frame_triples(spark, d), 25).select("query_id", "video_id", "frame_id", "points", "score", "rank")
-
-
-def line_triples(rows, keys, n):
-    """A triple from every word of every line of ``text`` and the two after it, in text order by ``n``.
-
-    At the end of a line, roles without a word are null.
-    """
-    t = rows.select(*keys, F.posexplode(F.split("text", "\n")).alias("_line", "line")).withColumn("t", tx.tokens(tx.normalize_for_search(F.col("line"))))
-    t = t.filter(F.size("t") > 0).withColumn("_at", F.explode(F.sequence(F.lit(0), F.size("t") - 1)))
-    roles = [F.get("t", F.col("_at") + i).alias(r) for i, r in enumerate(lx.ROLES)]
-    return t.select(*keys, (F.col("_line").cast("long") * (1 << 32) + F.col("_at")).alias(n), *roles)
+    """Triples from every word of every line of passages and documents."""
+    q = line_triples(passages(spark, d), ["query_id"], "qn")
+    return lx.triple_search(q, frame_triples(spark, d), 25).select("query_id", "video_id", "frame_id", "points", "score", "rank")
 
 
 @query("triple_match_snippets")
 def triple_match_snippets(spark, d):
     """First matched triples of each hit; hits and triples are of whole lines."""
-    docs = table(spark, d, "documents").select(F.col("source").alias("video_id"), F.col("doc_id").alias("frame_id"), "text")
     q = line_triples(passages(spark, d), ["query_id"], "qn")
-    f = line_triples(docs, ["video_id", "frame_id"], "fn")
+    f = frame_triples(spark, d)
     return lx.triple_snippets(lx.triple_search(q, f, 25), q, f)
