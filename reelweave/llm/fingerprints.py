@@ -3,22 +3,26 @@
 A document is the multiset of its paragraphs: lines, cut again after the ends of
 sentences so that one long line is not one unit. Each paragraph is hashed to a wide
 vector, and the fingerprint is the sum of the vectors, lane by lane, modulo powers of
-two: 64 lanes of one random bit each modulo 2 ** 14, four lanes of 32 random bits modulo
-2 ** 32, and the number of paragraphs modulo 2 ** 32. The sum does not depend on the
-order, so documents with the same paragraphs have the same fingerprint, and paragraphs
-can be added to or taken from a fingerprint without the text (``insert``, ``delete``).
-
-Bits of different paragraphs are independent. Read as signs, the lanes of a difference
-of two fingerprints estimate how many paragraphs the documents do not share, which gives
-``likeness``: 1 for equal fingerprints, about the shared part of all paragraphs otherwise.
-Deviations of lanes are exact while they are below 2 ** 14, which holds for millions of
-distinct paragraphs; a paragraph that one document has 2 ** 14 times or more can wrap them
-and spoil the estimate. Equality does not depend on it.
+two: 64 lanes of random bits modulo 2 ** 14, four lanes of 32 random bits modulo
+2 ** 32, and a count modulo 2 ** 32. The sum does not depend on the order, so documents
+with the same paragraphs have the same fingerprint, and paragraphs can be added to or
+taken from a fingerprint without the text (``insert``, ``delete``).
+
+A paragraph's vector has in its 64 lanes one bit for the paragraph and one for each of
+its windows: four words in a row, at its start and after words that end in one of
+``BEFORE_WINDOW``. So a paragraph changed in one place keeps most of its windows. Bits of different units are independent. Read as
+signs, the lanes of a difference of two fingerprints estimate how many units the
+documents do not share, which gives ``likeness``: 1 for equal fingerprints, about the
+shared part of all units otherwise. Deviations of lanes are exact while they are below
+2 ** 14, which holds for millions of distinct units; a unit that one document has 2 ** 14
+times or more can wrap them and spoil the estimate. Equality does not depend on it.
 
 Everything is SQL expressions on the row; sums run over an array of hashes of one text.
 
-Nulls: a null text is the empty text, whose fingerprint is zero. Repeated rows have equal
-fingerprints. An empty table gives no rows. Other columns do not matter.
+Nulls: a null text is the empty text, whose fingerprint is zero; null ids come after all
+others, in descending order of a hash of their text. Repeated rows have equal fingerprints. A very
+long text is one row with an array of its hashes. An empty table gives no rows. Other
+columns do not matter.
 """
 
 from __future__ import annotations
@@ -35,27 +39,38 @@ WORDS = 16
 WIDE_MOD = 0xFFFFFFFF
 #: Lines, and after the end of a sentence.
 PARAGRAPH_END = r"\n+|(?<=[.!?])[ \t]+"
+#: Letters that end the word before a window: about one word in five of European languages.
+BEFORE_WINDOW = "lrt"
+#: Four words of one paragraph, seen ahead from where it or the word before it ends.
+WINDOW = rf"(?:^|\n|(?<=[.!?{BEFORE_WINDOW}])[ \t]+)(?=((?:[^\n \t]*[^\n \t.!?][ \t]+){{3}}[^\n \t]+))"
+#: Bytes of text in one ordered range, and the most ranges whose borders are held at once.
+RANGE_BYTES = 16 << 20
+RANGES = 1 << 15
 
 
 def paragraphs(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPH_END), lambda p: p != "")
 
 
+def windows(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WINDOW), F.lit(1))
+
+
 def with_lanes(rows: DataFrame, text: Column, out: str) -> DataFrame:
     """``rows`` with the summed lanes of a text: an array of WORDS packed words, four wide lanes, the count.
 
     Paragraphs and hashes are columns of their own: an expression that 20 sums would
     share is evaluated once only if it is one.
     """
-    rows = rows.withColumn("_units", paragraphs(text))
-    rows = rows.withColumn("_signs", F.transform("_units", lambda p: F.xxhash64(p)))
+    rows = rows.withColumn("_units", paragraphs(text)).withColumn("_windows", windows(text))
+    rows = rows.withColumn("_signs", F.concat(F.transform("_units", lambda p: F.xxhash64(p)), F.transform("_windows", lambda w: F.xxhash64(F.lit("window"), w)))).drop("_windows")
     rows = rows.withColumn("_wide", F.transform("_units", lambda p: F.xxhash64(F.lit("wide"), p)))
     rows = rows.withColumn("_more", F.transform("_units", lambda p: F.xxhash64(F.lit("more"), p))).drop("_units")
     return rows.withColumn(out, lanes(F.col("_signs"), F.col("_wide"), F.col("_more"))).drop("_signs", "_wide", "_more")
 
 
 def lanes(signs: Column, wide: Column, more: Column) -> Column:
-    """Lanes from the three arrays of hashes of a text's paragraphs."""
+    """Lanes from the hashes of a text's paragraphs and windows (signs) and of its paragraphs (wide, more)."""
     zero = F.lit(0).cast("long")
 
     def packed(j: int) -> Column:
@@ -64,7 +79,7 @@ def lanes(signs: Column, wide: Column, more: Column) -> Column:
 
         few = F.aggregate(signs, zero, lambda a, h: a + bits(h))
         many = F.aggregate(signs, zero, lambda a, h: (a + bits(h)).bitwiseAND(F.lit(LANE_MOD)))
-        # below 2 ** 14 paragraphs no lane can overflow
+        # below 2 ** 14 units no lane can overflow
         return F.when(F.size(signs) < (1 << 14), few).otherwise(many)
 
     def added(hashes: Column, shift: int) -> Column:
@@ -96,7 +111,7 @@ def as_text(fingerprint: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated shared part of the paragraphs of two documents, 0 to 1."""
+    """Estimated shared part of the paragraphs and windows of two documents, 0 to 1."""
 
     def lane(x: Column, k: int) -> Column:
         return F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(0x3FFF))
@@ -131,35 +146,57 @@ def fingerprinted(docs: DataFrame, out: str = "lanes") -> DataFrame:
     return with_lanes(docs, F.col("text"), out)
 
 
-def with_next(docs: DataFrame, blocks: int) -> DataFrame:
+def _borders(rows: DataFrame, value: str, ranges: int) -> list[int]:
+    """Approximate quantiles of a column that cut its rows into ``ranges``, descending."""
+    if ranges < 2:
+        return []
+    marks = rows.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges))).head()[0]
+    return sorted(set(marks or []), reverse=True)
+
+
+def _above(marks: list[int], value: Column) -> Column:
+    """How many of the descending ``marks`` are above a value: first by groups, then inside one."""
+    if not marks:
+        return F.lit(0)
+    step = max(1, int(len(marks) ** 0.5))
+    full = F.size(F.filter(F.lit(marks[step - 1 :: step]).cast("array<long>"), lambda m: value < m))
+    inner = F.slice(F.lit(marks).cast("array<long>"), full * step + 1, F.lit(step))
+    return full * step + F.size(F.filter(inner, lambda m: value < m))
+
+
+def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """``doc_id, text, lanes`` with the text and lanes of the next document in descending id.
 
-    Ids are cut into ``blocks`` ranges by approximate quantiles; each range is ordered by
-    itself, and sees the first document of the range after it as one more row. So every
-    text is shuffled once, and no task holds more than a range. After the last document
-    comes the first. Null ids come last; rows with equal ids are ordered by their text.
+    Ids are cut into ranges of about ``RANGE_BYTES`` of text (or into ``blocks``) by
+    approximate quantiles, null ids likewise by a hash of their text; each range is ordered
+    by itself, and sees the first document of the range after it as one more row. So every
+    text is shuffled once, and a task holds one range. After the last document comes the
+    first. Rows with equal ids (null ids: equal texts) are ordered by their text and share a range.
     """
-    points = [i / blocks for i in range(1, blocks)]
-    marks = docs.agg(F.percentile_approx("doc_id", points, 100 * blocks)).head()[0] if points else []
-    marks = sorted(set(marks or []), reverse=True)
-    # block 0 has the highest ids
-    block = F.when(F.col("doc_id").isNull(), len(marks)).otherwise(F.size(F.filter(F.array(*map(F.lit, marks)).cast("array<long>"), lambda m: F.col("doc_id") < m)))
-    rows = docs.select("doc_id", "text").withColumn("block", block)
-    # at most one row per block: the id its order starts with
-    tops = sorted((r["block"], r["top"]) for r in rows.groupBy("block").agg(F.max("doc_id").alias("top")).collect())
-    heads = [(top, tops[i - 1][0] if i else tops[-1][0], 0 if i else 1) for i, (_, top) in enumerate(tops)]
+    rows = docs.select("doc_id", "text").withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    numbered = F.col("doc_id").isNotNull()
+    size = F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64)
+    held = {r["ok"]: r["size"] for r in rows.groupBy(numbered.alias("ok")).agg(size.alias("size")).collect()}
+    ranges = {ok: blocks or max(1, min(RANGES, -(-n // RANGE_BYTES))) for ok, n in held.items()}
+    ids = _borders(rows.where(numbered), "doc_id", ranges.get(True, 1))
+    nulls = _borders(rows.where(~numbered), "hash", ranges.get(False, 1))
+    # range 0 has the highest ids; those of null ids follow
+    block = F.when(numbered, _above(ids, F.col("doc_id"))).otherwise(F.lit(len(ids) + 1) + _above(nulls, F.col("hash")))
+    rows = rows.withColumn("block", block.cast("int")).withColumn("hash", F.when(~numbered, F.col("hash")))
+    # at most RANGES rows each of ids and of null ids: where the order of a range starts
+    tops = rows.groupBy("block").agg(F.max("doc_id").alias("top"), F.max("hash").alias("top_hash")).orderBy("block").collect()
+    heads = [(t["top"], t["top_hash"], tops[i - 1]["block"] if i else tops[-1]["block"], 1 if i else 2) for i, t in enumerate(tops)]
+    if heads:
+        heads = docs.sparkSession.createDataFrame(heads, "top bigint, top_hash bigint, into int, ghost int")
+        first = F.col("doc_id").eqNullSafe(F.col("top")) & F.col("hash").eqNullSafe(F.col("top_hash"))
+        ghosts = rows.join(F.broadcast(heads), first).select("doc_id", "text", "hash", F.col("into").alias("block"), "ghost").dropDuplicates()
+        rows = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts)
+    else:
+        rows = rows.withColumn("ghost", F.lit(0))
+    order = Window.partitionBy("block").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.desc("hash"), F.coalesce("text", F.lit("")))
     rows = fingerprinted(rows)
-    ghosts = [rows.where(F.col("doc_id").eqNullSafe(F.lit(top))).withColumn("block", F.lit(into)).withColumn("ghost", F.lit(1 + wrap)) for top, into, wrap in heads[:1]]
-    later = {top: into for top, into, _ in heads[1:] if top is not None}
-    if later:
-        into = F.create_map(*[F.lit(x) for kv in later.items() for x in kv])[F.col("doc_id")]
-        ghosts.append(rows.where(F.col("doc_id").isin(list(later))).withColumn("block", into.cast("int")).withColumn("ghost", F.lit(1)))
-    if len(heads) > 1 and heads[-1][0] is None:
-        ghosts.append(rows.where(F.col("doc_id").isNull()).withColumn("block", F.lit(heads[-1][1])).withColumn("ghost", F.lit(1)))
-    rows = reduce(DataFrame.unionByName, ghosts, rows.withColumn("ghost", F.lit(0)))
-    order = Window.partitionBy("block").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.coalesce("text", F.lit("")))
     rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_lanes", F.lead("lanes").over(order))
-    return rows.where("ghost = 0").drop("block", "ghost")
+    return rows.where("ghost = 0").drop("block", "ghost", "hash")
 
 
 def edited(docs: DataFrame, *, blocks: int | None = None) -> DataFrame:
@@ -168,8 +205,7 @@ def edited(docs: DataFrame, *, blocks: int | None = None) -> DataFrame:
     The edited text has its last ``floor(n_chars / 2)`` code points replaced by the first
     as many (or all) of the next document's.
     """
-    blocks = blocks or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_next(docs, max(1, blocks))
+    rows = with_next(docs, blocks)
     text, following = F.coalesce("text", F.lit("")), F.coalesce("next_text", F.lit(""))
     n = F.char_length(text)
     half = F.floor(n / 2).cast("int")

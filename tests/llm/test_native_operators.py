@@ -79,8 +79,13 @@ def test_empty_table(spark, run):
 
 def brute_lanes(text):
     units = [u for u in re.split(r"\n+|(?<=[.!?])[ \t]+", text or "") if u]
+    windows = []
+    for u in units:
+        w = re.split(r"[ \t]+", u)
+        windows += [" ".join(w[i : i + 4]) for i in range(len(w) - 3) if all(w[i : i + 4]) and (i == 0 or w[i - 1][-1:] in ("l", "r", "t"))]
     signs = [xxhash.xxh64_intdigest(u.encode(), 42) for u in units]
-    return [sum(h >> b & 1 for h in signs) % 2**14 for b in range(64)], len(units)
+    signs += [xxhash.xxh64_intdigest(u.encode(), xxhash.xxh64_intdigest(b"window", 42)) for u in windows]
+    return [sum(h >> b & 1 for h in signs) % 2**14 for b in range(64)], len(signs)
 
 
 def unpack(fp):
@@ -125,6 +130,30 @@ def test_fingerprint_order_insert_delete_likeness(spark):
     assert 0.3 < r["half"] < 0.7 and r["none"] < 0.4
 
 
+def test_likeness_of_one_paragraph(spark):
+    """Half of a single paragraph is changed: its windows still tell."""
+    words = [f"{'wonderful' if i % 5 else 'river'}{i} {'tall' if i % 3 else 'moon'}" for i in range(80)]
+    other = [f"strange{i} {'fur' if i % 4 else 'sea'}" for i in range(80)]
+    texts = (" ".join(words), " ".join(words[:40] + other[:40]), " ".join(other))
+    df = spark.createDataFrame([texts], "a string, half string, none string")
+    for x in df.columns:
+        df = fingerprints.with_lanes(df, df[x], x)
+    r = df.select(*[fingerprints.likeness(df.a, df[x]).alias(x) for x in ("half", "none")]).head()
+    assert 0.3 < r["half"] < 0.7 and r["none"] < 0.3
+
+
+def test_order_of_many_null_ids(spark):
+    """Null ids are cut into ranges too; every row but one sees the row after it."""
+    rows = [(None, f"text {i % 150} of nobody") for i in range(300)] + [(i // 2, f"text {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for blocks in (1, 7):
+        got = fingerprints.with_next(docs, blocks).select("doc_id", "text", "next_text").collect()
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+        # the order is one ring through all rows: each text follows as often as it stands
+        assert Counter(r["next_text"] for r in got) == Counter(t for _, t in rows)
+        assert sum(r["text"] == r["next_text"] for r in got) == 150
+
+
 def test_likeness_of_many_paragraphs(spark):
     n = 40_000
     a = [f"paragraph {i}" for i in range(n)]
