@@ -84,9 +84,13 @@ def document_keywords(spark, d):
     )
 
 
-@query("folded_text")
+@query(
+    "folded_text",
+    r"""SELECT conv_id, turn, replace(replace(strip_accents(lower(text)), 'đ', 'd'), 'ß', 'ss') AS folded,
+  regexp_replace(regexp_replace(replace(strip_accents(lower(text)), 'đ', 'd'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '^\s+|\s+$', '', 'g') AS plain FROM conversations""",
+)
 def folded_text(spark, d):
-    """Mark-free foldings (no SQL twin: full case folding)."""
+    """Two mark-free foldings of every message."""
     return table(spark, d, "conversations").select(
         "conv_id", "turn", tx.fold_marks(F.col("text")).alias("folded"), tx.fold_compat(F.col("text")).alias("plain")
     )
@@ -387,7 +391,9 @@ def _region_sql() -> str:
 def spatial_queries(spark, d):
     m = message_texts(spark, d).select("conv_id", "turn", tx.squeeze(F.col("text")).alias("w"))
     m = m.withColumn("f", tx.fold_marks(F.col("w")))
-    out = m.select("conv_id", "turn", tx.spatial_query(F.col("w"), F.col("f")).alias("_s"))
+    # the fold is bound once: every region's pattern reads it
+    bound = F.transform(F.array(F.struct("w", "f")), lambda x: tx.spatial_query(x["w"], x["f"]))[0]
+    out = m.select("conv_id", "turn", bound.alias("_s"))
     return out.select("conv_id", "turn", "_s.region", "_s.confidence", "_s.semantic_text")
 
 

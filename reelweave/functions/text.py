@@ -7,9 +7,11 @@ text is known to be composed already.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from collections.abc import Callable
+from functools import cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,32 +60,77 @@ def compose(text: pa.Array) -> pa.Array:
     return pa.array([s if s is None or done("NFC", s) else unicodedata.normalize("NFC", s) for s in text.to_pylist()], pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def fold_marks(text: pd.Series) -> pd.Series:
-    """Case-folded NFD without combining marks, d with stroke as d."""
+HANGUL = 0xAC00, 0xD7A3
 
-    def fold(s: str | None) -> str | None:
-        if s is None:
-            return None
-        parts = unicodedata.normalize("NFD", s.casefold())
-        return "".join(c for c in parts if unicodedata.category(c) != "Mn").replace("đ", "d")
 
-    return text.map(fold)
+@cache
+def _fold_tables(fold: Callable[[str], str]) -> tuple[str, str, dict[str, str]]:
+    """What a fold of single characters does: one-to-one pairs (targets may end early, which deletes), longer results.
 
+    Hangul syllables are left out: their parts follow from the code point.
+    """
+    pairs, gone, longer = [], [], {}
+    for code in range(sys.maxunicode + 1):
+        if 0xD800 <= code <= 0xDFFF or HANGUL[0] <= code <= HANGUL[1]:
+            continue
+        c = chr(code)
+        to = fold(c)
+        if to == c:
+            continue
+        if len(to) == 1:
+            pairs.append((c, to))
+        elif to:
+            longer[c] = to
+        else:
+            gone.append(c)
+    return "".join(c for c, _ in pairs) + "".join(gone), "".join(to for _, to in pairs), longer
+
+
+def _jamo(syllable: Column) -> Column:
+    """Letters of one Hangul syllable, from its place in the table of all."""
+    lead, vowel, tail = ("".join(map(chr, range(first, first + n))) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+    at = F.ascii(syllable) - HANGUL[0]
+    last = at % 28
+
+    def part(letters: str, i: Column) -> Column:
+        return F.substring(F.lit(letters), i.cast("int") + 1, F.lit(1))
+
+    return F.concat(part(lead, F.floor(at / 588)), part(vowel, F.floor(at % 588 / 28)), F.when(last > 0, part(tail, last - 1)).otherwise(""))
+
+
+def _folded(text: Column, fold: Callable[[str], str]) -> Column:
+    """``text`` with every character replaced by its fold: a literal ``translate``, and pieces where one becomes several."""
+    source, target, longer = _fold_tables(fold)
+    several = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in longer) + "]"
+    hangul = r"[\x{AC00}-\x{D7A3}]"
+    many = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    special = f"{several}|{hangul}"
+    pieces = F.regexp_extract_all(text, F.lit(f"{special}|(?:(?!{special})(?s:.))+"), F.lit(0))
+    spread = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^{several}$"), F.element_at(many, p)).when(p.rlike(f"^{hangul}$"), _jamo(p)).otherwise(p)), "")
+    return F.translate(F.when(text.rlike(special), spread).otherwise(text), source, target)
 
-@F.pandas_udf(T.StringType())
-def fold_compat(text: pd.Series) -> pd.Series:
-    """Lower-cased NFKD without combining marks, punctuation as spaces."""
-    import re
 
-    def fold(s: str | None) -> str | None:
-        if s is None:
-            return None
-        parts = unicodedata.normalize("NFKD", s).lower().replace("đ", "d")
-        bare = "".join(c for c in parts if not unicodedata.combining(c))
-        return re.sub(r"[^\w\s]", " ", bare).strip()
+def _without_marks(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c.casefold()) if unicodedata.category(x) != "Mn").replace("đ", "d")
 
-    return text.map(fold)
+
+def _compatible(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+def fold_marks(text: Column) -> Column:
+    """Case-folded NFD without non-spacing marks, d with stroke as d."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _folded(text, _without_marks)).otherwise(F.lower(text))
+
+
+def fold_compat(text: Column) -> Column:
+    """Lower-cased NFKD without combining marks, punctuation as blanks, ends trimmed.
+
+    Letters are what the JVM's Unicode version calls so.
+    """
+    bare = F.when(text.rlike(r"[^\x00-\x7F]"), _folded(text, _compatible)).otherwise(text)
+    words = F.regexp_replace(F.translate(F.lower(bare), "đ", "d"), r"[^\p{L}\p{N}_\t-\r\x1c-\x20\x85\p{Z}]", " ")
+    return F.regexp_replace(words, f"^{WS}+|{WS}+$", "")
 
 
 def squeeze(text: Column) -> Column:

@@ -126,6 +126,26 @@ def test_vector_paths_agree_with_numpy(spark, monkeypatch):
     assert rows(vx.vector_top_k(v, q, 5), "query_id", "frame_id") == want
 
 
+def test_folds_match_unicode_tables(spark):
+    """Both folds, without a Python worker, against the normaliser character by character and on texts."""
+    import re
+    import unicodedata as u
+
+    codes = [c for c in [*range(0x80, 0x3100, 3), *range(0xAC00, 0xD7A4, 97), *range(0xF900, 0xFFF0, 3)] if u.category(chr(c)) not in ("Cn", "Cs")]
+    texts = ["Straße ĐƯỜNG phố", "한국어 각", "ΟΔΟΣ ΣΑΣ", "ﬁn ½ ① İstanbul", "éậ", "", "  Abc, d!", "日本語。テスト ｶﾞ", "a😀\nb", "a" * 100_000 + "ß"] + [f"x{chr(c)}y" for c in codes]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t STRING")
+    got = df.select("t", tx.fold_marks(F.col("t")).alias("m"), tx.fold_compat(F.col("t")).alias("c"))
+    assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
+    for r in got.collect():
+        if r.t is None:
+            assert r.m is None and r.c is None
+            continue
+        assert r.m == "".join(c for c in u.normalize("NFD", r.t.casefold()) if u.category(c) != "Mn").replace("đ", "d")
+        bare = "".join(c for c in u.normalize("NFKD", r.t).lower().replace("đ", "d") if not u.combining(c))
+        # a letter that the JVM's older Unicode version does not know is a sign there
+        assert r.c in (re.sub(r"[^\w\s]", " ", bare).strip(), "x y" if len(r.t) == 3 and r.t[1].isalpha() else None)
+
+
 def test_approximate_recall(spark):
     m, v = _vectors(spark, 150, 4)
     q = spark.createDataFrame([(i, "a", m[i].tolist()) for i in range(10)], "query_id BIGINT, lane STRING, qv ARRAY<FLOAT>")
