@@ -204,6 +204,42 @@ def lane_provenance(spark, d):
     return src.lane_violations(v, expected)
 
 
+# lane, dimension, rows beyond those of the table, encoder, model, metric, normalised
+LANE_METADATA = [
+    ("audio", 32, 0, "sound", "a1", "inner_product", True),
+    ("ocr", 16, 1, None, "o1", "inner_product", True),
+    ("visual_pe_core", 32, 0, "image", "p1", "l2", True),
+    ("visual_siglip2", 64, 0, "image", "s1", "inner_product", False),
+    ("visual_beit3", None, 0, "image", "b1", "inner_product", None),
+    ("visual_jina_v5", 8, 0, "image", "j1", None, True),
+]
+LANE_EXPECTED = [("audio", "sound", "a2"), ("ocr", "text", None), ("visual_pe_core", "image", "p1"), ("visual_beit3", None, "b1")]
+
+
+def _values(rows) -> str:
+    def cell(v):
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower()
+
+    return ", ".join("(" + ", ".join(cell(v) for v in r) + ")" for r in rows)
+
+
+@query(
+    "lane_metadata_contract",
+    f"""SELECT lane, unnest(list_filter([CASE WHEN n IS NULL THEN 'missing' END, CASE WHEN dim <> d THEN 'dimension' END, CASE WHEN n + extra <> n THEN 'row_count' END, CASE WHEN model <> x.m THEN 'model' END,
+  CASE WHEN x.e IS NOT NULL AND encoder IS DISTINCT FROM x.e THEN 'encoder' END, CASE WHEN metric <> 'inner_product' OR NOT coalesce(normalised, true) THEN 'metric' END], lambda r: r IS NOT NULL)) AS rule
+FROM (VALUES {_values(LANE_METADATA)}) t(lane, dim, extra, encoder, model, metric, normalised) LEFT JOIN (SELECT lane, len(v) AS d, count(*) AS n FROM lane_vectors GROUP BY ALL) s USING (lane)
+LEFT JOIN (VALUES {_values(LANE_EXPECTED)}) x(lane, e, m) USING (lane)""",
+    ("lane_vectors",),
+)
+def lane_metadata_contract(spark, d):
+    """Descriptions of vector lanes against their rows and the encoders of the queries."""
+    n = table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n"))
+    described = spark.createDataFrame(LANE_METADATA, "lane STRING, dim INT, extra BIGINT, encoder STRING, model STRING, metric STRING, normalised BOOLEAN")
+    expected = spark.createDataFrame(LANE_EXPECTED, "lane STRING, encoder STRING, model STRING")
+    metadata = described.withColumn("n_rows", n.scalar() + F.col("extra")).drop("extra")
+    return src.lane_metadata_violations(st.lane_vectors(spark, d), metadata, expected)
+
+
 @query(
     "kis_submission_lines",
     "SELECT query_id, rank AS line_no, video_id || ',' || frame_id AS line FROM fused_ranked WHERE rank <= 100",

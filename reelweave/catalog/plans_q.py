@@ -394,10 +394,26 @@ def conversational_search(spark, d):
 def event_sequence_search(spark, d):
     """Global candidates, in-video repairs and action priors, aligned and ranked."""
     out = ps.sequence_search(seq.candidates(spark, d), seq.sizes(spark, d), seq.N_EVENTS, 8, seq.repair(spark, d), seq.action_order_prior(spark, d))
-    return out.select("query_id", "video_id", "frame_ids", "missing", "ranking_score", "rank")
-
-
-@query("moment_search")
+    path = F.array_join(F.transform("frame_ids", lambda f: F.coalesce(f.cast("string"), F.lit("-"))), ",")
+    return out.select("query_id", "video_id", path.alias("path"), "missing", "ranking_score", "rank")
+
+
+# The tiers and moments of the operators' twins with the cuts of the plan.
+for _name, _old, _new in (
+    ("tier_videos_max", "video_rank <= 6", "video_rank <= 10"),
+    ("tiers_max", "", ""),
+    ("moment_agg", "<= 1.0 GROUP", "<= 2.0 GROUP"),
+    ("moment_runs", "0.7 * peak", "0.5 * peak"),
+    ("moments", "0.7 * peak", "0.5 * peak"),
+):
+    _needs, _body = ctes()[_name]
+    _body = _body.replace(_old, _new) if _old else _body
+    for _other in ("tier_videos_max", "tiers_max", "moment_agg", "moment_runs"):
+        _body = re.sub(rf"\b{_other}\b", f"{_other}_plan", _body)
+    cte(f"{_name}_plan", _body.replace("rank <= 15", "rank <= 20"), *[f"{n}_plan" if n in ("tier_videos_max", "tiers_max", "moment_agg", "moment_runs") else n for n in _needs])
+
+
+@query("moment_search", "SELECT * FROM moments_plan", ("moments_plan",))
 def moment_search(spark, d):
     return ps.moment_search(core_hits(spark, d), videos(spark, d), 20)
 

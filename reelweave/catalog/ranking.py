@@ -281,6 +281,34 @@ def critic_answer_sanitiser(spark, d):
     return rk.sanitise_ranking(candidates, said)
 
 
+@query(
+    "critic_index_ranking",
+    """SELECT query_id, candidate_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN said IS NULL THEN 1 ELSE 0 END, said, p) AS INTEGER) AS rank, bool_or(said IS NOT NULL) OVER (PARTITION BY query_id) AS applied FROM (
+  SELECT c.*, a.said FROM (SELECT conv_id AS query_id, role || turn AS candidate_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role || turn) AS p FROM conversations) c
+  LEFT JOIN (SELECT conv_id AS query_id, length(text) % 9 - 1 AS i, min(turn) AS said FROM conversations WHERE conv_id % 5 <> 4 GROUP BY ALL) a ON a.query_id = c.query_id AND a.i = c.p - 1)""",
+)
+def critic_index_ranking(spark, d):
+    """Each conversation as a candidate list and a critic's answer by index, in five forms (one is no JSON)."""
+    c = table(spark, d, "conversations")
+    candidates = c.select(F.col("conv_id").alias("query_id"), F.concat("role", "turn").alias("candidate_id"), F.col("turn").alias("position"))
+    lists = c.groupBy(F.col("conv_id").alias("query_id")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("turn", (F.char_length("text") % 9 - 1).alias("i")))), lambda x: x["i"]).alias("v")
+    )
+
+    def objects(name):
+        return F.to_json(F.transform("v", lambda x: F.struct(x.alias(name))))
+
+    form = F.pmod("query_id", F.lit(5))
+    raw = (
+        F.when(form == 0, F.concat(F.lit('{"ranked_indices":'), F.to_json("v"), F.lit("}")))
+        .when(form == 1, F.concat(F.lit('{"ranking":'), objects("index"), F.lit("}")))
+        .when(form == 2, F.concat(F.lit('{"ranked_indices":[],"indices":'), F.to_json("v"), F.lit("}")))
+        .when(form == 3, F.concat(F.lit('{"candidates":'), objects("id"), F.lit("}")))
+        .otherwise("the second one fits best")
+    )
+    return rk.index_ranking(candidates, lists.select("query_id", raw.alias("raw")))
+
+
 @query(
     "natural_sort",
     """SELECT source, string_agg(CASE WHEN regexp_matches(p, '^[0-9]+$') THEN lpad(length(regexp_replace(p, '^0+(.)', '\1'))::VARCHAR, 10, '0') || ':' || regexp_replace(p, '^0+(.)', '\1') ELSE p END, '' ORDER BY i) AS sort_key FROM (

@@ -62,3 +62,10 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()) -> Cal
         return fn
 
     return add
+
+
+def twin(name: str, sql: str, needs: tuple[str, ...] = ()) -> None:
+    """The twin of a query registered before the expressions it needs were defined."""
+    if name not in QUERIES or name in ORACLE:
+        raise ValueError(f"no query waits for this twin: {name}")
+    ORACLE[name] = with_ctes(sql, *needs)

@@ -61,7 +61,29 @@ def interval_sampling(spark, d):
     return sp.sample_intervals(requests(spark, d), grid(spark, d), 0.01, 12)
 
 
-@query("interval_sampling_required")
+def _thinned(targets: str, maximum: int) -> str:
+    """Distinct frames of targets (with ``req``), the free ones thinned to the maximum."""
+    return f"""SELECT * FROM (
+  SELECT *, count(*) OVER (PARTITION BY request_id) AS n_all, count(*) FILTER (required) OVER (PARTITION BY request_id) AS n_req,
+    row_number() OVER (PARTITION BY request_id, required ORDER BY frame_id) - 1 AS i FROM (
+    SELECT request_id, video_id, frame_id, bool_or(req) AS required FROM ({_nearest_inside(targets)}) GROUP BY ALL))
+WHERE n_all <= {maximum} OR n_req >= {maximum} OR required OR list_contains(CASE WHEN {maximum} - n_req = 1 THEN [(n_all - n_req) // 2]
+  ELSE list_transform(range(0, {maximum} - n_req), lambda j: CAST(round_even(j * ((n_all - n_req - 1) / ({maximum} - 1 - n_req)::DOUBLE), 0) AS BIGINT)) END, i)"""
+
+
+@query(
+    "interval_sampling_required",
+    "SELECT request_id, video_id, frame_id, required FROM ("
+    + _thinned(
+        """SELECT request_id, video_id, start_frame AS lo, end_frame AS hi, k, start_frame + CASE WHEN n > 1 THEN (end_frame - start_frame) / (n - 1) ELSE 0 END * k AS x, false AS req
+FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, CAST(least(6, greatest(1, ceil((end_frame - start_frame) * 0.01::DOUBLE) + 1)) AS BIGINT) AS n FROM requests))
+UNION ALL SELECT r.request_id, r.video_id, start_frame, end_frame, -1 - e.frame_id, e.frame_id, true FROM requests r
+JOIN (SELECT DISTINCT video_id, frame_id FROM timeline WHERE event_type = 'error') e ON e.video_id = r.video_id AND e.frame_id BETWEEN start_frame AND end_frame""",
+        6,
+    )
+    + ")",
+    ("requests", "grid_v", "timeline"),
+)
 def interval_sampling_required(spark, d):
     """The same with required frames (the request's errors), thinned to the maximum."""
     r = requests(spark, d)
@@ -185,19 +207,44 @@ def vector_change_points(spark, d):
     return changes(spark, d)
 
 
-@query(
-    "moment_seed_intervals",
+cte(
+    "moment_seeds",
     f"""SELECT query_id, video_id, event, start_frame, end_frame, round(greatest(score, 1.0 / (30 + coarse_rank)), 9) AS score, coarse_rank, seed_rank FROM (
   SELECT query_id, video_id, event_id AS event, start_frame, coalesce(next_start, end_frame + 300) AS end_frame, score, rank AS coarse_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS seed_rank FROM (
     SELECT r.*, e.event_id, o.start_frame, o.end_frame, o.next_start, row_number() OVER (PARTITION BY query_id, r.video_id, e.event_id ORDER BY r.rank) AS n
-    FROM visual_ranked r JOIN frame_events e USING (video_id, frame_id) JOIN frame_event_order o ON o.video_id = r.video_id AND o.event_id = e.event_id) WHERE n = 1) WHERE seed_rank <= 30""",
-    ("visual_ranked", "frame_events", "frame_event_order"),
+    FROM visual_ranked r JOIN frame_events e USING (video_id, frame_id) JOIN frame_event_order o ON o.video_id = r.video_id AND o.event_id = e.event_id) WHERE n = 1) WHERE seed_rank <= 30""",    "visual_ranked",
+    "frame_events",
+    "frame_event_order",
 )
+
+
+@query("moment_seed_intervals", "SELECT * FROM moment_seeds", ("moment_seeds",))
 def moment_seed_intervals(spark, d):
     return sp.moment_seeds(fused_ranked(spark, d, st.VISUAL_LANES), st.frame_events(spark, d))
 
 
-@query("interval_frame_candidates")
+def _nearer(b: str, f: str) -> str:
+    return f"CASE WHEN {b} IS NULL THEN {f} WHEN {f} IS NULL THEN {b} WHEN x - {b} <= {f} - x THEN {b} ELSE {f} END"
+
+
+cte(
+    "seed_targets",
+    f"""SELECT *, coalesce({_nearer("CASE WHEN b >= start_frame THEN b END", "CASE WHEN f <= end_frame THEN f END")}, {_nearer("b", "f")}, x) AS frame_id FROM (
+  SELECT t.*, (SELECT max(g.frame_id) FROM frames g WHERE g.video_id = t.video_id AND g.frame_id <= t.x) AS b, (SELECT min(g.frame_id) FROM frames g WHERE g.video_id = t.video_id AND g.frame_id >= t.x) AS f FROM (
+    SELECT query_id, video_id, start_frame, end_frame, score, seed_rank, k, CAST(round_even(start_frame + (end_frame - start_frame) * k / 4.0::DOUBLE, 0) AS BIGINT) AS x FROM (SELECT *, unnest(range(0, 5)) AS k FROM moment_seeds WHERE end_frame > start_frame)) t)""",
+    "frames",
+    "moment_seeds",
+)
+
+
+@query(
+    "interval_frame_candidates",
+    f"""SELECT * FROM (SELECT query_id, video_id, frame_id, candidate_score, proposal_rank, local_rank, {RN.format(o='proposal_rank, candidate_score DESC, video_id, frame_id')} AS rank FROM (
+  SELECT query_id, video_id, frame_id, round(score + 1.0::DOUBLE / (local_rank + 10), 9) AS candidate_score, seed_rank AS proposal_rank, CAST(local_rank AS INTEGER) AS local_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, seed_rank ORDER BY k) AS local_rank FROM (SELECT query_id, video_id, seed_rank, score, frame_id, min(k) AS k FROM seed_targets GROUP BY ALL))
+  QUALIFY row_number() OVER (PARTITION BY query_id, video_id, frame_id ORDER BY candidate_score DESC, proposal_rank) = 1)) WHERE rank <= 120""",
+    ("seed_targets",),
+)
 def interval_frame_candidates(spark, d):
     """Five keyframes per seed moment, best per frame."""
     seeds = sp.moment_seeds(fused_ranked(spark, d, st.VISUAL_LANES), st.frame_events(spark, d))
@@ -254,20 +301,151 @@ def boundary_neighbours(spark, d):
     return sp.adjacent_events(fused_ranked(spark, d, st.VISUAL_LANES, 40), st.frame_events(spark, d), False, 80)
 
 
-@query("critic_candidate_pool")
+cte(
+    "critic_base",
+    """SELECT r.query_id, r.video_id, r.frame_id, r.rank, e.event_id, deep_event_rank, deep_rank FROM (SELECT * FROM visual_ranked WHERE rank <= 60) r JOIN frame_events e USING (video_id, frame_id)
+LEFT JOIN (SELECT query_id, video_id, event_id, rank AS deep_event_rank, min(rank) OVER (PARTITION BY query_id, video_id) AS deep_rank FROM local_events WHERE rank <= 5) l USING (query_id, video_id, event_id)""",
+    "visual_ranked",
+    "frame_events",
+    "local_events",
+)
+cte(
+    "critic_events",
+    """SELECT * FROM (SELECT query_id, video_id, event_id, row_number() OVER (PARTITION BY query_id ORDER BY min(o)) AS pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY deep_rank IS NULL, deep_event_rank, deep_rank, rank) AS o FROM critic_base) GROUP BY query_id, video_id, event_id) WHERE pos <= 8""",
+    "critic_base",
+)
+_EVEN = """list_contains(CASE WHEN {q} = 1 THEN [{n} // 2] ELSE list_transform(range(0, {q}), lambda j: CAST(round_even(j * (({n} - 1) / ({q} - 1)::DOUBLE), 0) AS BIGINT)) END, {i})"""
+cte(
+    "critic_samples",
+    f"""SELECT query_id, video_id, frame_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, frame_id) AS rank FROM (
+  SELECT c.*, f.frame_id, row_number() OVER (PARTITION BY query_id, c.video_id, c.event_id ORDER BY f.frame_id) - 1 AS i, count(*) OVER (PARTITION BY query_id, c.video_id, c.event_id) AS n
+  FROM (SELECT *, 30 // count(*) OVER w + CASE WHEN pos <= 30 % count(*) OVER w THEN 1 ELSE 0 END AS q FROM critic_events WINDOW w AS (PARTITION BY query_id)) c
+  JOIN frame_events f ON f.video_id = c.video_id AND f.event_id = c.event_id) WHERE q > 0 AND (n <= q OR {_EVEN.format(q="q", n="n", i="i")})""",
+    "critic_events",
+    "frame_events",
+)
+cte(
+    "critic_lists",
+    """SELECT query_id, lane, video_id, frame_id, row_number() OVER (PARTITION BY query_id, lane ORDER BY score DESC, video_id, frame_id) AS rank FROM (
+  SELECT v.*, row_number() OVER (PARTITION BY v.query_id, lane, v.video_id, c.event_id ORDER BY score DESC, v.frame_id) AS n FROM in_video v JOIN frame_events f USING (video_id, frame_id)
+  JOIN critic_events c ON c.query_id = v.query_id AND c.video_id = v.video_id AND c.event_id = f.event_id) WHERE n <= 5""",
+    "in_video",
+    "frame_events",
+    "critic_events",
+)
+
+
+@query(
+    "critic_candidate_pool",
+    f"""SELECT * FROM (SELECT query_id, video_id, frame_id, CAST(band AS INTEGER) AS band, {RN.format(o="band, old, video_id, frame_id")} AS rank FROM (
+  SELECT * FROM (SELECT query_id, video_id, frame_id, 0 AS band, rank AS old FROM critic_base WHERE rank <= 100
+    UNION ALL SELECT query_id, video_id, frame_id, 1, rank FROM critic_samples
+    UNION ALL SELECT * FROM (SELECT query_id, video_id, frame_id, 2, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(2.0::DOUBLE / (30 + rank)), 9) DESC, video_id, frame_id) AS o FROM critic_lists GROUP BY query_id, video_id, frame_id) WHERE o <= 20
+    UNION ALL SELECT query_id, video_id, frame_id, CASE lane WHEN 'visual_pe_core' THEN 3 WHEN 'visual_beit3' THEN 4 ELSE 5 END, rank FROM critic_lists
+    UNION ALL SELECT query_id, video_id, frame_id, 6, rank FROM critic_base)
+  QUALIFY row_number() OVER (PARTITION BY query_id, video_id, frame_id ORDER BY band, old) = 1)) WHERE rank <= 130""",
+    ("critic_base", "critic_samples", "critic_lists"),
+)
 def critic_candidate_pool(spark, d):
-    base = cut_lineage(fused_ranked(spark, d, st.VISUAL_LANES))
-    return sp.critic_pool(base, st.frame_events(spark, d), cut_lineage(in_video(spark, d)), 8, 40, 20, 5, 80)
+    """Baseline of 60 frames, samples of eight events (those of the strongest local events first), model lists."""
+    local = cut_lineage(ev.rank_local_events(local_votes(spark, d))).filter("rank <= 5")
+    video = local.groupBy("query_id", "video_id").agg(F.min("rank").alias("deep_rank"))
+    deep = local.select("query_id", "video_id", "event_id", F.col("rank").alias("deep_event_rank")).join(video, ["query_id", "video_id"])
+    base = fused_ranked(spark, d, st.VISUAL_LANES, 60).join(st.frame_events(spark, d), ["video_id", "frame_id"]).join(deep, ["query_id", "video_id", "event_id"], "left")
+    return sp.critic_pool(cut_lineage(base.drop("event_id")), st.frame_events(spark, d), cut_lineage(in_video(spark, d)), 8, 5, 20, 130)
 
 
-@query("locked_video_candidates")
+cte(
+    "locked_quota",
+    """SELECT b.query_id, b.video_id, b.position, b.base + count(s.slot) AS quota, row_number() OVER (PARTITION BY b.query_id ORDER BY b.position) AS video_rank FROM (
+  SELECT *, CAST(least(12, greatest(1, 60 // count(*) OVER (PARTITION BY query_id))) AS BIGINT) AS base FROM locked_videos) b LEFT JOIN (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sqrt(n_events) / (slot + 1), 12) DESC, position, slot) AS r FROM (
+    SELECT *, unnest(range(base, 35)) AS slot FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, CAST(least(12, greatest(1, 60 // count(*) OVER (PARTITION BY query_id))) AS BIGINT) AS base FROM locked_videos)))
+  WHERE r <= greatest(0, 60 - base * n)) s USING (query_id, video_id) GROUP BY b.query_id, b.video_id, b.position, b.base""",
+    "locked_videos",
+)
+cte(
+    "locked_videos",
+    """SELECT * FROM (SELECT query_id, video_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), video_id) AS position FROM visual_ranked GROUP BY query_id, video_id)
+JOIN (SELECT video_id, count(*) AS n_events FROM frame_event_order GROUP BY video_id) USING (video_id) WHERE position <= 4""",
+    "visual_ranked",
+    "frame_event_order",
+)
+cte(
+    "locked_events",
+    """SELECT query_id, video_id, event_id, score, quota, video_rank, row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, n_lanes DESC, event_id) AS lr FROM local_events JOIN locked_quota USING (query_id, video_id)""",
+    "local_events",
+    "locked_quota",
+)
+cte(
+    "locked_dense",
+    f"""SELECT query_id, video_id, frame_id, event_id, lr FROM (
+  SELECT t.*, f.frame_id, row_number() OVER (PARTITION BY query_id, t.video_id, t.event_id ORDER BY f.frame_id) - 1 AS i, count(*) OVER (PARTITION BY query_id, t.video_id, t.event_id) AS n FROM (
+    SELECT *, quota // count(*) OVER w + CASE WHEN lr <= quota % count(*) OVER w THEN 1 ELSE 0 END AS q FROM locked_events WHERE lr <= least(8, quota) WINDOW w AS (PARTITION BY query_id, video_id)) t
+  JOIN frame_events f ON f.video_id = t.video_id AND f.event_id = t.event_id) WHERE q > 0 AND (n <= q OR {_EVEN.format(q="q", n="n", i="i")})""",
+    "locked_events",
+    "frame_events",
+)
+cte(
+    "locked_escapes",
+    """SELECT query_id, video_id, event_id, event_order FROM (
+  SELECT q.query_id, q.video_id, o.event_id, o.event_order, least(4, quota - coalesce(used, 0)) AS p, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY q.query_id, q.video_id) AS n
+  FROM locked_quota q JOIN frame_event_order o ON o.video_id = q.video_id LEFT JOIN (SELECT query_id, video_id, count(*) AS used FROM locked_dense GROUP BY ALL) u ON u.query_id = q.query_id AND u.video_id = q.video_id
+  WHERE NOT EXISTS (SELECT 1 FROM locked_events e WHERE e.query_id = q.query_id AND e.video_id = q.video_id AND e.event_id = o.event_id AND e.lr <= least(8, e.quota))
+  WINDOW w AS (PARTITION BY q.query_id, q.video_id ORDER BY o.event_order)) WHERE p > 0 AND (n <= p OR list_contains(
+  CASE WHEN p = 1 THEN [0] ELSE list_transform(range(0, p), lambda j: CAST(round_even(j * ((n - 1) / (p - 1)::DOUBLE), 0) AS BIGINT)) END, i))""",
+    "locked_quota",
+    "locked_dense",
+    "locked_events",
+    "frame_event_order",
+)
+
+
+@query(
+    "locked_video_candidates",
+    f"""SELECT query_id, video_id, frame_id, event_id, CAST(band AS INTEGER) AS band, CAST(c AS INTEGER) AS candidate_rank, score, {RN.format(o="score DESC, coalesce(lr, 0), video_rank, frame_id")} AS rank FROM (
+  SELECT * FROM (SELECT x.*, e.lr, q.video_rank, round(1.0::DOUBLE / (q.video_rank + 10) + 1.0::DOUBLE / (c + 10) + coalesce(e.score, 0.0), 9) AS score,
+    row_number() OVER (PARTITION BY x.query_id ORDER BY c, q.video_rank) AS p FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY band, a, frame_id) AS c FROM (
+      SELECT query_id, video_id, frame_id, event_id, 0 AS band, lr AS a FROM locked_dense
+      UNION ALL SELECT query_id, t.video_id, mid, t.event_id, 1, event_order FROM locked_escapes t JOIN mids m ON m.video_id = t.video_id AND m.event_id = t.event_id
+      UNION ALL SELECT query_id, t.video_id, mid, t.event_id, 2, lr FROM locked_events t JOIN mids m ON m.video_id = t.video_id AND m.event_id = t.event_id WHERE lr > 16
+      UNION ALL SELECT query_id, q.video_id, mid, o.event_id, 3, event_order FROM locked_quota q JOIN frame_event_order o ON o.video_id = q.video_id JOIN mids m ON m.video_id = o.video_id AND m.event_id = o.event_id)
+    QUALIFY row_number() OVER (PARTITION BY query_id, video_id, frame_id, event_id ORDER BY band, a) = 1) x
+  JOIN locked_quota q ON q.query_id = x.query_id AND q.video_id = x.video_id LEFT JOIN locked_events e ON e.query_id = x.query_id AND e.video_id = x.video_id AND e.event_id = x.event_id WHERE c <= q.quota) WHERE p <= 60)""",
+    ("locked_dense", "locked_escapes", "locked_events", "locked_quota", "mids", "frame_event_order"),
+)
 def locked_video_candidates(spark, d):
+    """Frames of the first four videos: dense samples, escapes along the timeline, midpoints."""
     base = rk.group_by_video(cut_lineage(fused_ranked(spark, d, st.VISUAL_LANES))).filter("position <= 4")
     local = cut_lineage(ev.rank_local_events(local_votes(spark, d)))
     return sp.locked_video_candidates(base.select("query_id", "video_id", "position"), st.frame_events(spark, d), local, 60)
 
 
-@query("anchored_timeline")
+cte(
+    "timeline_anchors",
+    """SELECT request_id, video_id, anchor, greatest(lo, anchor - 100) AS s, least(hi, anchor + 100) AS e FROM (
+  SELECT r.query_id AS request_id, r.video_id, first(g.frame_id ORDER BY abs(g.frame_id - r.frame_id - 1), g.frame_id) AS anchor, min(g.frame_id) AS lo, max(g.frame_id) AS hi
+  FROM visual_ranked r JOIN frames g ON g.video_id = r.video_id WHERE r.rank = 1 GROUP BY ALL)""",
+    "visual_ranked",
+    "frames",
+)
+
+
+@query(
+    "anchored_timeline",
+    "SELECT t.request_id, t.video_id, t.frame_id, t.frame_id = a.anchor AS is_anchor, "
+    "EXISTS (SELECT 1 FROM change_walk c WHERE c.picked AND c.video_id = t.video_id AND abs(c.frame_id - t.frame_id) <= 4) AS near_change FROM ("
+    + _thinned(
+        """SELECT request_id, video_id, s AS lo, e AS hi, k, s + CASE WHEN n > 1 THEN (e - s) / (n - 1) ELSE 0 END * k AS x, false AS req
+FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, CAST(least(24, greatest(1, ceil((e - s) / 25.0::DOUBLE * 5.0::DOUBLE) + 1)) AS BIGINT) AS n FROM timeline_anchors))
+UNION ALL SELECT request_id, video_id, s, e, -1, anchor, true FROM timeline_anchors""",
+        24,
+    ).replace("grid_v", "frames")
+    + ") t JOIN timeline_anchors a USING (request_id)",
+    ("timeline_anchors", "frames", "change_walk"),
+)
 def anchored_timeline(spark, d):
     """Frames around each query's best hit, flagged as anchor and near change points."""
     top = fused_ranked(spark, d, st.VISUAL_LANES, 1)

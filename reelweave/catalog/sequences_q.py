@@ -184,7 +184,8 @@ def sequence_repair_candidates(spark, d):
 def repaired_sequence_ranking(spark, d):
     """Sequence ranking over global and repaired candidates."""
     both = candidates(spark, d).unionByName(repair(spark, d))
-    return sq.rank_sequences(sq.align_sequences(both, sizes(spark, d), N_EVENTS, max_missing=1), 8)
+    out = sq.rank_sequences(sq.align_sequences(both, sizes(spark, d), N_EVENTS, max_missing=1), 8)
+    return out.select("query_id", "video_id", F.array_join("frames", ",").alias("path"), "missing", "sequence_score", "rank")
 
 
 cte(

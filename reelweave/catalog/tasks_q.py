@@ -12,7 +12,7 @@ from reelweave.catalog import standins as st
 from reelweave.catalog.fusion import label_intents
 from reelweave.catalog.lexical_q import document_index
 from reelweave.catalog.ranking import RN, fused_ranked
-from reelweave.catalog.registry import cte, ctes, query
+from reelweave.catalog.registry import cte, ctes, query, twin
 from reelweave.catalog.sampling_q import changes
 from reelweave.catalog.text_q import keyword_list, marker, norm_search
 from reelweave.catalog.timeline_q import videos
@@ -125,6 +125,30 @@ def _repaired(mode: str, cand: str, props: str, top: str) -> None:
 
 _repaired("event", "event_cand", "event_props", "SELECT query_id AS pair, max(score) AS top_score FROM (SELECT * FROM ordered_all WHERE o <= 100) GROUP BY ALL")
 seq.dp_ctes("evs", "both_event", 1, 0.03, 45.0, 0.20, 2.0)
+
+# the same for sequences over fused visual hits
+cte(
+    "seq_props",
+    ctes()["event_props"][1].replace("event_cand", "seq_cand").replace("rank <= 4", "rank <= 6"),
+    "seq_cand",
+    "seq_sizes",
+)
+_repaired("seq", "seq_cand", "seq_props", "SELECT query_id AS pair, max(score) AS top_score FROM (SELECT * FROM visual_ranked WHERE rank <= 60) GROUP BY ALL")
+seq.dp_ctes("rep", "both_seq", 1, 0.03, 45.0, 0.20, 2.0)
+twin("sequence_repair_candidates", "SELECT * FROM repair_seq", ("repair_seq",))
+twin(
+    "repaired_sequence_ranking",
+    f"""SELECT * FROM (SELECT query_id, video_id, array_to_string(frames, ',') AS path, missing, sequence_score, {RN.format(o='missing, sequence_score DESC, video_id')} AS rank FROM rep_best) WHERE rank <= 8""",
+    ("rep_best",),
+)
+twin(
+    "event_sequence_search",
+    f"""SELECT * FROM (SELECT query_id, video_id, array_to_string(list_transform(range(0, n_events), lambda i: coalesce(CAST(frames[list_position(events, CAST(i AS INTEGER))] AS VARCHAR), '-')), ',') AS path,
+  missing, ranking_score, {RN.format(o='missing, ranking_score DESC, video_id')} AS rank FROM (
+  SELECT r.*, n_events, round(r.sequence_score + 0.2::DOUBLE * coalesce(round(list_sum(a.scores) / n_events, 9), 0.0), 9) AS ranking_score
+  FROM rep_best r JOIN seq_sizes USING (query_id) LEFT JOIN act_best a ON a.query_id = r.query_id AND a.video_id = r.video_id)) WHERE rank <= 8""",
+    ("rep_best", "seq_sizes", "act_best"),
+)
 cte(
     "event_sequences",
     f"""SELECT * FROM (SELECT e.*, n_events, {RN.format(o='missing, sequence_score DESC, video_id')} AS rank FROM evs_best e JOIN seq_sizes USING (query_id)) WHERE rank <= 8""",

@@ -320,11 +320,23 @@ def hierarchy_sum(spark, d):
     return tiers(spark, d, "sum")
 
 
-@query("hierarchy_tree")
+@query(
+    "hierarchy_tree",
+    """WITH f AS (SELECT * FROM (SELECT query_id, video_id, event_id, frame_id, score, row_number() OVER (PARTITION BY query_id, video_id, event_id ORDER BY score DESC, frame_id) AS fr FROM core_hits JOIN frame_events USING (video_id, frame_id)) WHERE fr <= 20),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY segment_score DESC, event_id) AS sr FROM (
+  SELECT query_id, video_id, event_id, round(max(score), 6) AS segment_score, string_agg(frame_id, '+' ORDER BY fr) AS frames FROM f GROUP BY ALL)) WHERE sr <= 3)
+SELECT * FROM (SELECT query_id, video_id, video_score, outline, CAST(row_number() OVER (PARTITION BY query_id ORDER BY video_score DESC, video_id) AS INTEGER) AS video_rank FROM (
+  SELECT query_id, video_id, round(max(segment_score), 6) AS video_score, string_agg(event_id || ':' || frames, ' ' ORDER BY sr) AS outline FROM s GROUP BY ALL)) WHERE video_rank <= 6""".replace("WITH f AS", "SELECT * FROM (WITH f AS", 1)
+    + ")",
+    ("core_hits", "frame_events"),
+)
 def hierarchy_tree(spark, d):
-    """Nested video, segment, frame tree over event ids as segments."""
+    """Nested video, segment, frame tree over event ids as segments, printed as an outline."""
     hits = core_hits(spark, d).join(st.frame_events(spark, d), ["video_id", "frame_id"])
-    return mo.hierarchy_tree(mo.hierarchy(hits, "event_id", 6, 3, 20))
+    tree = mo.hierarchy_tree(mo.hierarchy(hits, "event_id", 6, 3, 20))
+    frames = lambda s: F.array_join(F.transform(s["frames"], lambda f: f["frame_id"].cast("string")), "+")
+    outline = F.array_join(F.transform("segments", lambda s: F.concat(s["segment_id"], F.lit(":"), frames(s))), " ")
+    return tree.select("query_id", "video_id", "video_score", outline.alias("outline"), "video_rank")
 
 
 cte(

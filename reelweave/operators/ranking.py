@@ -121,12 +121,20 @@ def specialist_escape(results: DataFrame, specialists: dict[str, tuple[str, int]
 
     ``specialists`` maps a modality to (score column, quota). The head keeps
     ``limit - sum(quotas)`` rows; each modality in turn adds its best unseen rows
-    with a positive score; free places are filled from the original order.
+    with a positive score; free places are filled from the original order. Only rows
+    that can get a place reach the windows: the first ``limit`` and, of each modality,
+    as many as its own and all earlier quotas together.
     """
     keys = ["query_id", "video_id", "frame_id"]
     reserve = sum(quota for _, quota in specialists.values())
     rest = len(specialists) + 1
-    rows = results.withColumn("band", F.when(F.col("rank") <= max(0, limit - reserve), 0).otherwise(rest))
+    wanted, behind = 0, results.filter(F.col("rank") > max(0, limit - reserve))
+    pruned = results.filter(F.col("rank") <= limit)
+    for column, quota in specialists.values():
+        wanted += quota
+        strong = ranked(behind.filter(F.col(column) > 0), ["query_id"], [F.desc(column), F.asc("rank")], wanted, "_n").drop("_n")
+        pruned = pruned.unionByName(strong.filter(F.col("rank") > limit))
+    rows = pruned.dropDuplicates(keys).withColumn("band", F.when(F.col("rank") <= max(0, limit - reserve), 0).otherwise(rest))
     rows = rows.withColumn("_r", F.col("rank"))
     for band, (column, quota) in enumerate(specialists.values(), start=1):
         free = (F.col("band") == rest) & (F.col(column) > 0)
@@ -187,3 +195,37 @@ def count_by(frames: dict[str, DataFrame]) -> DataFrame:
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+# The lists of an index answer, in the order in which they are looked for.
+INDEX_LISTS = ("ranked_indices", "ranking", "indices", "ranked_candidates", "candidates")
+
+
+def index_ranking(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """Full ranking from a critic's answer that names candidates by zero-based index.
+
+    ``candidates(query_id, candidate_id, position)``; ``answers(query_id, raw)`` is JSON
+    with a list of numbers or of objects (``index``, ``candidate_index`` or ``id``). Unknown
+    indices are dropped, the first mention counts, unmentioned candidates follow in their
+    order. An answer that is no JSON, has an element that is no number or names no candidate
+    leaves the original order (``applied`` is false).
+    """
+    parsed = F.from_json("raw", ", ".join(f"{n} ARRAY<STRING>" for n in INDEX_LISTS))
+    first = F.col("_j")[INDEX_LISTS[0]]
+    listed = F.when(F.size(first) > 0, first).otherwise(F.coalesce(*[F.col("_j")[n] for n in INDEX_LISTS[1:]]))
+
+    def number(v: Column) -> Column:
+        named = F.coalesce(*[F.get_json_object(v, f"$.{n}") for n in ("index", "candidate_index", "id")], F.lit("-1"))
+        text = F.when(F.ltrim(v).startswith("{"), named).otherwise(v)
+        return F.when(text.rlike(r"^\s*[+-]?[0-9]+(\.[0-9]+)?\s*$"), text.try_cast("double").cast("bigint"))
+
+    numbers = answers.select("query_id", parsed.alias("_j")).select("query_id", F.transform(listed, number).alias("_v"))
+    usable = numbers.filter(F.col("_v").isNotNull() & ~F.exists("_v", lambda x: x.isNull()))
+    said = usable.select("query_id", F.posexplode("_v").alias("said", "_i"))
+    placed = ranked(candidates, ["query_id"], [F.asc("position"), F.asc("candidate_id")], name="_p").withColumn("_i", (F.col("_p") - 1).cast("bigint"))
+    known = said.groupBy("query_id", "_i").agg(F.min("said").alias("said"))
+    joined = placed.join(known, ["query_id", "_i"], "left")
+    applied = F.max(F.col("said").isNotNull()).over(Window.partitionBy("query_id"))
+    return ranked(
+        joined.withColumn("applied", applied), ["query_id"], [F.asc(F.col("said").isNull()), F.asc("said"), F.asc("_p")]
+    ).select("query_id", "candidate_id", "rank", "applied")

@@ -30,11 +30,14 @@ def on_linspace(index: Column, n: Column, quota: Column) -> Column:
     )
 
 
-def linspace_pick(rows: DataFrame, keys: Sequence[str], pos: str, quota: Column) -> DataFrame:
-    """Evenly spaced rows of each ordered group."""
+def linspace_pick(rows: DataFrame, keys: Sequence[str], pos: str, quota: Column, single: str = "middle") -> DataFrame:
+    """Evenly spaced rows of each ordered group; a quota of one takes the middle or the first."""
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     numbered = positions(rows, keys, pos, name="_i").join(sizes, list(keys))
-    return numbered.filter(on_linspace(F.col("_i") - 1, F.col("_n"), quota)).drop("_i", "_n")
+    keep = on_linspace(F.col("_i") - 1, F.col("_n"), quota)
+    if single == "first":
+        keep = F.when(quota == 1, F.col("_i") == 1).otherwise(keep)
+    return numbered.filter(keep).drop("_i", "_n")
 
 
 def even_quota(rows: DataFrame, by: Sequence[str], order: Sequence[Column], budget: int) -> DataFrame:
@@ -176,9 +179,12 @@ def moment_seeds(results: DataFrame, keyframes: DataFrame, padding: int = 300, l
 def interval_candidates(proposals: DataFrame, grid: DataFrame, count: int = 5, limit: int = 120) -> DataFrame:
     """Keyframes of ranked intervals: evenly spaced targets snapped to the grid, inside
     the interval where possible. ``proposals(query_id, video_id, start_frame, end_frame,
-    score, rank)``; intervals that are empty are ignored."""
+    score, rank)``; intervals that are empty are ignored, a count of one takes the middle."""
     ok = proposals.filter("end_frame > start_frame")
-    target = F.rint(F.col("start_frame") + (F.col("end_frame") - F.col("start_frame")) * F.col("_k") / F.lit(max(1, count - 1))).cast("bigint")
+    if count <= 1:
+        count, target = 1, F.floor((F.col("start_frame") + F.col("end_frame")) / 2)
+    else:
+        target = F.rint(F.col("start_frame") + (F.col("end_frame") - F.col("start_frame")) * F.col("_k") / F.lit(count - 1)).cast("bigint")
     spread = ok.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("_x", target)
     inside = snap_inside(spread, grid, "_x", "start_frame", "end_frame")
     frames = grid.select("video_id", F.col("frame_id").alias("_g"))
@@ -238,27 +244,79 @@ def _first_places(parts: Sequence[DataFrame], limit: int) -> DataFrame:
     ).select(*KEY, "band", "source_rank", "part", "rank")
 
 
-def critic_pool(baseline: DataFrame, keyframes: DataFrame, local: DataFrame, events_k: int = 20, budget: int = 250, baseline_k: int = 100, per_event: int = 50, limit: int = 350) -> DataFrame:
-    """Frames for a late critic: baseline head, even samples of the first events, then
-    in-event frames by fused model ranks.
+def critic_events(baseline: DataFrame, keyframes: DataFrame, events_k: int, seed_videos: int = 10) -> DataFrame:
+    """The events a late critic looks at, ``event_position`` from 1.
 
-    ``local`` are in-video signals; at most ``per_event`` frames of a model count per event.
+    Events of rows that a deep lane brought (``deep_rank > 0``, by ``deep_event_rank``,
+    ``deep_rank``, rank) come before events in baseline order. A query none of whose rows
+    lies in an event takes the events of its first ``seed_videos`` videos in time order.
     """
-    placed = attach_events(baseline.select(*KEY, "rank"), keyframes).filter("event_id is not null")
-    firsts = placed.groupBy("query_id", "video_id", "event_id").agg(F.min("rank").alias("_r"))
-    events = ranked(firsts, ["query_id"], [F.asc("_r")], events_k, "event_position")
-    quotas = even_quota(events.select("query_id", "video_id", "event_id", "event_position"), ["query_id"], [F.asc("event_position")], budget)
+    rows = baseline
+    for name in ("deep_rank", "deep_event_rank"):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast("bigint"))
+    deep = F.col("deep_rank") > 0
+    last = F.lit(1e9)
+    place = F.when(
+        deep,
+        F.struct(F.lit(0).alias("b"), F.coalesce("deep_event_rank", last).alias("e"), F.coalesce("deep_rank", last).alias("v"), F.col("rank").alias("r")),
+    ).otherwise(F.struct(F.lit(1).alias("b"), F.lit(0.0).alias("e"), F.lit(0.0).alias("v"), F.col("rank").alias("r")))
+    placed = attach_events(rows.select(*KEY, "rank", place.alias("_place")), keyframes).filter("event_id is not null")
+    firsts = placed.groupBy("query_id", "video_id", "event_id").agg(F.min("_place").alias("_place"))
+    found = ranked(firsts, ["query_id"], [F.asc("_place"), F.asc("video_id"), F.asc("event_id")], events_k, "event_position")
+    empty = rows.join(placed.select("query_id").distinct(), "query_id", "left_anti").groupBy("query_id", "video_id").agg(F.min("rank").alias("_r"))
+    videos = ranked(empty, ["query_id"], [F.asc("_r")], seed_videos, "_v")
+    spans = ordered_events(keyframes.join(videos.select("video_id").distinct(), "video_id", "left_semi"))
+    seeded = ranked(
+        videos.join(spans.select("video_id", "event_id", "event_order"), "video_id"), ["query_id"], [F.asc("_v"), F.asc("event_order")], events_k, "event_position"
+    )
+    cols = ["query_id", "video_id", "event_id", "event_position"]
+    return found.select(*cols).unionByName(seeded.select(*cols))
+
+
+CRITIC_MODELS = ("visual_pe_core", "visual_beit3", "visual_siglip2")
+
+
+def critic_pool(
+    baseline: DataFrame,
+    keyframes: DataFrame,
+    local: DataFrame,
+    events_k: int = 8,
+    per_event: int = 50,
+    pool_limit: int = 600,
+    limit: int = 350,
+    models: Sequence[str] = CRITIC_MODELS,
+) -> DataFrame:
+    """Frames for a late critic, parts in order, first occurrence of a frame wins: baseline
+    head, even samples of the chosen events, in-event frames by fused model ranks, then each
+    model's own list, then the rest of the baseline.
+
+    ``baseline`` may carry ``deep_rank`` and ``deep_event_rank`` (see ``critic_events``).
+    ``local`` are in-video signals, clause lanes of a model (``model__...``) included; at
+    most ``per_event`` of a model's signals count in an event, in lane and score order. A
+    query without any event keeps the baseline.
+    """
+    head = min(100, limit)
+    budget = min(250, max(1, limit - head))
+    head = max(1, min(100, limit - budget))
+    events = critic_events(baseline, keyframes, events_k)
+    quotas = even_quota(events, ["query_id"], [F.asc("event_position")], budget)
     members = quotas.join(keyframes, ["video_id", "event_id"])
     even = linspace_pick(members, ["query_id", "video_id", "event_id"], "frame_id", F.col("quota"))
     sampled = ranked(even.select(*KEY, "event_position"), ["query_id"], [F.asc("event_position"), F.asc("frame_id")])
-    inside = attach_events(local.select("query_id", "lane", "video_id", "frame_id", "score"), keyframes).join(
+    signals = local.select("query_id", "lane", F.split_part("lane", F.lit("__"), F.lit(1)).alias("model"), "video_id", "frame_id", "score")
+    inside = attach_events(signals.filter(F.col("model").isin(*models)), keyframes).join(
         events.select("query_id", "video_id", "event_id"), ["query_id", "video_id", "event_id"], "left_semi"
     )
-    capped = ranked(inside, ["query_id", "lane", "video_id", "event_id"], [F.desc("score"), F.asc("frame_id")], per_event, "_n")
-    by_model = ranked(capped.drop("_n"), ["query_id", "lane"], [F.desc("score"), F.asc("video_id"), F.asc("frame_id")])
+    capped = ranked(
+        inside, ["query_id", "model", "video_id", "event_id"], [F.asc("lane"), F.desc("score"), F.asc("frame_id")], per_event, "_n"
+    )
+    best = capped.groupBy(*KEY, "model").agg(F.max("score").alias("score"))
+    by_model = ranked(best, ["query_id", "model"], [F.desc("score"), F.asc("video_id"), F.asc("frame_id")])
     fused = by_model.groupBy(*KEY).agg(F.round(F.sum(F.lit(2.0) / (F.col("rank") + 30)), 9).alias("_s"))
-    pooled = ranked(fused, ["query_id"], [F.desc("_s"), F.asc("video_id"), F.asc("frame_id")])
-    parts = [baseline.filter(F.col("rank") <= baseline_k), sampled, pooled, baseline]
+    pooled = ranked(fused, ["query_id"], [F.desc("_s"), F.asc("video_id"), F.asc("frame_id")], pool_limit)
+    lists = [by_model.filter(F.col("model") == m) for m in models]
+    parts = [baseline.filter(F.col("rank") <= head), sampled, pooled, *lists, baseline]
     return ordered_union([p.select(*KEY, "rank") for p in parts], KEY, limit=limit).select(*KEY, "band", "rank")
 
 
@@ -291,7 +349,7 @@ def locked_video_candidates(videos: DataFrame, keyframes: DataFrame, local_event
     used = dense_rows.select(*KEY).distinct().groupBy("query_id", "video_id").agg(F.count(F.lit(1)).alias("_used"))
     places = F.least(F.lit(escapes), F.greatest(F.lit(0), F.col("quota") - F.coalesce("_used", F.lit(0))))
     timeline = timeline.join(used, ["query_id", "video_id"], "left").withColumn("_places", places).filter(F.col("_places") > 0)
-    spread = linspace_pick(timeline, ["query_id", "video_id"], "event_order", F.col("_places")).join(mids, ["video_id", "event_id"])
+    spread = linspace_pick(timeline, ["query_id", "video_id"], "event_order", F.col("_places"), "first").join(mids, ["video_id", "event_id"])
     escape_rows = spread.select("query_id", "video_id", F.col("mid_frame").alias("frame_id"), "event_id", F.lit(1).alias("band"), F.col("event_order").alias("_a"))
     ranked_rest = ev_rank.filter(F.col("local_rank") > 16).join(mids, ["video_id", "event_id"]).select(
         "query_id", "video_id", F.col("mid_frame").alias("frame_id"), "event_id", F.lit(2).alias("band"), F.col("local_rank").alias("_a")

@@ -255,6 +255,33 @@ def lane_violations(vectors: DataFrame, expected: DataFrame, tolerance: float =
     return joined.withColumn("rule", rule).filter("rule is not null").select("lane", "rule")
 
 
+def lane_metadata_violations(vectors: DataFrame, metadata: DataFrame, expected: DataFrame) -> DataFrame:
+    """What the descriptions of vector lanes promise against their rows and what a search expects.
+
+    ``metadata(lane, dim, n_rows, encoder, model, metric, normalised)`` describes how a lane was
+    built, nulls where a description does not say; ``expected(lane, encoder, model)`` is what
+    queries are encoded with, nulls where it does not matter. One row per problem: ``dimension``
+    and ``row_count`` against the rows, ``model``, ``encoder``, and ``metric`` for lanes that are
+    not normalised inner products; ``missing`` for a lane without rows.
+    """
+    seen = vectors.groupBy("lane").agg(
+        F.min(F.size("embedding")).alias("_lo"), F.max(F.size("embedding")).alias("_hi"), F.count(F.lit(1)).alias("_n")
+    )
+    wanted = expected.select("lane", F.col("encoder").alias("_encoder"), F.col("model").alias("_model"))
+    rows = metadata.join(seen, "lane", "left").join(wanted, "lane", "left")
+    there = F.col("_n").isNotNull()
+    rules = {
+        "missing": ~there,
+        "dimension": there & ((F.col("dim") != F.col("_lo")) | (F.col("dim") != F.col("_hi"))),
+        "row_count": there & (F.col("n_rows") != F.col("_n")),
+        "model": F.col("model") != F.col("_model"),
+        "encoder": F.col("_encoder").isNotNull() & ~F.col("encoder").eqNullSafe(F.col("_encoder")),
+        "metric": (F.col("metric") != "inner_product") | ~F.coalesce("normalised", F.lit(True)),
+    }
+    problems = F.array_compact(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in rules.items()]))
+    return rows.select("lane", F.explode(problems).alias("rule"))
+
+
 def keyframe_grid(frames: DataFrame, event_frames: DataFrame) -> DataFrame:
     """Distinct keyframes per video; videos without any use their event frames."""
     own = frames.select("video_id", "frame_id").distinct()
