@@ -377,24 +377,46 @@ def _region_sql() -> str:
         conf = 0.96 if len(tx.REGION_AXES[region]) == 2 else 0.92
         cases.append(
             f"WHEN regexp_matches(f, {lit(p)}) AND NOT (regexp_matches({follow}, '^(?:cua|of)\\b') AND {owner} = '') "
-            f"THEN {{'region': '{region}', 'confidence': {conf}::DOUBLE, 'semantic': CASE WHEN {rest} = '' THEN w ELSE {rest} END}}"
+            f"THEN {{'region': '{region}', 'confidence': {conf}::DOUBLE, 'semantic': CASE WHEN {rest} = '' THEN w ELSE {rest} END, 'source': 'rule'}}"
         )
-    return f"CASE {' '.join(cases)} ELSE {{'region': 'full', 'confidence': 0.0::DOUBLE, 'semantic': w}} END"
+    return f"CASE {' '.join(cases)} ELSE {{'region': 'full', 'confidence': 0.0::DOUBLE, 'semantic': w, 'source': 'none'}} END"
+
+
+cte(
+    "folded_messages",
+    f"""SELECT conv_id, turn, w, replace(replace(strip_accents(lower(w)), 'đ', 'd'), 'ß', 'ss') AS f FROM (SELECT conv_id, turn, {sq('text')} AS w FROM messages)""",
+    "messages",
+)
+
+
+def _spatial(spark, d, requested=None):
+    m = message_texts(spark, d).select("conv_id", "turn", tx.squeeze(F.col("text")).alias("w"))
+    m = m.withColumn("f", tx.fold_marks(F.col("w"))).withColumn("r", F.lit(None).cast("string") if requested is None else requested)
+    # the fold is bound once: every region's pattern reads it
+    bound = F.transform(F.array(F.struct("w", "f", "r")), lambda x: tx.spatial_query(x["w"], x["f"], None if requested is None else x["r"]))[0]
+    return m.select("conv_id", "turn", bound.alias("_s")).select("conv_id", "turn", "_s.region", "_s.confidence", "_s.semantic_text", "_s.source")
 
 
 @query(
     "spatial_queries",
-    f"""SELECT conv_id, turn, r.region AS region, r.confidence AS confidence, r.semantic AS semantic_text FROM (SELECT conv_id, turn, {_region_sql()} AS r FROM (
-  SELECT conv_id, turn, w, replace(replace(strip_accents(lower(w)), 'đ', 'd'), 'ß', 'ss') AS f FROM (SELECT conv_id, turn, {sq('text')} AS w FROM messages)))""",
-    ("messages",),
+    f"SELECT conv_id, turn, r.region AS region, r.confidence AS confidence, r.semantic AS semantic_text FROM (SELECT conv_id, turn, {_region_sql()} AS r FROM folded_messages)",
+    ("folded_messages",),
 )
 def spatial_queries(spark, d):
-    m = message_texts(spark, d).select("conv_id", "turn", tx.squeeze(F.col("text")).alias("w"))
-    m = m.withColumn("f", tx.fold_marks(F.col("w")))
-    # the fold is bound once: every region's pattern reads it
-    bound = F.transform(F.array(F.struct("w", "f")), lambda x: tx.spatial_query(x["w"], x["f"]))[0]
-    out = m.select("conv_id", "turn", bound.alias("_s"))
-    return out.select("conv_id", "turn", "_s.region", "_s.confidence", "_s.semantic_text")
+    return _spatial(spark, d).drop("source")
+
+
+@query(
+    "spatial_queries_explicit",
+    f"""SELECT conv_id, turn, r.region AS region, r.confidence AS confidence, r.semantic AS semantic_text, r.source AS source FROM (
+  SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 AND w <> '' THEN {{'region': CASE WHEN turn % 2 = 0 THEN 'top_left' ELSE 'right' END, 'confidence': 1.0::DOUBLE, 'semantic': w, 'source': 'explicit'}} ELSE {_region_sql()} END AS r FROM folded_messages)""",
+    ("folded_messages",),
+)
+def spatial_queries_explicit(spark, d):
+    """Every third conversation names its region, every other third an unknown one."""
+    known = F.when(F.col("turn") % 2 == 0, " Top_Left").otherwise("right")
+    asked = F.when(F.col("conv_id") % 3 == 0, known).when(F.col("conv_id") % 3 == 1, "middle").otherwise("auto")
+    return _spatial(spark, d, asked)
 
 
 @query(

@@ -471,15 +471,23 @@ REGION_AXES = {
 }
 
 
-def spatial_query(text: Column, folded: Column) -> Column:
-    """Struct(region, confidence, semantic_text) of a frame-relative phrase.
+def spatial_query(text: Column, folded: Column, requested: Column | None = None) -> Column:
+    """Struct(region, confidence, semantic_text, source) of a frame-relative phrase.
+
+    A known ``requested`` region wins with confidence 1 and leaves the text as it is
+    (source ``explicit``); without one, with ``auto``, ``full`` or an unknown name the phrase
+    decides (``rule``), else the whole frame is meant (``none``).
 
     ``folded`` is the accent-free form with the same length as ``text`` (both
     white space squeezed). ``of`` or ``cua`` after the phrase means another object
     and rejects it, unless the frame itself follows.
     """
-    none = F.lit(None).cast("struct<region:string,confidence:double,semantic_text:string>")
+    none = F.lit(None).cast("struct<region:string,confidence:double,semantic_text:string,source:string>")
     options = []
+    if requested is not None:
+        asked = F.lower(F.trim(requested))
+        named = F.struct(asked.alias("region"), F.lit(1.0).alias("confidence"), text.alias("semantic_text"), F.lit("explicit").alias("source"))
+        options.append(F.when(asked.isin(*REGION_AXES) & (text != ""), named).otherwise(none))
     for region, pattern in REGION_PATTERNS:
         before = F.regexp_extract(folded, f"^(?s)(.*?){pattern}", 1)
         phrase = F.regexp_extract(folded, pattern, 0)
@@ -500,9 +508,10 @@ def spatial_query(text: Column, folded: Column) -> Column:
             F.lit(region).alias("region"),
             F.lit(0.96 if len(REGION_AXES[region]) == 2 else 0.92).alias("confidence"),
             F.when(rest == "", text).otherwise(rest).alias("semantic_text"),
+            F.lit("rule").alias("source"),
         )
         options.append(F.when(folded.rlike(pattern) & ~rejected, hit).otherwise(none))
-    full = F.struct(F.lit("full").alias("region"), F.lit(0.0).alias("confidence"), text.alias("semantic_text"))
+    full = F.struct(F.lit("full").alias("region"), F.lit(0.0).alias("confidence"), text.alias("semantic_text"), F.lit("none").alias("source"))
     return F.coalesce(*options, full)
 
 

@@ -11,6 +11,7 @@ from reelweave.operators.events import attach_events, ordered_events
 from reelweave.operators.fusion import KEY
 from reelweave.operators.ranking import best_row, ordered_union, ranked
 from reelweave.operators.timeline import asof, greedy_spaced, positions
+from reelweave.session import cut_lineage
 
 
 def on_linspace(index: Column, n: Column, quota: Column) -> Column:
@@ -328,10 +329,9 @@ def locked_video_candidates(videos: DataFrame, keyframes: DataFrame, local_event
     """
     spans = ordered_events(keyframes)
     counts = spans.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_events"))
-    quota = divisor_quota(videos.join(counts, "video_id"), limit)
-    ev_rank = ranked(local_events.drop("rank"), ["query_id", "video_id"], [F.desc("score"), F.desc("n_lanes"), F.asc("event_id")], name="local_rank").join(
-        quota, ["query_id", "video_id"]
-    )
+    quota = cut_lineage(divisor_quota(videos.join(counts, "video_id"), limit))
+    placed = ranked(local_events.drop("rank"), ["query_id", "video_id"], [F.desc("score"), F.desc("n_lanes"), F.asc("event_id")], name="local_rank")
+    ev_rank = cut_lineage(placed.join(quota, ["query_id", "video_id"]))
     top = ev_rank.filter(F.col("local_rank") <= F.least(F.lit(dense), F.col("quota")))
     n_top = top.groupBy("query_id", "video_id").agg(F.count(F.lit(1)).alias("_m"))
     alloc = top.join(n_top, ["query_id", "video_id"]).withColumn(
@@ -339,10 +339,13 @@ def locked_video_candidates(videos: DataFrame, keyframes: DataFrame, local_event
         F.floor(F.col("quota") / F.col("_m")) + (F.col("local_rank") <= F.pmod("quota", F.col("_m"))).cast("int"),
     )
     rows = alloc.select("query_id", "video_id", "event_id", "local_rank", "event_quota").join(keyframes, ["video_id", "event_id"])
-    dense_rows = linspace_pick(rows, ["query_id", "video_id", "event_id"], "frame_id", F.col("event_quota")).select(
-        *KEY, "event_id", F.lit(0).alias("band"), F.col("local_rank").alias("_a")
+    dense_rows = cut_lineage(
+        linspace_pick(rows, ["query_id", "video_id", "event_id"], "frame_id", F.col("event_quota")).select(
+            *KEY, "event_id", F.lit(0).alias("band"), F.col("local_rank").alias("_a")
+        )
     )
-    mids = event_midpoints(keyframes)
+    wanted = keyframes.join(quota.select("video_id").distinct(), "video_id", "left_semi")
+    spans, mids = cut_lineage(ordered_events(wanted)), cut_lineage(event_midpoints(wanted))
     timeline = quota.join(spans.select("video_id", "event_id", "event_order"), "video_id").join(
         top.select("query_id", "video_id", "event_id"), ["query_id", "video_id", "event_id"], "left_anti"
     )

@@ -342,3 +342,91 @@ def test_vector_top_k_in_rounds_keeps_the_corpus_in_place(spark):
         assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
         top = vx.ranked(hits, ["query_id", "lane"], [vx.F.desc("score"), vx.F.asc("video_id"), vx.F.asc("frame_id")], 6)
         assert {(r["query_id"], r["lane"], r["video_id"], r["frame_id"], r["rank"]) for r in top.collect()} == want
+
+
+def test_named_regions_win_over_phrases(spark):
+    data = [("a logo at the top-left of the frame", " Right "), ("a logo at the top-left of the frame", "middle"), ("a dog", "auto"), ("", "left"), ("a dog", None)]
+    df = spark.createDataFrame(data, "t STRING, r STRING")
+    got = df.select(tx.spatial_query(F.col("t"), tx.fold_marks(F.col("t")), F.col("r")).alias("s")).select("s.*").collect()
+    assert [(r.region, r.confidence, r.semantic_text, r.source) for r in got] == [
+        ("right", 1.0, "a logo at the top-left of the frame", "explicit"),
+        ("top_left", 0.96, "a logo at the", "rule"),
+        ("full", 0.0, "a dog", "none"),
+        ("full", 0.0, "", "none"),
+        ("full", 0.0, "a dog", "none"),
+    ]
+
+
+def test_index_answers_of_critics(spark):
+    raw = {
+        1: '{"ranked_indices": [2, "0", 2, 9, -1]}',
+        2: '{"ranked_indices": [], "candidates": [{"candidate_index": 1}, {"id": "2"}, {"why": "no"}]}',
+        3: '{"indices": [1, "first"]}',
+        4: "[1",
+        5: '{"ranking": [7]}',
+        6: None,
+        7: '{"ranked_indices": [], "indices": [], "ranking": [1.7]}',
+    }
+    cand = spark.createDataFrame([(q, f"c{i}", i * 10) for q in raw for i in range(3)], "query_id BIGINT, candidate_id STRING, position INT")
+    answers = spark.createDataFrame([(q, r) for q, r in raw.items() if q != 6], "query_id BIGINT, raw STRING")
+    got = {}
+    for r in sorted(rk.index_ranking(cand, answers).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault((r.query_id, r.applied), []).append(r.candidate_id)
+    order = ["c0", "c1", "c2"]
+    assert got == {
+        (1, True): ["c2", "c0", "c1"],
+        (2, True): ["c1", "c2", "c0"],
+        (3, False): order,
+        (4, False): order,
+        (5, False): order,
+        (6, False): order,
+        (7, True): ["c1", "c0", "c2"],
+    }
+
+
+def test_lane_metadata_names_every_problem(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [1.0]), ("b", [1.0])], "lane STRING, embedding ARRAY<DOUBLE>")
+    meta = spark.createDataFrame(
+        [("a", 2, 3, "e", "m", "l2", True), ("b", None, None, None, None, None, None), ("c", 1, 1, "e", "m", "inner_product", True)],
+        "lane STRING, dim INT, n_rows BIGINT, encoder STRING, model STRING, metric STRING, normalised BOOLEAN",
+    )
+    wanted = spark.createDataFrame([("a", "f", "n"), ("b", "e", "m")], "lane STRING, encoder STRING, model STRING")
+    got = rows(src.lane_metadata_violations(vectors, meta, wanted), "lane", "rule")
+    assert got == [("a", "dimension"), ("a", "encoder"), ("a", "metric"), ("a", "model"), ("a", "row_count"), ("b", "encoder"), ("c", "missing")]
+
+
+def test_critic_events_prefer_deep_rows_and_seed_empty_queries(spark):
+    keyframes = spark.createDataFrame(
+        [("v", f, f"e{f // 100}") for f in range(0, 500, 20)] + [("w", f, f"e{f // 100}") for f in range(10000, 10300, 20)], "video_id STRING, frame_id BIGINT, event_id STRING"
+    )
+    base = spark.createDataFrame(
+        [(1, "v", 0, 1, None, None), (1, "v", 100, 2, None, None), (1, "v", 420, 3, 2.0, 2.0), (1, "w", 10200, 4, 1.0, 1.0)]
+        + [(2, "w", 5000, 1, None, None), (2, "v", 90000, 2, None, None), (3, "x", 5, 1, None, None)],
+        "query_id BIGINT, video_id STRING, frame_id BIGINT, rank INT, deep_rank DOUBLE, deep_event_rank DOUBLE",
+    )
+    got = sorted((r.query_id, r.event_position, r.video_id, r.event_id) for r in sp.critic_events(base, keyframes, 4).collect())
+    assert [g[2:] for g in got if g[0] == 1] == [("w", "e102"), ("v", "e4"), ("v", "e0"), ("v", "e1")]
+    assert [g[2:] for g in got if g[0] == 2] == [("w", "e100"), ("w", "e101"), ("w", "e102"), ("v", "e0")]
+    local = spark.createDataFrame([(1, "visual_beit3__clause1", "v", 440, 0.9), (1, "other", "v", 460, 0.9)], "query_id BIGINT, lane STRING, video_id STRING, frame_id BIGINT, score DOUBLE")
+    pool = sp.critic_pool(base, keyframes, local, 4, limit=110).collect()
+    one = [(r.video_id, r.frame_id) for r in sorted(pool, key=lambda r: r["rank"]) if r.query_id == 1]
+    assert one[:4] == [("v", 0), ("v", 100), ("v", 420), ("w", 10200)] and ("v", 440) in one and len(one) == len(set(one))
+    assert [(r.video_id, r.frame_id) for r in pool if r.query_id == 3] == [("x", 5)]
+
+
+def test_escape_keeps_what_unpruned_lists_would(spark):
+    rng = random.Random(5)
+    table = [(1, "v", f, f + 1, rng.choice([None, 0.0, rng.random()]), rng.random() if f % 3 else None) for f in range(120)]
+    df = spark.createDataFrame(table, "query_id BIGINT, video_id STRING, frame_id BIGINT, rank INT, a DOUBLE, b DOUBLE")
+    got = [r.frame_id for r in sorted(rk.specialist_escape(df, {"a": ("a", 3), "b": ("b", 4)}, 20).collect(), key=lambda r: r["rank"])]
+    want, rest = table[:13], table[13:]
+    for col, quota in ((4, 3), (5, 4)):
+        picks = sorted((t for t in rest if t[col] and t[col] > 0), key=lambda t: (-t[col], t[3]))[:quota]
+        want, rest = want + picks, [t for t in rest if t not in picks]
+    assert got == [t[2] for t in (want + rest)[:20]]
+
+
+def test_a_single_place_takes_the_middle_or_the_first(spark):
+    df = spark.createDataFrame([("k", i) for i in range(5)], "k STRING, p BIGINT")
+    assert [r.p for r in sp.linspace_pick(df, ["k"], "p", F.lit(1)).collect()] == [2]
+    assert [r.p for r in sp.linspace_pick(df, ["k"], "p", F.lit(1), "first").collect()] == [0]
