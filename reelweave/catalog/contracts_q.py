@@ -204,6 +204,26 @@ def lane_provenance(spark, d):
     return src.lane_violations(v, expected)
 
 
+_FILE = "'Query-' || conv_id || CASE role WHEN 'user' THEN '-kis' WHEN 'assistant' THEN '-QA' ELSE '-note' END || '.txt'"
+
+
+@query(
+    "query_catalog_scan",
+    f"""SELECT filename, label, task, n_chars, answer_count, string_agg(CASE WHEN regexp_matches(p, '^[0-9]+$') THEN lpad(length(regexp_replace(p, '^0+(.)', '\\1'))::VARCHAR, 10, '0') || ':' || regexp_replace(p, '^0+(.)', '\\1') ELSE p END, '' ORDER BY i) AS sort_key FROM (
+  SELECT *, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT f.*, coalesce(n, 0) AS answer_count, regexp_extract_all(lower(filename), '([0-9]+|[^0-9]+)') AS ps FROM (
+    SELECT {_FILE} AS filename, conv_id::VARCHAR AS label, CASE role WHEN 'user' THEN 'kis' ELSE 'qa' END AS task, sum(length(trim(text))) ::BIGINT AS n_chars FROM conversations WHERE role IN ('user', 'assistant') GROUP BY ALL) f
+  LEFT JOIN (SELECT 'Query-' || doc_id || '-kis.txt' AS filename, count(*) AS n FROM documents GROUP BY ALL) a USING (filename))) GROUP BY ALL""",
+)
+def query_catalog_scan(spark, d):
+    """Turns of a speaker as query files, documents of the same number as their saved answers."""
+    c = table(spark, d, "conversations")
+    name = F.concat(F.lit("Query-"), "conv_id", F.when(F.col("role") == "user", "-kis").when(F.col("role") == "assistant", "-QA").otherwise("-note"), F.lit(".txt"))
+    answers = table(spark, d, "documents").select(F.concat(F.lit("Query-"), "doc_id", F.lit("-kis.txt")).alias("filename"))
+    rows = src.catalog_rows(c.select(name.alias("filename"), F.col("text").alias("content")), answers)
+    by = ["filename", "label", "task", "answer_count", "sort_key"]
+    return rows.groupBy(*by).agg(F.sum(F.char_length("content")).alias("n_chars"))
+
+
 # lane, dimension, rows beyond those of the table, encoder, model, metric, normalised
 LANE_METADATA = [
     ("audio", 32, 0, "sound", "a1", "inner_product", True),

@@ -165,7 +165,37 @@ def stage_log(spark, d):
     return log.withColumn("action", F.when(F.col("action") == "none", lock).otherwise(F.col("action")))
 
 
-@query("team_stage_board")
+cte(
+    "stage_live",
+    """SELECT l.* FROM (SELECT session, seq, name, item_id, value, CASE event_type WHEN 'view' THEN 'PROPOSE_STAGE_FRAME' WHEN 'click' THEN 'VOTE_STAGE_FRAME' WHEN 'purchase' THEN 'CLAIM_STAGE' WHEN 'signup' THEN CASE WHEN k = 50 THEN 'CLEAR_TRAKE' ELSE 'ADD_STAGE' END
+  ELSE CASE seq % 4 WHEN 0 THEN 'LOCK_STAGE_FRAME' WHEN 1 THEN 'UNLOCK_STAGE_FRAME' WHEN 2 THEN 'REMOVE_STAGE_FRAME' ELSE 'MAKE_KEY' END END AS action FROM log0) l
+LEFT JOIN (SELECT session, max(seq) AS c FROM log0 WHERE event_type = 'signup' AND k = 50 GROUP BY 1) USING (session) WHERE c IS NULL OR seq > c""",
+    "log0",
+)
+cte(
+    "stage_msgs",
+    "SELECT m.* FROM stage_live m JOIN (SELECT session, item_id, max(seq) AS since FROM stage_live WHERE action = 'ADD_STAGE' GROUP BY ALL) s USING (session, item_id) WHERE seq >= since",
+    "stage_live",
+)
+cte(
+    "stage_cands",
+    """SELECT session, item_id, value, p FROM (SELECT session, item_id, value, arg_max(action, seq) AS a, max(seq) FILTER (action = 'PROPOSE_STAGE_FRAME') AS p FROM stage_msgs
+WHERE action IN ('PROPOSE_STAGE_FRAME', 'REMOVE_STAGE_FRAME') GROUP BY ALL) WHERE a = 'PROPOSE_STAGE_FRAME'""",
+    "stage_msgs",
+)
+
+
+@query(
+    "team_stage_board",
+    """SELECT s.session, s.item_id, coalesce(n_assignees, 0) AS n_assignees, coalesce(n_candidates, 0) AS n_candidates, coalesce(n_votes, 0)::BIGINT AS n_votes, locked_candidate FROM (SELECT DISTINCT session, item_id FROM stage_msgs) s
+LEFT JOIN (SELECT session, item_id, count(*) AS n_assignees FROM (SELECT session, item_id, name FROM stage_msgs WHERE action = 'CLAIM_STAGE' GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY ALL) a USING (session, item_id)
+LEFT JOIN (SELECT session, item_id, count(*) AS n_candidates FROM stage_cands GROUP BY ALL) c USING (session, item_id)
+LEFT JOIN (SELECT session, item_id, count(*) AS n_votes FROM (SELECT m.session, m.item_id, m.value, name FROM stage_msgs m JOIN stage_cands c USING (session, item_id, value) WHERE action IN ('PROPOSE_STAGE_FRAME', 'VOTE_STAGE_FRAME') AND seq >= p
+  GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY ALL) v USING (session, item_id)
+LEFT JOIN (SELECT l.session, l.item_id, l.value AS locked_candidate FROM (SELECT session, item_id, arg_max(value, seq) AS value, arg_max(action, seq) AS a FROM stage_msgs WHERE action IN ('LOCK_STAGE_FRAME', 'UNLOCK_STAGE_FRAME') GROUP BY ALL) l
+  JOIN stage_cands USING (session, item_id, value) WHERE a = 'LOCK_STAGE_FRAME') l USING (session, item_id)""",
+    ("stage_msgs", "stage_cands"),
+)
 def team_stage_board(spark, d):
     return tm.stage_board(stage_log(spark, d))
 

@@ -17,6 +17,7 @@ MAX_PICKS = 16
 MAX_HISTORY = 100
 MAX_PERSONAL = 60
 DEFAULT_COLOUR = "#8b6bff"
+MARKS = ("incorrect", "caution")
 
 
 def _latest(value: Column, when: Column) -> Column:
@@ -88,7 +89,7 @@ def markings(log: DataFrame) -> DataFrame:
     last = live.groupBy("session", "item_id").agg(
         F.max_by(F.struct(F.col("value").alias("kind"), F.col("flag").alias("marked")), "seq").alias("_l")
     )
-    return last.filter(F.col("_l.marked") & F.col("_l.kind").isin("incorrect", "caution")).select("session", "item_id", F.col("_l.kind").alias("kind"))
+    return last.filter(F.col("_l.marked") & F.col("_l.kind").isin(*MARKS)).select("session", "item_id", F.col("_l.kind").alias("kind"))
 
 
 def shared_history(log: DataFrame, limit: int = MAX_HISTORY) -> DataFrame:

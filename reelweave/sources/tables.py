@@ -215,15 +215,19 @@ def merge_shards(rows: DataFrame, key: list[str], shard: str) -> DataFrame:
 
 
 def query_catalog(spark: SparkSession, query_path: str, answers: DataFrame | None = None) -> DataFrame:
-    """Files ``query-<label>-<task>.txt`` with their text and number of saved answers.
+    """Files ``query-<label>-<task>.txt`` with their text and number of saved answers."""
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    return catalog_rows(spark.read.text(query_path, wholetext=True).select(name.alias("filename"), F.col("value").alias("content")), answers)
+
+
+def catalog_rows(files: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """Catalog of ``files(filename, content)`` named ``query-<label>-<task>.txt``; others are left out.
 
     ``answers(filename, ...)`` holds one row per saved answer line.
     """
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     pattern = r"(?i)^query-(.+)-(kis|qa|trake)\.txt$"
-    files = spark.read.text(query_path, wholetext=True).select(name.alias("filename"), F.trim("value").alias("content"))
     parsed = files.select(
-        "filename", F.regexp_extract("filename", pattern, 1).alias("label"), F.lower(F.regexp_extract("filename", pattern, 2)).alias("task"), "content"
+        "filename", F.regexp_extract("filename", pattern, 1).alias("label"), F.lower(F.regexp_extract("filename", pattern, 2)).alias("task"), F.trim("content").alias("content")
     ).filter("label <> ''")
     if answers is None:
         counted = parsed.withColumn("answer_count", F.lit(0).cast("bigint"))

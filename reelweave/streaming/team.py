@@ -1,7 +1,8 @@
-"""Streaming forms: presence, queue and stage boards as keyed state, duplicate-answer guard, continuous retrieval."""
+"""Streaming forms: presence, queue, picks, histories, markings and stage boards as keyed state, duplicate-answer guard, continuous retrieval."""
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from reelweave.operators.team import DEFAULT_COLOUR, NAMED_ACTIONS, ONLINE_SECONDS
+from reelweave.operators.team import DEFAULT_COLOUR, MARKS, MAX_HISTORY, MAX_PERSONAL, MAX_PICKS, NAMED_ACTIONS, ONLINE_SECONDS
 
 QUEUE_OUTPUT = "session STRING, item_id STRING, added BIGINT, pinned BOOLEAN, done BOOLEAN, submitted_by STRING, voters ARRAY<STRING>, present BOOLEAN"
 
@@ -147,6 +148,108 @@ def presence_stream(log: DataFrame, online_seconds: int = ONLINE_SECONDS, event_
     )
 
 
+RECENT_OUTPUT = "owner STRING, place INT, name STRING, item_id STRING, value STRING, seq BIGINT, present BOOLEAN"
+
+
+class RecentList(StatefulProcessor):
+    """The newest entries of one owner, an entry being what its columns say.
+
+    What falls behind the limit is dropped: only a new message can bring it back. Emits every
+    place of a list that a batch has changed, and places that are empty since as not present.
+    """
+
+    def __init__(self, limit: int, entry: tuple[str, ...], clear: str | None):
+        self._limit = limit
+        self._entry = entry
+        self._clear = clear
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._rows = handle.getMapState("rows", "entry STRING", "name STRING, item_id STRING, value STRING, seq BIGINT")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("seq").astype(object)
+        batch = batch.where(batch.notna(), None)
+        entries = {k[0]: tuple(v) for k, v in self._rows.iterator()}
+        places = len(entries)
+        for r in batch.itertuples(index=False):
+            if r.action == self._clear:
+                entries = {}
+                continue
+            entry = json.dumps([str(getattr(r, c)) if getattr(r, c) is not None else None for c in self._entry])
+            entries[entry] = (r.name, r.item_id, r.value, int(r.seq))
+        kept = sorted(entries.items(), key=lambda e: -e[1][3])[: self._limit]
+        self._rows.clear()
+        for entry, row in kept:
+            self._rows.updateValue((entry,), row)
+        out = [(key[0], i, *row, True) for i, (_, row) in enumerate(kept, start=1)]
+        out += [(key[0], i, None, None, None, None, False) for i in range(len(kept) + 1, places + 1)]
+        frame = pd.DataFrame(out, columns=["owner", "place", "name", "item_id", "value", "seq", "present"])
+        yield frame.astype({"seq": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def _recent(log: DataFrame, owner: str, add: str, limit: int, entry: tuple[str, ...], clear: str | None = None) -> DataFrame:
+    actions = [add] if clear is None else [add, clear]
+    return log.filter(F.col("action").isin(*actions)).groupBy(owner).transformWithStateInPandas(
+        statefulProcessor=RecentList(limit, entry, clear), outputStructType=RECENT_OUTPUT, outputMode="Update", timeMode="None"
+    )
+
+
+def picks_stream(log: DataFrame, limit: int = MAX_PICKS) -> DataFrame:
+    """Newest pick per (member, frame) of each session, by place; needs the RocksDB state store."""
+    return _recent(log, "session", "pick", limit, ("name", "item_id"))
+
+
+def history_stream(log: DataFrame, limit: int = MAX_HISTORY) -> DataFrame:
+    """Shared history of each session since its last clear, by place."""
+    return _recent(log, "session", "ADD_HISTORY", limit, ("seq",), "CLEAR_HISTORY")
+
+
+def personal_history_stream(log: DataFrame, limit: int = MAX_PERSONAL) -> DataFrame:
+    """Newest distinct (query, task) entries of each member, by place."""
+    return _recent(log, "name", "ADD_HISTORY", limit, ("item_id", "value"))
+
+
+MARKING_OUTPUT = "session STRING, item_id STRING, kind STRING, present BOOLEAN"
+
+
+class Markings(StatefulProcessor):
+    """Marked frames of one session as map state; emits every frame a batch has changed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._kinds = handle.getMapState("kinds", "item_id STRING", "kind STRING")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("seq").astype(object)
+        batch = batch.where(batch.notna(), None)
+        changed: dict[str, str | None] = {}
+        for r in batch.itertuples(index=False):
+            if r.action == "CLEAR_MARKING":
+                changed |= {k[0]: None for k in self._kinds.keys()} | dict.fromkeys(changed)
+                self._kinds.clear()
+                continue
+            marked = bool(r.flag) and r.value in MARKS
+            changed[r.item_id] = r.value if marked else None
+            if marked:
+                self._kinds.updateValue((r.item_id,), (r.value,))
+            elif self._kinds.containsKey((r.item_id,)):
+                self._kinds.removeKey((r.item_id,))
+        out = [(key[0], item, kind, kind is not None) for item, kind in changed.items()]
+        yield pd.DataFrame(out, columns=["session", "item_id", "kind", "present"])
+
+    def close(self) -> None:
+        pass
+
+
+def markings_stream(log: DataFrame) -> DataFrame:
+    """Changed markings per micro-batch; needs the RocksDB state store."""
+    return log.filter(F.col("action").isin("TOGGLE_MARK", "CLEAR_MARKING")).groupBy("session").transformWithStateInPandas(
+        statefulProcessor=Markings(), outputStructType=MARKING_OUTPUT, outputMode="Update", timeMode="None"
+    )
+
+
 STAGE_OUTPUT = "session STRING, item_id STRING, n_assignees BIGINT, n_candidates BIGINT, n_votes BIGINT, locked_candidate STRING, locked_video STRING, present BOOLEAN"
 
 

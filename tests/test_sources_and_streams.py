@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 import time
 
 import numpy as np
@@ -195,3 +196,35 @@ def test_stage_stream_agrees_with_the_replay_after_a_restart_and_from_a_snapshot
         late = {(r.session, r.item_id): r for r in run_stream(stream.stage_stream(log, tm.stage_snapshot(halves[0])), str(tmp_path / f"ck_late{cut}"))}
         assert all(want[k] == tuple(r[2:6]) for k, r in late.items() if r.present)
         assert late["s", "one"].present
+
+
+def test_lists_and_markings_as_streams_agree_with_their_folds(spark, tmp_path):
+    spark.conf.set(*ROCKS)
+    rng = random.Random(11)
+    actions = ["pick"] * 6 + ["ADD_HISTORY"] * 6 + ["TOGGLE_MARK"] * 6 + ["CLEAR_HISTORY", "CLEAR_MARKING"]
+    schema = LOG + ", value STRING"
+    events = [
+        (rng.choice("st"), i, rng.choice(actions), rng.choice(["ann", "bob", ""]), f"f{rng.randrange(8)}", rng.random() < 0.6, rng.choice(["incorrect", "caution", "other", None]))
+        for i in range(240)
+    ]
+    forms = {
+        "picks": (stream.picks_stream, lambda x: tm.picks(x, 4), 4),
+        "shared": (stream.history_stream, lambda x: tm.shared_history(x, 10), 10),
+        "own": (stream.personal_history_stream, lambda x: tm.personal_history(x, 5), 5),
+    }
+    seen = {form: {} for form in [*forms, "marks"]}
+    for lo, hi in ((0, 110), (110, 240)):  # the second run restarts from the checkpoints
+        spark.createDataFrame(events[lo:hi], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        log = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        for form, (build, _, limit) in forms.items():
+            for r in run_stream(build(log, limit), str(tmp_path / form)):
+                seen[form][r.owner, r.place] = (r.item_id, r.seq) if r.present else None
+        for r in run_stream(stream.markings_stream(log), str(tmp_path / "marks")):
+            seen["marks"][r.session, r.item_id] = r.kind
+        whole = spark.createDataFrame(events[:hi], schema)
+        for form, (_, fold, _) in forms.items():
+            owner = "name" if form == "own" else "session"
+            want = {(r[owner], r["rank"]): (r.item_id, r.seq) for r in fold(whole).collect()}
+            assert {k: v for k, v in seen[form].items() if v} == want, form
+        marked = {(r.session, r.item_id): r.kind for r in tm.markings(whole).collect()}
+        assert {k: v for k, v in seen["marks"].items() if v} == marked
